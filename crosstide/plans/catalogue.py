@@ -1,4 +1,4 @@
 """All registered queries, in one import."""
 
-from crosstide.plans import feature_queries  # noqa: F401
+from crosstide.plans import feature_queries, section_queries  # noqa: F401
 from crosstide.plans.registry import QUERIES  # noqa: F401
