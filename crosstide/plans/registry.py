@@ -1,7 +1,8 @@
 """Registered queries: a Spark builder, a column layout, and the SQL both engines must agree on.
 
 The layout (``"date:d symbol:i vol_4d:6"``) is applied to both sides: ``d`` date as text, ``i``
-64-bit integer, ``s`` text, ``b`` boolean as integer, a digit the decimals of a double. Rounding
+64-bit integer, ``s`` text, ``b`` boolean as integer, ``e`` a double as text with seven significant
+digits (values over many magnitudes; below 1e-9 it reads 0), a digit the decimals of a double. Rounding
 first moves a value by a fixed fraction of the last kept digit, so that an exact half (a price in
 cents divided by 8, say) does not depend on how an engine rounds halves.
 """
@@ -67,6 +68,9 @@ def present(df: DataFrame, layout: str) -> DataFrame:
             c = c.cast("int").cast("long")
         elif kind == "s":
             c = c.cast("string")
+        elif kind == "e":
+            c = c.cast("double")
+            c = F.when(c.isNotNull(), F.format_string("%.6e", F.when(F.abs(c) < 1e-9, 0.0).otherwise(c)))
         else:
             digits = int(kind)
             c = F.round(c.cast("double") + F.lit(HALF_SHIFT * 10.0 ** -digits), digits) + F.lit(0.0)
@@ -85,6 +89,8 @@ def present_sql(sql: str, layout: str) -> str:
             e = f"cast(cast({name} as int) as bigint)"
         elif kind == "s":
             e = f"cast({name} as varchar)"
+        elif kind == "e":
+            e = f"case when {name} is not null then format('{{:.6e}}', case when abs({name}) < 1e-9 then 0.0::double else {name}::double end) end"
         else:
             digits = int(kind)
             shift = f"{HALF_SHIFT * 10.0 ** -digits!r}::double"

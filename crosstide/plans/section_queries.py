@@ -36,7 +36,8 @@ _market = (["market_ret_1d", "market_breadth_1d", "market_dispersion_1d"] + [f"m
            + [f"market_dollar_volume_z_{P.dollar_z}d"])
 
 
-@query("market_regime", KEY + "market_dollar_volume:0 market_ret_26d:2 " + cols([c for c in _market if c != "market_ret_26d"], 6),
+@query("market_regime", KEY + "market_dollar_volume:e " + cols([f"market_ret_{w}d" for w in P.group_returns], "e") + " "
+       + cols([c for c in _market if c not in [f"market_ret_{w}d" for w in P.group_returns]], 6),
        "select b.symbol, m.* from bars b left join market m on b.date = m.date")
 def market_regime(spark, sf):
     p = panel(spark, sf).select("symbol", "date", "ret_1d", "dollar_volume")
@@ -63,8 +64,9 @@ _states = (["ret_1d", "breadth_1d", "dispersion_1d"] + [f"ret_{w}d" for w in P.g
            + [f"{s}_{w}d" for w in P.group_states for s in ("vol", "breadth", "dispersion")])
 
 
-@query("group_rollup", "level:s grp:s date:d n_stocks:i ret_26d:1 ret_12d:3 " + cols(
-    [c for c in _states if c not in ("ret_26d", "ret_12d")], 6), "\nunion all by name ".join([
+@query("group_rollup", "level:s grp:s date:d n_stocks:i " + cols(
+    [f"ret_{w}d" for w in P.group_returns], "e") + " " + cols(
+    [c for c in _states if c not in [f"ret_{w}d" for w in P.group_returns]], 6), "\nunion all by name ".join([
     "select * from sector_state", "select * from subind_state", _group_sql("hq_state"), _group_sql("hq_region")]))
 def group_rollup(spark, sf):
     dim = company_dim(spark, sf).select("symbol", "sector", "sub_industry", "hq_state", "hq_region")
@@ -88,10 +90,8 @@ cte("excess", "select p.symbol, p.date, p.sector, p.sub_industry, " + ", ".join(
     "left join subind_state i on p.date = i.date and p.sub_industry = i.grp")
 
 
-@query("group_excess_rank", KEY + cols([f"excess_{g}_ret_26d" for g in ("sector", "subind")], 1) + " "
-       + cols([f"excess_{g}_ret_12d" for g in ("sector", "subind")], 3) + " "
-       + cols([f"excess_{g}_ret_{w}d" for w in (1, 4) for g in ("sector", "subind")]
-              + [f"{g}_mom_rank_{w}d" for w in P.momentum_ranks for g in ("sector", "subind")], 6),
+@query("group_excess_rank", KEY + cols([f"excess_{g}_ret_{w}d" for w in P.excess for g in ("sector", "subind")], "e") + " "
+       + cols([f"{g}_mom_rank_{w}d" for w in P.momentum_ranks for g in ("sector", "subind")], 6),
        "select *, " + ", ".join(f"{pct_rank_sql(f'{g}_ret_{w}d', 'date')} as {g}_mom_rank_{w}d"
                                 for w in P.momentum_ranks for g in ("sector", "subind")) + " from excess")
 def group_excess_rank(spark, sf):
@@ -185,7 +185,7 @@ from (select *, {pct_rank_sql('ret_12d', 'date')} as q1, {pct_rank_sql('vol_12d'
 
 
 @query("style_bucket", KEY + "style_mom_bucket:i style_vol_bucket:i style_liq_bucket:i style_bucket:i style_n_stocks:i "
-       "style_ret_1d:6 style_breadth_1d:6 style_ret_12d:6 " + cols(
+       "style_ret_1d:6 style_breadth_1d:6 style_ret_12d:e " + cols(
     [f"style_peer_{k}_{c}" for c in _style_peers for k in ("mean", "excess")], 6),
     "with g as (select date, style_bucket as b, avg(ret_1d) as r1, avg(case when ret_1d > 0 then 1.0::double else 0 end) as br, "
     f"count(symbol) as n from styled group by 1, 2), h as (select *, {compounded_sql('r1', 12, 'b', 6)} as r12 from g) "
