@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosstide.functions.numeric import TINY, pearson, ratio
-from crosstide.operators.ranking import GROUP_ROW_LIMIT, largest_group, with_position, with_ranks
+from crosstide.operators.ranking import (
+    GROUP_ROW_LIMIT, largest_group, with_group_size, with_position, with_ranks)
 
 PERIODS = 252.0
 
@@ -73,7 +74,8 @@ def simple_ic_summary(ic: DataFrame, keys: list[str]) -> DataFrame:
 def _placed(df: DataFrame, group: list[str], score: str, share: float, tie: str,
             bound: int | None, limit: int) -> DataFrame:
     """Rows with ``n``, leg size ``k`` and ascending place ``_place`` of the score in the group."""
-    sized = df.join(df.groupBy(*group).agg(F.count(score).alias("n")), group)
+    bound = largest_group(df, group) if bound is None else bound
+    sized = with_group_size(df, group, score, "n", bound=bound, limit=limit)
     placed = with_position(sized, group, score, tie, "_place", bound=bound, limit=limit)
     return placed.withColumn("k", leg_size("n", share))
 
@@ -139,20 +141,28 @@ def rebalance_rows(df: DataFrame, keys: list[str], every: int) -> DataFrame:
     return df.join(chosen, keys + ["date"], "left_semi")
 
 
-def turnover(weights: DataFrame, keys: list[str]) -> DataFrame:
-    """Half the absolute weight change against the previous held period, per date.
+def held_periods(weights: DataFrame, keys: list[str], ret: str) -> DataFrame:
+    """Return, turnover, positions and exposures per held period.
 
-    Each weight enters its own period with its sign and the next one with the opposite sign; the
-    first period trades from zero. No outer join and no loop over periods.
+    Turnover is half the absolute weight change against the previous period, from zero at first.
+    Each weight enters its own period with its sign and the next one with the opposite sign, so a
+    sum per (period, symbol) is the trade: no outer join, and no loop over periods.
     """
     dates = weights.select(*keys, "date").distinct().withColumn(
         "_r", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
-    placed = weights.join(dates, keys + ["date"]).select(*keys, "_r", "symbol", "weight")
-    moves = placed.unionByName(placed.select(
-        *keys, (F.col("_r") + 1).alias("_r"), "symbol", (-F.col("weight")).alias("weight")))
-    traded = moves.groupBy(*keys, "_r", "symbol").agg(F.sum("weight").alias("_d"))
-    traded = traded.groupBy(*keys, "_r").agg((F.sum(F.abs("_d")) / 2).alias("turnover"))
-    return dates.join(traded, keys + ["_r"]).drop("_r")
+    placed = weights.join(dates, keys + ["date"])
+    own = F.struct(F.col("_r").alias("r"), F.col("weight").alias("d"), F.col("weight").alias("w"),
+                   (F.col("weight") * F.col(ret)).alias("pl"), F.col("date").alias("date"))
+    leave = F.struct((F.col("_r") + 1).alias("r"), (-F.col("weight")).alias("d"), F.lit(0.0).alias("w"),
+                     F.lit(0.0).alias("pl"), F.lit(None).cast("date").alias("date"))
+    moves = placed.select(*keys, "symbol", F.explode(F.array(own, leave)).alias("m")).select(*keys, "symbol", "m.*")
+    traded = moves.groupBy(*keys, "r", "symbol").agg(
+        F.sum("d").alias("d"), F.sum("w").alias("w"), F.sum("pl").alias("pl"), F.max("date").alias("date"))
+    out = traded.groupBy(*keys, "r").agg(
+        F.max("date").alias("date"), F.sum("pl").alias("gross_return"), (F.sum(F.abs("d")) / 2).alias("turnover"),
+        F.sum(F.when(F.col("w") != 0, 1).otherwise(0)).alias("n_positions"),
+        F.sum(F.abs("w")).alias("gross_exposure"), F.sum("w").alias("net_exposure"))
+    return out.where(F.col("date").isNotNull()).drop("r")
 
 
 def backtest(df: DataFrame, keys: list[str], score: str, ret: str, *, share: float, every: int,
@@ -164,16 +174,14 @@ def backtest(df: DataFrame, keys: list[str], score: str, ret: str, *, share: flo
     """
     day = keys + ["date"]
     rows = rebalance_rows(df, keys, every).dropna(subset=["symbol", "sector", score, ret])
-    enough = rows.groupBy(*day).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_names)
-    rows = rows.join(enough.select(*day), day, "left_semi")
-    choose = sector_neutral_weights if sector_neutral else long_short_weights
-    weights = choose(rows, keys, score, share, min_names, tie=tie, bound=bound, limit=limit).select(
-        *day, "symbol", "weight", F.col(ret).alias("_ret"))
-    held = weights.groupBy(*day).agg(
-        F.sum(F.col("weight") * F.col("_ret")).alias("gross_return"),
-        F.sum(F.when(F.col("weight") != 0, 1).otherwise(0)).alias("n_positions"),
-        F.sum(F.abs("weight")).alias("gross_exposure"), F.sum("weight").alias("net_exposure"))
-    out = held.join(turnover(weights, keys), day)
+    bound = largest_group(df, day) if bound is None else bound
+    if sector_neutral:
+        rows = with_group_size(rows, day, "symbol", "_names", bound=bound, limit=limit)
+        rows = rows.where(F.col("_names") >= min_names).drop("_names")
+        weights = sector_neutral_weights(rows, keys, score, share, min_names, tie=tie, bound=bound, limit=limit)
+    else:
+        weights = long_short_weights(rows, keys, score, share, min_names, tie=tie, bound=bound, limit=limit)
+    out = held_periods(weights.select(*day, "symbol", "weight", ret), keys, ret)
     out = out.withColumn("cost", F.col("turnover") * F.lit(cost_bps / 10000.0))
     out = out.withColumn("net_return", F.col("gross_return") - F.col("cost"))
     running = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

@@ -106,6 +106,15 @@ def with_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], *, pct:
     return df.drop(*[f"_r{i}_{s}" for i in range(len(columns)) for s in ("below", "ties", "n")])
 
 
+def with_group_size(df: DataFrame, keys: list[str], x: str, out: str, *, bound: int | None = None,
+                    limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+    """Non-null count of ``x`` per group: a window for small groups, else an aggregate joined back."""
+    bound = largest_group(df, keys) if bound is None else bound
+    if bound <= limit:
+        return df.withColumn(out, F.count(x).over(Window.partitionBy(*keys)))
+    return df.join(df.groupBy(*keys).agg(F.count(x).alias(out)), keys, "left")
+
+
 def with_position(df: DataFrame, keys: list[str], x: str, tie: str, out: str, *,
                   descending: bool = False, tie_descending: bool = False,
                   bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:

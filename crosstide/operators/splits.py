@@ -71,9 +71,9 @@ def embargo(df: DataFrame, days: int, keys: tuple[str, ...] = ("split",)) -> Dat
     order = Window.partitionBy(*keys).orderBy("date")
     places = df.where(F.col("split") != "train").select(*keys, "date").distinct().withColumn(
         "_place", F.row_number().over(order))
-    allowed = places.where(F.col("_place") > days).select(*keys, "date")
-    kept = df.where(F.col("split") != "train").join(allowed, keys + ["date"], "left_semi")
-    return df.where(F.col("split") == "train").unionByName(kept)
+    starts = places.where(F.col("_place") == days + 1).select(*keys, F.col("date").alias("_start"))
+    dated = df.join(starts, keys, "left")
+    return dated.where((F.col("split") == "train") | (F.col("date") >= F.col("_start"))).drop("_start")
 
 
 def purged_splits(df: DataFrame, train_end, val_end, embargo_days: int, data_end=None,
@@ -125,45 +125,42 @@ def split_audit(raw: DataFrame, kept: DataFrame, keys: tuple[str, ...] = ("split
 
 # -- row budgets that keep whole dates ----------------------------------------------------------
 
-def _date_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
+def date_counts(df: DataFrame) -> DataFrame:
+    """``date, n``: the calendar-sized table that the choices below work on."""
+    return df.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _within_budget(counts: DataFrame, order: list[Column], max_rows: int) -> DataFrame:
-    """Dates whose running row count stays in the budget, at least the first."""
-    w = Window.orderBy(*order)
-    placed = counts.withColumns({"_cum": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                                 "_place": F.row_number().over(w)})
-    return placed.where((F.col("_cum") <= max_rows) | (F.col("_place") == 1)).select("date")
-
-
-def sample_dates(df: DataFrame, max_rows: int | None, seed: int) -> DataFrame:
-    """Whole dates in a seeded hash order until the row budget is reached."""
-    if max_rows is None:
-        return df
-    order = [F.xxhash64(F.col("date"), F.lit(seed)), F.col("date")]
-    return df.join(_within_budget(_date_counts(df), order, max_rows), ["date"], "left_semi")
-
+def budget_dates(dates: DataFrame, max_rows: int | None, seed: int | None = None) -> DataFrame:
+    """Whole dates whose running row count stays within ``max_rows``, at least one.
 
-def cap_dates(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Whole dates from the start while the running row count fits."""
+    In calendar order, or in a seeded hash order when ``seed`` is given.
+    """
     if max_rows is None:
-        return df
-    return df.join(_within_budget(_date_counts(df), [F.col("date")], max_rows), ["date"], "left_semi")
+        return dates
+    order = [F.col("date")] if seed is None else [F.xxhash64(F.col("date"), F.lit(seed)), F.col("date")]
+    w = Window.orderBy(*order)
+    placed = dates.withColumns({"_cum": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                                "_place": F.row_number().over(w)})
+    return placed.where((F.col("_cum") <= max_rows) | (F.col("_place") == 1)).drop("_cum", "_place")
 
 
-def stride_dates(df: DataFrame, stride: int, max_dates: int | None = None) -> DataFrame:
+def stride_dates(dates: DataFrame, stride: int, max_dates: int | None = None) -> DataFrame:
     """Every ``stride``-th distinct date, then the first ``max_dates`` of them."""
-    places = calendar_positions(df).where(F.col("_pos") % stride == 0)
+    places = dates.withColumn("_pos", F.row_number().over(Window.orderBy("date")) - 1)
+    places = places.where(F.col("_pos") % stride == 0)
     if max_dates is not None:
         places = places.where(F.col("_pos") / stride < max_dates)
-    return df.join(places.select("date"), ["date"], "left_semi")
+    return places.drop("_pos")
+
+
+def shard_dates(dates: DataFrame, shards: int) -> DataFrame:
+    """Add ``shard``: position of the date among the given dates, modulo the number of shards."""
+    return dates.withColumn("shard", (F.row_number().over(Window.orderBy("date")) - 1) % shards)
 
 
-def shard_of_date(df: DataFrame, shards: int) -> DataFrame:
-    """Add ``shard``: position of the date among distinct dates, modulo the number of shards."""
-    places = calendar_positions(df).select("date", (F.col("_pos") % shards).alias("shard"))
-    return df.join(places, ["date"], "left")
+def on_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows of the chosen dates, with any extra column of the date table."""
+    return df.join(dates.drop("n"), ["date"])
 
 
 def sample_symbols(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:

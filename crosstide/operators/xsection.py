@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from crosstide.functions.numeric import clip, ratio
 from crosstide.operators.ranking import (
-    GROUP_ROW_LIMIT, largest_group, quantile_table, rank_parts, with_position, with_ranks)
+    GROUP_ROW_LIMIT, largest_group, quantile_table, with_group_size, with_position, with_ranks)
 
 # Scope name -> keys, in the order the features are named.
 SCOPES = {"cs": ["date"], "sector": ["date", "sector"], "subind": ["date", "sub_industry"]}
@@ -76,7 +76,8 @@ def liquidity_universe(df: DataFrame, liquidity: str, drop_share: float, *, tie:
     """Drop the least liquid share of each date; ties by ``tie``, missing liquidity is dropped."""
     if drop_share <= 0:
         return df
-    sized = df.join(df.groupBy("date").agg(F.count(liquidity).alias("_n")), ["date"], "left")
+    bound = largest_group(df, ["date"]) if bound is None else bound
+    sized = with_group_size(df, ["date"], liquidity, "_n", bound=bound, limit=limit)
     placed = with_position(sized, ["date"], liquidity, tie, "_place", bound=bound, limit=limit)
     return placed.where(F.col("_place") / F.col("_n") > drop_share).drop("_place", "_n")
 

@@ -12,7 +12,7 @@ from crosstide.plans.base import (
 from crosstide.plans.feature_queries import KEY, cols
 from crosstide.plans.registry import cte, lagged, led, pct_rank_sql, query
 from crosstide.plans.section_queries import targets_panel
-from crosstide.sources import tables
+from crosstide.session import stage
 
 TARGET, RETURN = f"target_excess_sector_fwd_{HORIZON}d", f"target_ret_fwd_{HORIZON}d"
 
@@ -47,7 +47,8 @@ def labelled(spark, sf) -> DataFrame:
     sector_mean = df.where(F.col("sector").isNotNull()).groupBy("date", "sector").agg(F.avg(RETURN).alias("_m"))
     df = df.join(sector_mean, ["date", "sector"], "left").withColumn(TARGET, F.col(RETURN) - F.col("_m")).drop("_m")
     horizon = agreed_horizon(TARGET, RETURN)
-    return splits.attach_labels(df, TARGET, RETURN, horizon, EXECUTION_LAG)
+    return stage(splits.attach_labels(df, TARGET, RETURN, horizon, EXECUTION_LAG).select(
+        "symbol", "date", "sector", "mom", "reversal", "eval_target", "eval_return", "label_end_date"))
 
 
 def kept_rows(spark, sf) -> DataFrame:
@@ -114,16 +115,17 @@ with v as (select * from kept where split <> 'train' and symbol in (select symbo
      k as (select date, row_number() over (order by date) - 1 as pos from c where cum <= 2000)
 select v.symbol, v.date, v.split, k.pos % 3 as shard from v join k on v.date = k.date""")
 def eval_cap_dates(spark, sf):
-    kept = kept_rows(spark, sf).select("symbol", "date", "split")
-    first = splits.sample_symbols(kept, 60)
-    df = splits.stride_dates(first.where(F.col("split").isin("val", "test")), 2, 60)
-    return splits.shard_of_date(splits.cap_dates(df, 2000), 3)
+    kept = stage(splits.sample_symbols(kept_rows(spark, sf).select("symbol", "date", "split"), 60))
+    rows = kept.where(F.col("split").isin("val", "test"))
+    dates = splits.budget_dates(splits.stride_dates(splits.date_counts(rows), 2, 60), 2000)
+    return splits.on_dates(rows, splits.shard_dates(dates, 3))
 
 
 @query("sampled_dates", KEY + "split:s")
 def sampled_dates(spark, sf):
     train = kept_rows(spark, sf).where(F.col("split") == "train").select("symbol", "date", "split")
-    return splits.sample_symbols(splits.sample_dates(train, 5000, seed=7), 50, seed=7)
+    chosen = splits.budget_dates(splits.date_counts(train), 5000, seed=7)
+    return splits.sample_symbols(splits.on_dates(train, chosen), 50, seed=7)
 
 
 # -- folds --------------------------------------------------------------------------------------
@@ -199,8 +201,8 @@ def scored(spark, sf) -> DataFrame:
                        F.col("reversal").alias("model_score"))
     kept = xsection.pct_ranks(kept, ["date"], ["mom"], "cs", bound=names_bound(spark, sf))
     kept = kept.withColumnRenamed("cs_rank_mom", "baseline_score")
-    return evaluate.long_scores(kept, ["baseline_score", "model_score"],
-                                ["symbol", "date", "sector", "split", "eval_target", "eval_return"])
+    return stage(evaluate.long_scores(kept, ["baseline_score", "model_score"],
+                                      ["symbol", "date", "sector", "split", "eval_target", "eval_return"]))
 
 
 def ic_sql(keys: str, source: str, x: str = "x", target: str = "eval_target", names: int = MIN_NAMES) -> str:
@@ -405,7 +407,7 @@ left join (select {_RK}, avg(s) as mean_top_bottom_spread, stddev_samp(s) as spr
            from reg_spread group by 1, 2, 3) s on {_on('c', 's')}
 left join ({bt_summary_sql(_RK, 'reg_bt')}) b on {_on('c', 'b')}""")
 def regime_metrics(spark, sf):
-    tagged = evaluate.in_regimes(scored(spark, sf), STAND_IN_REGIMES)
+    tagged = stage(evaluate.in_regimes(scored(spark, sf), STAND_IN_REGIMES))
     return evaluate.score_metrics(tagged, RUN + ["regime"], "x", "eval_target", "eval_return", horizon=HORIZON,
                                   bound=names_bound(spark, sf), **BT)
 
@@ -432,7 +434,7 @@ def multi_horizon_eval(spark, sf):
     df = df.dropna(how="all", subset=[f"target_{f}_fwd_{h}d" for f, h in _pairs])
     predictions = bars(spark, sf).select("symbol", "date", "close").withColumns(rolling.simple_returns(P.targets)).select(
         "symbol", "date", *[(-F.col(f"ret_{h}d")).alias(f"pred_{h}") for h in P.targets])
-    joined = predictions.join(df, ["symbol", "date"])
+    joined = stage(predictions.join(df, ["symbol", "date"]))
     long = joined.select("symbol", "date", "split", F.explode(F.array(*[
         F.struct(F.lit(f).alias("target_family"), F.lit(h).alias("horizon"), F.col(f"pred_{h}").alias("x"),
                  F.col(f"target_{f}_fwd_{h}d").alias("y")) for f, h in _pairs])).alias("_e")).select(

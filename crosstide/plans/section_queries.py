@@ -9,7 +9,7 @@ from crosstide.operators.roller import Roller
 from crosstide.plans.base import P, TRAIN_END, bars, company_dim, core_prices, groups_of, names_bound, panel
 from crosstide.plans.feature_queries import KEY, cols, half
 from crosstide.plans.registry import cte, lagged, led, over, pct_rank_sql, query, roll, z_sql
-from crosstide.sources import tables
+from crosstide.session import stage
 
 
 def compounded_sql(ret: str, w: int, key: str, need: int | None = None) -> str:
@@ -40,7 +40,7 @@ _market = (["market_ret_1d", "market_breadth_1d", "market_dispersion_1d"] + [f"m
        + cols([c for c in _market if c not in [f"market_ret_{w}d" for w in P.group_returns]], 6),
        "select b.symbol, m.* from bars b left join market m on b.date = m.date")
 def market_regime(spark, sf):
-    p = panel(spark, sf).select("symbol", "date", "ret_1d", "dollar_volume")
+    p = stage(panel(spark, sf).select("symbol", "date", "ret_1d", "dollar_volume"))
     return rollup.join_back(p.select("symbol", "date"), rollup.market_state(p, P), ["date"])
 
 
@@ -70,7 +70,7 @@ _states = (["ret_1d", "breadth_1d", "dispersion_1d"] + [f"ret_{w}d" for w in P.g
     "select * from sector_state", "select * from subind_state", _group_sql("hq_state"), _group_sql("hq_region")]))
 def group_rollup(spark, sf):
     dim = company_dim(spark, sf).select("symbol", "sector", "sub_industry", "hq_state", "hq_region")
-    p = panel(spark, sf).select("symbol", "date", "ret_1d").join(dim, "symbol", "left")
+    p = stage(panel(spark, sf).select("symbol", "date", "ret_1d").join(dim, "symbol", "left"))
     parts = []
     for level in ("sector", "sub_industry", "hq_state", "hq_region"):
         state = rollup.group_state(p, level, "g", P)
@@ -97,7 +97,7 @@ cte("excess", "select p.symbol, p.date, p.sector, p.sub_industry, " + ", ".join(
 def group_excess_rank(spark, sf):
     base = bars(spark, sf).withColumns(rolling.simple_returns(P.returns))
     base = base.withColumn("dollar_volume", F.col("close") * F.col("volume")).join(groups_of(spark, sf), "symbol", "left")
-    return rollup.market_industry(base, P, bound=names_bound(spark, sf))
+    return rollup.market_industry(stage(base), P, bound=names_bound(spark, sf))
 
 
 # -- beta, peers, style -------------------------------------------------------------------------
@@ -123,7 +123,7 @@ cte("betas", "select *, " + ", ".join(f"ret_1d - beta_{w}d * m as idio_ret_{w}d"
        "select *, " + ", ".join(f"{roll('stddev_samp', f'idio_ret_{w}d', w, max(20, w // 2))} as idio_vol_{w}d" for w in P.betas)
        + " from betas")
 def beta_corr_idio(spark, sf):
-    p = core_prices(spark, sf).select("symbol", "date", "ret_1d", "dollar_volume")
+    p = stage(core_prices(spark, sf).select("symbol", "date", "ret_1d", "dollar_volume"))
     market = rollup.market_daily(p).select("date", "market_ret_1d")
     joined = rollup.join_back(p, market, ["date"])
     return rolling.market_linkage(joined, P.betas)
@@ -151,7 +151,7 @@ def signals(spark, sf):
     df = roll_.finish({"vol_12d": roll_.std("ret_1d", 12, 6),
                        "downside_vol_12d": roll_.std(("ret_1d_down", rolling.signed_part("ret_1d", -1)), 12, 6)})
     df = rolling.rsi(df, [12])
-    return df.join(groups_of(spark, sf), "symbol", "left")
+    return stage(df.join(groups_of(spark, sf), "symbol", "left"))
 
 
 _peers = ["ret_1d", "ret_4d", "ret_12d", "vol_12d", "rsi_12d"]
@@ -194,7 +194,7 @@ from (select *, {pct_rank_sql('ret_12d', 'date')} as q1, {pct_rank_sql('vol_12d'
         f"{_loo_sql(c, 's.date, style_bucket')} as style_peer_mean_{c}, {c} - {_loo_sql(c, 's.date, style_bucket')} as style_peer_excess_{c}"
         for c in _style_peers) + " from styled s left join h on s.date = h.date and s.style_bucket = h.b")
 def style_bucket(spark, sf):
-    df = rollup.style_buckets(signals(spark, sf), P.style_inputs, bound=names_bound(spark, sf))
+    df = stage(rollup.style_buckets(signals(spark, sf), P.style_inputs, bound=names_bound(spark, sf)))
     state = rollup.location_state(df.select("date", "symbol", "ret_1d", "style_bucket"), "style_bucket", "style", 12)
     df = rollup.leave_one_out(df, ["date", "style_bucket"], _style_peers, "style_peer")
     return rollup.join_back(df, state, ["date", "style_bucket"])
@@ -246,7 +246,7 @@ cte("targets", "select *, " + ", ".join(_targets_sql(h) for h in P.targets) + "
 
 def targets_panel(spark, sf):
     df = bars(spark, sf).select("symbol", "date", "close").withColumns(rolling.forward_returns(P.targets))
-    return xsection.relative_targets(df.join(groups_of(spark, sf), "symbol", "left"), P.targets,
+    return xsection.relative_targets(stage(df.join(groups_of(spark, sf), "symbol", "left")), P.targets,
                                      bound=names_bound(spark, sf))
 
 

@@ -1,34 +1,36 @@
-"""Session helpers: checkpoint location and lineage cuts."""
+"""Stage tables: cut a lineage by writing it once to the folder the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a scratch one on a local master."""
-    sc = spark.sparkContext
+
+def stage_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, or a scratch folder on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
     if named:
-        if current is None:
-            sc.setCheckpointDir(named)
         return named
-    if current is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="crosstide-ckpt-"))
-        current = sc.getCheckpointDir()
-    return current
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    app = spark.conf.get("spark.app.id", "local")
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="crosstide-")
+    return _LOCAL[app]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder.
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet and read it back.
 
-    Iterative fits read their input many times; a reliable checkpoint survives lost executors,
-    where a cached block would be computed again from the first scan.
+    Operators that read their input several times (group statistics joined back, iterative fits)
+    start from a staged table, so an expensive upstream runs once. The files outlive lost
+    executors, prune columns, and carry the sizes Spark needs to choose a join.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = f"{stage_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
