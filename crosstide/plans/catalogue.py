@@ -1,5 +1,5 @@
 """All registered queries, in one import."""
 
-from crosstide.plans import evaluation_queries, feature_queries, section_queries  # noqa: F401
+from crosstide.plans import evaluation_queries, feature_queries, graph_queries, section_queries  # noqa: F401
 from crosstide.plans.evaluation_queries import flagship  # noqa: F401
 from crosstide.plans.registry import QUERIES  # noqa: F401
