@@ -154,7 +154,8 @@ def rank_blend(members: DataFrame, score: str, weight: str | None, *, run: str =
     kept = members.join(complete.select(*groups, *ids), groups + ids, "left_semi")
     ranked = with_ranks(kept, groups + [run, "date"], {"_q": score}, bound=bound)
     w = F.col(weight) if weight else F.lit(1.0)
+    # rounded, so that the order of summation cannot split equal blends
     blended = ranked.groupBy(*groups, *ids).agg(
-        F.avg("_q").alias("rank_equal"), F.sum(w * F.col("_q")).alias("_wq"), F.sum(w).alias("_w"))
-    return blended.withColumn("rank_weighted", F.when(F.col("_w") > 0, F.col("_wq") / F.col("_w"))
+        F.round(F.avg("_q"), 12).alias("rank_equal"), F.sum(w * F.col("_q")).alias("_wq"), F.sum(w).alias("_w"))
+    return blended.withColumn("rank_weighted", F.when(F.col("_w") > 0, F.round(F.col("_wq") / F.col("_w"), 12))
                               .otherwise(F.col("rank_equal"))).drop("_wq", "_w")

@@ -20,7 +20,7 @@ TARGET, RETURN = f"target_excess_sector_fwd_{HORIZON}d", f"target_ret_fwd_{HORIZ
 
 cte("labelled", f"""
 select * from (
-  select t.symbol, t.date, t.sector, t.{TARGET}, t.{RETURN}, s.mom, -s.ret_1d as reversal,
+  select t.symbol, t.date, t.sector, t.{TARGET}, t.{RETURN}, s.mom, -s.ret_1d as reversal, -s.ret_4d as rev_4d, -s.ret_12d as rev_12d, s.log_dollar_volume,
          {led(f't.{TARGET}', EXECUTION_LAG).replace('by symbol order by date', 'by t.symbol order by t.date')} as eval_target,
          {led(f't.{RETURN}', EXECUTION_LAG).replace('by symbol order by date', 'by t.symbol order by t.date')} as eval_return,
          {led('t.date', EXECUTION_LAG + HORIZON).replace('by symbol order by date', 'by t.symbol order by t.date')} as label_end_date
@@ -40,15 +40,17 @@ where p.split = 'train' or place > {HORIZON}""")
 
 def labelled(spark, sf) -> DataFrame:
     """Targets, two scores' inputs and execution-lagged labels; incomplete rows removed."""
-    df = bars(spark, sf).select("symbol", "date", "close").withColumns(
-        rolling.forward_returns([HORIZON]) | rolling.simple_returns([1])
+    df = bars(spark, sf).select("symbol", "date", "close", "volume").withColumns(
+        {"log_dollar_volume": F.log1p(F.col("close") * F.col("volume"))} | rolling.forward_returns([HORIZON]) | rolling.simple_returns([1, 4, 12])
         | {"mom": F.try_divide(rolling.lag("close", 4), rolling.lag("close", 12)) - 1})
-    df = df.withColumn("reversal", -F.col("ret_1d")).join(groups_of(spark, sf), "symbol", "left")
+    df = df.withColumns({"reversal": -F.col("ret_1d"), "rev_4d": -F.col("ret_4d"), "rev_12d": -F.col("ret_12d")})
+    df = df.join(groups_of(spark, sf), "symbol", "left")
     sector_mean = df.where(F.col("sector").isNotNull()).groupBy("date", "sector").agg(F.avg(RETURN).alias("_m"))
     df = df.join(sector_mean, ["date", "sector"], "left").withColumn(TARGET, F.col(RETURN) - F.col("_m")).drop("_m")
     horizon = agreed_horizon(TARGET, RETURN)
     return stage(splits.attach_labels(df, TARGET, RETURN, horizon, EXECUTION_LAG).select(
-        "symbol", "date", "sector", "mom", "reversal", "eval_target", "eval_return", "label_end_date"))
+        "symbol", "date", "sector", "mom", "reversal", "rev_4d", "rev_12d", "log_dollar_volume",
+        "eval_target", "eval_return", "label_end_date"))
 
 
 def kept_rows(spark, sf) -> DataFrame:
