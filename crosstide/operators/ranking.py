@@ -71,11 +71,14 @@ def rank_parts(df: DataFrame, keys: list[str], x: str, prefix: str, *, bound: in
     """Add ``{prefix}_below``, ``{prefix}_ties`` and ``{prefix}_n`` (NULL where ``x`` is NULL)."""
     bound = largest_group(df, keys) if bound is None else bound
     if bound <= limit:
+        # ties are the peers of the ordering, so ranks and ties share one sort
         group = Window.partitionBy(*keys)
+        ordered = group.orderBy(F.col(x).asc_nulls_last())
+        peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
         present = F.col(x).isNotNull()
         return df.withColumns({
-            f"{prefix}_below": F.when(present, F.rank().over(group.orderBy(F.col(x).asc_nulls_last())) - 1),
-            f"{prefix}_ties": F.when(present, F.count(x).over(Window.partitionBy(*keys, x))),
+            f"{prefix}_below": F.when(present, F.rank().over(ordered) - 1),
+            f"{prefix}_ties": F.when(present, F.count(x).over(peers)),
             f"{prefix}_n": F.when(present, F.count(x).over(group)),
         })
     values = value_table(df, keys, x)

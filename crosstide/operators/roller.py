@@ -12,8 +12,8 @@ Merging central moments is numerically stable: a constant window has a variance
     roll = Roller(df)
     df = roll.finish({"vol_20d": roll.std("ret_1d", 20, 10)})
 
-States and merges are written as SQL text because a family needs hundreds of them and text is
-parsed once in the JVM.
+States and merges are flat, non-null double columns written as SQL text: a family needs hundreds
+of them, text is parsed once in the JVM, and the generated code stays small enough to compile.
 """
 
 from __future__ import annotations
@@ -31,48 +31,41 @@ FIELDS = {
 }
 # Merge rules for an older state {a} and a newer state {b}; {t} is the total count, at least 1.
 MERGE = {
-    "n": "{a}.n + {b}.n",
-    "m1": "{a}.m1 + ({b}.m1 - {a}.m1) * {b}.n / {t}",
-    "m2": "{a}.m2 + {b}.m2 + ({b}.m1 - {a}.m1) * ({b}.m1 - {a}.m1) * {a}.n * {b}.n / {t}",
-    "m3": "{a}.m3 + {b}.m3 + power({b}.m1 - {a}.m1, 3) * {a}.n * {b}.n * ({a}.n - {b}.n) / ({t} * {t})"
-          " + 3 * ({b}.m1 - {a}.m1) * ({a}.n * {b}.m2 - {b}.n * {a}.m2) / {t}",
-    "m4": "{a}.m4 + {b}.m4 + power({b}.m1 - {a}.m1, 4) * {a}.n * {b}.n"
-          " * ({a}.n * {a}.n - {a}.n * {b}.n + {b}.n * {b}.n) / ({t} * {t} * {t})"
-          " + 6 * power({b}.m1 - {a}.m1, 2) * ({a}.n * {a}.n * {b}.m2 + {b}.n * {b}.n * {a}.m2) / ({t} * {t})"
-          " + 4 * ({b}.m1 - {a}.m1) * ({a}.n * {b}.m3 - {b}.n * {a}.m3) / {t}",
-    "mx": "{a}.mx + ({b}.mx - {a}.mx) * {b}.n / {t}",
-    "my": "{a}.my + ({b}.my - {a}.my) * {b}.n / {t}",
-    "cxy": "{a}.cxy + {b}.cxy + ({b}.mx - {a}.mx) * ({b}.my - {a}.my) * {a}.n * {b}.n / {t}",
-    "mxx": "{a}.mxx + {b}.mxx + ({b}.mx - {a}.mx) * ({b}.mx - {a}.mx) * {a}.n * {b}.n / {t}",
-    "myy": "{a}.myy + {b}.myy + ({b}.my - {a}.my) * ({b}.my - {a}.my) * {a}.n * {b}.n / {t}",
+    "n": "{a}__n + {b}__n",
+    "m1": "{a}__m1 + ({b}__m1 - {a}__m1) * {b}__n / {t}",
+    "m2": "{a}__m2 + {b}__m2 + ({b}__m1 - {a}__m1) * ({b}__m1 - {a}__m1) * {a}__n * {b}__n / {t}",
+    "m3": "{a}__m3 + {b}__m3 + ({b}__m1 - {a}__m1) * ({b}__m1 - {a}__m1) * ({b}__m1 - {a}__m1) * {a}__n * {b}__n * ({a}__n - {b}__n) / ({t} * {t})"
+          " + 3 * ({b}__m1 - {a}__m1) * ({a}__n * {b}__m2 - {b}__n * {a}__m2) / {t}",
+    "m4": "{a}__m4 + {b}__m4 + ({b}__m1 - {a}__m1) * ({b}__m1 - {a}__m1) * ({b}__m1 - {a}__m1) * ({b}__m1 - {a}__m1) * {a}__n * {b}__n"
+          " * ({a}__n * {a}__n - {a}__n * {b}__n + {b}__n * {b}__n) / ({t} * {t} * {t})"
+          " + 6 * ({b}__m1 - {a}__m1) * ({b}__m1 - {a}__m1) * ({a}__n * {a}__n * {b}__m2 + {b}__n * {b}__n * {a}__m2) / ({t} * {t})"
+          " + 4 * ({b}__m1 - {a}__m1) * ({a}__n * {b}__m3 - {b}__n * {a}__m3) / {t}",
+    "mx": "{a}__mx + ({b}__mx - {a}__mx) * {b}__n / {t}",
+    "my": "{a}__my + ({b}__my - {a}__my) * {b}__n / {t}",
+    "cxy": "{a}__cxy + {b}__cxy + ({b}__mx - {a}__mx) * ({b}__my - {a}__my) * {a}__n * {b}__n / {t}",
+    "mxx": "{a}__mxx + {b}__mxx + ({b}__mx - {a}__mx) * ({b}__mx - {a}__mx) * {a}__n * {b}__n / {t}",
+    "myy": "{a}__myy + {b}__myy + ({b}__my - {a}__my) * ({b}__my - {a}__my) * {a}__n * {b}__n / {t}",
 }
 
 
-def _struct(fields: dict[str, str]) -> str:
-    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
-
-
-def _merge(kind: str, a: str, b: str) -> str:
+def _merge(kind: str, a: str, b: str) -> dict[str, str]:
     if kind in ("max", "min"):
         pick = "greatest" if kind == "max" else "least"
-        return _struct({"n": f"{a}.n + {b}.n", "v": f"{pick}({a}.v, {b}.v)"})
-    total = f"greatest({a}.n + {b}.n, 1D)"
-    return _struct({f: MERGE[f].format(a=a, b=b, t=total) for f in FIELDS[kind]})
+        return {"n": f"{a}__n + {b}__n", "v": f"{pick}({a}__v, {b}__v)"}
+    total = f"greatest({a}__n + {b}__n, 1D)"
+    return {f: MERGE[f].format(a=a, b=b, t=total) for f in FIELDS[kind]}
 
 
-def _start(kind: str, x: str, y: str | None) -> str:
+def _start(kind: str, x: str, y: str | None) -> dict[str, str]:
     if kind in ("max", "min"):
-        return _struct({"n": f"if({x} is null, 0D, 1D)", "v": x})
+        return {"n": f"if({x} is null, 0D, 1D)", "v": x}
     if kind == "pair":
         gap = f"{x} is null or {y} is null"
-        known = {"n": f"if({gap}, 0D, 1D)", "mx": f"if({gap}, 0D, {x})", "my": f"if({gap}, 0D, {y})"}
+        known = {"n": f"if({gap}, 0D, 1D)", "mx": f"if({gap}, 0D, coalesce({x}, 0D))",
+                 "my": f"if({gap}, 0D, coalesce({y}, 0D))"}
     else:
         known = {"n": f"if({x} is null, 0D, 1D)", "m1": f"coalesce({x}, 0D)"}
-    return _struct({f: known.get(f, "0D") for f in FIELDS[kind]})
-
-
-def _empty(kind: str) -> str:
-    return _struct({f: "cast(null as double)" if f == "v" else "0D" for f in FIELDS[kind]})
+    return {f: known.get(f, "0D") for f in FIELDS[kind]}
 
 
 class Roller:
@@ -104,56 +97,56 @@ class Roller:
         return f"_acc_{name}_{w}"
 
     def count(self, x, w: int) -> Column:
-        return F.expr(f"{self._want('mean', w, self._input(x))}.n")
+        return F.expr(f"{self._want('mean', w, self._input(x))}__n")
 
     def mean(self, x, w: int, need: int) -> Column:
         s = self._want("mean", w, self._input(x))
-        return F.expr(f"case when {s}.n >= {need} then {s}.m1 end")
+        return F.expr(f"case when {s}__n >= {need} then {s}__m1 end")
 
     def var(self, x, w: int, need: int) -> Column:
         s = self._want("var", w, self._input(x))
-        return F.expr(f"case when {s}.n >= {max(2, need)} then {s}.m2 / ({s}.n - 1) end")
+        return F.expr(f"case when {s}__n >= {max(2, need)} then {s}__m2 / ({s}__n - 1) end")
 
     def std(self, x, w: int, need: int) -> Column:
         s = self._want("var", w, self._input(x))
-        return F.expr(f"case when {s}.n >= {max(2, need)} then sqrt({s}.m2 / ({s}.n - 1)) end")
+        return F.expr(f"case when {s}__n >= {max(2, need)} then sqrt({s}__m2 / ({s}__n - 1)) end")
 
     def zscore(self, x, w: int, need: int) -> Column:
         i = self._input(x)
         s = self._want("var", w, i)
-        return F.expr(f"case when {s}.n >= {max(2, need)} then "
-                      f"try_divide({i} - {s}.m1, sqrt({s}.m2 / ({s}.n - 1))) end")
+        return F.expr(f"case when {s}__n >= {max(2, need)} then "
+                      f"try_divide({i} - {s}__m1, sqrt({s}__m2 / ({s}__n - 1))) end")
 
     def skewness(self, x, w: int, need: int) -> Column:
         """Bias-corrected; NULL on a constant window."""
         s = self._want("tails", w, self._input(x))
-        return F.expr(f"case when {s}.n >= {max(3, need)} then try_divide(sqrt({s}.n * ({s}.n - 1)) "
-                      f"* sqrt({s}.n) * {s}.m3, ({s}.n - 2) * power({s}.m2, 1.5D)) end")
+        return F.expr(f"case when {s}__n >= {max(3, need)} then try_divide(sqrt({s}__n * ({s}__n - 1)) "
+                      f"* sqrt({s}__n) * {s}__m3, ({s}__n - 2) * power({s}__m2, 1.5D)) end")
 
     def kurtosis(self, x, w: int, need: int) -> Column:
         """Bias-corrected excess; NULL on a constant window."""
         s = self._want("tails", w, self._input(x))
-        return F.expr(f"case when {s}.n >= {max(4, need)} then ({s}.n - 1) / (({s}.n - 2) * ({s}.n - 3)) * "
-                      f"(({s}.n + 1) * (try_divide({s}.n * {s}.m4, {s}.m2 * {s}.m2) - 3) + 6) end")
+        return F.expr(f"case when {s}__n >= {max(4, need)} then ({s}__n - 1) / (({s}__n - 2) * ({s}__n - 3)) * "
+                      f"(({s}__n + 1) * (try_divide({s}__n * {s}__m4, {s}__m2 * {s}__m2) - 3) + 6) end")
 
     def max(self, x, w: int, need: int) -> Column:
         s = self._want("max", w, self._input(x))
-        return F.expr(f"case when {s}.n >= {need} then {s}.v end")
+        return F.expr(f"case when {s}__n >= {need} then {s}__v end")
 
     def min(self, x, w: int, need: int) -> Column:
         s = self._want("min", w, self._input(x))
-        return F.expr(f"case when {s}.n >= {need} then {s}.v end")
+        return F.expr(f"case when {s}__n >= {need} then {s}__v end")
 
     def cov(self, x, y, w: int, need: int) -> Column:
         """Sample covariance over complete pairs."""
         s = self._want("pair", w, self._input(x), self._input(y))
-        return F.expr(f"case when {s}.n >= {max(2, need)} then {s}.cxy / ({s}.n - 1) end")
+        return F.expr(f"case when {s}__n >= {max(2, need)} then {s}__cxy / ({s}__n - 1) end")
 
     def corr(self, x, y, w: int, need: int) -> Column:
         """Correlation over complete pairs; NULL when a side is constant."""
         s = self._want("pair", w, self._input(x), self._input(y))
-        return F.expr(f"case when {s}.n >= {max(2, need)} then "
-                      f"try_divide({s}.cxy, sqrt({s}.mxx) * sqrt({s}.myy)) end")
+        return F.expr(f"case when {s}__n >= {max(2, need)} then "
+                      f"try_divide({s}__cxy, sqrt({s}__mxx) * sqrt({s}__myy)) end")
 
     # -- evaluation -------------------------------------------------------------------------
 
@@ -161,8 +154,8 @@ class Roller:
         """Evaluate the requested windows, add ``columns`` and drop the states."""
         keep = self.df.columns
         df = self.df.select("*", *[c.alias(n) for n, c in self.inputs.items()])
-        df = df.selectExpr("*", *[f"{_start(e['kind'], e['x'], e['y'])} as _cur_{s}"
-                                  for s, e in self.series.items()])
+        df = df.selectExpr("*", *[f"{sql} as _cur_{s}__{f}" for s, e in self.series.items()
+                                  for f, sql in _start(e["kind"], e["x"], e["y"]).items()])
         widest = max((max(e["windows"]) for e in self.series.values()), default=0)
         step = 1
         while step <= widest:
@@ -172,23 +165,27 @@ class Roller:
             for s, e in self.series.items():
                 kind, cur = e["kind"], f"_cur_{s}"
 
-                def earlier(column: str) -> str:
-                    return f"coalesce(lag({column}, {step}) {self.over}, {_empty(kind)})"
+                def earlier(state: str) -> str:
+                    for f in FIELDS[kind]:
+                        empty = "" if f == "v" else ", 0D"
+                        lags[f"_old{state}__{f}"] = f"lag({state}__{f}, {step}{empty}) {self.over}"
+                    return f"_old{state}"
+
+                def put(state: str, fields: dict[str, str]) -> None:
+                    merges.update({f"{state}__{f}": sql for f, sql in fields.items()})
 
                 for w in sorted(e["windows"]):
                     if not w & step:
                         continue
                     acc = f"_acc_{s}_{w}"
                     if w & (step - 1):                  # rows already gathered from lower bits
-                        lags[f"_old{acc}"] = earlier(acc)
-                        merges[acc] = _merge(kind, f"_old{acc}", cur)
+                        put(acc, _merge(kind, earlier(acc), cur))
                     else:
-                        merges[acc] = cur
+                        put(acc, {f: f"{cur}__{f}" for f in FIELDS[kind]})
                 if max(e["windows"]) >= 2 * step:
-                    lags[f"_old{cur}"] = earlier(cur)
-                    merges[cur] = _merge(kind, f"_old{cur}", cur)
+                    put(cur, _merge(kind, earlier(cur), cur))
                 elif max(e["windows"]) >= step:
-                    done.add(cur)
+                    done.update(f"{cur}__{f}" for f in FIELDS[kind])
             if lags:
                 df = df.selectExpr("*", *[f"{sql} as {n}" for n, sql in lags.items()])
             rest = [c for c in df.columns if c not in lags and c not in merges and c not in done]

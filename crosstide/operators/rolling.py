@@ -193,12 +193,17 @@ def drawdowns(roll: Roller, windows: Iterable[int]) -> dict[str, Column]:
 
 # -- trend and oscillators ----------------------------------------------------------------------
 
-def moving_averages(df: DataFrame, windows: Iterable[int], price: str = "close") -> DataFrame:
-    windows, roll = list(windows), Roller(df)
-    df = roll.finish({f"sma_{w}d": roll.mean(price, w, half(w)) for w in windows})
-    stacked = {f"sma_gap_{w}d": ratio(price, f"sma_{w}d") - 1 for w in windows}
-    stacked |= {f"sma_slope_{w}d": change(f"sma_{w}d", w) for w in windows}
-    return df.withColumns(stacked)
+def averages(roll: Roller, windows: Iterable[int], price: str = "close") -> dict[str, Column]:
+    return {f"sma_{w}d": roll.mean(price, w, half(w)) for w in windows}
+
+
+def average_gaps(windows: Iterable[int], price: str = "close") -> dict[str, Column]:
+    """Needs the ``sma_`` columns, which the slope lags once more."""
+    out = {}
+    for w in windows:
+        out[f"sma_gap_{w}d"] = ratio(price, f"sma_{w}d") - 1
+        out[f"sma_slope_{w}d"] = change(f"sma_{w}d", w)
+    return out
 
 
 def exponential_trend(df: DataFrame, spans: Iterable[int], macd: tuple[int, int, int],
@@ -238,15 +243,15 @@ def exponential_trend(df: DataFrame, spans: Iterable[int], macd: tuple[int, int,
     return out.withColumns(columns).drop("_macd", "_macd_signal")
 
 
-def rsi(df: DataFrame, windows: Iterable[int], price: str = "close") -> DataFrame:
-    df = df.withColumn("_step", F.col(price) - lag(price, 1))
-    roll, step = Roller(df), F.col("_step")
+def rsi(roll: Roller, windows: Iterable[int], price: str = "close") -> dict[str, Column]:
+    """Simple-mean form; NULL when the window has no loss."""
+    step = F.col(price) - lag(price, 1)
     gain, loss = ("_gain", clip(step, low=0.0)), ("_loss", -clip(step, high=0.0))
     out = {}
     for w in windows:
         strength = ratio(roll.mean(gain, w, half(w)), roll.mean(loss, w, half(w)))
         out[f"rsi_{w}d"] = F.lit(100.0) - ratio(F.lit(100.0), strength + 1)
-    return roll.finish(out).drop("_step")
+    return out
 
 
 def bollinger(roll: Roller, windows: Iterable[int], price: str = "close") -> dict[str, Column]:
@@ -373,11 +378,10 @@ def volatility(df: DataFrame, p: Profile) -> DataFrame:
 
 
 def trend(df: DataFrame, p: Profile, price: str = "close") -> DataFrame:
-    df = moving_averages(df, p.averages, price)
-    df = rsi(df, p.rsi, price)
     roll = Roller(df)
-    df = roll.finish(bollinger(roll, p.bollinger, price) | channels(roll, p.channels, price)
-                     | commodity_channel(roll, p.cci))
+    df = roll.finish(averages(roll, p.averages, price) | rsi(roll, p.rsi, price) | bollinger(roll, p.bollinger, price)
+                     | channels(roll, p.channels, price) | commodity_channel(roll, p.cci))
+    df = df.withColumns(average_gaps(p.averages, price))
     return exponential_trend(df, p.averages, p.macd, price)
 
 

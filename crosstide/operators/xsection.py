@@ -32,7 +32,7 @@ def pct_ranks(df: DataFrame, keys: list[str], columns: Iterable[str], prefix: st
     shuffle on (keys, name) instead of one sort of the wide row per column, then pivoted back.
     """
     columns = list(columns)
-    if len(columns) <= 6:
+    if len(columns) <= 2:
         return with_ranks(df, keys, {f"{prefix}_rank_{c}": c for c in columns}, bound=bound)
     ids = list(dict.fromkeys(keys + ["date", "symbol"]))
     long = df.select(*ids, F.explode(F.array(*[

@@ -271,7 +271,8 @@ cte("smas", "select symbol, date, close, " + ", ".join(
                                 f"sma_{w}d / nullif({lagged(f'sma_{w}d', w)}, 0) - 1 as sma_slope_{w}d"
                                 for w in P.averages) + " from smas")
 def sma_gap_slope(spark, sf):
-    return rolling.moving_averages(bars(spark, sf).select("symbol", "date", "close"), P.averages)
+    out = Roller(bars(spark, sf).select("symbol", "date", "close"))
+    return out.finish(rolling.averages(out, P.averages)).withColumns(rolling.average_gaps(P.averages))
 
 
 def _ema(name: str, span: int, x: str = "e.x") -> str:
@@ -308,7 +309,8 @@ from g""")
 
 @query("rsi", KEY + cols([f"rsi_{w}d" for w in P.rsi], 5), "select * from rsis")
 def rsi(spark, sf):
-    return rolling.rsi(bars(spark, sf).select("symbol", "date", "close"), P.rsi)
+    out = Roller(bars(spark, sf).select("symbol", "date", "close"))
+    return out.finish(rolling.rsi(out, P.rsi))
 
 
 _typ = "(high + low + close) / 3"

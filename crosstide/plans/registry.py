@@ -15,6 +15,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from crosstide.session import tune
+
 HALF_SHIFT = 0.13
 
 
@@ -26,7 +28,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(self.build(spark, sf_dir), self.layout)
+        return present(self.build(tune(spark), sf_dir), self.layout)
 
     def oracle(self) -> str | None:
         return None if self.sql is None else with_ctes(present_sql(self.sql, self.layout))

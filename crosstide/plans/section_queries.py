@@ -147,10 +147,9 @@ def signals(spark, sf):
     df = core_prices(spark, sf).select("symbol", "date", "close", "ret_1d", "log_dollar_volume")
     df = df.withColumns(rolling.simple_returns([4, 12, 26]) | {
         "mom": F.try_divide(rolling.lag("close", 4), rolling.lag("close", 12)) - 1})
-    roll_ = Roller(df)
-    df = roll_.finish({"vol_12d": roll_.std("ret_1d", 12, 6),
-                       "downside_vol_12d": roll_.std(("ret_1d_down", rolling.signed_part("ret_1d", -1)), 12, 6)})
-    df = rolling.rsi(df, [12])
+    out = Roller(df)
+    df = out.finish({"vol_12d": out.std("ret_1d", 12, 6), **rolling.rsi(out, [12]),
+                     "downside_vol_12d": out.std(("ret_1d_down", rolling.signed_part("ret_1d", -1)), 12, 6)})
     return stage(df.join(groups_of(spark, sf), "symbol", "left"))
 
 

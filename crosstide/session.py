@@ -7,9 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Runtime settings the plans are written for; a value the caller has set stays.
+SETTINGS = {
+    # the JVM interprets methods above 8000 bytes: let Spark split such a stage instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 _LOCAL: dict[str, str] = {}
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in SETTINGS.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return spark
+
+
 def stage_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, or a scratch folder on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
