@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from crosstide.functions.numeric import pearson
+from crosstide.functions.scalars import with_one_row
 from crosstide.operators.rolling import lag, rolled
 from crosstide.sources.tables import inverted, non_positive
 
@@ -54,7 +55,7 @@ def return_distribution(df: DataFrame) -> DataFrame:
     long = df.select("simple_ret", "log_ret").unpivot([], ["simple_ret", "log_ret"], "kind", "r")
     stats = long.groupBy("kind").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"),
                                      F.min("r").alias("min"), F.max("r").alias("max"), F.count("r").alias("n"))
-    return stats.join(gap, F.lit(True))
+    return with_one_row(stats, gap)
 
 
 def symbol_autocorrelation(df: DataFrame, ret: str, min_obs: int) -> DataFrame:
@@ -77,8 +78,8 @@ def autocorrelation_overview(per_symbol: DataFrame) -> DataFrame:
     medians = quantile_table(per_symbol, [], [c1, a1], [0.5])
     means = per_symbol.agg(F.count("symbol").alias("symbols"), F.avg(c1).alias(f"mean_{c1}"),
                            F.avg(a1).alias(f"mean_{a1}"), F.avg(a5).alias(f"mean_{a5}"))
-    return means.join(medians.select(F.col(f"{c1}_q0").alias(f"median_{c1}"),
-                                     F.col(f"{a1}_q0").alias(f"median_{a1}")), F.lit(True))
+    return with_one_row(means, medians.select(F.col(f"{c1}_q0").alias(f"median_{c1}"),
+                                              F.col(f"{a1}_q0").alias(f"median_{a1}")))
 
 
 def market_series(df: DataFrame, ret: str = "log_ret", window: int = 20) -> DataFrame:

@@ -51,13 +51,12 @@ def purge(df: DataFrame, train_end, val_end, data_end=None) -> DataFrame:
     The test split ends at ``data_end``, by default the last date of the (label-complete) panel.
     """
     if data_end is None:
-        df = df.join(df.agg(F.max("date").alias("_data_end")), F.lit(True))
-        limit = F.col("_data_end")
+        limit = df.agg(F.max("date")).scalar()
     else:
         limit = as_date(data_end)
     end = (F.when(F.col("split") == "train", as_date(train_end))
            .when(F.col("split") == "val", as_date(val_end)).otherwise(limit))
-    return df.where(F.col("label_end_date") <= end).drop("_data_end")
+    return df.where(F.col("label_end_date") <= end)
 
 
 def embargo(df: DataFrame, days: int, keys: tuple[str, ...] = ("split",)) -> DataFrame:

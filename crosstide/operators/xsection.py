@@ -150,7 +150,7 @@ def rank_blend(members: DataFrame, score: str, weight: str | None, *, run: str =
     if sizes is not None:
         complete = have.join(sizes, groups).where(F.col("_have") == F.col("_k"))
     else:
-        complete = have.join(members.agg(F.countDistinct(run).alias("_k")), F.col("_have") == F.col("_k"))
+        complete = have.where(F.col("_have") == members.agg(F.countDistinct(run)).scalar())
     kept = members.join(complete.select(*groups, *ids), groups + ids, "left_semi")
     ranked = with_ranks(kept, groups + [run, "date"], {"_q": score}, bound=bound)
     w = F.col(weight) if weight else F.lit(1.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from crosstide.functions.scalars import with_one_row
 from crosstide.operators import evaluate, experiments, models, rolling, splits, xsection
 from crosstide.operators.experiments import TREE_MODELS
 from crosstide.plans.base import (
@@ -435,7 +436,7 @@ def dedupe_resume(spark, sf):
     second = merged.select("symbol", "date", F.col("close").alias("c2"), F.when(F.col("version") == 2, 2).alias("v2"))
     joined = experiments.join_unique(b, second, ["symbol", "date"])
     missing = experiments.missing_report(joined, ["c2", "v2"])
-    return merged.unionByName(todo).join(missing, F.lit(True))
+    return with_one_row(merged.unionByName(todo), missing)
 
 
 @query("feature_catalogue", "file:s column:s largest_lookback:i in_window:b core:b rows:i")
@@ -453,4 +454,4 @@ def feature_catalogue(spark, sf):
     catalogue = files.catalogue(spark, out)
     catalogue = files.with_lookback(catalogue, 12).withColumn("core", F.col("column").isin(*P.core_features))
     rows = spark.read.parquet(f"{out}/price_momentum").agg(F.count(F.lit(1)).alias("rows"))
-    return catalogue.join(rows, F.lit(True))
+    return with_one_row(catalogue, rows)

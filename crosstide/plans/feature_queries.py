@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosstide.functions.calendar import age_columns, calendar_columns
+from crosstide.functions.scalars import with_one_row
 from crosstide.functions.text import earliest_year, first_year
 from crosstide.operators import quality, rolling
 from crosstide.operators.roller import Roller
@@ -49,7 +50,7 @@ def load_scope(spark, sf):
     scoped = tables.scope(bars(spark, sf), start="1996-01-01", end="2000-12-31", min_history=200, max_symbols=40)
     summary = tables.load_summary(scoped).withColumnsRenamed({"rows": "rows_scoped", "symbols": "symbols_scoped"})
     sample = scoped.select("symbol", "date", "close").orderBy("symbol", "date").limit(500)
-    return sample.join(summary, F.lit(True))
+    return with_one_row(sample, summary)
 
 
 cte("dirty", """
@@ -93,7 +94,7 @@ def quality_report(spark, sf):
     dirty = dirty_bars(spark, sf)
     twice = dirty.unionByName(dirty.where(F.col("symbol") % 23 == 1))
     moves = quality.large_moves(dirty.withColumns(rolling.simple_returns([1])))
-    return quality.quality_report(twice).join(moves, F.lit(True))
+    return with_one_row(quality.quality_report(twice), moves)
 
 
 @query("bad_bar_filter", KEY + "open:2 high:2 low:2 close:2 volume:2", f"""
