@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from crosstide.functions.numeric import finite
 from crosstide.functions.text import clean_symbol, earliest_year, first_year, headquarters_parts, UNKNOWN
+from crosstide.operators.ranking import with_position
+from crosstide.session import stage
 
 ORDER_KEY = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
 GROUP_LEVELS = ["sector", "sub_industry", "hq_city", "hq_state", "hq_region"]
@@ -54,8 +57,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dimension(raw: DataFrame) -> DataFrame:
     """Company dimension: unknown fill, years, headquarters parts, codes and group sizes.
 
-    One row per entity. Codes index the sorted distinct values, which come from a table of
-    distinct values per level; sizes come from a group count, both joined back.
+    One row per entity. One aggregate counts the members of every (level, value); a value's code is
+    its place among the sorted values of its level. Both are joined back by value.
     """
     filled = raw.fillna(UNKNOWN, ["sector", "sub_industry", "company"])
     parts = headquarters_parts("headquarters")
@@ -63,10 +66,15 @@ def dimension(raw: DataFrame) -> DataFrame:
                          first_year("founded").cast("double").alias("founded_year"),
                          earliest_year("founded").cast("double").alias("legacy_founded_year"),
                          *[c.alias(n) for n, c in parts.items()])
+    base = stage(base)
+    pairs = F.explode(F.array(*[F.struct(F.lit(g).alias("level"), F.col(g).alias("value")) for g in GROUP_LEVELS]))
+    groups = base.select("symbol", pairs.alias("_g")).groupBy("_g.level", "_g.value").agg(F.count("symbol").alias("n"))
+    groups = stage(with_position(groups, ["level"], "value", "value", "place"))
     for level in GROUP_LEVELS:
-        groups = base.groupBy(level).agg(F.count("symbol").alias(f"{level}_n_companies"))
-        codes = groups.withColumn(f"{level}_code", F.row_number().over(Window.orderBy(level)) - 1)
-        base = base.join(codes, level, "left")
+        own = groups.where(F.col("level") == level).select(
+            F.col("value").alias(level), F.col("n").alias(f"{level}_n_companies"),
+            (F.col("place") - 1).alias(f"{level}_code"))
+        base = base.join(own, level, "left")
     return base
 
 
@@ -108,7 +116,6 @@ def load_summary(df: DataFrame) -> DataFrame:
 
 def clean_bars(df: DataFrame) -> DataFrame:
     """Symbols normalised and non-finite numbers turned into NULL."""
-    from crosstide.functions.numeric import finite
     numbers = [c for c in ("open", "high", "low", "close", "adj_close", "volume") if c in df.columns]
     return df.withColumns({"symbol": clean_symbol("symbol"), **{c: finite(F.col(c).cast("double")) for c in numbers}})
 
@@ -120,7 +127,7 @@ def dedupe_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return newest.select(*keys, "_row.*").select(*df.columns)
 
 
-def bad_bar(df: DataFrame | None = None):
+def bad_bar():
     """Condition for an unusable bar: missing core field, non-positive price or volume, inversion."""
     core = ["date", "symbol", "open", "high", "low", "close", "volume"]
     missing = F.col(core[0]).isNull()

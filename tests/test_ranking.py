@@ -79,3 +79,16 @@ def test_wide_and_long_ranks_agree(spark):
     order = ["date", "symbol"]
     pd.testing.assert_frame_equal(wide.select(*cols).toPandas().sort_values(order).reset_index(drop=True),
                                   long.select(*cols).toPandas().sort_values(order).reset_index(drop=True))
+
+
+def test_whole_table_as_one_group(skewed):
+    small = by_id(ranking.rank_parts(skewed, [], "x", "r"))
+    large = by_id(ranking.rank_parts(skewed, [], "x", "r", limit=0))
+    pd.testing.assert_frame_equal(small[["id", "r_below", "r_ties", "r_n"]], large[["id", "r_below", "r_ties", "r_n"]])
+
+
+def test_text_positions_in_both_forms(spark):
+    df = spark.createDataFrame([("g", i, f"S{i % 7}") for i in range(40)], "g string, id long, s string")
+    a = by_id(ranking.with_position(df, ["g"], "s", "id", "p"))
+    b = by_id(ranking.with_position(df, ["g"], "s", "id", "p", limit=0))
+    assert a["p"].tolist() == b["p"].tolist()
