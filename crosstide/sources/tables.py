@@ -24,12 +24,14 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffles one partial row per task. The result is unique in (symbol, date).
     """
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", *ORDER_KEY)
-    at = F.struct(*ORDER_KEY)
     price = F.col("l_extendedprice")
-    week = F.trunc(F.to_date("l_shipdate"), "week")
-    return lines.groupBy(F.col("l_suppkey").alias("symbol"), week.alias("date")).agg(
-        F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max_by(price, at).alias("close"), F.sum("l_quantity").cast("double").alias("volume"))
+    rows = lines.select(F.col("l_suppkey").alias("symbol"),
+                        F.trunc(F.to_date("l_shipdate"), "week").alias("date"),
+                        price, "l_quantity", F.struct(*ORDER_KEY).alias("at"))
+    # the smallest and largest record carry the first and last price
+    return rows.groupBy("symbol", "date").agg(
+        F.min("at")["l_extendedprice"].alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max("at")["l_extendedprice"].alias("close"), F.sum("l_quantity").cast("double").alias("volume"))
 
 
 # States used for the stand-in headquarters, by key modulo their number.
@@ -87,10 +89,11 @@ def panel(bars: DataFrame, dim: DataFrame, columns: list[str] | None = None) ->
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second panel shape: one bar per user and day from the event stream table."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    at = F.struct("ts", "event_id")
-    return e.groupBy(F.col("user_id").alias("symbol"), F.to_date("ts").alias("date")).agg(
-        F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-        F.max_by("value", at).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
+    rows = e.select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("date"), "value",
+                    F.struct("ts", "event_id", "value").alias("at"))
+    return rows.groupBy("symbol", "date").agg(
+        F.min("at")["value"].alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+        F.max("at")["value"].alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
 
 
 def scope(df: DataFrame, *, start: str | None = None, end: str | None = None,
