@@ -215,7 +215,7 @@ def exponential_trend(df: DataFrame, spans: Iterable[int], macd: tuple[int, int,
     """
     spans = list(spans)
     fast, slow, signal = macd
-    names = [f"ema_{s}d" for s in spans] + ["_macd", "_macd_signal"]
+    names = ["_price"] + [f"ema_{s}d" for s in spans] + ["_macd", "_macd_signal"]
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", kind="stable")
@@ -224,7 +224,7 @@ def exponential_trend(df: DataFrame, spans: Iterable[int], macd: tuple[int, int,
         def ema(s: pd.Series, span: int) -> pd.Series:
             return s.ewm(span=span, adjust=False).mean()
 
-        out = {"symbol": pdf["symbol"], "date": pdf["date"]}
+        out = {"symbol": pdf["symbol"], "date": pdf["date"], "_price": series}
         out |= {f"ema_{s}d": ema(series, s) for s in spans}
         out["_macd"] = ema(series, fast) - ema(series, slow)
         out["_macd_signal"] = ema(out["_macd"], signal)
@@ -235,7 +235,11 @@ def exponential_trend(df: DataFrame, spans: Iterable[int], macd: tuple[int, int,
                           + [T.StructField(n, T.DoubleType()) for n in names])
     smoothed = keyed.groupBy("symbol").applyInPandas(smooth, schema)
     smoothed = smoothed.select("symbol", "date", *[F.nanvl(n, F.lit(None)).alias(n) for n in names])
-    out = df.join(smoothed, ["symbol", "date"], "left")
+    narrow = set(df.columns) == {"symbol", "date", price}
+    if narrow:                                     # the group already carries every column
+        out = smoothed.withColumnRenamed("_price", price)
+    else:
+        out = df.join(smoothed.drop("_price"), ["symbol", "date"], "left")
     columns = {f"ema_gap_{s}d": ratio(price, f"ema_{s}d") - 1 for s in spans}
     columns["macd_line"] = ratio("_macd", price)
     columns["macd_signal"] = ratio("_macd_signal", price)

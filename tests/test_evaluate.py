@@ -120,3 +120,20 @@ def test_join_refuses_repeated_keys(spark):
     left = spark.createDataFrame([(1,)], "k int")
     with pytest.raises(ValueError):
         experiments.join_unique(left, left.unionByName(left).withColumn("v", F.lit(1)), ["k"])
+
+
+def test_sector_neutral_backtest_is_balanced(panel):
+    bt = evaluate.backtest(panel, KEYS, "x", "ret", share=0.1, every=1, cost_bps=5, min_names=12,
+                           sector_neutral=True).toPandas()
+    assert len(bt) == 16                                   # the short date is skipped in both runs
+    np.testing.assert_allclose(bt["gross_exposure"], 1.0)
+    np.testing.assert_allclose(bt["net_exposure"], 0.0, atol=1e-12)
+    first = bt.sort_values("date").groupby("run").first()
+    np.testing.assert_allclose(first["turnover"], 0.5)
+
+
+def test_spread_forms_agree(panel):
+    forms = [evaluate.decile_spread(panel, KEYS, "x", "ret", 0.1, 10, limit=limit).toPandas()
+             .sort_values(["run", "date"]).reset_index(drop=True) for limit in (1_000_000, 0)]
+    for c in ("top_mean", "bottom_mean", "n", "bucket_size"):
+        np.testing.assert_allclose(forms[0][c], forms[1][c])

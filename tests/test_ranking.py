@@ -92,3 +92,16 @@ def test_text_positions_in_both_forms(spark):
     a = by_id(ranking.with_position(df, ["g"], "s", "id", "p"))
     b = by_id(ranking.with_position(df, ["g"], "s", "id", "p", limit=0))
     assert a["p"].tolist() == b["p"].tolist()
+
+
+@pytest.mark.parametrize("limit", [ranking.GROUP_ROW_LIMIT, 0])
+def test_universe_and_clipping_in_both_forms(skewed, limit):
+    df = skewed.withColumnRenamed("g", "date")
+    kept = xsection.liquidity_universe(df, "x", 0.2, tie="id", limit=limit).toPandas()
+    want = df.toPandas()
+    place = want.sort_values(["x", "id"]).groupby("date")["x"].rank(method="first", pct=True)
+    assert sorted(kept["id"]) == sorted(want.loc[place[place > 0.2].index, "id"])
+    clipped = by_id(xsection.winsorize(df, ["x"], 0.05, limit=limit))
+    full = want.sort_values("id").reset_index(drop=True)
+    lo, hi = (full.groupby("date")["x"].transform(lambda s: s.quantile(q)) for q in (0.05, 0.95))
+    np.testing.assert_allclose(clipped["x"], full["x"].clip(lo, hi), equal_nan=True)
