@@ -7,16 +7,18 @@ Jaccard similarity is at least 0.9; the result is the smallest document that lin
 2. Forest. Nodes that may link must meet in a tree. With sizes n <= m the sets differ in at most
    ``D = (n + m) / 19`` shingles. The hash range is cut into ``D + 1 + slack`` segments; sets that link
    agree on at least ``1 + slack`` whole segments. A node is entered under the hash of each of its
-   segments (cut for its own size class and the next, so partners always share a cut). A segment with
+   segments (cut for its size class; near the end of a class also for the next, so partners always share a
+   cut). A segment with
    fewer than two shingles is entered only if the node has more of them than the slack: otherwise another shared one is
    left. So no link is lost, and a common passage does not bring its documents together.
 3. Trees. The members of a forest key are bound into trees: leaves of similar sizes, inner nodes with
    the OR of their token bitmaps, their size range and least number of set bits. A dual traversal visits pairs of tree
    nodes and drops a pair when the largest possible overlap is too small, or when all of its
    documents are connected already. What is left at the leaves is compared exactly.
-   First every key's smallest member is traversed with the others, in blocks; then, for keys
-   whose members are still in several components, all pairs of blocks. After that no pair that shares a key
-   is left unseen: it is connected, ruled out by a bound, or compared.
+   A key's smallest member is its hub; a hub's tree holds all members of its keys, in blocks of bounded
+   size. Hubs with several blocks whose members are then still in several components have every pair
+   of blocks traversed as well. After that no pair that shares a key is left unseen: it is
+   connected, ruled out by a bound, or compared.
 4. Components of the links by alternating stars, each round a written table.
 
 Nowhere are all pairs of a group written out: near copies are skipped as soon as they are connected.
@@ -59,13 +61,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def class_starts() -> list[int]:
-    """Size classes: each begins where 90 % of a size first reaches the class before."""
+    """Where each size class begins; a class is half as wide as it is far from 0."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, -(-out[-1] * 100 // PERCENT)))
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
     return out
 
 
+def classes_of(n: int) -> list[int]:
+    """Classes of the larger set of any pair that a set of this size can belong to and link in."""
+    first = bisect_right(class_starts(), n) - 1
+    return list(range(first, bisect_right(class_starts(), n * 100 // PERCENT)))
+
+
 @lru_cache(maxsize=None)
 def cut(size_class: int) -> tuple[int, np.ndarray]:
     """Slack and inner segment borders for pairs whose larger set is in this class; none if only equal sets link."""
@@ -80,10 +88,9 @@ def forest_keys(u: np.ndarray) -> np.ndarray:
     """The keys under which a sorted set is entered."""
     if not len(u):
         return np.zeros(0, np.int64)
-    own = bisect_right(class_starts(), len(u)) - 1
     total = np.append(np.uint64(0), np.cumsum(mix(u), dtype=np.uint64))
     out = []
-    for c in (own, own + 1):
+    for c in classes_of(len(u)):
         slack, inner = cut(c)
         if not len(inner):
             continue
@@ -153,10 +160,11 @@ def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- trees --------------------------------------------------------------------------------------
 
 class Tree:
-    """A binary tree over sets sorted by size: per node its range, OR bitmap, size range and least bit count."""
+    """Binary trees, one per side, over sets sorted by size: per node its range, OR bitmap, size range and least
+    bit count."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0, i))
+    def __init__(self, sets: list[np.ndarray], sides: np.ndarray):
+        order = sorted(range(len(sets)), key=lambda i: (sides[i], len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0, i))
         self.order, self.sets = order, [sets[i] for i in order]
         self.size = np.array([len(s) for s in self.sets], np.int64)
         bits = 256
@@ -169,7 +177,10 @@ class Tree:
             row[:] = np.packbits(on).view(np.uint64)
         self.ones = np.bitwise_count(self.bitmap).sum(1).astype(np.int64)
         self.nodes: dict[tuple[int, int], tuple[np.ndarray, int, int, int]] = {}
-        self._build(0, len(sets))
+        cut = int((sides == sides.min()).sum())
+        self.roots = [(0, cut), (cut, len(sets))] if cut < len(sets) else [(0, cut)]
+        for root in self.roots:
+            self._build(*root)
 
     def _build(self, lo: int, hi: int) -> np.ndarray:
         if hi - lo <= LEAF:
@@ -189,11 +200,12 @@ class Tree:
         return (100 + PERCENT) * most >= need and 100 * hb >= PERCENT * la and 100 * ha >= PERCENT * lb
 
 
-def links(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that link and together connect all that links connect; items with one label count as connected."""
+def links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that link and together connect all that links connect; items with one label count as connected.
+    With two sides, only pairs across them are looked at."""
     if len(sets) < 2:
         return []
-    tree = Tree(sets)
+    tree = Tree(sets, np.zeros(len(sets), int) if sides is None else sides)
     label = np.unique(labels, return_inverse=True)[1].astype(np.int64)[tree.order]
     found: list[tuple[int, int]] = []
 
@@ -215,7 +227,7 @@ def links(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
                 found.append((tree.order[x], tree.order[y]))
                 label[label == label[y]] = label[x]
 
-    todo = [((0, len(sets)), (0, len(sets)))]
+    todo = [(tree.roots[0], tree.roots[-1])]
     while todo:
         a, b = todo.pop()
         la, lb = label[slice(*a)], label[slice(*b)]
@@ -242,7 +254,8 @@ def _links_of(rows: pd.DataFrame) -> pd.DataFrame:
     """Links of one tree; a document appears once however often it was sent."""
     rows = rows.drop_duplicates(["doc", "shingles"])
     doc = rows["doc"].to_numpy()
-    pairs = links([np.frombuffer(s, np.uint64) for s in rows["shingles"]], rows["label"].to_numpy())
+    sides = rows["block"].to_numpy() if "left" in rows else None
+    pairs = links([np.frombuffer(s, np.uint64) for s in rows["shingles"]], rows["label"].to_numpy(), sides)
     return pd.DataFrame({"u": [doc[i] for i, _ in pairs], "v": [doc[j] for _, j in pairs]}, dtype="int64")
 
 
@@ -288,19 +301,21 @@ def classes(docs: DataFrame) -> DataFrame:
     hubs = entries.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).filter("hub < top").select("key", "hub")
     shared = stage(entries.join(hubs, "key").select("key", "hub", "doc").distinct())
 
-    sets = stage(docs.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                 .mapInArrow(_read_sets, "doc long, n long, shingles binary"))
+    # written, so that Spark knows their size when it chooses how to fetch their texts
+    wanted = stage(shared.select(F.col("doc").alias("doc_id")).distinct())
+    sets = stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_read_sets, "doc long, n long, shingles binary"))
     pairs = stage(shared.filter("doc <> hub").select("hub", "doc").distinct())
     sizes = pairs.groupBy("hub").count().join(sets.groupBy(F.col("doc").alias("hub")).agg(F.max("n").alias("n")), "hub").select(
         "hub", _blocks(F.col("count"), F.col("n")).alias("blocks"))
+    sizes = stage(sizes)
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc")
     centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("doc"))
     trees = members.unionByName(centres).join(sets, "doc").withColumn("label", F.col("doc"))
     near = stage(trees.groupBy("hub", "block").applyInPandas(_links_of, "u long, v long"))
     labels = stage(components(near))
 
-    split = _still_split(shared, labels, sets)
-    more = stage(split.join(sets, "doc").groupBy("tree", "left", "right").applyInPandas(_links_of, "u long, v long"))
+    split = _still_split(pairs, sizes, labels)
+    more = stage(split.join(sets, "doc").groupBy("hub", "left", "right").applyInPandas(_links_of, "u long, v long"))
     # a document that repeats with different sets ties their nodes together
     of_set = known.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node").distinct()
     tied = of_set.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v")
@@ -317,19 +332,16 @@ def _blocks(rows: Column, shingles: Column) -> Column:
     return F.ceil(F.greatest(rows / BLOCK_SETS, rows * shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
 
 
-def _still_split(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (tree, left, right, doc, label) of the trees still to be traversed: every pair of blocks of every
-    forest key whose members are in several components. Keys with equal members are one tree."""
-    rows = stage(shared.join(labels, "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label")))
-    keys = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("rows"), F.min("doc").alias("doc"),
-                                   F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members")).filter("a <> b")
-    keys = keys.groupBy("members", "rows", "doc").agg(F.min("key").alias("key"))
-    sizes = sets.groupBy("doc").agg(F.max("n").alias("n"))
-    keys = stage(keys.join(sizes, "doc").select("key", _blocks(F.col("rows"), F.col("n")).alias("blocks")))
-    rows = rows.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+def _still_split(pairs: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (hub, left, right, block, doc, label) of the traversals still to be made: every pair of blocks of the
+    hubs that have several and whose members are in several components."""
+    rows = pairs.join(sizes.filter("blocks > 1"), "hub").join(labels, "doc", "left")
+    rows = stage(rows.select("hub", "blocks", "doc", F.coalesce("label", "doc").alias("label")))
+    hubs = rows.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("hub")
+    rows = rows.join(hubs, "hub").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return rows.select("key", "doc", "label", "block", other).select(
-        F.col("key").alias("tree"), F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "doc", "label")
+    return rows.select("hub", "doc", "label", "block", other).filter("block <> other").select(
+        "hub", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc", "label")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
