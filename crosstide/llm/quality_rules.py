@@ -136,15 +136,16 @@ def thresholds(counts: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
     return chosen.groupBy("lang", "source").agg(*limits)
 
 
-def judge(docs: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> tuple[DataFrame, str, str]:
-    """``docs`` with a struct of measures and a verdict; returns the names of these two columns.
+def judge(docs: DataFrame, min_rows: int = MIN_GROUP_ROWS, drop: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
+    """``docs`` with a struct of measures and a verdict; returns the names of these two columns. Columns in
+    ``drop`` are left out once they are measured.
 
     The measured rows are written once: the sketch and the filter read them back, so texts are
     taken apart once. The limits are a table with a row per language and source, written too, so
     that its size is known when Spark chooses how to join it.
     """
     m = fresh(docs, "measures")
-    rows = stage(docs.withColumn(m, measured(F.col("text"))))
+    rows = stage(docs.withColumn(m, measured(F.col("text"))).drop(*drop))
     limits = stage(thresholds(sketches(rows, m), min_rows))
     lang, source = fresh(docs, "limit_lang"), fresh(docs, "limit_source")
     limit = fresh(docs, "limits")
@@ -168,7 +169,7 @@ def keep_good(docs: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
 
 def report(docs: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
     """Measures and verdict of every document."""
-    out, m, kept = judge(docs.select("doc_id", "text", "lang", "source"), min_rows)
+    out, m, kept = judge(docs.select("doc_id", "text", "lang", "source"), min_rows, drop=("text",))
     return out.select("doc_id", *[F.col(m)[c].alias(c) for c in
                                   ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                       base_failed(F.col(m)).alias("base_failed"), F.col(kept).alias("kept"))
