@@ -51,6 +51,8 @@ OTHER_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb b
                         "popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor "
                         "sponsored subscribe subscription toolbar widget".split())
 _NAMES = re.compile(r"[a-z0-9]+")
+# A tag, comment or declaration that the page breaks off in.
+_UNFINISHED = re.compile(r"<(?:!--(?:(?!-->).)*|[a-zA-Z/!?][^<>]*)$", re.DOTALL)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -136,7 +138,7 @@ class _Blocks(HTMLParser):
 
 def blocks(page: str | None) -> list[tuple[str, int, tuple]]:
     parser = _Blocks()
-    parser.feed(page or "")
+    parser.feed(_UNFINISHED.sub("", page or ""))
     parser.close()
     parser.flush()
     return parser.blocks

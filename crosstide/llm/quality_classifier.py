@@ -131,9 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
     chosen = chosen.groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")).withColumn("shard", F.pmod("h", F.lit(SHARDS)))
     parts = chosen.groupBy("shard").applyInPandas(lambda part: _fit_shard(part), "bin long, weight double")
     out = np.zeros(BINS + 1)
-    mean = parts.groupBy("bin").agg(F.sum("weight").alias("w")).toPandas()
-    if len(mean):
-        out[mean["bin"].to_numpy()] = mean["w"].to_numpy() / SHARDS
+    for row in parts.groupBy("bin").agg(F.sum("weight").alias("w")).collect():
+        out[row["bin"]] = row["w"] / SHARDS
     return out
 
 
