@@ -12,8 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosstide.functions.numeric import TINY, pearson, ratio
-from crosstide.operators.ranking import (
-    GROUP_ROW_LIMIT, largest_group, with_group_size, with_position, with_ranks)
+from crosstide.operators.ranking import with_group_size, with_position, with_ranks
 
 PERIODS = 252.0
 
@@ -25,13 +24,11 @@ def leg_size(n: Column | str, share: float) -> Column:
 
 # -- information coefficient --------------------------------------------------------------------
 
-def rank_ic(df: DataFrame, keys: list[str], score: str, target: str, min_names: int, *,
-            bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def rank_ic(df: DataFrame, keys: list[str], score: str, target: str, min_names: int) -> DataFrame:
     """Spearman and Pearson correlation of score and target per date."""
     day = keys + ["date"]
     pairs = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
-    bound = largest_group(pairs, day) if bound is None else bound
-    ranked = with_ranks(pairs, day, {"_rs": score, "_rt": target}, pct=False, bound=bound, limit=limit)
+    ranked = with_ranks(pairs, day, {"_rs": score, "_rt": target}, pct=False)
     out = ranked.groupBy(*day).agg(
         pearson("_rs", "_rt").alias("rank_ic"), pearson(score, target).alias("ic"),
         F.count(F.lit(1)).alias("n"))
@@ -71,20 +68,18 @@ def simple_ic_summary(ic: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- decile spread ------------------------------------------------------------------------------
 
-def _placed(df: DataFrame, group: list[str], score: str, share: float, tie: str,
-            bound: int | None, limit: int) -> DataFrame:
+def _placed(df: DataFrame, group: list[str], score: str, share: float, tie: str) -> DataFrame:
     """Rows with ``n``, leg size ``k`` and ascending place ``_place`` of the score in the group."""
-    bound = largest_group(df, group) if bound is None else bound
-    sized = with_group_size(df, group, score, "n", bound=bound, limit=limit)
-    placed = with_position(sized, group, score, tie, "_place", bound=bound, limit=limit)
+    sized = with_group_size(df, group, score, "n")
+    placed = with_position(sized, group, score, tie, "_place")
     return placed.withColumn("k", leg_size("n", share))
 
 
 def decile_spread(df: DataFrame, keys: list[str], score: str, target: str, share: float, min_names: int, *,
-                  tie: str = "symbol", bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                  tie: str = "symbol") -> DataFrame:
     day = keys + ["date"]
     pairs = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
-    placed = _placed(pairs, day, score, share, tie, bound, limit).where(F.col("n") >= min_names)
+    placed = _placed(pairs, day, score, share, tie).where(F.col("n") >= min_names)
     top = F.avg(F.when(F.col("_place") > F.col("n") - F.col("k"), F.col(target)))
     bottom = F.avg(F.when(F.col("_place") <= F.col("k"), F.col(target)))
     return placed.groupBy(*day).agg(
@@ -103,21 +98,20 @@ def spread_summary(spread: DataFrame, keys: list[str], periods: float) -> DataFr
 # -- portfolio weights --------------------------------------------------------------------------
 
 def long_short_weights(df: DataFrame, keys: list[str], score: str, share: float, min_names: int, *,
-                       tie: str = "symbol", bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                       tie: str = "symbol") -> DataFrame:
     """+0.5 spread over the top ``share`` of names and -0.5 over the bottom; both legs net."""
     day = keys + ["date"]
     scored = df.where(F.col(score).isNotNull())
-    placed = _placed(scored, day, score, share, tie, bound, limit).where(F.col("n") >= min_names)
+    placed = _placed(scored, day, score, share, tie).where(F.col("n") >= min_names)
     return _legs(placed, F.lit(1))
 
 
 def sector_neutral_weights(df: DataFrame, keys: list[str], score: str, share: float, min_names: int, *,
-                           tie: str = "symbol", bound: int | None = None,
-                           limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                           tie: str = "symbol") -> DataFrame:
     """Long-short inside every usable sector, each sector with an equal part of the book."""
     group = keys + ["date", "sector"]
     scored = df.where(F.col(score).isNotNull() & F.col("sector").isNotNull())
-    placed = _placed(scored, group, score, share, tie, bound, limit)
+    placed = _placed(scored, group, score, share, tie)
     need = max(10, int(min_names * share))
     usable = placed.where((F.col("n") >= need) & (F.col("n") >= 2 * F.col("k")))
     sectors = usable.select(*group).distinct().groupBy(*keys, "date").agg(F.count("sector").alias("_sectors"))
@@ -166,21 +160,19 @@ def held_periods(weights: DataFrame, keys: list[str], ret: str) -> DataFrame:
 
 
 def backtest(df: DataFrame, keys: list[str], score: str, ret: str, *, share: float, every: int,
-             cost_bps: float, min_names: int, sector_neutral: bool = False, tie: str = "symbol",
-             bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+             cost_bps: float, min_names: int, sector_neutral: bool = False, tie: str = "symbol") -> DataFrame:
     """Per rebalance date: returns, turnover, cost, positions, exposures and equity curves.
 
     A date with too few complete names is skipped and leaves the held weights as they were.
     """
     day = keys + ["date"]
     rows = rebalance_rows(df, keys, every).dropna(subset=["symbol", "sector", score, ret])
-    bound = largest_group(df, day) if bound is None else bound
     if sector_neutral:
-        rows = with_group_size(rows, day, "symbol", "_names", bound=bound, limit=limit)
+        rows = with_group_size(rows, day, "symbol", "_names")
         rows = rows.where(F.col("_names") >= min_names).drop("_names")
-        weights = sector_neutral_weights(rows, keys, score, share, min_names, tie=tie, bound=bound, limit=limit)
+        weights = sector_neutral_weights(rows, keys, score, share, min_names, tie=tie)
     else:
-        weights = long_short_weights(rows, keys, score, share, min_names, tie=tie, bound=bound, limit=limit)
+        weights = long_short_weights(rows, keys, score, share, min_names, tie=tie)
     out = held_periods(weights.select(*day, "symbol", "weight", ret), keys, ret)
     out = out.withColumn("cost", F.col("turnover") * F.lit(cost_bps / 10000.0))
     out = out.withColumn("net_return", F.col("gross_return") - F.col("cost"))
@@ -211,16 +203,15 @@ def suspect(sharpe: Column | str = "sharpe_net", icir: Column | str = "rank_ic_i
 
 def score_metrics(df: DataFrame, keys: list[str], score: str, target: str, ret: str, *, horizon: int,
                   share: float, every: int, cost_bps: float, min_names: int,
-                  sector_neutral: bool = False, bound: int | None = None) -> DataFrame:
+                  sector_neutral: bool = False) -> DataFrame:
     """The full metric record per run: IC, spread, backtest, counts and the suspect flag."""
-    bound = largest_group(df, keys + ["date"]) if bound is None else bound
     periods = PERIODS / every
     counts = df.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
         F.sum("_n").alias("rows"), F.count("date").alias("dates"))
-    ic = ic_summary(rank_ic(df, keys, score, target, min_names, bound=bound), keys, horizon)
-    spread = spread_summary(decile_spread(df, keys, score, target, share, min_names, bound=bound), keys, periods)
+    ic = ic_summary(rank_ic(df, keys, score, target, min_names), keys, horizon)
+    spread = spread_summary(decile_spread(df, keys, score, target, share, min_names), keys, periods)
     bt = backtest_summary(backtest(df, keys, score, ret, share=share, every=every, cost_bps=cost_bps,
-                                   min_names=min_names, sector_neutral=sector_neutral, bound=bound),
+                                   min_names=min_names, sector_neutral=sector_neutral),
                           keys, periods)
     out = counts.join(ic, keys, "left").join(spread, keys, "left").join(bt, keys, "left")
     return out.withColumn("suspect_overfit_or_leak", suspect())

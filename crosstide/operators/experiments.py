@@ -14,6 +14,10 @@ from crosstide.operators.ranking import quantile_table
 # Models that count as simple or tree models in ensembles, and graph variants.
 TREE_MODELS = ("ridge", "lightgbm", "xgboost")
 SUPERVISED_ALL = ("supervised_graph", "supervised_graph_all")
+SUPERVISED_VARIANTS = (
+    "supervised_graph", "supervised_graph_all", "supervised_graph_sector", "supervised_graph_style_knn",
+    "supervised_graph_rolling_corr", "supervised_graph_sector_style", "supervised_graph_sector_corr",
+    "supervised_graph_style_corr", "supervised_graph_random", "supervised_graph_no_edges")
 
 
 # -- task grids ---------------------------------------------------------------------------------
@@ -58,11 +62,15 @@ def refine(best: DataFrame) -> DataFrame:
     """Three clamped variants around each best booster configuration, as long rows with a tag.
 
     Needs ``model, n_estimators, learning_rate, max_depth, num_leaves, min_child, subsample,
-    colsample, reg_lambda``. Leaf limits apply to the leaf-wise model only.
+    colsample, reg_lambda``. Leaf limits apply to the leaf-wise model only and are NULL for the other.
     """
     n, lr, depth, leaves = (F.col(c) for c in ("n_estimators", "learning_rate", "max_depth", "num_leaves"))
     child, sub, col, lam = (F.col(c) for c in ("min_child", "subsample", "colsample", "reg_lambda"))
     leafwise = F.col("model") == "lightgbm"
+    leaves = F.when(leafwise, leaves)
+
+    def leaf_limit(c: Column) -> Column:
+        return F.when(leafwise, c)
 
     def whole(c: Column) -> Column:
         return F.floor(c).cast("double")
@@ -74,15 +82,15 @@ def refine(best: DataFrame) -> DataFrame:
         return F.struct(F.lit(tag).alias("tag"), *[v.cast("double").alias(k) for k, v in values.items()])
 
     variants = F.array(
-        variant("arc_refine_lower_lr", whole(n * 1.5), _clamp(lr * 0.65, 0.01, 0.08), depth, leaves, child, sub, col, lam),
-        variant("arc_refine_more_regularized", n, lr,
+        variant("refine_lower_lr", whole(n * 1.5), _clamp(lr * 0.65, 0.01, 0.08), depth, leaves, child, sub, col, lam),
+        variant("refine_more_regularized", n, lr,
                 F.greatest(F.when(leafwise, 3).otherwise(2), depth - 1),
-                F.greatest(F.lit(7), whole(leaves / 2)),
+                leaf_limit(F.greatest(F.lit(7), whole(leaves / 2))),
                 F.when(leafwise, whole(child * 1.5)).otherwise(child * 1.7),
                 _clamp(sub - 0.05, 0.55, 0.95), _clamp(col - 0.05, 0.55, 0.95), lam * 1.7),
-        variant("arc_refine_more_capacity", F.greatest(F.lit(200), whole(n * 0.85)), _clamp(lr * 1.15, 0.015, 0.08),
+        variant("refine_more_capacity", F.greatest(F.lit(200), whole(n * 0.85)), _clamp(lr * 1.15, 0.015, 0.08),
                 F.least(F.when(leafwise, 7).otherwise(6), depth + 1),
-                F.least(F.lit(127), F.greatest(leaves + 16, whole(leaves * 1.6))),
+                leaf_limit(F.least(F.lit(127), F.greatest(leaves + 16, whole(leaves * 1.6)))),
                 F.when(leafwise, F.greatest(F.lit(80), whole(child * 0.7))).otherwise(
                     F.greatest(F.lit(10.0), child * 0.65)),
                 _clamp(sub + 0.05, 0.55, 0.95), _clamp(col + 0.05, 0.55, 0.95),
@@ -135,6 +143,11 @@ def newest_artifact(files: DataFrame, keys: list[str], path: str = "path", modif
 
 # -- stability gates ----------------------------------------------------------------------------
 
+# Outcomes of the gates in the order in which they are tested.
+GATE_ORDER = ("low_full_val_rank_ic", "empty_val_rank_ic_file", "too_few_val_years", "unstable_yearly_rank_ic",
+              "unstable_regime_rank_ic", "pass")
+
+
 def yearly_ic(ic: DataFrame, keys: list[str], floor: float) -> DataFrame:
     """Years, share of years at or above ``floor`` and the worst year of the daily IC."""
     by_year = ic.groupBy(*keys, F.year("date").alias("year")).agg(F.avg("rank_ic").alias("_y"))
@@ -147,7 +160,7 @@ def yearly_ic(ic: DataFrame, keys: list[str], floor: float) -> DataFrame:
 
 def stability(runs: DataFrame, yearly: DataFrame, regimes: DataFrame | None, *, min_ic: float = 0.0,
               min_years: int = 2, min_positive: float = 0.5, min_regime: float = -0.01) -> DataFrame:
-    """Gate flags and the first failing reason, tested in a fixed order.
+    """Gate flags and the first failing reason, tested in a fixed order; figures past it stay empty.
 
     ``runs`` holds ``run_name, mean_rank_ic`` on validation; ``yearly`` and ``regimes`` are keyed
     by ``run_name`` (``regimes`` with ``mean_rank_ic`` per regime).
@@ -163,7 +176,12 @@ def stability(runs: DataFrame, yearly: DataFrame, regimes: DataFrame | None, *,
               .when(F.col("val_years") < min_years, "too_few_val_years")
               .when(F.col("val_positive_year_frac") < min_positive, "unstable_yearly_rank_ic")
               .when(F.col("val_min_regime_rank_ic") < min_regime, "unstable_regime_rank_ic").otherwise("pass"))
-    return out.withColumns({"stability_reason": reason, "stable": reason == "pass"}).fillna(0, ["val_years"])
+    out = out.withColumns({"stability_reason": reason, "stable": reason == "pass"})
+    stage = F.create_map(*[F.lit(x) for pair in {r: i for i, r in enumerate(GATE_ORDER)}.items() for x in pair])[F.col("stability_reason")]
+    return out.withColumns({
+        "val_years": F.when(stage >= 2, F.col("val_years")).otherwise(0),
+        **{c: F.when(stage >= 3, F.col(c)) for c in ("val_positive_year_frac", "val_min_year_rank_ic")},
+        "val_min_regime_rank_ic": F.when(stage >= 4, F.col("val_min_regime_rank_ic"))})
 
 
 def gate_mlp(selected: DataFrame, policy: str, metric: str, min_ic: float = 0.0) -> DataFrame:
@@ -179,7 +197,7 @@ def gate_mlp(selected: DataFrame, policy: str, metric: str, min_ic: float = 0.0)
 # -- ensembles ----------------------------------------------------------------------------------
 
 def ensemble_members(selected: DataFrame, metric: str, *, policy: str = "stable_only",
-                     mlp_min_ic: float = 0.0, graph_variants: tuple[str, ...] = SUPERVISED_ALL) -> DataFrame:
+                     mlp_min_ic: float = 0.0, graph_variants: tuple[str, ...] = SUPERVISED_VARIANTS) -> DataFrame:
     """Long member table of the seven ensembles; ensembles with one member are left out.
 
     Each row lists the ensembles it belongs to, and one ``explode`` makes the member table.
@@ -206,6 +224,12 @@ def ensemble_members(selected: DataFrame, metric: str, *, policy: str = "stable_
         sizes.where(F.col("n_members") >= 2), ["target_col", "ensemble"])
 
 
+def member_lists(members: DataFrame) -> DataFrame:
+    """The run names of each ensemble in one text; an ensemble has a few members."""
+    names = F.array_join(F.array_sort(F.collect_set("run_name")), "|")
+    return members.groupBy("target_col", "ensemble").agg(names.alias("members"))
+
+
 # -- report tables ------------------------------------------------------------------------------
 
 def validation_and_test(best: DataFrame, score: str = "model_score") -> DataFrame:

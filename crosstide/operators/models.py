@@ -18,19 +18,18 @@ TREE_DEFAULTS = {"n_estimators": 350, "learning_rate": 0.04, "max_depth": 5, "mi
 
 
 def prepare_design(panel: DataFrame, features: list[str], *, liquidity: str | None = None, drop_share: float = 0.0,
-                   winsor_share: float = 0.0, bound: int | None = None) -> DataFrame:
+                   winsor_share: float = 0.0) -> DataFrame:
     """Universe filter, then per-date clipping; staged because every candidate fit reads it."""
     if liquidity and drop_share > 0:
-        panel = stage(liquidity_universe(panel, liquidity, drop_share, bound=bound))
+        panel = stage(liquidity_universe(panel, liquidity, drop_share))
     if winsor_share > 0:
-        panel = winsorize(panel, features, winsor_share, bound=bound)
+        panel = winsorize(panel, features, winsor_share)
     return stage(panel)
 
 
 def scaled(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
     """``rows`` imputed and scaled with statistics of ``train`` only."""
-    stats = scaler_table(train.withColumn("_fit", F.lit(1)), features, ["_fit"])
-    return apply_scaler(rows.withColumn("_fit", F.lit(1)), stats, features, ["_fit"]).drop("_fit")
+    return apply_scaler(rows, scaler_table(train, features, []), features, [])
 
 
 def _assemble(df: DataFrame, features: list[str]) -> DataFrame:

@@ -1,15 +1,14 @@
-"""Exact per-group ranks, positions and quantiles that do not need a group to fit one task.
+"""Exact per-group ranks, positions and quantiles; no group has to fit one task.
 
 A cross-section (one date, or one date and sector) has no size limit of its own, and one date
-may hold a third of the rows. Every entry point therefore takes the largest group's row count
-(``bound``, counted when not given; the count reads the key columns only):
-
-* up to ``limit`` rows, one window per group: one shuffle on the keys;
-* beyond it, ranks come from counts per distinct value. Equal values collapse before the
-  shuffle, the values of a group are spread over order-preserving slices, and running totals
-  per slice join the pieces. Rows then look their value up by an equi-join that AQE can split.
-
-Both forms give identical numbers.
+may hold a third of the rows. Ranks therefore come from counts per distinct value, at every size:
+equal values collapse before the shuffle, the values of a group are spread over order-preserving
+slices, and running totals per slice join the pieces. Rows then look their value up by an
+equi-join that AQE can split.
+
+Slices: numbers by sign and magnitude, 16 to a doubling. Other types are mapped to numbers (days,
+seconds, the bytes of a text after the prefix that the group shares) and cut into 512 equal
+steps between the group's ends. A group so has a bounded number of slices, whatever its rows.
 """
 
 from __future__ import annotations
@@ -18,37 +17,58 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-GROUP_ROW_LIMIT = 1_000_000
-SLICES_PER_OCTAVE = 256
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group, the check behind the choice of form."""
-    if not keys:
-        return df.count()
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
+SLICES_PER_OCTAVE = 16
+SLICES = 512
+PREFIX_BYTES = 6
 
 
 def null_safe_match(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def order_slice(c: Column, dtype: T.DataType) -> Column:
-    """A coarse non-decreasing function of ``c``: the slice a value falls into."""
-    if isinstance(dtype, T.StringType):
-        return F.substring(c, 1, 4)
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
-        return c
+def magnitude_slice(c: Column) -> Column:
+    """A coarse non-decreasing function of a number."""
     magnitude = F.log2(F.greatest(F.abs(c.cast("double")), F.lit(1e-30))) + F.lit(100.0)
     return (F.signum(c.cast("double")) * F.floor(magnitude * SLICES_PER_OCTAVE)).cast("long")
 
 
+def _as_number(c: Column, dtype: T.DataType, shared: Column) -> Column:
+    """A non-decreasing number of a date, time, boolean or text; ``shared`` is the length of a common prefix."""
+    if isinstance(dtype, T.StringType):
+        digits = F.substring(F.hex(F.substring(c, shared + 1, F.lit(PREFIX_BYTES))), 1, 2 * PREFIX_BYTES)
+        return F.conv(F.rpad(digits, 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("double")
+    return F.unix_micros(c.cast("timestamp")).cast("double")
+
+
+def _with_range_slices(values: DataFrame, keys: list[str], x: str, dtype: T.DataType) -> DataFrame:
+    """``_slice``: equal steps between the ends of each group."""
+    ends = values.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    shared = F.lit(0)
+    if isinstance(dtype, T.StringType):
+        n = F.least(F.length("_lo"), F.length("_hi"))
+        shared = F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.left(F.col("_lo"), i) == F.left(F.col("_hi"), i)))).otherwise(0)
+    ends = ends.withColumn("_shared", shared)
+    ends = ends.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], "_shared",
+                       _as_number(F.col("_lo"), dtype, F.col("_shared")).alias("_from"), _as_number(F.col("_hi"), dtype, F.col("_shared")).alias("_to"))
+    if keys:
+        out = values.join(ends, reduce(lambda a, b: a & b, [values[k].eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)]))
+    else:
+        one = ends.select(F.struct("_shared", "_from", "_to").alias("_one")).scalar()
+        out = values.withColumn("_one", one).select("*", "_one.*").drop("_one")
+    step = (_as_number(F.col(x), dtype, F.col("_shared")) - F.col("_from")) / F.greatest(F.col("_to") - F.col("_from"), F.lit(1e-9))
+    return out.withColumn("_slice", F.floor(step * SLICES)).drop("_shared", "_from", "_to", *[f"_e{i}" for i in range(len(keys))])
+
+
 def value_table(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """``keys, x, _ties, _below, _n`` for every distinct non-null value of each group."""
     dtype = df.schema[x].dataType
-    values = (df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_ties"))
-              .withColumn("_slice", order_slice(F.col(x), dtype)))
+    values = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_ties"))
+    values = values.withColumn("_slice", magnitude_slice(F.col(x))) if isinstance(dtype, T.NumericType) else (
+        _with_range_slices(values, keys, x, dtype))
     per_slice = values.groupBy(*keys, "_slice").agg(F.sum("_ties").alias("_rows"))
     in_order = Window.partitionBy(*keys).orderBy("_slice")
     per_slice = per_slice.select(
@@ -66,21 +86,8 @@ def value_table(df: DataFrame, keys: list[str], x: str) -> DataFrame:
         (F.col("s._before") + F.coalesce(ahead, F.lit(0))).alias("_below"), F.col("s._n"))
 
 
-def rank_parts(df: DataFrame, keys: list[str], x: str, prefix: str, *, bound: int | None = None,
-               limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def rank_parts(df: DataFrame, keys: list[str], x: str, prefix: str) -> DataFrame:
     """Add ``{prefix}_below``, ``{prefix}_ties`` and ``{prefix}_n`` (NULL where ``x`` is NULL)."""
-    bound = largest_group(df, keys) if bound is None else bound
-    if bound <= limit:
-        # ties are the peers of the ordering, so ranks and ties share one sort
-        group = Window.partitionBy(*keys)
-        ordered = group.orderBy(F.col(x).asc_nulls_last())
-        peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
-        present = F.col(x).isNotNull()
-        return df.withColumns({
-            f"{prefix}_below": F.when(present, F.rank().over(ordered) - 1),
-            f"{prefix}_ties": F.when(present, F.count(x).over(peers)),
-            f"{prefix}_n": F.when(present, F.count(x).over(group)),
-        })
     values = value_table(df, keys, x)
     renamed = values.select(
         *[F.col(k).alias(f"_vk{i}") for i, k in enumerate(keys)], F.col(x).alias("_vx"),
@@ -92,62 +99,45 @@ def rank_parts(df: DataFrame, keys: list[str], x: str, prefix: str, *, bound: in
     return df.join(renamed, reduce(lambda a, b: a & b, on), "left").drop(*drop)
 
 
-def with_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], *, pct: bool = True,
-               bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def with_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], *, pct: bool = True) -> DataFrame:
     """Average-tie ranks, ``{output: input}``; as a share of the non-null count when ``pct``.
 
     NULL inputs stay unranked and rows with a NULL key get NULL.
     """
-    bound = largest_group(df, keys) if bound is None else bound
     keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     for i, (out, x) in enumerate(columns.items()):
         p = f"_r{i}"
-        df = rank_parts(df, keys, x, p, bound=bound, limit=limit)
+        df = rank_parts(df, keys, x, p)
         place = F.col(f"{p}_below") + (F.col(f"{p}_ties") + 1) / F.lit(2.0)
         value = place / F.col(f"{p}_n") if pct else place
         df = df.withColumn(out, F.when(keyed, value))
     return df.drop(*[f"_r{i}_{s}" for i in range(len(columns)) for s in ("below", "ties", "n")])
 
 
-def with_group_size(df: DataFrame, keys: list[str], x: str, out: str, *, bound: int | None = None,
-                    limit: int = GROUP_ROW_LIMIT) -> DataFrame:
-    """Non-null count of ``x`` per group: a window for small groups, else an aggregate joined back."""
-    bound = largest_group(df, keys) if bound is None else bound
-    if bound <= limit:
-        return df.withColumn(out, F.count(x).over(Window.partitionBy(*keys)))
+def with_group_size(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
+    """Non-null count of ``x`` per group: an aggregate joined back."""
     return df.join(df.groupBy(*keys).agg(F.count(x).alias(out)), keys, "left")
 
 
 def with_position(df: DataFrame, keys: list[str], x: str, tie: str, out: str, *,
-                  descending: bool = False, tie_descending: bool = False,
-                  bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                  descending: bool = False, tie_descending: bool = False) -> DataFrame:
     """1-based place in the total order ``(x, tie)``; ``tie`` must be unique among equal ``x``.
 
     Rows with a NULL ``x`` get NULL and do not count.
     """
-    bound = largest_group(df, keys) if bound is None else bound
-    if bound <= limit:
-        lead = F.col(x).desc_nulls_last() if descending else F.col(x).asc_nulls_last()
-        then = F.col(tie).desc() if tie_descending else F.col(tie).asc()
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(lead, then))
-        return df.withColumn(out, F.when(F.col(x).isNotNull(), place.cast("long")))
-    df = rank_parts(df, keys, x, "_p", bound=bound, limit=limit)
-    df = rank_parts(df, keys + [x], tie, "_t", bound=bound, limit=limit)
+    df = rank_parts(df, keys, x, "_p")
+    if tie == x:                                    # x is unique itself
+        among = F.lit(0)
+    else:
+        df = rank_parts(df, keys + [x], tie, "_t")
+        among = F.col("_t_n") - F.col("_t_below") - 1 if tie_descending else F.col("_t_below")
     ahead = F.col("_p_n") - F.col("_p_below") - F.col("_p_ties") if descending else F.col("_p_below")
-    among = F.col("_t_n") - F.col("_t_below") - 1 if tie_descending else F.col("_t_below")
     return (df.withColumn(out, F.when(F.col(x).isNotNull(), (ahead + among + 1).cast("long")))
             .drop(*[f"{p}_{s}" for p in ("_p", "_t") for s in ("below", "ties", "n")]))
 
 
-def quantile_table(df: DataFrame, keys: list[str], columns: list[str], probs: list[float], *,
-                   bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def quantile_table(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per group: ``{column}_q{i}`` per prob."""
-    bound = largest_group(df, keys) if bound is None else bound
-    if bound <= limit:
-        grid = F.array(*[F.lit(p) for p in probs])
-        packed = df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), grid).alias(c) for c in columns])
-        return packed.select(*keys, *[F.get(c, F.lit(i)).alias(f"{c}_q{i}")
-                                      for c in columns for i in range(len(probs))])
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns])).alias("_s"))
     long = long.select(*keys, F.col("_s._name").alias("_name"), F.col("_s._x").alias("_x"))

@@ -13,8 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosstide.functions.numeric import TINY, as_col, average_of, clip, ratio
 from crosstide.operators.profile import Profile
@@ -122,13 +121,10 @@ def padded_price(price: str = "close") -> Column:
     return F.last(price, ignorenulls=True).over(entity().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def additivity_gap(df: DataFrame, n: int = 5) -> DataFrame:
-    """Largest gap per symbol between ``n`` summed one-step and one ``n``-step log return."""
-    step = df.withColumn("_lp", F.log("close"))
-    step = step.withColumn("_r", F.col("_lp") - lag("_lp", 1))
-    both = step.select("symbol", rolled(F.sum, "_r", n, n).alias("_sum"),
-                       (F.col("_lp") - lag("_lp", n)).alias("_direct"))
-    return both.groupBy("symbol").agg(F.max(F.abs(F.col("_sum") - F.col("_direct"))).alias("max_abs_diff"))
+def additivity_gap(log_price: str = "log_price", n: int = 5) -> dict[str, Column]:
+    """Gap between ``n`` summed one-step and one ``n``-step log return; needs the column ``log_ret_1d``."""
+    direct = F.col(log_price) - lag(log_price, n)
+    return {"_additivity_gap": F.abs(rolled(F.sum, "log_ret_1d", n, n) - direct)}
 
 
 # -- volatility, range, tails -------------------------------------------------------------------
@@ -206,40 +202,48 @@ def average_gaps(windows: Iterable[int], price: str = "close") -> dict[str, Colu
     return out
 
 
-def exponential_trend(df: DataFrame, spans: Iterable[int], macd: tuple[int, int, int],
-                      price: str = "close") -> DataFrame:
-    """EMA and MACD columns; the recursion has no frame form, so each symbol is one pandas group.
+def _smoothed(df: DataFrame, inputs: dict[str, tuple[str, int]]) -> DataFrame:
+    """Exponential means ``{output: (input, span)}`` of inputs without NULL, with ``_gap`` rows since the row before.
 
-    A group is one symbol's history (at most one row per calendar date). Only the key and the
-    price cross to Python; ``adjust=False`` keeps the recursive weights, also across gaps.
+    One step is an affine map of the last mean. Maps compose, so doubling lags cover
+    1, 2, 4 ... steps; a span is done once what is left weighs less than one part in 10**18.
     """
+    start, rounds = {}, {}
+    for name, (x, span) in inputs.items():
+        share = 2.0 / (span + 1)
+        kept = F.pow(F.lit(1 - share), F.col("_gap"))
+        first = F.col("_gap").isNull()
+        start[f"_p_{name}"] = F.when(first, 0.0).otherwise(kept / (kept + share))
+        start[name] = F.when(first, F.col(x)).otherwise(share * F.col(x) / (kept + share))
+        rounds[name] = max(1, math.ceil(math.log2(18 * math.log(10) / -math.log(1 - share))))
+    df = df.withColumns(start)
+    for k in range(max(rounds.values())):
+        step = {}
+        for name in (n for n, last in rounds.items() if k < last):
+            p = F.col(f"_p_{name}")
+            step[name] = F.col(name) + p * F.coalesce(lag(name, 2 ** k), F.lit(0.0))
+            step[f"_p_{name}"] = p * F.coalesce(lag(f"_p_{name}", 2 ** k), F.lit(0.0))
+        df = df.withColumns(step)
+    return df.drop(*[f"_p_{name}" for name in inputs])
+
+
+def exponential_trend(df: DataFrame, spans: Iterable[int], macd: tuple[int, int, int],
+                      price: str = "close") -> DataFrame:
+    """EMA and MACD columns with recursive weights, also across gaps; a missing price keeps the last mean."""
     spans = list(spans)
     fast, slow, signal = macd
-    names = ["_price"] + [f"ema_{s}d" for s in spans] + ["_macd", "_macd_signal"]
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
-        series = pdf["_price"]
-
-        def ema(s: pd.Series, span: int) -> pd.Series:
-            return s.ewm(span=span, adjust=False).mean()
-
-        out = {"symbol": pdf["symbol"], "date": pdf["date"], "_price": series}
-        out |= {f"ema_{s}d": ema(series, s) for s in spans}
-        out["_macd"] = ema(series, fast) - ema(series, slow)
-        out["_macd_signal"] = ema(out["_macd"], signal)
-        return pd.DataFrame(out)
-
-    keyed = df.select("symbol", "date", F.col(price).cast("double").alias("_price"))
-    schema = T.StructType([keyed.schema["symbol"], keyed.schema["date"]]
-                          + [T.StructField(n, T.DoubleType()) for n in names])
-    smoothed = keyed.groupBy("symbol").applyInPandas(smooth, schema)
-    smoothed = smoothed.select("symbol", "date", *[F.nanvl(n, F.lit(None)).alias(n) for n in names])
-    narrow = set(df.columns) == {"symbol", "date", price}
-    if narrow:                                     # the group already carries every column
-        out = smoothed.withColumnRenamed("_price", price)
-    else:
-        out = df.join(smoothed.drop("_price"), ["symbol", "date"], "left")
+    means = {f"ema_{s}d": ("_price", s) for s in spans} | {"_fast": ("_price", fast), "_slow": ("_price", slow)}
+    rows = df.select("symbol", "date", F.col(price).cast("double").alias("_price"), F.row_number().over(entity()).alias("_pos"))
+    known = rows.where(F.col("_price").isNotNull()).withColumn("_gap", F.col("_pos") - lag("_pos", 1))
+    known = _smoothed(known, means).drop("_gap")
+    every = known.unionByName(rows.where(F.col("_price").isNull()), allowMissingColumns=True)
+    held = entity().rowsBetween(Window.unboundedPreceding, 0)
+    every = every.withColumns({n: F.last(n, ignorenulls=True).over(held) for n in means})
+    every = every.withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    # the signal starts with the first known price and then takes every row
+    every = every.withColumn("_gap", F.when(lag("_macd", 1).isNotNull(), 1))
+    every = _smoothed(every, {"_macd_signal": ("_macd", signal)}).select("symbol", "date", *[f"ema_{s}d" for s in spans], "_macd", "_macd_signal")
+    out = df.join(every, ["symbol", "date"], "left")
     columns = {f"ema_gap_{s}d": ratio(price, f"ema_{s}d") - 1 for s in spans}
     columns["macd_line"] = ratio("_macd", price)
     columns["macd_signal"] = ratio("_macd_signal", price)
@@ -343,32 +347,24 @@ def forward_returns(horizons: Iterable[int], price: str = "close") -> dict[str,
 
 
 def sequence_windows(df: DataFrame, history: int, horizon: int, fields: list[str]) -> DataFrame:
-    """One row per (symbol, date) with full history and future: payload arrays and future dates."""
+    """One row per (symbol, date) with full history and future: rows so far, label end, payload arrays and
+    future dates. Without fields it is the grid of usable keys."""
     past = entity().rowsBetween(-(history - 1), 0)
     future = entity().rowsBetween(1, horizon)
-    full = df.select(
-        "symbol", "date",
-        F.count(F.lit(1)).over(past).alias("_have"),
-        F.collect_list(F.struct("date", *fields)).over(past).alias("history"),
-        F.collect_list("date").over(future).alias("future_dates"))
-    ready = (F.col("_have") == history) & (F.size("future_dates") == horizon)
-    return full.where(ready).drop("_have")
-
-
-def sequence_grid(df: DataFrame, history: int, horizon: int) -> DataFrame:
-    """Keys that have ``history`` rows up to the date and ``horizon`` rows after it."""
-    keyed = df.select("symbol", "date", F.row_number().over(entity()).alias("_rn"),
-                      lead("date", horizon).alias("label_end_date"))
-    return keyed.where((F.col("_rn") >= history) & F.col("label_end_date").isNotNull()).select(
-        "symbol", "date", F.col("_rn").alias("history_rows"), "label_end_date")
+    payload = [F.collect_list(F.struct("date", *fields)).over(past).alias("history"),
+               F.collect_list("date").over(future).alias("future_dates")] if fields else []
+    full = df.select("symbol", "date", F.row_number().over(entity()).alias("history_rows"),
+                     lead("date", horizon).alias("label_end_date"), *payload)
+    return full.where((F.col("history_rows") >= history) & F.col("label_end_date").isNotNull())
 
 
 # -- whole families -----------------------------------------------------------------------------
 
 def price_momentum(df: DataFrame, p: Profile, price: str = "close") -> DataFrame:
-    df = df.withColumns(price_state(price))
-    df = df.withColumns(simple_returns(p.returns, price) | log_returns(p.returns)
-                        | skip_momentum(p.skip_pairs, price))
+    # returns are taken between last known prices, so a gap counts as no change
+    df = df.withColumns(price_state(price) | {"_padded": padded_price(price)})
+    df = df.withColumns(simple_returns(p.returns, "_padded") | log_returns(p.returns)
+                        | skip_momentum(p.skip_pairs, price)).drop("_padded")
     return df.withColumns(reversals(p.returns) | acceleration(p.accel_pairs))
 
 

@@ -84,7 +84,7 @@ def join_back(df: DataFrame, rolled_table: DataFrame, keys: list[str]) -> DataFr
     return df.join(rolled_table, keys, "left")
 
 
-def market_industry(df: DataFrame, p: Profile, *, bound: int | None = None) -> DataFrame:
+def market_industry(df: DataFrame, p: Profile) -> DataFrame:
     """Market, sector and sub-industry context with excess returns and momentum ranks."""
     out = join_back(df, market_state(df, p), ["date"])
     for group, prefix in (("sector", "sector"), ("sub_industry", "subind")):
@@ -92,7 +92,7 @@ def market_industry(df: DataFrame, p: Profile, *, bound: int | None = None) -> D
     out = out.withColumns(excess_returns(p.excess))
     ranks = {f"{prefix}_mom_rank_{w}d": f"{prefix}_ret_{w}d"
              for w in p.momentum_ranks for prefix in ("sector", "subind")}
-    return with_ranks(out, ["date"], ranks, bound=bound)
+    return with_ranks(out, ["date"], ranks)
 
 
 def excess_returns(windows: Iterable[int]) -> dict[str, Column]:
@@ -112,23 +112,23 @@ def leave_one_out(df: DataFrame, keys: list[str], columns: Iterable[str], prefix
     return out.drop(*[f"_{k}_{c}" for c in columns for k in ("s", "n")])
 
 
-def style_buckets(df: DataFrame, inputs: tuple[str, str, str], *, bound: int | None = None) -> DataFrame:
+def style_buckets(df: DataFrame, inputs: tuple[str, str, str]) -> DataFrame:
     """Momentum, volatility and liquidity terciles per date; a missing rank falls in the top bucket."""
     names = ["style_mom_bucket", "style_vol_bucket", "style_liq_bucket"]
-    df = with_ranks(df, ["date"], {f"_rank_{n}": c for n, c in zip(names, inputs)}, bound=bound)
+    df = with_ranks(df, ["date"], {f"_rank_{n}": c for n, c in zip(names, inputs)})
     df = df.withColumns({n: F.when(F.col(f"_rank_{n}") <= 1 / 3, 0).when(F.col(f"_rank_{n}") <= 2 / 3, 1)
                         .otherwise(2) for n in names})
     bucket = F.col(names[0]) * 9 + F.col(names[1]) * 3 + F.col(names[2])
     return df.withColumn("style_bucket", bucket).drop(*[f"_rank_{n}" for n in names])
 
 
-def peer_style_geography(df: DataFrame, p: Profile, *, bound: int | None = None) -> DataFrame:
+def peer_style_geography(df: DataFrame, p: Profile) -> DataFrame:
     out = leave_one_out(df, ["date", "sector"], p.peer_inputs, "sector_peer")
     out = leave_one_out(out, ["date", "sub_industry"], p.peer_inputs, "subind_peer")
     w = p.location_return
     for level in ("hq_state", "hq_region"):
         out = join_back(out, location_state(df, level, level, w), ["date", level])
-    out = style_buckets(out, p.style_inputs, bound=bound)
+    out = style_buckets(out, p.style_inputs)
     bucketed = out.select("date", "symbol", "ret_1d", "style_bucket")
     out = leave_one_out(out, ["date", "style_bucket"], p.style_peer_inputs, "style_peer")
     return join_back(out, location_state(bucketed, "style_bucket", "style", w), ["date", "style_bucket"])

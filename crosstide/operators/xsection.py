@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from crosstide.functions.numeric import clip, ratio
-from crosstide.operators.ranking import (
-    GROUP_ROW_LIMIT, largest_group, quantile_table, with_group_size, with_position, with_ranks)
+from crosstide.functions.scalars import with_one_row
+from crosstide.operators.ranking import quantile_table, with_group_size, with_position, with_ranks
 
 # Scope name -> keys, in the order the features are named.
 SCOPES = {"cs": ["date"], "sector": ["date", "sector"], "subind": ["date", "sub_industry"]}
@@ -24,38 +24,29 @@ def zscores(df: DataFrame, keys: list[str], columns: Iterable[str], prefix: str)
     return out.drop(*[f"_{k}_{c}" for c in columns for k in ("m", "s")])
 
 
-def pct_ranks(df: DataFrame, keys: list[str], columns: Iterable[str], prefix: str, *,
-              bound: int | None = None) -> DataFrame:
-    """``{prefix}_rank_{c}``.
-
-    A few columns rank on the wide rows. Many columns are unpivoted first, so that they share one
-    shuffle on (keys, name) instead of one sort of the wide row per column, then pivoted back.
-    """
+def pct_ranks(df: DataFrame, keys: list[str], columns: Iterable[str], prefix: str) -> DataFrame:
+    """``{prefix}_rank_{c}``: columns are unpivoted, so that they share one shuffle per step, then pivoted back."""
     columns = list(columns)
-    if len(columns) <= 2:
-        return with_ranks(df, keys, {f"{prefix}_rank_{c}": c for c in columns}, bound=bound)
     ids = list(dict.fromkeys(keys + ["date", "symbol"]))
     long = df.select(*ids, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns])).alias("_e"))
     long = long.select(*ids, F.col("_e._name").alias("_name"), F.col("_e._x").alias("_x"))
     long = long.where(F.col("_x").isNotNull())
-    bound = largest_group(df, keys) if bound is None else bound
-    ranked = with_ranks(long, keys + ["_name"], {"_q": "_x"}, bound=bound)
+    ranked = with_ranks(long, keys + ["_name"], {"_q": "_x"})
     wide = ranked.groupBy("date", "symbol").agg(*[
         F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(f"{prefix}_rank_{c}") for c in columns])
     return df.join(wide, ["date", "symbol"], "left")
 
 
-def cross_sectional(df: DataFrame, columns: Iterable[str], scopes: dict[str, list[str]] | None = None, *,
-                    bound: int | None = None) -> DataFrame:
+def cross_sectional(df: DataFrame, columns: Iterable[str], scopes: dict[str, list[str]] | None = None) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     for prefix, keys in (SCOPES if scopes is None else scopes).items():
         df = zscores(df, keys, columns, prefix)
-        df = pct_ranks(df, keys, columns, prefix, bound=bound)
+        df = pct_ranks(df, keys, columns, prefix)
     return df
 
 
-def relative_targets(df: DataFrame, horizons: Iterable[int], *, bound: int | None = None) -> DataFrame:
+def relative_targets(df: DataFrame, horizons: Iterable[int]) -> DataFrame:
     """Market-excess, ranked and sector-excess labels from ``target_ret_fwd_{h}d``."""
     horizons = list(horizons)
     raw = [f"target_ret_fwd_{h}d" for h in horizons]
@@ -68,26 +59,23 @@ def relative_targets(df: DataFrame, horizons: Iterable[int], *, bound: int | Non
         columns[f"target_excess_market_fwd_{h}d"] = F.col(c) - F.col(f"_m_{c}")
         columns[f"target_excess_sector_fwd_{h}d"] = F.col(c) - F.col(f"_g_{c}")
     out = out.withColumns(columns).drop(*[f"_{k}_{c}" for c in raw for k in ("m", "g")])
-    return with_ranks(out, ["date"], {f"target_rank_fwd_{h}d": c for h, c in zip(horizons, raw)}, bound=bound)
+    return with_ranks(out, ["date"], {f"target_rank_fwd_{h}d": c for h, c in zip(horizons, raw)})
 
 
-def liquidity_universe(df: DataFrame, liquidity: str, drop_share: float, *, tie: str = "symbol",
-                       bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def liquidity_universe(df: DataFrame, liquidity: str, drop_share: float, *, tie: str = "symbol") -> DataFrame:
     """Drop the least liquid share of each date; ties by ``tie``, missing liquidity is dropped."""
     if drop_share <= 0:
         return df
-    bound = largest_group(df, ["date"]) if bound is None else bound
-    sized = with_group_size(df, ["date"], liquidity, "_n", bound=bound, limit=limit)
-    placed = with_position(sized, ["date"], liquidity, tie, "_place", bound=bound, limit=limit)
+    sized = with_group_size(df, ["date"], liquidity, "_n")
+    placed = with_position(sized, ["date"], liquidity, tie, "_place")
     return placed.where(F.col("_place") / F.col("_n") > drop_share).drop("_place", "_n")
 
 
-def winsorize(df: DataFrame, columns: Iterable[str], share: float, keys: list[str] | None = None, *,
-              bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def winsorize(df: DataFrame, columns: Iterable[str], share: float, keys: list[str] | None = None) -> DataFrame:
     """Clip each column to its per-date ``[share, 1 - share]`` quantiles; NULL stays NULL."""
     keys = ["date"] if keys is None else keys
     columns = list(columns)
-    bounds = quantile_table(df, keys, columns, [share, 1.0 - share], bound=bound, limit=limit)
+    bounds = quantile_table(df, keys, columns, [share, 1.0 - share])
     out = df.join(bounds, keys, "left")
     clipped = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"{c}_q0")), F.col(f"{c}_q1")))
                for c in columns}
@@ -111,12 +99,12 @@ def standardize_dates(df: DataFrame, columns: Iterable[str], reach: float = 6.0)
     return out.withColumns(fixed).drop(*[f"_{k}_{c}" for c in columns for k in ("m", "s")])
 
 
-def scaler_table(train: DataFrame, columns: Iterable[str], keys: list[str], *,
-                 bound: int | None = None, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
-    """Median, then mean and population deviation after imputing it: one row per ``keys``."""
+def scaler_table(train: DataFrame, columns: Iterable[str], keys: list[str]) -> DataFrame:
+    """Median, then mean and population deviation after imputing it: one row per ``keys``, or one in all."""
     columns = list(columns)
-    medians = quantile_table(train, keys, columns, [0.5], bound=bound, limit=limit)
-    filled = train.select(*keys, *columns).join(medians, keys, "left")
+    medians = quantile_table(train, keys, columns, [0.5])
+    rows = train.select(*keys, *columns)
+    filled = rows.join(medians, keys, "left") if keys else with_one_row(rows, medians)
     value = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_q0"), F.lit(0.0)) for c in columns}
     stats = filled.groupBy(*keys).agg(*[e for c in columns for e in (
         F.max(F.coalesce(F.col(f"{c}_q0"), F.lit(0.0))).alias(f"_med_{c}"),
@@ -127,7 +115,7 @@ def scaler_table(train: DataFrame, columns: Iterable[str], keys: list[str], *,
 def apply_scaler(df: DataFrame, stats: DataFrame, columns: Iterable[str], keys: list[str]) -> DataFrame:
     """Impute and scale with train-fitted statistics; an unusable deviation counts as 1."""
     columns = list(columns)
-    out = df.join(stats, keys, "left")
+    out = df.join(stats, keys, "left") if keys else with_one_row(df, stats)
     scaled = {}
     for c in columns:
         dev = F.when(F.col(f"_std_{c}") > 0, F.col(f"_std_{c}")).otherwise(1.0)
@@ -137,8 +125,7 @@ def apply_scaler(df: DataFrame, stats: DataFrame, columns: Iterable[str], keys:
 
 
 def rank_blend(members: DataFrame, score: str, weight: str | None, *, run: str = "run",
-               ids: tuple[str, ...] = ("date", "symbol"), groups: tuple[str, ...] = (),
-               bound: int | None = None) -> DataFrame:
+               ids: tuple[str, ...] = ("date", "symbol"), groups: tuple[str, ...] = ()) -> DataFrame:
     """Average of per-date pct ranks over the members of a long prediction table.
 
     Only keys scored by every member of the group stay, which replaces a chain of joins. Weights
@@ -152,7 +139,7 @@ def rank_blend(members: DataFrame, score: str, weight: str | None, *, run: str =
     else:
         complete = have.where(F.col("_have") == members.agg(F.countDistinct(run)).scalar())
     kept = members.join(complete.select(*groups, *ids), groups + ids, "left_semi")
-    ranked = with_ranks(kept, groups + [run, "date"], {"_q": score}, bound=bound)
+    ranked = with_ranks(kept, groups + [run, "date"], {"_q": score})
     w = F.col(weight) if weight else F.lit(1.0)
     # rounded, so that the order of summation cannot split equal blends
     blended = ranked.groupBy(*groups, *ids).agg(

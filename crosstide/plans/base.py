@@ -43,11 +43,6 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return df.join(groups_of(spark, sf), "symbol", "left")
 
 
-def names_bound(spark: SparkSession, sf: str) -> int:
-    """Checked size: a date has at most one row per symbol of the lines table."""
-    return tables.table(spark, sf, "lineitem").select("l_suppkey").distinct().count()
-
-
 cte("bars", """
 select l_suppkey as symbol, date_trunc('week', l_shipdate)::date as date,
        arg_min(l_extendedprice, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) as open,

@@ -8,11 +8,11 @@ from crosstide.functions.text import agreed_horizon
 from crosstide.operators import evaluate, quality, rolling, splits, xsection
 from crosstide.plans.base import (
     COST_BPS, EXECUTION_LAG, FIRST_TRAIN_END, HOLDOUT, HORIZON, MIN_NAMES, P, REGIMES_SQL, SHARE,
-    STAND_IN_REGIMES, TRAIN_END, VAL_END, bars, groups_of, names_bound)
+    STAND_IN_REGIMES, TRAIN_END, VAL_END, bars, groups_of)
 from crosstide.plans.feature_queries import KEY, cols
 from crosstide.plans.registry import cte, lagged, led, pct_rank_sql, query
 from crosstide.plans.section_queries import targets_panel
-from crosstide.session import stage
+from crosstide.session import shared, stage
 
 TARGET, RETURN = f"target_excess_sector_fwd_{HORIZON}d", f"target_ret_fwd_{HORIZON}d"
 
@@ -39,6 +39,10 @@ where p.split = 'train' or place > {HORIZON}""")
 
 
 def labelled(spark, sf) -> DataFrame:
+    return shared(spark, "labelled", sf, lambda: _labelled(spark, sf))
+
+
+def _labelled(spark, sf) -> DataFrame:
     """Targets, two scores' inputs and execution-lagged labels; incomplete rows removed."""
     df = bars(spark, sf).select("symbol", "date", "close", "volume").withColumns(
         {"log_dollar_volume": F.log1p(F.col("close") * F.col("volume"))} | rolling.forward_returns([HORIZON]) | rolling.simple_returns([1, 4, 12])
@@ -48,9 +52,9 @@ def labelled(spark, sf) -> DataFrame:
     sector_mean = df.where(F.col("sector").isNotNull()).groupBy("date", "sector").agg(F.avg(RETURN).alias("_m"))
     df = df.join(sector_mean, ["date", "sector"], "left").withColumn(TARGET, F.col(RETURN) - F.col("_m")).drop("_m")
     horizon = agreed_horizon(TARGET, RETURN)
-    return stage(splits.attach_labels(df, TARGET, RETURN, horizon, EXECUTION_LAG).select(
+    return splits.attach_labels(df, TARGET, RETURN, horizon, EXECUTION_LAG).select(
         "symbol", "date", "sector", "mom", "reversal", "rev_4d", "rev_12d", "log_dollar_volume",
-        "eval_target", "eval_return", "label_end_date"))
+        "eval_target", "eval_return", "label_end_date")
 
 
 def kept_rows(spark, sf) -> DataFrame:
@@ -197,14 +201,18 @@ _run = "score:s split:s "
 
 
 def scored(spark, sf) -> DataFrame:
+    return shared(spark, "scored", sf, lambda: _scored(spark, sf))
+
+
+def _scored(spark, sf) -> DataFrame:
     """Validation and test rows in long form: one row per score (momentum rank, reversal)."""
     kept = kept_rows(spark, sf).where(F.col("split") != "train")
     kept = kept.select("symbol", "date", "sector", "split", "eval_target", "eval_return", "mom",
                        F.col("reversal").alias("model_score"))
-    kept = xsection.pct_ranks(kept, ["date"], ["mom"], "cs", bound=names_bound(spark, sf))
+    kept = xsection.pct_ranks(kept, ["date"], ["mom"], "cs")
     kept = kept.withColumnRenamed("cs_rank_mom", "baseline_score")
-    return stage(evaluate.long_scores(kept, ["baseline_score", "model_score"],
-                                      ["symbol", "date", "sector", "split", "eval_target", "eval_return"]))
+    return evaluate.long_scores(kept, ["baseline_score", "model_score"],
+                                ["symbol", "date", "sector", "split", "eval_target", "eval_return"])
 
 
 def ic_sql(keys: str, source: str, x: str = "x", target: str = "eval_target", names: int = MIN_NAMES) -> str:
@@ -224,12 +232,12 @@ from ({ic_sql('score, split', 'scored')})""")
 
 @query("rank_ic", _run + "date:d rank_ic:6 ic:6 n:i", "select * from daily_ic")
 def rank_ic(spark, sf):
-    return evaluate.rank_ic(scored(spark, sf), RUN, "x", "eval_target", MIN_NAMES, bound=names_bound(spark, sf))
+    return evaluate.rank_ic(scored(spark, sf), RUN, "x", "eval_target", MIN_NAMES)
 
 
 def flagship(spark, sf, min_names: int = MIN_NAMES) -> DataFrame:
     """Rank correlation per date of skip momentum with the lagged forward label, after purge and embargo."""
-    return evaluate.rank_ic(scored(spark, sf), RUN, "x", "eval_target", min_names, bound=names_bound(spark, sf))
+    return evaluate.rank_ic(scored(spark, sf), RUN, "x", "eval_target", min_names)
 
 
 cte("placed", f"""
@@ -244,8 +252,7 @@ select score, split, date, avg(eval_target) filter (where place > n - k) as top_
 
 @query("decile_spread", _run + "date:d top_mean:6 bottom_mean:6 top_bottom_spread:6 n:i bucket_size:i", "select * from spread")
 def decile_spread(spark, sf):
-    return evaluate.decile_spread(scored(spark, sf), RUN, "x", "eval_target", SHARE, MIN_NAMES,
-                                  bound=names_bound(spark, sf))
+    return evaluate.decile_spread(scored(spark, sf), RUN, "x", "eval_target", SHARE, MIN_NAMES)
 
 
 # -- portfolios ---------------------------------------------------------------------------------
@@ -261,7 +268,7 @@ where n >= {MIN_NAMES} and (place > n - k or place <= k)"""
 
 @query("ls_weights", _run + "date:d symbol:i weight:8", weights_sql("scored", "score, split"))
 def ls_weights(spark, sf):
-    return evaluate.long_short_weights(scored(spark, sf), RUN, "x", SHARE, MIN_NAMES, bound=names_bound(spark, sf))
+    return evaluate.long_short_weights(scored(spark, sf), RUN, "x", SHARE, MIN_NAMES)
 
 
 _need = max(10, int(MIN_NAMES * SHARE))
@@ -277,8 +284,7 @@ select u.score, u.split, u.date, u.symbol, u.sector,
        (case when place > n - k then 0.5::double / parts / k else 0 end) - (case when place <= k then 0.5::double / parts / k else 0 end) as weight
 from u join s on u.score = s.score and u.split = s.split and u.date = s.date where place > n - k or place <= k""")
 def sector_neutral_weights(spark, sf):
-    return evaluate.sector_neutral_weights(scored(spark, sf), RUN, "x", SHARE, MIN_NAMES,
-                                           bound=names_bound(spark, sf))
+    return evaluate.sector_neutral_weights(scored(spark, sf), RUN, "x", SHARE, MIN_NAMES)
 
 
 def backtest_ctes(source: str, keys: str, prefix: str) -> None:
@@ -318,7 +324,7 @@ PERIODS_PER_YEAR = 252.0 / HORIZON
 
 @query("backtest", _run + "date:d " + _bt, "select * from run_bt")
 def backtest(spark, sf):
-    return evaluate.backtest(scored(spark, sf), RUN, "x", "eval_return", bound=names_bound(spark, sf), **BT)
+    return evaluate.backtest(scored(spark, sf), RUN, "x", "eval_return", **BT)
 
 
 def bt_summary_sql(keys: str, bt: str) -> str:
@@ -338,7 +344,7 @@ _bts = ("periods:i mean_period_return_net:6 ann_return_net:5 ann_vol_net:5 sharp
 @query("backtest_summary", _run + _bts + " suspect:b",
        f"select *, coalesce(sharpe_net > 3.0, false) as suspect from ({bt_summary_sql('score, split', 'run_bt')})")
 def backtest_summary(spark, sf):
-    bt = evaluate.backtest(scored(spark, sf), RUN, "x", "eval_return", bound=names_bound(spark, sf), **BT)
+    bt = evaluate.backtest(scored(spark, sf), RUN, "x", "eval_return", **BT)
     out = evaluate.backtest_summary(bt, RUN, PERIODS_PER_YEAR)
     return out.withColumn("suspect", evaluate.suspect("sharpe_net", F.lit(None).cast("double")))
 
@@ -410,8 +416,7 @@ left join (select {_RK}, avg(s) as mean_top_bottom_spread, stddev_samp(s) as spr
 left join ({bt_summary_sql(_RK, 'reg_bt')}) b on {_on('c', 'b')}""")
 def regime_metrics(spark, sf):
     tagged = stage(evaluate.in_regimes(scored(spark, sf), STAND_IN_REGIMES))
-    return evaluate.score_metrics(tagged, RUN + ["regime"], "x", "eval_target", "eval_return", horizon=HORIZON,
-                                  bound=names_bound(spark, sf), **BT)
+    return evaluate.score_metrics(tagged, RUN + ["regime"], "x", "eval_target", "eval_return", horizon=HORIZON, **BT)
 
 
 # -- many horizons ------------------------------------------------------------------------------
@@ -442,7 +447,7 @@ def multi_horizon_eval(spark, sf):
                  F.col(f"target_{f}_fwd_{h}d").alias("y")) for f, h in _pairs])).alias("_e")).select(
         "symbol", "date", "split", "_e.*")
     keys = ["horizon", "target_family", "split"]
-    ic = evaluate.rank_ic(long, keys, "x", "y", MIN_NAMES, bound=names_bound(spark, sf))
+    ic = evaluate.rank_ic(long, keys, "x", "y", MIN_NAMES)
     rows = long.groupBy(*keys).agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("rows"))
     return rows.join(evaluate.simple_ic_summary(ic, keys), keys, "left").fillna(0, ["dates"])
 
@@ -514,5 +519,5 @@ def raw_predictability(spark, sf):
     joined = diag.join(labels, ["symbol", "date"])
     long = evaluate.long_scores(joined, ["close", "close_lag1", "log_ret"], ["symbol", "date", *_families])
     long = long.unpivot(["symbol", "date", "score", "x"], _families, "target", "y")
-    ic = evaluate.rank_ic(long, ["score", "target"], "x", "y", MIN_NAMES, bound=names_bound(spark, sf))
+    ic = evaluate.rank_ic(long, ["score", "target"], "x", "y", MIN_NAMES)
     return evaluate.simple_ic_summary(ic, ["score", "target"])

@@ -8,24 +8,29 @@ from crosstide.functions.scalars import with_one_row
 from crosstide.operators import evaluate, experiments, models, rolling, splits, xsection
 from crosstide.operators.experiments import TREE_MODELS
 from crosstide.plans.base import (
-    EXECUTION_LAG, HORIZON, MIN_NAMES, P, REGIMES_SQL, STAND_IN_REGIMES, TRAIN_END, VAL_END, bars, names_bound)
+    EXECUTION_LAG, HORIZON, MIN_NAMES, P, REGIMES_SQL, SHARE, STAND_IN_REGIMES, TRAIN_END, VAL_END, bars)
 from crosstide.plans.evaluation_queries import (
     BT, PERIODS_PER_YEAR, RETURN, TARGET, all_folds, backtest_ctes, bt_summary_sql, ic_sql, ic_summary_sql,
     kept_rows, labelled)
 from crosstide.plans.feature_queries import KEY, cols
 from crosstide.plans.registry import cte, lagged, pct_rank_sql, query
-from crosstide.session import stage
+from crosstide.plans.section_queries import signals
+from crosstide.session import shared, stage
 from crosstide.sources import files, tables
 
-FEATURES = ["mom", "reversal", "rev_4d", "rev_12d", "log_dollar_volume"]
+FEATURES = list(P.core_features)
+RANKED = [c.removeprefix("cs_rank_") for c in FEATURES if c.startswith("cs_rank_")]
 ALPHA = 10.0
 
 # -- models -------------------------------------------------------------------------------------
 
 
-def design(spark, sf, features=FEATURES) -> DataFrame:
-    return models.prepare_design(labelled(spark, sf), list(features), liquidity="log_dollar_volume", drop_share=0.1,
-                                 winsor_share=0.01, bound=names_bound(spark, sf))
+def design(spark, sf, features=("mom", *FEATURES)) -> DataFrame:
+    """Labelled rows with the core features, their liquidity universe, clipped per date."""
+    labels = labelled(spark, sf).select("symbol", "date", "sector", "eval_target", "eval_return", "label_end_date")
+    inputs = xsection.pct_ranks(signals(spark, sf).drop("sector", "sub_industry", "close"), ["date"], RANKED, "cs")
+    return models.prepare_design(labels.join(inputs, ["symbol", "date"]), list(features), liquidity="log_dollar_volume", drop_share=0.1,
+                                 winsor_share=0.01)
 
 
 def _clip_ctes(features) -> None:
@@ -40,7 +45,7 @@ where log_dollar_volume is not null and q > 0.1::double""")
         + " from universe u join b on u.date = b.date")
 
 
-_clip_ctes(FEATURES)
+_clip_ctes(["mom"])
 cte("design_kept", f"""
 with s as (select *, case when date <= date '{TRAIN_END}' then 'train' when date <= date '{VAL_END}' then 'val' else 'test' end as split from clipped),
      p as (select *, dense_rank() over (partition by split order by date) as place from s where label_end_date <= case split
@@ -55,7 +60,7 @@ with tr as (select * from design_kept where split = 'train'),
      b as (select sum((coalesce(mom, md) - m) / s * (eval_target - yb)) / (sum(pow((coalesce(mom, md) - m) / s, 2)) + {ALPHA}) as beta from tr, md, st)
 select symbol, date, split, (coalesce(mom, md) - m) / s * beta + yb as model_score from design_kept, md, st, b where split <> 'train'""")
 def ridge_one_feature(spark, sf):
-    _, scored = models.train_and_score(design(spark, sf), ["mom"], "eval_target", TRAIN_END, VAL_END, HORIZON,
+    _, scored = models.train_and_score(design(spark, sf, ["mom"]), ["mom"], "eval_target", TRAIN_END, VAL_END, HORIZON,
                                        lambda t, f, y: models.fit_ridge(t, f, y, ALPHA))
     return scored
 
@@ -81,21 +86,22 @@ def gbt_scores(spark, sf):
 @query("walk_forward_scores", "fold:s mean_rank_ic:6 rank_ic_ir:5 ic_dates:i sharpe_net:5 rows:i")
 def walk_forward_scores(spark, sf):
     scored = stage(models.walk_forward(design(spark, sf), FEATURES, "eval_target", all_folds(), HORIZON))
-    return evaluate.score_metrics(scored, ["fold"], "model_score", "eval_target", "eval_return", horizon=HORIZON,
-                                  bound=names_bound(spark, sf), **BT)
+    return evaluate.score_metrics(scored, ["fold"], "model_score", "eval_target", "eval_return", horizon=HORIZON, **BT)
 
 
 # -- run table: rule scores under model labels, two variants, two targets -------------------------
 
 MODELS = {"ridge": "mom", "lightgbm": "reversal", "xgboost": "rev_4d", "mlp": "rev_12d"}
 TARGETS = {TARGET: "eval_target", RETURN: "eval_return"}
+# Variant -> share of the sector's mean that is taken off the score.
+VARIANTS = {"tabular": 0.0, "supervised_graph": 1.0, "supervised_graph_sector": 0.5}
 
 cte("member_scores", "select k.symbol, k.date, k.sector, k.split, m.model, v.feature_variant, t.target_col, "
     "'run__' || t.target_col || '__' || v.feature_variant || '__' || m.model as run_name, "
-    "case v.feature_variant when 'tabular' then m.x else m.x - avg(m.x) over (partition by k.date, k.sector, m.model, v.feature_variant, t.target_col) end as x, "
+    "m.x - v.taken * avg(m.x) over (partition by k.date, k.sector, m.model, v.feature_variant, t.target_col) as x, "
     f"case t.target_col when '{TARGET}' then k.eval_target else k.eval_return end as eval_target, k.eval_return "
     "from (select * from kept where split <> 'train') k, lateral (values " + ", ".join(f"('{m}', k.{c})" for m, c in MODELS.items())
-    + ") m(model, x), (values ('tabular'), ('supervised_graph')) v(feature_variant), (values "
+    + ") m(model, x), (values " + ", ".join(f"('{v}', {w}::double)" for v, w in VARIANTS.items()) + ") v(feature_variant, taken), (values "
     + ", ".join(f"('{t}')" for t in TARGETS) + ") t(target_col)")
 cte("member_base", f"""
 select symbol, date, sector, split, 'baseline' as run_name, target_col, x, eval_target, eval_return from (
@@ -130,8 +136,8 @@ def member_scores(spark, sf) -> DataFrame:
     means = kept.groupBy("date", "sector").agg(*[F.avg(c).alias(f"_m_{c}") for c in MODELS.values()])
     wide = kept.join(means, ["date", "sector"], "left")
     options = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(v).alias("feature_variant"),
-                                 (F.col(c) if v == "tabular" else F.col(c) - F.col(f"_m_{c}")).alias("x"))
-                        for m, c in MODELS.items() for v in ("tabular", "supervised_graph")])
+                                 (F.col(c) - F.lit(taken) * F.col(f"_m_{c}")).alias("x"))
+                        for m, c in MODELS.items() for v, taken in VARIANTS.items()])
     labels = F.array(*[F.struct(F.lit(t).alias("target_col"), F.col(c).alias("eval_target")) for t, c in TARGETS.items()])
     long = wide.select("symbol", "date", "sector", "split", "eval_return", F.explode(options).alias("_o"), labels.alias("_t"))
     long = long.select("symbol", "date", "sector", "split", "eval_return", "_o.*", F.explode("_t").alias("_t"))
@@ -141,7 +147,7 @@ def member_scores(spark, sf) -> DataFrame:
 
 def baseline_rows(spark, sf) -> DataFrame:
     kept = kept_rows(spark, sf).where(F.col("split") != "train")
-    kept = xsection.with_ranks(kept, ["date"], {"x": "mom"}, bound=names_bound(spark, sf))
+    kept = xsection.with_ranks(kept, ["date"], {"x": "mom"})
     labels = F.array(*[F.struct(F.lit(t).alias("target_col"), F.col(c).alias("eval_target")) for t, c in TARGETS.items()])
     out = kept.select("symbol", "date", "sector", "split", "x", "eval_return", F.explode(labels).alias("_t"))
     return out.select("symbol", "date", "sector", "split", "x", "eval_return", "_t.*", F.lit("baseline").alias("run_name"))
@@ -149,17 +155,20 @@ def baseline_rows(spark, sf) -> DataFrame:
 
 def run_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
     """``(predictions, metrics)``: staged long predictions and one metric row per run, score and split."""
-    predictions = stage(member_scores(spark, sf))
+    predictions = shared(spark, "run_predictions", sf, lambda: member_scores(spark, sf))
+    return predictions, shared(spark, "run_table", sf, lambda: _metric_table(spark, sf, predictions))
+
+
+def _metric_table(spark, sf, predictions: DataFrame) -> DataFrame:
     ids = ["run_name", "target_col", "split", "symbol", "date", "sector", "x", "eval_target", "eval_return"]
     rows = stage(predictions.select(*ids, F.lit("model_score").alias("score")).unionByName(
         baseline_rows(spark, sf).select(*ids, F.lit("baseline_score").alias("score"))))
     keys = ["run_name", "score", "target_col", "split"]
-    table = stage(evaluate.score_metrics(rows, keys, "x", "eval_target", "eval_return", horizon=HORIZON,
-                                         bound=names_bound(spark, sf), **BT))
+    table = stage(evaluate.score_metrics(rows, keys, "x", "eval_target", "eval_return", horizon=HORIZON, **BT))
     runs = predictions.select(*RUN_COLS).distinct()
     own = runs.join(table.where(F.col("score") == "model_score").drop("target_col"), "run_name")
     base = runs.join(table.where(F.col("score") == "baseline_score").drop("run_name"), "target_col")
-    return predictions, stage(own.unionByName(base.select(*own.columns)))
+    return own.unionByName(base.select(*own.columns))
 
 
 _RUN = "run_name:s model:s feature_variant:s target_col:s "
@@ -190,21 +199,34 @@ def select_best(spark, sf):
     return best.join(top, ["run_name", "score", "split"], "left").fillna(False, ["family_best"])
 
 
+@query("best_by_family", _RUN + "target_family:s horizon:i " + _M, r"""
+select * exclude (rn) from (select *, regexp_extract(target_col, '_fwd_(\d+)d$', 1)::int as horizon, regexp_extract(target_col, '^target_(.+)_fwd_(\d+)d$', 1) as target_family,
+       row_number() over (partition by target_col order by rank_ic_ir desc, run_name) as rn
+from metrics where score = 'model_score' and split = 'val' and rank_ic_ir is not null) where rn = 1""")
+def best_by_family(spark, sf):
+    _, table = run_tables(spark, sf)
+    val = table.where((F.col("score") == "model_score") & (F.col("split") == "val"))
+    return experiments.best_by_family(experiments.with_target_parts(val), "rank_ic_ir")
+
+
 GATE = dict(min_ic=0.0, min_years=1, min_positive=0.5, min_regime=-0.01)
 
 
 def selected_with_stability(spark, sf):
     """Validation row of every selected run with its gate flags."""
     predictions, table = run_tables(spark, sf)
+    return predictions, shared(spark, "stability", sf, lambda: _stability(predictions, table))
+
+
+def _stability(predictions: DataFrame, table: DataFrame) -> DataFrame:
     best = experiments.select_best(table, "rank_ic_ir", ("target_col", "model", "feature_variant"))
     val = best.where((F.col("score") == "model_score") & (F.col("split") == "val")).select(
         *RUN_COLS, "mean_rank_ic", "rank_ic_ir")
     rows = predictions.where(F.col("split") == "val")
-    bound = names_bound(spark, sf)
-    ic = stage(evaluate.rank_ic(rows, ["run_name"], "x", "eval_target", MIN_NAMES, bound=bound))
+    ic = stage(evaluate.rank_ic(rows, ["run_name"], "x", "eval_target", MIN_NAMES))
     yearly = experiments.yearly_ic(ic, ["run_name"], 0.0)
     regimes = evaluate.simple_ic_summary(evaluate.in_regimes(ic, STAND_IN_REGIMES), ["run_name", "regime"])
-    return predictions, stage(experiments.stability(val, yearly, regimes, **GATE))
+    return experiments.stability(val, yearly, regimes, **GATE)
 
 
 cte("gate", f"""
@@ -216,7 +238,11 @@ with v as (select run_name, model, feature_variant, target_col, mean_rank_ic, ra
      s as (select run_name, count(*) as val_years, avg((m >= 0)::int::double) as val_positive_year_frac, min(m) as val_min_year_rank_ic from y group by 1),
      g as (select run_name, min(m) as val_min_regime_rank_ic from (select run_name, regime, avg(rank_ic) as m
              from ic join (values {REGIMES_SQL}) r(regime, a, b) on date between a and b group by 1, 2) group by 1)
-select *, stability_reason = 'pass' as stable from (
+select run_name, model, feature_variant, target_col, mean_rank_ic, rank_ic_ir, stability_reason, stability_reason = 'pass' as stable,
+  case when stability_reason in ('low_full_val_rank_ic', 'empty_val_rank_ic_file') then 0 else val_years end as val_years,
+  case when stability_reason in ('unstable_yearly_rank_ic', 'unstable_regime_rank_ic', 'pass') then val_positive_year_frac end as val_positive_year_frac,
+  case when stability_reason in ('unstable_yearly_rank_ic', 'unstable_regime_rank_ic', 'pass') then val_min_year_rank_ic end as val_min_year_rank_ic,
+  case when stability_reason in ('unstable_regime_rank_ic', 'pass') then val_min_regime_rank_ic end as val_min_regime_rank_ic from (
   select v.*, coalesce(val_years, 0) as val_years, val_positive_year_frac, val_min_year_rank_ic, val_min_regime_rank_ic,
          case when mean_rank_ic is null or mean_rank_ic < 0 then 'low_full_val_rank_ic' when val_years is null then 'empty_val_rank_ic_file'
               when val_years < {GATE['min_years']} then 'too_few_val_years' when val_positive_year_frac < 0.5 then 'unstable_yearly_rank_ic'
@@ -241,7 +267,7 @@ with e as (
   union all select *, 'ensemble_no_mlp' from gate where model <> 'mlp'
   union all select *, 'ensemble_tree_only' from gate where model in ({_trees})
   union all select *, 'ensemble_supervised_graph_tree' from gate where model in ({_trees}) and feature_variant = 'supervised_graph'
-  union all select *, 'ensemble_graph_ablation_tree' from gate where model in ({_trees}) and feature_variant = 'supervised_graph'
+  union all select *, 'ensemble_graph_ablation_tree' from gate where model in ({_trees}) and starts_with(feature_variant, 'supervised_graph')
   union all select *, 'ensemble_stability_filtered' from gate where stable)
 select *, greatest(0, coalesce(rank_ic_ir, 0)) as member_weight from (select *, count(*) over (partition by target_col, ensemble) as n_members from e) where n_members >= 2""")
 cte("blend", f"""
@@ -254,21 +280,21 @@ select target_col, ensemble, date, symbol, any_value(sector) as sector, any_valu
 from q group by 1, 2, 3, 4""")
 
 
-def ensemble_scores(spark, sf) -> DataFrame:
+def ensemble_scores(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """``(blended scores, member table)``."""
     predictions, gate = selected_with_stability(spark, sf)
-    members = experiments.ensemble_members(gate, "rank_ic_ir").select("run_name", "ensemble", "member_weight")
-    long = stage(predictions.join(members, "run_name"))
-    blended = xsection.rank_blend(long, "x", "member_weight", run="run_name", groups=("target_col", "ensemble"),
-                                  bound=names_bound(spark, sf))
+    members = stage(experiments.ensemble_members(gate, "rank_ic_ir"))
+    long = stage(predictions.join(members.select("run_name", "ensemble", "member_weight"), "run_name"))
+    blended = xsection.rank_blend(long, "x", "member_weight", run="run_name", groups=("target_col", "ensemble"))
     facts = predictions.groupBy("target_col", "date", "symbol").agg(
         F.first("sector").alias("sector"), F.first("split").alias("split"), F.first("eval_target").alias("eval_target"),
         F.first("eval_return").alias("eval_return"))
-    return blended.join(facts, ["target_col", "date", "symbol"])
+    return blended.join(facts, ["target_col", "date", "symbol"]), members
 
 
 @query("rank_ensemble", "target_col:s ensemble:s " + KEY + "rank_equal:6 rank_weighted:6", "select * from blend")
 def rank_ensemble(spark, sf):
-    return ensemble_scores(spark, sf)
+    return ensemble_scores(spark, sf)[0]
 
 
 cte("ens_source", """
@@ -278,15 +304,33 @@ _NK = "ensemble, weighting, target_col, split"
 cte("ens_ic", f"select {_NK}, date, case when isnan(rank_ic) then null else rank_ic end as rank_ic, case when isnan(ic) then null else ic end as ic, n from ({ic_sql(_NK, 'ens_source')})")
 
 
-@query("ensemble_metrics", "ensemble:s weighting:s target_col:s split:s mean_rank_ic:5 mean_ic:5 ic_dates:i",
-       f"select * from ({ic_summary_sql(_NK, 'ens_ic')})")
+backtest_ctes("ens_source", _NK, "ens")
+cte("ens_spread", f"""
+select {_NK}, avg(s) as mean_top_bottom_spread, count(s) as spread_dates from (
+  select {_NK}, date, avg(eval_target) filter (where place > n - k) - avg(eval_target) filter (where place <= k) as s
+  from (select *, floor(greatest(n * {SHARE}::double, 1)) as k from (
+          select *, row_number() over (partition by {_NK}, date order by x, symbol) as place, count(*) over (partition by {_NK}, date) as n
+          from ens_source where x is not null and eval_target is not null) where n >= {MIN_NAMES}) group by {_NK}, date) group by {_NK}""")
+
+
+def _same(a: str, b: str) -> str:
+    return " and ".join(f"{a}.{c} = {b}.{c}" for c in _NK.split(", "))
+
+
+@query("ensemble_metrics", "ensemble:s weighting:s target_col:s split:s mean_rank_ic:5 mean_ic:5 ic_dates:i mean_top_bottom_spread:6 spread_dates:i "
+       "periods:i ann_return_net:5 sharpe_net:5 max_drawdown_net:6 avg_turnover:6 final_equity_net:e members:s",
+       f"""select i.*, s.* exclude ({_NK}), b.* exclude ({_NK}), m.members from ({ic_summary_sql(_NK, 'ens_ic')}) i
+left join ens_spread s on {_same('i', 's')} left join ({bt_summary_sql(_NK, 'ens_bt')}) b on {_same('i', 'b')}
+left join (select target_col, ensemble, string_agg(run_name, '|' order by run_name) as members from members group by 1, 2) m
+  on i.target_col = m.target_col and i.ensemble = m.ensemble""")
 def ensemble_metrics(spark, sf):
-    blended = ensemble_scores(spark, sf).withColumnsRenamed({"rank_equal": "equal", "rank_weighted": "weighted"})
+    blended, members = ensemble_scores(spark, sf)
+    blended = blended.withColumnsRenamed({"rank_equal": "equal", "rank_weighted": "weighted"})
     ids = ["ensemble", "target_col", "split", "symbol", "date", "sector", "eval_target", "eval_return"]
     rows = stage(blended.unpivot(ids, ["equal", "weighted"], "weighting", "x"))
     keys = ["ensemble", "weighting", "target_col", "split"]
-    ic = evaluate.rank_ic(rows, keys, "x", "eval_target", MIN_NAMES, bound=names_bound(spark, sf))
-    return evaluate.ic_summary(ic, keys, HORIZON)
+    metrics = evaluate.score_metrics(rows, keys, "x", "eval_target", "eval_return", horizon=HORIZON, **BT)
+    return metrics.join(experiments.member_lists(members), ["target_col", "ensemble"], "left")
 
 
 @query("baseline_delta", _RUN.replace("feature_variant:s ", "") + "model_test_icir:5 baseline_test_icir:5 delta_icir:5 delta_sharpe:5 "
@@ -341,34 +385,38 @@ def fold_summary(spark, sf):
     long = stage(rows.select("fold", "symbol", "date", "eval_target", F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(c).alias("x")) for m, c in MODELS.items()])).alias("_e")).select(
         "fold", "symbol", "date", "eval_target", "_e.*"))
-    ic = evaluate.rank_ic(long, ["fold", "model"], "x", "eval_target", MIN_NAMES, bound=names_bound(spark, sf))
+    ic = evaluate.rank_ic(long, ["fold", "model"], "x", "eval_target", MIN_NAMES)
     folds = evaluate.ic_summary(ic, ["fold", "model"], HORIZON)
     out = stage(experiments.across_folds(folds, ["model"], ["rank_ic_ir", "mean_rank_ic"]))
-    best = experiments.best_rows(out.withColumn("_all", F.lit(1)), ["_all"], "mean_rank_ic_ir", "model").select(
-        "model", F.lit(True).alias("best"))
-    return out.join(best, "model", "left").fillna(False, ["best"])
+    top = out.agg(F.max_by("model", F.struct(F.coalesce("mean_rank_ic_ir", F.lit(float("-inf"))), F.lit(0))).alias("top")).scalar()
+    return out.withColumn("best", F.col("model") == top)
 
 
 # -- grids and refinements ------------------------------------------------------------------------
 
-_GRID = {"model": ["ridge", "xgboost", "lightgbm"], "horizon": [1, 4, 12], "alpha": [1.0, 10.0, 100.0]}
+_GRID = {"horizon": [1, 4, 12], "family": ["excess_sector", "excess_market"], "variant": ["tabular", "supervised_graph"],
+         "model": ["ridge", "xgboost", "lightgbm"], "alpha": [1.0, 10.0, 100.0]}
+_AXES = ["horizon", "family", "variant", "model", "alpha"]
 KEEP = 12
 
 
-@query("task_grid", "run_name:s sub_industry:s model:s horizon:i alpha:1 open:b", f"""
-with g as (select *, 'grid__' || sub_industry || '__' || model || '__' || horizon || '__' || alpha::int as run_name
+@query("task_grid", "run_name:s sub_industry:s horizon:i family:s variant:s model:s alpha:1 open:b", f"""
+with g as (select *, 'grid__' || sub_industry || '__target_' || family || '_fwd_' || horizon || 'd__' || variant || '__' || model || '__alpha' || alpha::int as run_name
            from (select sub_industry, count(*) as n from panel where sub_industry is not null group by 1) s,
                 (values {', '.join(f"('{m}')" for m in _GRID['model'])}) m(model), (values {', '.join(f'({h})' for h in _GRID['horizon'])}) h(horizon),
+                (values {', '.join(f"('{x}')" for x in _GRID['family'])}) y(family), (values {', '.join(f"('{x}')" for x in _GRID['variant'])}) w(variant),
                 (values {', '.join(f'({a}::double)' for a in _GRID['alpha'])}) a(alpha)),
-     t as (select *, row_number() over (partition by sub_industry order by model, horizon, alpha) - 1 as i, count(*) over (partition by sub_industry) as c from g),
+     t as (select *, row_number() over (partition by sub_industry order by {', '.join(_AXES)}) - 1 as i, count(*) over (partition by sub_industry) as c from g),
      k as (select * from t where i in (select floor(j * (c - 1) / {KEEP - 1}.0::double) from (select unnest(range({KEEP})) as j)))
-select run_name, sub_industry, model, horizon, alpha, not (n % 2 = 0 and model = 'ridge') as open from k""")
+select run_name, sub_industry, horizon, family, variant, model, alpha, not (n % 2 = 0 and model = 'ridge') as open from k""")
 def task_grid(spark, sf):
     from crosstide.plans.base import panel
     base = panel(spark, sf).where(F.col("sub_industry").isNotNull()).groupBy("sub_industry").agg(F.count(F.lit(1)).alias("n"))
-    grid = experiments.expand_grid(base, _GRID).withColumns({"_p": F.lit("grid"), "_a": F.col("alpha").cast("int")})
-    grid = experiments.with_run_name(grid, ["_p", "sub_industry", "model", "horizon", "_a"])
-    thin = stage(experiments.thin_grid(grid, ["sub_industry"], ["model", "horizon", "alpha"], KEEP))
+    grid = experiments.expand_grid(base, _GRID).withColumns({
+        "_p": F.lit("grid"), "_t": F.concat(F.lit("target_"), "family", F.lit("_fwd_"), "horizon", F.lit("d")),
+        "_a": F.concat(F.lit("alpha"), F.col("alpha").cast("int"))})
+    grid = experiments.with_run_name(grid, ["_p", "sub_industry", "_t", "variant", "model", "_a"])
+    thin = stage(experiments.thin_grid(grid, ["sub_industry"], _AXES, KEEP))
     done = thin.where((F.col("n") % 2 == 0) & (F.col("model") == "ridge"))
     left = experiments.open_tasks(thin, done).select("run_name", F.lit(True).alias("open"))
     return thin.join(left, "run_name", "left").fillna(False, ["open"])
@@ -380,16 +428,16 @@ _params = ["n_estimators", "learning_rate", "max_depth", "num_leaves", "min_chil
 def _refine_sql() -> str:
     lw = "model = 'lightgbm'"
     rows = {
-        "arc_refine_lower_lr": ["floor(n_estimators * 1.5::double)", "least(greatest(learning_rate * 0.65::double, 0.01::double), 0.08::double)", "max_depth",
-                                "num_leaves", "min_child", "subsample", "colsample", "reg_lambda"],
-        "arc_refine_more_regularized": ["n_estimators", "learning_rate", f"greatest(case when {lw} then 3 else 2 end, max_depth - 1)",
-                                        "greatest(7, floor(num_leaves / 2))", f"case when {lw} then floor(min_child * 1.5::double) else min_child * 1.7::double end",
+        "refine_lower_lr": ["floor(n_estimators * 1.5::double)", "least(greatest(learning_rate * 0.65::double, 0.01::double), 0.08::double)", "max_depth",
+                                f"case when {lw} then num_leaves end", "min_child", "subsample", "colsample", "reg_lambda"],
+        "refine_more_regularized": ["n_estimators", "learning_rate", f"greatest(case when {lw} then 3 else 2 end, max_depth - 1)",
+                                        f"case when {lw} then greatest(7, floor(num_leaves / 2)) end", f"case when {lw} then floor(min_child * 1.5::double) else min_child * 1.7::double end",
                                         "least(greatest(subsample - 0.05::double, 0.55::double), 0.95::double)",
                                         "least(greatest(colsample - 0.05::double, 0.55::double), 0.95::double)", "reg_lambda * 1.7::double"],
-        "arc_refine_more_capacity": ["greatest(200, floor(n_estimators * 0.85::double))",
+        "refine_more_capacity": ["greatest(200, floor(n_estimators * 0.85::double))",
                                      "least(greatest(learning_rate * 1.15::double, 0.015::double), 0.08::double)",
                                      f"least(case when {lw} then 7 else 6 end, max_depth + 1)",
-                                     "least(127, greatest(num_leaves + 16, floor(num_leaves * 1.6::double)))",
+                                     f"case when {lw} then least(127, greatest(num_leaves + 16, floor(num_leaves * 1.6::double))) end",
                                      f"case when {lw} then greatest(80, floor(min_child * 0.7::double)) else greatest(10, min_child * 0.65::double) end",
                                      "least(greatest(subsample + 0.05::double, 0.55::double), 0.95::double)",
                                      "least(greatest(colsample + 0.05::double, 0.55::double), 0.95::double)", "greatest(1, reg_lambda * 0.75::double)"]}
@@ -442,7 +490,7 @@ def dedupe_resume(spark, sf):
 @query("feature_catalogue", "file:s column:s largest_lookback:i in_window:b core:b rows:i")
 def feature_catalogue(spark, sf):
     """Writes two feature groups of the panel and reads their catalogue back."""
-    from crosstide.session import stage_dir
+    from crosstide.session import shared, stage_dir
     import uuid
     out = f"{stage_dir(spark)}/groups-{uuid.uuid4().hex}"
     df = bars(spark, sf).withColumns(rolling.price_state())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from crosstide.functions.calendar import age_columns, calendar_columns
 from crosstide.functions.scalars import with_one_row
@@ -45,12 +45,11 @@ with s as (select * from bars where date between date '1996-01-01' and date '200
      f as (select * from h where symbol in (select symbol from (select distinct symbol from h) order by symbol limit 40))
 select symbol, date, close, (select count(*) from f) as rows_scoped, (select count(distinct symbol) from f) as symbols_scoped,
        (select min(date) from f) as date_min, (select max(date) from f) as date_max
-from f order by symbol, date limit 500""")
+from f""")
 def load_scope(spark, sf):
     scoped = tables.scope(bars(spark, sf), start="1996-01-01", end="2000-12-31", min_history=200, max_symbols=40)
     summary = tables.load_summary(scoped).withColumnsRenamed({"rows": "rows_scoped", "symbols": "symbols_scoped"})
-    sample = scoped.select("symbol", "date", "close").orderBy("symbol", "date").limit(500)
-    return with_one_row(sample, summary)
+    return with_one_row(scoped.select("symbol", "date", "close"), summary)
 
 
 cte("dirty", """
@@ -192,12 +191,11 @@ _rets = [f"ret_{w}d" for w in P.returns]
        + f"select symbol, {roll('sum', 'r1', 5, 5)} as s, lp - {lagged('lp', 5)} as direct from ("
        + f"select symbol, date, lp, lp - {lagged('lp', 1)} as r1 from rets)) group by symbol) g on r.symbol = g.symbol")
 def returns(spark, sf):
-    df = bars(spark, sf)
-    gap = rolling.additivity_gap(df).select("symbol", F.coalesce(F.col("max_abs_diff") < 1e-9, F.lit(True)).alias("additivity_ok"))
-    df = df.withColumn("log_price", F.log("close"))
+    df = bars(spark, sf).withColumn("log_price", F.log("close"))
     df = df.withColumns(rolling.simple_returns(P.returns) | rolling.log_returns(P.returns))
-    df = df.withColumns(rolling.reversals(P.returns) | rolling.acceleration(P.accel_pairs))
-    return df.join(gap, "symbol")
+    df = df.withColumns(rolling.reversals(P.returns) | rolling.acceleration(P.accel_pairs) | rolling.additivity_gap())
+    worst = F.max("_additivity_gap").over(Window.partitionBy("symbol"))
+    return df.withColumn("additivity_ok", F.coalesce(worst < 1e-9, F.lit(True)))
 
 
 @query("skip_momentum", KEY + cols([f"mom_{b}d_skip_{a}d" for a, b in P.skip_pairs], 6),
@@ -382,12 +380,10 @@ select symbol, date, rn as history_rows, label_end as label_end_date, s as histo
 from (select symbol, date, row_number() over (partition by symbol order by date) as rn, {led('date', 12)} as label_end,
              sum(close) {over(26)} as s, min(date) {over(26)} as f from bars) where rn >= 26 and label_end is not null""")
 def sequence_grid(spark, sf):
-    b = bars(spark, sf)
-    grid = rolling.sequence_grid(b, 26, 12)
-    payload = rolling.sequence_windows(b, 26, 12, ["close"]).select(
-        "symbol", "date", F.aggregate("history", F.lit(0.0), lambda acc, x: acc + x["close"]).alias("history_close_sum"),
+    return rolling.sequence_windows(bars(spark, sf), 26, 12, ["close"]).select(
+        "symbol", "date", "history_rows", "label_end_date",
+        F.aggregate("history", F.lit(0.0), lambda acc, x: acc + x["close"]).alias("history_close_sum"),
         F.get("history", F.lit(0))["date"].alias("history_from"), F.element_at("future_dates", -1).alias("future_to"))
-    return grid.join(payload, ["symbol", "date"])
 
 
 @query("sequence_splits", "split:s symbols:i rows:i date_min:d date_max:d min_rows_per_symbol:i "

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crosstide.functions.calendar import age_columns
+from crosstide.functions.numeric import clip
 from crosstide.operators import asof, rolling, rollup, splits, xsection
 from crosstide.operators.roller import Roller
-from crosstide.plans.base import P, TRAIN_END, bars, company_dim, core_prices, groups_of, names_bound, panel
+from crosstide.plans.base import P, TRAIN_END, bars, company_dim, core_prices, groups_of, panel
 from crosstide.plans.feature_queries import KEY, cols, half
-from crosstide.plans.registry import cte, lagged, led, over, pct_rank_sql, query, roll, z_sql
-from crosstide.session import stage
+from crosstide.plans.registry import QUERIES, cte, lagged, led, over, pct_rank_sql, query, roll, z_sql
+from crosstide.session import shared, stage
 
 
 def compounded_sql(ret: str, w: int, key: str, need: int | None = None) -> str:
@@ -97,7 +99,7 @@ cte("excess", "select p.symbol, p.date, p.sector, p.sub_industry, " + ", ".join(
 def group_excess_rank(spark, sf):
     base = bars(spark, sf).withColumns(rolling.simple_returns(P.returns))
     base = base.withColumn("dollar_volume", F.col("close") * F.col("volume")).join(groups_of(spark, sf), "symbol", "left")
-    return rollup.market_industry(stage(base), P, bound=names_bound(spark, sf))
+    return rollup.market_industry(stage(base), P)
 
 
 # -- beta, peers, style -------------------------------------------------------------------------
@@ -129,31 +131,86 @@ def beta_corr_idio(spark, sf):
     return rolling.market_linkage(joined, P.betas)
 
 
-def _vol(w: int) -> str:
-    return roll("stddev_samp", "ret_1d", w, half(w))
+# The inputs of every cross-sectional step: one table with all columns that the profile names.
 
+FEATURE_COLUMNS = sorted({*P.cross_inputs, *P.peer_inputs, *P.style_inputs, *P.style_peer_inputs, *P.node_features,
+                          *[c for c in P.core_features if "_rank_" not in c]})
+for _name, _query in (("f_skip", "skip_momentum"), ("f_range", "vol_range"), ("f_sma", "sma_gap_slope"), ("f_boll", "bollinger_cci"),
+                      ("f_chan", "channel_williams"), ("f_volume", "volume_stats"), ("f_amihud", "amihud"), ("f_idio", "beta_corr_idio"),
+                      ("f_age", "age_features")):
+    cte(_name, QUERIES[_query].sql)
 
-cte("signals", f"""
-select p.symbol, p.date, p.sector, p.sub_industry, p.close, p.ret_1d, p.log_dollar_volume, r.ret_4d, r.ret_12d, r.ret_26d,
-       x.rsi_12d, v.vol_12d, v.downside_vol_12d, m.mom
-from panel p join rets r on p.symbol = r.symbol and p.date = r.date join rsis x on p.symbol = x.symbol and p.date = x.date
-join vols v on p.symbol = v.symbol and p.date = v.date
-join (select symbol, date, {lagged('close', 4)} / nullif({lagged('close', 12)}, 0) - 1 as mom from bars) m
-  on p.symbol = m.symbol and p.date = m.date""")
 
+def _feature_sql() -> str:
+    sources = {"panel": "p", "rets": "r", "vols": "v", "rsis": "x", "excess": "e", "f_skip": "k", "f_range": "g", "f_sma": "m", "f_boll": "b",
+               "f_chan": "c", "f_volume": "u", "f_amihud": "h", "f_idio": "i", "f_age": "a"}
+    owner = {"ret_1d": "p", "log_dollar_volume": "p"}
+    for c in FEATURE_COLUMNS:
+        for prefix, alias in (("excess_", "e"), ("mom_", "k"), ("parkinson_", "g"), ("gk_", "g"), ("sma_", "m"), ("boll_", "b"), ("channel_", "c"),
+                              ("volume_", "u"), ("dollar_volume_", "u"), ("amihud_", "h"), ("beta_", "i"), ("idio_", "i"), ("corr_market_", "i"),
+                              ("firm_", "a"), ("sp500_", "a"), ("rsi_", "x"), ("vol_", "v"), ("downside_", "v"), ("ret_", "r")):
+            if c not in owner and c.startswith(prefix):
+                owner[c] = alias
+    joins = " ".join(f"join {t} {a} on p.symbol = {a}.symbol and p.date = {a}.date" for t, a in sources.items() if t != "panel")
+    picked = [f"round({owner[c]}.{c}, 12) as {c}" if c.startswith("excess_") else f"{owner[c]}.{c}" for c in FEATURE_COLUMNS]
+    return (f"select p.symbol, p.date, p.sector, p.sub_industry, p.close, q.mom, {', '.join(picked)} "
+            f"from panel p {joins} join (select symbol, date, {lagged('close', 4)} / nullif({lagged('close', 12)}, 0) - 1 as mom from bars) q "
+            "on p.symbol = q.symbol and p.date = q.date")
 
-def signals(spark, sf):
-    """Panel with a small set of signals: returns, volatility, RSI, skip momentum, liquidity."""
-    df = core_prices(spark, sf).select("symbol", "date", "close", "ret_1d", "log_dollar_volume")
-    df = df.withColumns(rolling.simple_returns([4, 12, 26]) | {
+
+cte("signals", _feature_sql())
+
+
+def _windows(prefix: str) -> list[int]:
+    """Window sizes of the wanted columns with this prefix."""
+    found = [c[len(prefix):] for c in FEATURE_COLUMNS if c.startswith(prefix)]
+    return sorted({int(w[:-1]) for w in found if w[:-1].isdigit()})
+
+
+def entity_features(spark, sf):
+    """All wanted columns that need one symbol's history only: one shuffle, one pass of shared windows."""
+    df = bars(spark, sf).withColumns(rolling.price_state())
+    df = df.withColumns(rolling.simple_returns(_windows("ret_")) | rolling.skip_momentum(P.skip_pairs) | {
         "mom": F.try_divide(rolling.lag("close", 4), rolling.lag("close", 12)) - 1})
+    df = df.withColumns(rolling.range_terms())
     out = Roller(df)
-    df = out.finish({"vol_12d": out.std("ret_1d", 12, 6), **rolling.rsi(out, [12]),
-                     "downside_vol_12d": out.std(("ret_1d_down", rolling.signed_part("ret_1d", -1)), 12, 6)})
-    return stage(df.join(groups_of(spark, sf), "symbol", "left"))
+    # asked for one by one: a statistic that is named costs passes, whether its column is kept or not
+    every = {f"vol_{w}d": out.std("ret_1d", w, half(w)) for w in _windows("vol_")}
+    every |= {f"downside_vol_{w}d": out.std(("_down", rolling.signed_part("ret_1d", -1)), w, half(w)) for w in _windows("downside_vol_")}
+    for name in ("parkinson", "gk"):
+        every |= {f"{name}_vol_{w}d": F.sqrt(clip(out.mean(f"{name}_term", w, half(w)), 0.0)) for w in _windows(f"{name}_vol_")}
+    for name in ("volume", "dollar_volume"):
+        every |= {f"{name}_z_{w}d": out.zscore(name, w, half(w)) for w in _windows(f"{name}_z_")}
+    every |= (rolling.rsi(out, _windows("rsi_")) | rolling.bollinger(out, _windows("boll_z_")) | rolling.channels(out, _windows("channel_pos_"))
+              | rolling.amihud(out, _windows("amihud_")) | rolling.averages(out, _windows("sma_gap_")))
+    df = out.finish({n: c for n, c in every.items() if n in FEATURE_COLUMNS or n.startswith("sma_")})
+    df = df.withColumns({f"sma_gap_{w}d": F.try_divide(F.col("close"), F.col(f"sma_{w}d")) - 1 for w in _windows("sma_gap_")})
+    own = [c for c in FEATURE_COLUMNS if c in df.columns]
+    return df.select("symbol", "date", *dict.fromkeys(["close", "mom", "ret_1d", "dollar_volume", *own]))
+
+
+def signals(spark, sf):
+    """The panel of ``feature_panel``, written once per session."""
+    return shared(spark, "signals", sf, lambda: feature_panel(spark, sf))
+
+
+@query("feature_panel", KEY + "sector:s sub_industry:s close:2 mom:6 " + cols(FEATURE_COLUMNS, "e"), "select * from signals")
+def feature_panel(spark, sf):
+    """Panel with every column that cross-sections, peers, styles, graphs and models read."""
+    dim = company_dim(spark, sf).select("symbol", "sector", "sub_industry", "founded_year", "legacy_founded_year", "date_added")
+    df = stage(entity_features(spark, sf).join(dim, "symbol", "left"))
+    w = [int(c.rsplit("_", 1)[1][:-1]) for c in FEATURE_COLUMNS if c.startswith("excess_sector_ret_")]
+    out = rollup.join_back(df, stage(rollup.market_daily(df).select("date", "market_ret_1d")), ["date"])
+    for group, prefix in (("sector", "sector"), ("sub_industry", "subind")):
+        state = rollup.group_state(df, group, prefix, P).select("date", group, *[f"{prefix}_ret_{n}d" for n in w])
+        out = rollup.join_back(out, stage(state), ["date", group])
+    # rounded, so that the order of summation cannot split or make ties
+    out = out.withColumns({n: F.round(c, 12) for n, c in rollup.excess_returns(w).items()}).withColumns(age_columns())
+    out = rolling.market_linkage(out, _windows("beta_"))
+    return out.select("symbol", "date", "sector", "sub_industry", "close", "mom", *FEATURE_COLUMNS)
 
 
-_peers = ["ret_1d", "ret_4d", "ret_12d", "vol_12d", "rsi_12d"]
+_peers = list(P.peer_inputs)
 
 
 def _loo_sql(x: str, keys: str) -> str:
@@ -175,7 +232,7 @@ def _bucket(x: str) -> str:
     return f"case when {x} <= 1/3.0::double then 0 when {x} <= 2/3.0::double then 1 else 2 end"
 
 
-_style_peers = ["ret_1d", "ret_4d"]
+_style_peers = list(P.style_peer_inputs)
 cte("styled", f"""
 select *, {_bucket('q1')} * 9 + {_bucket('q2')} * 3 + {_bucket('q3')} as style_bucket, {_bucket('q1')} as style_mom_bucket,
        {_bucket('q2')} as style_vol_bucket, {_bucket('q3')} as style_liq_bucket
@@ -193,7 +250,7 @@ from (select *, {pct_rank_sql('ret_12d', 'date')} as q1, {pct_rank_sql('vol_12d'
         f"{_loo_sql(c, 's.date, style_bucket')} as style_peer_mean_{c}, {c} - {_loo_sql(c, 's.date, style_bucket')} as style_peer_excess_{c}"
         for c in _style_peers) + " from styled s left join h on s.date = h.date and s.style_bucket = h.b")
 def style_bucket(spark, sf):
-    df = stage(rollup.style_buckets(signals(spark, sf), P.style_inputs, bound=names_bound(spark, sf)))
+    df = stage(rollup.style_buckets(signals(spark, sf), P.style_inputs))
     state = rollup.location_state(df.select("date", "symbol", "ret_1d", "style_bucket"), "style_bucket", "style", 12)
     df = rollup.leave_one_out(df, ["date", "style_bucket"], _style_peers, "style_peer")
     return rollup.join_back(df, state, ["date", "style_bucket"])
@@ -201,7 +258,7 @@ def style_bucket(spark, sf):
 
 # -- cross-sections -----------------------------------------------------------------------------
 
-_cross = ["ret_1d", "ret_4d", "ret_12d", "ret_26d", "mom", "vol_12d", "downside_vol_12d", "rsi_12d", "log_dollar_volume"]
+_cross = list(P.cross_inputs)
 
 
 @query("cs_zscore", KEY + cols([f"cs_z_{c}" for c in _cross], 5),
@@ -213,10 +270,10 @@ def cs_zscore(spark, sf):
 @query("cs_pct_rank", KEY + cols([f"cs_rank_{c}" for c in _cross], 6),
        "select symbol, date, " + ", ".join(f"{pct_rank_sql(c, 'date')} as cs_rank_{c}" for c in _cross) + " from signals")
 def cs_pct_rank(spark, sf):
-    return xsection.pct_ranks(signals(spark, sf), ["date"], _cross, "cs", bound=names_bound(spark, sf))
+    return xsection.pct_ranks(signals(spark, sf), ["date"], _cross, "cs")
 
 
-_neutral = ["ret_4d", "ret_12d", "mom", "vol_12d", "log_dollar_volume"]
+_neutral = list(P.cross_inputs)
 
 
 @query("group_neutral", KEY + cols([f"{g}_{k}_{c}" for c in _neutral for g in ("sector", "subind") for k in ("z", "rank")], 5),
@@ -226,7 +283,7 @@ _neutral = ["ret_4d", "ret_12d", "mom", "vol_12d", "log_dollar_volume"]
            for c in _neutral for g, k in (("sector", "sector"), ("subind", "sub_industry"))) + " from signals")
 def group_neutral(spark, sf):
     scopes = {k: v for k, v in xsection.SCOPES.items() if k != "cs"}
-    return xsection.cross_sectional(signals(spark, sf), _neutral, scopes, bound=names_bound(spark, sf))
+    return xsection.cross_sectional(signals(spark, sf), _neutral, scopes)
 
 
 cte("fwd", "select symbol, date, sector, " + ", ".join(
@@ -245,8 +302,7 @@ cte("targets", "select *, " + ", ".join(_targets_sql(h) for h in P.targets) + "
 
 def targets_panel(spark, sf):
     df = bars(spark, sf).select("symbol", "date", "close").withColumns(rolling.forward_returns(P.targets))
-    return xsection.relative_targets(stage(df.join(groups_of(spark, sf), "symbol", "left")), P.targets,
-                                     bound=names_bound(spark, sf))
+    return xsection.relative_targets(stage(df.join(groups_of(spark, sf), "symbol", "left")), P.targets)
 
 
 @query("targets", KEY + cols([f"target_{f}_fwd_{h}d" for h in P.targets
@@ -262,10 +318,10 @@ select * from (select symbol, date, log_dollar_volume,
 where log_dollar_volume is not null and q > 0.2::double""")
 def liquidity_universe(spark, sf):
     df = core_prices(spark, sf).select("symbol", "date", "log_dollar_volume")
-    return xsection.liquidity_universe(df, "log_dollar_volume", 0.2, bound=names_bound(spark, sf))
+    return xsection.liquidity_universe(df, "log_dollar_volume", 0.2)
 
 
-_clip = ["ret_1d", "ret_12d", "mom", "vol_12d"]
+_clip = [c for c in P.core_features if c in FEATURE_COLUMNS]
 
 
 @query("winsorize", KEY + cols(_clip, 6),
@@ -275,8 +331,7 @@ _clip = ["ret_1d", "ret_12d", "mom", "vol_12d"]
            f"case when {c} is not null then least(greatest({c}, lo_{c}), hi_{c}) end as {c}" for c in _clip)
        + " from signals s join q on s.date = q.date")
 def winsorize(spark, sf):
-    return xsection.winsorize(signals(spark, sf).select("symbol", "date", *_clip), _clip, 0.01,
-                              bound=names_bound(spark, sf))
+    return xsection.winsorize(signals(spark, sf).select("symbol", "date", *_clip), _clip, 0.01)
 
 
 @query("train_impute_scale", KEY + cols(_clip, 6),
@@ -288,9 +343,9 @@ def winsorize(spark, sf):
            f"(coalesce(s.{c}, md.{c}) - m_{c}) / case when s_{c} > 0 then s_{c} else 1 end as {c}" for c in _clip)
        + " from signals s, md, st")
 def train_impute_scale(spark, sf):
-    df = signals(spark, sf).select("symbol", "date", *_clip).withColumn("fit", F.lit("all"))
-    stats = xsection.scaler_table(df.where(F.col("date") <= splits.as_date(TRAIN_END)), _clip, ["fit"])
-    return xsection.apply_scaler(df, stats, _clip, ["fit"])
+    df = signals(spark, sf).select("symbol", "date", *_clip)
+    stats = xsection.scaler_table(df.where(F.col("date") <= splits.as_date(TRAIN_END)), _clip, [])
+    return xsection.apply_scaler(df, stats, _clip, [])
 
 
 # -- as-of --------------------------------------------------------------------------------------

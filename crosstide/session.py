@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,7 @@ SETTINGS = {
 }
 
 _LOCAL: dict[str, str] = {}
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -26,16 +30,17 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a scratch folder on a local master only."""
+    """``spark.checkpoint.dir`` of the session. On a local master that names none, as in tests, a folder
+    of this process, removed at its end; a cluster must name one that every executor can reach."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="crosstide-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 
@@ -49,3 +54,15 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{stage_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` that is derived from the folder ``source``, staged once per session.
+
+    Queries of a family start from one written table instead of writing it each. The folder's
+    files are taken not to change while the session lasts.
+    """
+    key = (spark.conf.get("spark.app.id", "local"), name, source)
+    if key not in _SHARED:
+        _SHARED[key] = stage(build())
+    return _SHARED[key]

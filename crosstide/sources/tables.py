@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crosstide.functions.numeric import finite
 from crosstide.functions.text import clean_symbol, earliest_year, first_year, headquarters_parts, UNKNOWN
@@ -26,12 +26,30 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", *ORDER_KEY)
     price = F.col("l_extendedprice")
     rows = lines.select(F.col("l_suppkey").alias("symbol"),
-                        F.trunc(F.to_date("l_shipdate"), "week").alias("date"),
-                        price, "l_quantity", F.struct(*ORDER_KEY).alias("at"))
-    # the smallest and largest record carry the first and last price
+                        F.trunc(F.to_date("l_shipdate"), "week").alias("date"), price, "l_quantity", line_order().alias("at"))
     return rows.groupBy("symbol", "date").agg(
-        F.min("at")["l_extendedprice"].alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max("at")["l_extendedprice"].alias("close"), F.sum("l_quantity").cast("double").alias("volume"))
+        F.min_by(price, "at").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, "at").alias("close"), F.sum("l_quantity").cast("double").alias("volume"))
+
+
+def line_order() -> Column:
+    """Date, order, line, part and price in cents as one number of 38 digits.
+
+    A hash aggregate can keep the least and greatest number, which it cannot of a struct: that would
+    sort the whole scan first. A part that outgrows its digits raises an error.
+    """
+    first = F.unix_date(F.to_date("l_shipdate"))
+    parts = [(F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 10), (F.round(F.col("l_extendedprice") * 100), 9)]
+    return packed(first, parts)
+
+
+def packed(first: Column, parts: list[tuple[Column, int]]) -> Column:
+    """Whole numbers of known digits side by side in one decimal."""
+    out = first.cast("decimal(38,0)")
+    for part, digits in parts:
+        out = (out * F.lit(10 ** digits).cast(f"decimal({digits + 1},0)")).cast("decimal(38,0)") + part.cast(f"decimal({digits},0)")
+        out = out.cast("decimal(38,0)")
+    return out
 
 
 # States used for the stand-in headquarters, by key modulo their number.
@@ -89,11 +107,11 @@ def panel(bars: DataFrame, dim: DataFrame, columns: list[str] | None = None) ->
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second panel shape: one bar per user and day from the event stream table."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    rows = e.select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("date"), "value",
-                    F.struct("ts", "event_id", "value").alias("at"))
+    at = packed(F.unix_micros(F.col("ts").cast("timestamp")), [(F.col("event_id"), 18)])
+    rows = e.select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("date"), "value", at.alias("at"))
     return rows.groupBy("symbol", "date").agg(
-        F.min("at")["value"].alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-        F.max("at")["value"].alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
+        F.min_by("value", "at").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+        F.max_by("value", "at").alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
 
 
 def scope(df: DataFrame, *, start: str | None = None, end: str | None = None,
@@ -124,10 +142,15 @@ def clean_bars(df: DataFrame) -> DataFrame:
 
 
 def dedupe_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row per key in ``order``; a map-side ``max_by``, so duplicate piles never gather."""
+    """The last row per key in ``order``; a map-side ``max_by``, so duplicate piles never gather.
+
+    Every column takes the value beside the greatest order, which all of them meet in the same row.
+    With one order column of plain numbers or dates this stays in a hash aggregate.
+    """
     rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return newest.select(*keys, "_row.*").select(*df.columns)
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    newest = df.groupBy(*keys).agg(*[F.max_by(F.col(c), at).alias(c) for c in rest])
+    return newest.select(*df.columns)
 
 
 def bad_bar():

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -22,37 +24,67 @@ def by_id(df):
     return df.toPandas().sort_values("id").reset_index(drop=True)
 
 
-def test_value_form_equals_window_form(skewed):
-    small = by_id(ranking.with_ranks(skewed, ["g"], {"q": "x"}))
-    large = by_id(ranking.with_ranks(skewed, ["g"], {"q": "x"}, limit=0))
-    pd.testing.assert_frame_equal(small[["id", "q"]], large[["id", "q"]])
-    want = small.groupby("g")["x"].rank(pct=True)
-    np.testing.assert_allclose(small["q"], want, equal_nan=True)
+def test_ranks_match_pandas_under_skew(skewed):
+    got = by_id(ranking.with_ranks(skewed, ["g"], {"q": "x"}))
+    want = got.groupby("g")["x"].rank(pct=True)
+    np.testing.assert_allclose(got["q"], want, equal_nan=True)
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranking plan", "")
+    ranking.with_position(ranking.with_ranks(skewed, ["g"], {"q": "x"}), ["g"], "x", "id", "p")
+    ranking.quantile_table(skewed, ["g"], ["x"], [0.5])
+    assert list(tracker.getJobIdsForGroup("ranking plan")) == []
+    spark.sparkContext.setJobGroup("", "")
 
 
 @pytest.mark.parametrize("desc", [False, True])
 def test_positions_are_a_total_order(skewed, desc):
-    small = by_id(ranking.with_position(skewed, ["g"], "x", "id", "p", descending=desc))
-    large = by_id(ranking.with_position(skewed, ["g"], "x", "id", "p", descending=desc, limit=0))
-    pd.testing.assert_frame_equal(small[["id", "p"]], large[["id", "p"]])
-    for _, part in small.dropna(subset=["x"]).groupby("g"):
-        assert sorted(part["p"]) == list(range(1, len(part) + 1))
+    got = by_id(ranking.with_position(skewed, ["g"], "x", "id", "p", descending=desc))
+    for _, part in got.dropna(subset=["x"]).groupby("g"):
+        order = part.sort_values(["x", "id"], ascending=[not desc, True])
+        assert order["p"].tolist() == list(range(1, len(part) + 1))
+    assert got[got["x"].isna()]["p"].isna().all()
 
 
-def test_quantiles_match_numpy_in_both_forms(skewed):
+def test_quantiles_match_numpy(skewed):
     probs = [0.01, 0.5, 0.99]
-    for limit in (ranking.GROUP_ROW_LIMIT, 0):
-        out = ranking.quantile_table(skewed, ["g"], ["x"], probs, limit=limit).toPandas().set_index("g")
-        for g, part in skewed.toPandas().dropna().groupby("g"):
-            np.testing.assert_allclose(out.loc[g, ["x_q0", "x_q1", "x_q2"]].astype(float),
-                                       np.quantile(part["x"], probs), rtol=1e-12)
+    out = ranking.quantile_table(skewed, ["g"], ["x"], probs).toPandas().set_index("g")
+    for g, part in skewed.toPandas().dropna().groupby("g"):
+        np.testing.assert_allclose(out.loc[g, ["x_q0", "x_q1", "x_q2"]].astype(float), np.quantile(part["x"], probs), rtol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["text", "prefix", "long prefix", "date", "timestamp", "boolean", "umlaut"])
+def test_other_types_rank_like_a_sort(spark, kind):
+    rng = np.random.default_rng(4)
+    n = [int(i) for i in rng.integers(0, 300, 400)]
+    start = dt.datetime(2020, 1, 1)
+    value = {"text": lambda i: str(i), "prefix": lambda i: f"Supplier#{i:09d}", "long prefix": lambda i: "user-" * 30 + str(i),
+             "date": lambda i: start.date() + dt.timedelta(days=i), "timestamp": lambda i: start + dt.timedelta(microseconds=i * 37),
+             "boolean": lambda i: i % 2 == 0, "umlaut": lambda i: "äé"[i % 2] + chr(200 + i)}[kind]
+    rows = [("a" if i % 5 else "b", i, value(v)) for i, v in enumerate(n)]
+    df = spark.createDataFrame(rows, f"g string, id long, x {({'date': 'date', 'timestamp': 'timestamp', 'boolean': 'boolean'}).get(kind, 'string')}")
+    got = by_id(ranking.with_position(df, ["g"], "x", "id", "p"))
+    for g in "ab":
+        part = sorted((r[2].encode() if isinstance(r[2], str) else r[2], r[1]) for r in rows if r[0] == g)
+        place = dict(zip(got["id"], got["p"]))
+        assert [place[i] for _, i in part] == list(range(1, len(part) + 1))
+    slices = ranking.value_table(df.withColumn("one", F.lit(1)), ["one"], "x")
+    assert slices.count() == len({r[2] for r in rows})
+
+
+def test_slices_are_bounded_and_spread(spark):
+    df = spark.range(5000).select(F.lit(1).alias("g"), F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("x"))
+    cut = ranking._with_range_slices(df.groupBy("g", "x").count(), ["g"], "x", df.schema["x"].dataType)
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert 20 < len(sizes) <= ranking.SLICES + 1 and max(sizes) < 5000 / 20
 
 
 def test_order_slice_never_decreases(spark):
     values = sorted([-1e9, -3.5, -1e-12, 0.0, 1e-12, 0.1, 0.10001, 7.0, 7.1, 1e15])
-    from pyspark.sql import types as T
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = [r[1] for r in df.select("x", ranking.order_slice(F.col("x"), T.DoubleType())).orderBy("x").collect()]
+    got = [r[1] for r in df.select("x", ranking.magnitude_slice(F.col("x"))).orderBy("x").collect()]
     assert got == sorted(got)
 
 
@@ -82,26 +114,19 @@ def test_wide_and_long_ranks_agree(spark):
 
 
 def test_whole_table_as_one_group(skewed):
-    small = by_id(ranking.rank_parts(skewed, [], "x", "r"))
-    large = by_id(ranking.rank_parts(skewed, [], "x", "r", limit=0))
-    pd.testing.assert_frame_equal(small[["id", "r_below", "r_ties", "r_n"]], large[["id", "r_below", "r_ties", "r_n"]])
-
-
-def test_text_positions_in_both_forms(spark):
-    df = spark.createDataFrame([("g", i, f"S{i % 7}") for i in range(40)], "g string, id long, s string")
-    a = by_id(ranking.with_position(df, ["g"], "s", "id", "p"))
-    b = by_id(ranking.with_position(df, ["g"], "s", "id", "p", limit=0))
-    assert a["p"].tolist() == b["p"].tolist()
+    got = by_id(ranking.rank_parts(skewed, [], "x", "r"))
+    x = got["x"]
+    np.testing.assert_allclose(got["r_below"], x.rank(method="min") - 1, equal_nan=True)
+    np.testing.assert_allclose(got["r_n"].dropna(), x.notna().sum())
 
 
-@pytest.mark.parametrize("limit", [ranking.GROUP_ROW_LIMIT, 0])
-def test_universe_and_clipping_in_both_forms(skewed, limit):
+def test_universe_and_clipping(skewed):
     df = skewed.withColumnRenamed("g", "date")
-    kept = xsection.liquidity_universe(df, "x", 0.2, tie="id", limit=limit).toPandas()
+    kept = xsection.liquidity_universe(df, "x", 0.2, tie="id").toPandas()
     want = df.toPandas()
     place = want.sort_values(["x", "id"]).groupby("date")["x"].rank(method="first", pct=True)
     assert sorted(kept["id"]) == sorted(want.loc[place[place > 0.2].index, "id"])
-    clipped = by_id(xsection.winsorize(df, ["x"], 0.05, limit=limit))
+    clipped = by_id(xsection.winsorize(df, ["x"], 0.05))
     full = want.sort_values("id").reset_index(drop=True)
     lo, hi = (full.groupby("date")["x"].transform(lambda s: s.quantile(q)) for q in (0.05, 0.95))
     np.testing.assert_allclose(clipped["x"], full["x"].clip(lo, hi), equal_nan=True)
