@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ SETTINGS = {
 }
 
 _LOCAL: dict[str, str] = {}
+_NOTED: list[list[str]] = []
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -53,9 +55,29 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{stage_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _NOTED:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that ``stage`` writes meanwhile."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED[:] = [p for p in _NOTED if p is not paths]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` that is derived from the folder ``source``, staged once per session.
 
