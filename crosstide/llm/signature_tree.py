@@ -48,7 +48,7 @@ PERCENT = 90
 SHINGLE = 3
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
 LEAF = 16
-SLICE_CHARS = 8_000_000
+SLICE_BYTES = 2_000_000
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -123,38 +123,34 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _slices(texts: list[str | None]) -> Iterator[slice]:
-    first, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= SLICE_CHARS:
-            yield slice(first, i + 1)
-            first, chars = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts of a few million bytes at a time; only that much is ever taken out of Arrow."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + SLICE_BYTES)))
+        part = batch.slice(first, last - first)
+        yield part.column(0), part.column(1).to_pylist()
+        first = last
 
 
 def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for part in _slices(texts):
-            sets = shingle_sets(texts[part])
-            digest = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
-            keys = [forest_keys(u) for u in sets]
-            offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                ids.slice(part.start, part.stop - part.start), pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64()))], ["doc_id", "n", "digest", "keys"])
+    for ids, texts in (part for batch in batches for part in _slices(batch)):
+        sets = shingle_sets(texts)
+        digest = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
+        keys = [forest_keys(u) for u in sets]
+        offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([
+            ids, pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()),
+            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64()))], ["doc_id", "n", "digest", "keys"])
 
 
 def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for part in _slices(texts):
-            sets = shingle_sets(texts[part])
-            yield pa.RecordBatch.from_arrays([
-                ids.slice(part.start, part.stop - part.start), pa.array([len(u) for u in sets], pa.int64()),
-                pa.array([u.tobytes() for u in sets], pa.binary())], ["doc", "n", "shingles"])
+    for ids, texts in (part for batch in batches for part in _slices(batch)):
+        sets = shingle_sets(texts)
+        yield pa.RecordBatch.from_arrays([ids, pa.array([len(u) for u in sets], pa.int64()),
+                                          pa.array([u.tobytes() for u in sets], pa.binary())], ["doc", "n", "shingles"])
 
 
 # -- trees --------------------------------------------------------------------------------------
