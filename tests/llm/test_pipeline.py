@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosstide.llm import packing, quality_classifier, quality_rules
+from crosstide.session import stage
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 def steps(spark):
     docs, out = spark.read.parquet(f"{SMALL}/documents.parquet"), []
     for name, step in P.STAGES:
-        out.append((name, docs, step(spark, docs, SMALL).cache()))
+        out.append((name, docs, stage(step(spark, docs, SMALL))))         # written before the next stage is called
         docs = out[-1][2]
     return {name: (before, after) for name, before, after in out}
 

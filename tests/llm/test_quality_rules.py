@@ -40,7 +40,7 @@ def test_base_measures(spark):
 
 
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "\n", "#", " "]), max_size=40), min_size=1, max_size=6))
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=5, deadline=None)
 def test_base_measures_of_any_text(spark, texts):
     check(spark, [" ".join(t) for t in texts])
 
