@@ -10,7 +10,7 @@ from __spark_entry__ import queries
 
 SMALL = "/root/testdata/sf0.001"
 SOME = ["bars_weekly", "bars_events", "dedupe_resume", "train_impute_scale", "ridge_one_feature", "cs_pct_rank", "winsorize", "rank_ic",
-        "embedding_knn", "market_regime", "load_scope", "ensemble_metrics"]
+        "embedding_knn", "market_regime", "load_scope"]
 NAMES = sorted(queries()) if os.environ.get("CHECK_ALL") else SOME
 
 
