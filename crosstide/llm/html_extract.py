@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from crosstide.session import stage
+
 
 FIT_PAGES, FIT_CHARS = 120, 100_000
 EPOCHS = 12
@@ -317,9 +319,15 @@ def extract(field: Field, page: str | None) -> str:
 
 
 def fit(pages: DataFrame, count: int = FIT_PAGES) -> Field:
-    """Fitted on at most ``count`` pages, those with the smallest hashes; they are few by this bound."""
-    chosen = pages.filter(F.length("html") <= FIT_CHARS).select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(count)
-    return train([r["html"] for r in chosen.select("html").collect()])
+    """Fitted on at most ``count`` pages, those whose ids have the smallest hashes.
+
+    The ids are chosen without the pages and written, so that the pages are then fetched by a table of known size.
+    """
+    ids = pages.filter("page_id is not null").select("page_id", F.xxhash64("page_id").alias("h")).distinct()
+    ids = stage(ids.orderBy("h", "page_id").limit(count).select(F.col("page_id").alias("chosen")))
+    found = pages.filter(F.length("html") <= FIT_CHARS).join(ids, F.col("page_id") == F.col("chosen"), "left_semi")
+    # an id's first page, should several have it
+    return train(sorted(r["html"] for r in found.groupBy("page_id").agg(F.min("html").alias("html")).collect()))
 
 
 def extracted(pages: DataFrame, field: Field) -> DataFrame:
