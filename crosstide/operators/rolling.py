@@ -232,14 +232,14 @@ def exponential_trend(df: DataFrame, spans: Iterable[int], macd: tuple[int, int,
     """EMA and MACD columns with recursive weights, also across gaps; a missing price keeps the last mean."""
     spans = list(spans)
     fast, slow, signal = macd
-    means = {f"ema_{s}d": ("_price", s) for s in spans} | {"_fast": ("_price", fast), "_slow": ("_price", slow)}
+    means = {f"ema_{s}d": ("_price", s) for s in dict.fromkeys([*spans, fast, slow])}
     rows = df.select("symbol", "date", F.col(price).cast("double").alias("_price"), F.row_number().over(entity()).alias("_pos"))
     known = rows.where(F.col("_price").isNotNull()).withColumn("_gap", F.col("_pos") - lag("_pos", 1))
     known = _smoothed(known, means).drop("_gap")
     every = known.unionByName(rows.where(F.col("_price").isNull()), allowMissingColumns=True)
     held = entity().rowsBetween(Window.unboundedPreceding, 0)
     every = every.withColumns({n: F.last(n, ignorenulls=True).over(held) for n in means})
-    every = every.withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    every = every.withColumn("_macd", F.col(f"ema_{fast}d") - F.col(f"ema_{slow}d"))
     # the signal starts with the first known price and then takes every row
     every = every.withColumn("_gap", F.when(lag("_macd", 1).isNotNull(), 1))
     every = _smoothed(every, {"_macd_signal": ("_macd", signal)}).select("symbol", "date", *[f"ema_{s}d" for s in spans], "_macd", "_macd_signal")
