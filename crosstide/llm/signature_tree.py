@@ -1,16 +1,17 @@
 """Exact n-gram Jaccard join by trees of signatures.
 
-A document is its set of distinct three-word shingles (64-bit hashes). Two documents link when their
-Jaccard similarity is at least 0.9; the result is the smallest document that links reach.
+A document is its set of distinct shingles (64-bit hashes). Two documents link when their
+Jaccard similarity reaches a limit; the result is the smallest document that links reach. ``SHINGLE`` words and
+``PERCENT`` are those of the query; the pipeline passes its own.
 
 1. Equal sets are one node, named by its smallest document.
 2. Forest. Nodes that may link must meet in a tree. With sizes n <= m the sets differ in at most
-   ``D = (n + m) / 19`` shingles. The hash range is cut into ``D + 1 + slack`` segments; sets that link
+   ``D = (n + m) * (100 - percent) / (100 + percent)`` shingles. The hash range is cut into ``D + 1 + slack`` segments; sets that link
    agree on at least ``1 + slack`` whole segments. A node is entered under the hash of each of its
    segments (cut for its size class; near the end of a class also for the next, so partners always share a
-   cut). A segment with
-   fewer than two shingles is entered only if the node has more of them than the slack: otherwise another shared one is
-   left. So no link is lost, and a common passage does not bring its documents together.
+   cut). Segments with
+   fewer than two shingles, or else the empty ones, are left out if the node has no more of them than the slack: another
+   shared one is left then. So no link is lost, and a common passage does not bring its documents together.
 3. Trees. The members of a forest key are bound into trees: leaves of similar sizes, inner nodes with
    the OR of their token bitmaps, their size range and least number of set bits. A dual traversal visits pairs of tree
    nodes and drops a pair when the largest possible overlap is too small, or when all of its
@@ -23,8 +24,8 @@ Jaccard similarity is at least 0.9; the result is the smallest document that lin
 
 Nowhere are all pairs of a group written out: near copies are skipped as soon as they are connected.
 
-Defined cases: without words the set is empty and linked with nothing; with one or two words
-the sequence is the only shingle. Rows that repeat a doc_id are one document (linked by
+Defined cases: without words the set is empty and linked with nothing; with fewer words than a
+shingle has the sequence is the only shingle. Rows that repeat a doc_id are one document (linked by
 that id). A null doc_id gets a null component and is linked with nothing. An empty table gives an empty result.
 ``keep_one`` keeps all input columns; helper columns have names that no input column has.
 """
@@ -32,8 +33,9 @@ that id). A null doc_id gets a null component and is linked with nothing. An emp
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import exp, sqrt
 
 import numpy as np
 import pandas as pd
@@ -68,53 +70,58 @@ def class_starts() -> list[int]:
     return out
 
 
-def classes_of(n: int) -> list[int]:
+def classes_of(n: int, percent: int = PERCENT) -> list[int]:
     """Classes of the larger set of any pair that a set of this size can belong to and link in."""
     first = bisect_right(class_starts(), n) - 1
-    return list(range(first, bisect_right(class_starts(), n * 100 // PERCENT)))
+    return list(range(first, bisect_right(class_starts(), n * 100 // percent)))
 
 
 @lru_cache(maxsize=None)
-def cut(size_class: int) -> tuple[int, np.ndarray]:
+def cut(size_class: int, percent: int = PERCENT) -> tuple[int, np.ndarray]:
     """Slack and inner segment borders for pairs whose larger set is in this class; none if only equal sets link."""
-    largest = class_starts()[size_class + 1] - 1
-    differ = 2 * largest * (100 - PERCENT) // (100 + PERCENT)
+    first, largest = class_starts()[size_class], class_starts()[size_class + 1] - 1
+    differ = 2 * largest * (100 - percent) // (100 + percent)
     slack = 0 if differ < 8 else 1 if differ < 16 else 2 + differ // 50
+    # the smallest set of the class leaves about so many segments empty
+    while slack < differ // 2 and slack + 0.5 < (empty := (differ + 1 + slack) * exp(-first * percent / 100 / (differ + 1 + slack))) + sqrt(empty):
+        slack += 1
     pieces = differ + 1 + slack if differ else 0
     return slack, np.array([(i << 64) // pieces for i in range(1, pieces)], np.uint64)
 
 
-def forest_keys(u: np.ndarray) -> np.ndarray:
+def forest_keys(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The keys under which a sorted set is entered."""
     if not len(u):
         return np.zeros(0, np.int64)
     total = np.append(np.uint64(0), np.cumsum(mix(u), dtype=np.uint64))
     out = []
-    for c in classes_of(len(u)):
-        slack, inner = cut(c)
+    for c in classes_of(len(u), percent):
+        slack, inner = cut(c, percent)
         if not len(inner):
             continue
         at = np.concatenate([[0], np.searchsorted(u, inner), [len(u)]])
         count = np.diff(at)
         key = mix(mix(total[at[1:]] - total[at[:-1]] + count.astype(np.uint64) * B) + np.arange(len(count), dtype=np.uint64) * C + np.uint64(c))
-        light = count < 2
-        out.append(key if light.sum() > slack else key[~light])
+        least = next((k for k in (2, 1) if (count < k).sum() <= slack), 0)
+        out.append(key[count >= least])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; distinct words of the slice are hashed once."""
     # bytes.lower and bytes.split touch exactly A-Z and the blanks of the word rule
     parts = [(t or "").encode().lower().split() for t in texts]
     code = pa.array([w for p in parts for w in p], pa.binary()).dictionary_encode()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, code.dictionary.to_pylist()), np.uint64, len(code.dictionary))
     h = hashes[code.indices.to_numpy()] if len(code) else hashes
-    s = mix(mix(mix(h[:-2]) + h[1:-1] * B) + h[2:] * C) if len(h) >= SHINGLE else h[:0]
+    s = h[:max(0, len(h) - shingle + 1)]
+    for k in range(shingle if len(s) else 0):
+        s = mix(s + h[k:k + len(s)] * (B if k % 2 else C)) if k else mix(s)
     out, at = [], 0
     for p in parts:
         n = len(p)
-        if n >= SHINGLE:
-            out.append(np.unique(s[at:at + n - SHINGLE + 1]))
+        if n >= shingle:
+            out.append(np.unique(s[at:at + n - shingle + 1]))
         elif n:
             out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(p), n)], np.uint64))
         else:
@@ -135,22 +142,26 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
         first = last
 
 
-def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in (part for batch in batches for part in _slices(batch)):
-        sets = shingle_sets(texts)
-        digest = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
-        keys = [forest_keys(u) for u in sets]
-        offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([
-            ids, pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()),
-            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64()))], ["doc_id", "n", "digest", "keys"])
+def _enter(shingle: int, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in (part for batch in batches for part in _slices(batch)):
+            sets = shingle_sets(texts, shingle)
+            digest = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
+            keys = [forest_keys(u, percent) for u in sets]
+            offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                ids, pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64()))], ["doc_id", "n", "digest", "keys"])
+    return run
 
 
-def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in (part for batch in batches for part in _slices(batch)):
-        sets = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(u) for u in sets], pa.int64()),
-                                          pa.array([u.tobytes() for u in sets], pa.binary())], ["doc", "n", "shingles"])
+def _read_sets(shingle: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in (part for batch in batches for part in _slices(batch)):
+            sets = shingle_sets(texts, shingle)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(u) for u in sets], pa.int64()),
+                                              pa.array([u.tobytes() for u in sets], pa.binary())], ["doc", "n", "shingles"])
+    return run
 
 
 # -- trees --------------------------------------------------------------------------------------
@@ -159,7 +170,8 @@ class Tree:
     """Binary trees, one per side, over sets sorted by size: per node its range, OR bitmap, size range and least
     bit count."""
 
-    def __init__(self, sets: list[np.ndarray], sides: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT):
+        self.percent = percent
         order = sorted(range(len(sets)), key=lambda i: (sides[i], len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0, i))
         self.order, self.sets = order, [sets[i] for i in order]
         self.size = np.array([len(s) for s in self.sets], np.int64)
@@ -189,19 +201,20 @@ class Tree:
     def may_link(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
         """Whether some pair below could overlap enough: an upper bound from sizes and bitmaps."""
         (ea, la, ha, oa), (eb, lb, hb, ob) = self.nodes[a], self.nodes[b]
-        need = PERCENT * (la + lb)
+        p, need = self.percent, self.percent * (la + lb)
         shared = int(np.bitwise_count(ea & eb).sum())
         # a bit that a set has and the other side lacks stands for at least one shingle that is not shared
         most = min(ha, hb, ha - max(0, oa - shared), hb - max(0, ob - shared))
-        return (100 + PERCENT) * most >= need and 100 * hb >= PERCENT * la and 100 * ha >= PERCENT * lb
+        return (100 + p) * most >= need and 100 * hb >= p * la and 100 * ha >= p * lb
 
 
-def links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None = None,
+          percent: int = PERCENT) -> list[tuple[int, int]]:
     """Pairs that link and together connect all that links connect; items with one label count as connected.
     With two sides, only pairs across them are looked at."""
     if len(sets) < 2:
         return []
-    tree = Tree(sets, np.zeros(len(sets), int) if sides is None else sides)
+    tree = Tree(sets, np.zeros(len(sets), int) if sides is None else sides, percent)
     label = np.unique(labels, return_inverse=True)[1].astype(np.int64)[tree.order]
     found: list[tuple[int, int]] = []
 
@@ -211,7 +224,7 @@ def links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None =
         na, nb = tree.size[i][:, None], tree.size[j][None, :]
         most = np.minimum(na - tree.ones[i][:, None] + shared, nb - tree.ones[j][None, :] + shared)
         most = np.minimum(most, np.minimum(na, nb))
-        likely = np.argwhere((100 + PERCENT) * most >= PERCENT * (na + nb))
+        likely = np.argwhere((100 + percent) * most >= percent * (na + nb))
         for x, y in likely.tolist():
             x, y = x + a[0], y + b[0]
             if (a == b and x >= y) or label[x] == label[y]:
@@ -219,7 +232,7 @@ def links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None =
             sx, sy = tree.sets[x], tree.sets[y]
             both = np.sort(np.concatenate([sx, sy]))
             same = int((both[1:] == both[:-1]).sum())
-            if 100 * same >= PERCENT * (len(sx) + len(sy) - same):
+            if 100 * same >= percent * (len(sx) + len(sy) - same):
                 found.append((tree.order[x], tree.order[y]))
                 label[label == label[y]] = label[x]
 
@@ -246,13 +259,15 @@ def links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None =
     return found
 
 
-def _links_of(rows: pd.DataFrame) -> pd.DataFrame:
+def _links_of(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Links of one tree; a document appears once however often it was sent."""
-    rows = rows.drop_duplicates(["doc", "shingles"])
-    doc = rows["doc"].to_numpy()
-    sides = rows["block"].to_numpy() if "left" in rows else None
-    pairs = links([np.frombuffer(s, np.uint64) for s in rows["shingles"]], rows["label"].to_numpy(), sides)
-    return pd.DataFrame({"u": [doc[i] for i, _ in pairs], "v": [doc[j] for _, j in pairs]}, dtype="int64")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["doc", "shingles"])
+        doc = rows["doc"].to_numpy()
+        sides = rows["block"].to_numpy() if "left" in rows else None
+        pairs = links([np.frombuffer(s, np.uint64) for s in rows["shingles"]], rows["label"].to_numpy(), sides, percent)
+        return pd.DataFrame({"u": [doc[i] for i, _ in pairs], "v": [doc[j] for _, j in pairs]}, dtype="int64")
+    return run
 
 
 # -- components ---------------------------------------------------------------------------------
@@ -285,10 +300,10 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("label")).distinct())
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; ``shingle`` words, ``percent`` the least similarity."""
     docs = docs.select("doc_id", "text")
-    entered = stage(docs.mapInArrow(_enter, "doc_id long, n long, digest binary, keys array<long>"))
+    entered = stage(docs.mapInArrow(_enter(shingle, percent), "doc_id long, n long, digest binary, keys array<long>"))
     known = entered.filter("doc_id is not null and n > 0")
     nodes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("node")))
     # a document that stands for its set enters the forest
@@ -299,7 +314,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # written, so that Spark knows their size when it chooses how to fetch their texts
     wanted = stage(shared.select(F.col("doc").alias("doc_id")).distinct())
-    sets = stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_read_sets, "doc long, n long, shingles binary"))
+    sets = stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_read_sets(shingle), "doc long, n long, shingles binary"))
     pairs = stage(shared.filter("doc <> hub").select("hub", "doc").distinct())
     sizes = pairs.groupBy("hub").count().join(sets.groupBy(F.col("doc").alias("hub")).agg(F.max("n").alias("n")), "hub").select(
         "hub", _blocks(F.col("count"), F.col("n")).alias("blocks"))
@@ -307,11 +322,11 @@ def classes(docs: DataFrame) -> DataFrame:
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc")
     centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("doc"))
     trees = members.unionByName(centres).join(sets, "doc").withColumn("label", F.col("doc"))
-    near = stage(trees.groupBy("hub", "block").applyInPandas(_links_of, "u long, v long"))
+    near = stage(trees.groupBy("hub", "block").applyInPandas(_links_of(percent), "u long, v long"))
     labels = stage(components(near))
 
     split = _still_split(pairs, sizes, labels)
-    more = stage(split.join(sets, "doc").groupBy("hub", "left", "right").applyInPandas(_links_of, "u long, v long"))
+    more = stage(split.join(sets, "doc").groupBy("hub", "left", "right").applyInPandas(_links_of(percent), "u long, v long"))
     # a document that repeats with different sets ties their nodes together
     of_set = known.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node").distinct()
     tied = of_set.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v")
@@ -340,8 +355,8 @@ def _still_split(pairs: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataF
         "hub", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc", "label")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; rows without an id stay."""
-    kept = classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = classes(docs, shingle, percent).filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

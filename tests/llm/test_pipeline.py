@@ -84,3 +84,31 @@ def test_extra_columns_nulls_and_empty_tables(spark):
         assert out.columns == docs.columns and out.count() > 0
         assert step(spark, docs.limit(0), SMALL).count() == 0
     assert P.pack(spark, docs.limit(0), SMALL).count() == 0
+
+
+def near_copies():
+    """Texts whose copies lie on both sides of 0.8 on five words; 0.87 there is below 0.9 on three."""
+    base = [f"w{i}" for i in range(400)]
+    other = [f"v{i}" for i in range(400)]
+    return [base, base + [f"x{i}" for i in range(60)], other, other + [f"y{i}" for i in range(98)], other + [f"z{i}" for i in range(110)],
+            base[:200] + ["q"] + base[201:] + ["q"] * 9, [f"u{i}" for i in range(4)], [f"u{i}" for i in range(4)] + ["t"]]
+
+
+def test_join_stage_takes_five_words_and_four_fifths(spark, steps):
+    before, after = steps["ngram_join"]
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    made = [(10 ** 9 + i, " ".join(w)) for i, w in enumerate(near_copies())]
+    extra = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], before.schema)
+    sets = {}
+    for i, t in rows + made:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({i: i + 32 for i in range(65, 91)}))
+        sets[i] = frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)])
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((label[a], label[b]))
+                label = {k: p if v == q else v for k, v in label.items()}
+    got = set(ids(P.near_duplicates(spark, before.unionByName(extra), SMALL)))
+    assert got == set(label.values()) and 10 ** 9 in got and 10 ** 9 + 1 not in got
+    assert set(ids(after)) == {v for v in label.values() if v < 10 ** 9}

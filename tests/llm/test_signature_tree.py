@@ -186,3 +186,21 @@ def test_two_sides_are_compared_across_only():
     sets, sides = [a, a[1:], b, b[1:], a[2:], b[2:]], np.array([0, 0, 0, 0, 4, 4])
     found = J.links(sets, np.arange(6), sides)
     assert {frozenset(p) for p in found} <= {frozenset(p) for p in [(0, 4), (1, 4), (2, 5), (3, 5)]} and len(found) == 4
+
+
+@given(st.integers(5, 600), st.integers(0, 120), st.integers(0, 120), st.integers(0, 10 ** 6))
+@settings(max_examples=300, deadline=None)
+def test_linked_sets_meet_in_the_forest_at_80_percent(n, drop, add, seed):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    y = np.union1d(rng.permutation(x)[min(drop, len(x) - 1):], rng.integers(0, 1 << 63, add, dtype=np.uint64))
+    same = len(np.intersect1d(x, y))
+    if 100 * same >= 80 * (len(x) + len(y) - same) and len(np.setxor1d(x, y)):
+        assert set(J.forest_keys(x, 80).tolist()) & set(J.forest_keys(y, 80).tolist())
+    # few sets leave more segments empty than the slack: an empty segment would bring all of its class together
+    assert all(len(J.cut(c, 80)[1]) < n for c in J.classes_of(n, 80))
+
+
+def test_shingles_of_five_words():
+    a, b, c = J.shingle_sets(["a b c d e f", "A b c d e g", "a b c d"], 5)
+    assert (len(a), len(b), len(c), len(np.intersect1d(a, b))) == (2, 2, 1, 1)
