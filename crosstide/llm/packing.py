@@ -30,7 +30,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
+
+from crosstide.llm.common import fresh
 
 LENGTH = 2048
 END_ID = 1
@@ -167,6 +170,19 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
         _packer(ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN, length, window), SCHEMA)
 
 
+def written_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text of rows read from files, range-sorted as they were written: by number and name of the file, then by
+    row. Spark's scan orders files by size. Rows that come from no file stay as they are."""
+    number, name, row = (fresh(docs, x) for x in ("number", "file", "row"))
+    try:
+        at = docs.metadataColumn("_metadata")
+        rows = docs.select("doc_id", "text", F.regexp_extract(at["file_name"], r"part-(\d+)", 1).try_cast("long").alias(number),
+                           at["file_name"].alias(name), at["row_index"].alias(row))
+    except AnalysisException:
+        return docs.select("doc_id", "text")
+    return rows.repartitionByRange(number, name, row).sortWithinPartitions(number, name, row).select("doc_id", "text")
+
+
 def _slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[slice]:
     first, chars = 0, 0
     for i, t in enumerate(texts):

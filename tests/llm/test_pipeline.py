@@ -86,6 +86,22 @@ def test_extra_columns_nulls_and_empty_tables(spark):
     assert P.pack(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_pack_stage_keeps_the_training_order(spark, tmp_path):
+    rows = [(i, f"w{i} " * (1 if i < 200 else 400), "en", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")     # the larger files are written last
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        got = P.pack(spark, spark.read.parquet(f"{tmp_path}/docs"), SMALL).filter("start = 0").collect()
+    finally:
+        spark.conf.set(key, was)
+    task = {r.doc_id: r.sequence_id >> 40 for r in got}
+    assert len(task) == 400 and len(set(task.values())) > 1
+    assert [task[i] for i in range(400)] == sorted(task.values())
+
+
 def near_copies():
     """Texts whose copies lie on both sides of 0.8 on five words; 0.87 there is below 0.9 on three."""
     base = [f"w{i}" for i in range(400)]
