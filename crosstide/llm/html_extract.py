@@ -15,7 +15,7 @@ Inside a block, character references are decoded and white space becomes one spa
 blocks are joined by a line end. Scripts, styles, comments, templates and form controls never become blocks.
 
 Defined cases: null or empty html, or a page without blocks, gives an empty text. Broken markup is
-read as far as it goes. Repeated rows are read each. An empty table gives an empty result. Only page_id,
+read as far as it goes. A head without an end tag ends at the body, at a tag or at a text that cannot stand in it. Repeated rows are read each. An empty table gives an empty result. Only page_id,
 url and html of the input are used.
 """
 
@@ -44,6 +44,8 @@ SILENT = frozenset("script style noscript template head title svg math iframe ob
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot "
                   "th thead tr ul".split())
+# What may stand in a head; any other tag ends it, as its end tag may be left out.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCK - {"html", "body"}
 # Fixed lists: words that name parts of a page in its markup.
 MAIN_TAGS = frozenset(["article", "main"])
@@ -76,7 +78,15 @@ class _Blocks(HTMLParser):
             self.blocks.append((text, self.linked, tuple(self.open)))
         self.parts, self.linked = [], 0
 
+    def _leaves_head(self, tag: str) -> bool:
+        """Whether the tag ends an open head: not inside of what stands in the head, unless it is the body itself."""
+        if tag in HEAD or not any(t == "head" for t, _ in self.open):
+            return False
+        return tag == "body" or self.open[-1][0] in ("head", "noscript")
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self._leaves_head(tag):
+            self._close("head")
         if tag in BLOCK:
             self.flush()
             if tag in CLOSES_P and any(t == "p" for t, _ in self.open):
@@ -132,6 +142,8 @@ class _Blocks(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._close("head")
         if self.silent <= 0:
             self.parts.append(data)
             if self.links > 0:

@@ -89,3 +89,11 @@ def test_nulls_repeats_empty_table_and_long_page(spark):
     got = H.report(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 4), (1, 0), (1, 0), (2, 20_000 * 19 + 19_999)]
     assert H.report(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("start", ["<body>", "", "<script>var a = '<p>no</p>'</script><body class=x>", "<noscript><link href=x></noscript>", "<style>p{}</style>\n<body>"])
+def test_head_without_its_end_tag(start):
+    page = f"<!doctype html><html><head><meta charset=utf-8><title>T &amp; <p>t</title><link href=x>{start}<p>One.<p>Two."
+    assert [t for t, _, _ in H.blocks(page)] == ["One.", "Two."]
+    assert [t for t, _, _ in H.blocks("<head><title>T</title>One.<p>Two.")] == ["One.", "Two."]
+    assert [t for t, _, _ in H.blocks("<head><title>T</title><template><p>x</p></template></head><body>One.")] == ["One."]
