@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosstide.llm import (chat_format, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, sharding,
-                           signature_tree, webp)
+from crosstide.llm import (centroids, chat_format, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, sharding,
+                           signature_tree, topk, webp, whitening)
 from crosstide.llm.common import table
 
 
@@ -30,6 +30,9 @@ QUERIES = {
     "op8_html_extract": _of("pages", html_extract.report),
     "op9_shard": _of("documents", sharding.report),
     "op10_quality_classifier": _classified,
+    "op11_whitening": _of("embeddings", whitening.report),
+    "op12_centroids": _of("embeddings", centroids.report),
+    "op13_topk": _of("embeddings", topk.report),
 }
 
 SQL = {
@@ -37,4 +40,6 @@ SQL = {
     "op3_license_scan": license_scan.SQL,
     "op5_chat_format": chat_format.SQL,
     "op6_mix_sources": mixing.SQL,
+    "op12_centroids": centroids.SQL,
+    "op13_topk": topk.SQL,
 }
