@@ -1,14 +1,17 @@
-"""Exact per-group ranks, positions and quantiles; no group has to fit one task.
-
-A cross-section (one date, or one date and sector) has no size limit of its own, and one date
-may hold a third of the rows. Ranks therefore come from counts per distinct value, at every size:
-equal values collapse before the shuffle, the values of a group are spread over order-preserving
-slices, and running totals per slice join the pieces. Rows then look their value up by an
-equi-join that AQE can split.
-
-Slices: numbers by sign and magnitude, 16 to a doubling. Other types are mapped to numbers (days,
-seconds, the bytes of a text after the prefix that the group shares) and cut into 512 equal
-steps between the group's ends. A group so has a bounded number of slices, whatever its rows.
+"""Exact per-group ranks, positions and quantiles by range sort; no group has to fit one task.
+
+A cross-section (one date, or one date and sector) has no size limit of its own, and one date may hold a third of
+the rows. Groups are counted first. Those of up to ``GROUP_ROWS`` rows share one shuffle by group and are ranked by
+windows. The rows of larger ones are sorted over the whole cluster by (group, value): ``repartitionByRange`` cuts the
+order into parts of about equal size wherever the cuts fall, and a row's number in its part is its local place. A
+small table of counts per part and group turns local places into places in the group. The sorted rows are
+staged, so that parts and places stay as they are however often tasks are run again. Positions and quantiles are
+taken by range sort at every size.
+
+Ties: rows with one value are neighbours in one part, where a window over (group, value) needs no further
+shuffle, as it asks for what the range partitioning gives already. Doubles take part as order-preserving longs,
+since Spark would normalise (and shuffle again by) a floating-point window key. A value that a sample of the
+rows finds very often is dealt to several sub-runs, whose counts are put together from a table of such values.
 """
 
 from __future__ import annotations
@@ -17,101 +20,135 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-SLICES_PER_OCTAVE = 16
-SLICES = 512
-PREFIX_BYTES = 6
-
-
-def null_safe_match(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def magnitude_slice(c: Column) -> Column:
-    """A coarse non-decreasing function of a number."""
-    magnitude = F.log2(F.greatest(F.abs(c.cast("double")), F.lit(1e-30))) + F.lit(100.0)
-    return (F.signum(c.cast("double")) * F.floor(magnitude * SLICES_PER_OCTAVE)).cast("long")
-
-
-def _as_number(c: Column, dtype: T.DataType, shared: Column) -> Column:
-    """A non-decreasing number of a date, time, boolean or text; ``shared`` is the length of a common prefix."""
-    if isinstance(dtype, T.StringType):
-        digits = F.substring(F.hex(F.substring(c, shared + 1, F.lit(PREFIX_BYTES))), 1, 2 * PREFIX_BYTES)
-        return F.conv(F.rpad(digits, 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, T.BooleanType):
-        return c.cast("int").cast("double")
-    return F.unix_micros(c.cast("timestamp")).cast("double")
-
-
-def _with_range_slices(values: DataFrame, keys: list[str], x: str, dtype: T.DataType) -> DataFrame:
-    """``_slice``: equal steps between the ends of each group."""
-    ends = values.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    shared = F.lit(0)
-    if isinstance(dtype, T.StringType):
-        n = F.least(F.length("_lo"), F.length("_hi"))
-        shared = F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.left(F.col("_lo"), i) == F.left(F.col("_hi"), i)))).otherwise(0)
-    ends = ends.withColumn("_shared", shared)
-    ends = ends.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], "_shared",
-                       _as_number(F.col("_lo"), dtype, F.col("_shared")).alias("_from"), _as_number(F.col("_hi"), dtype, F.col("_shared")).alias("_to"))
-    if keys:
-        out = values.join(ends, reduce(lambda a, b: a & b, [values[k].eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)]))
-    else:
-        one = ends.select(F.struct("_shared", "_from", "_to").alias("_one")).scalar()
-        out = values.withColumn("_one", one).select("*", "_one.*").drop("_one")
-    step = (_as_number(F.col(x), dtype, F.col("_shared")) - F.col("_from")) / F.greatest(F.col("_to") - F.col("_from"), F.lit(1e-9))
-    return out.withColumn("_slice", F.floor(step * SLICES)).drop("_shared", "_from", "_to", *[f"_e{i}" for i in range(len(keys))])
-
-
-def value_table(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """``keys, x, _ties, _below, _n`` for every distinct non-null value of each group."""
-    dtype = df.schema[x].dataType
-    values = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_ties"))
-    values = values.withColumn("_slice", magnitude_slice(F.col(x))) if isinstance(dtype, T.NumericType) else (
-        _with_range_slices(values, keys, x, dtype))
-    per_slice = values.groupBy(*keys, "_slice").agg(F.sum("_ties").alias("_rows"))
-    in_order = Window.partitionBy(*keys).orderBy("_slice")
-    per_slice = per_slice.select(
-        *keys, "_slice",
-        F.coalesce(F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*keys)).alias("_n"))
-    values, per_slice = values.alias("v"), per_slice.alias("s")
-    on = reduce(lambda a, b: a & b,
-                [F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys + ["_slice"]])
-    inside = Window.partitionBy(*[F.col(f"v.{k}") for k in keys], F.col("v._slice")).orderBy(F.col(f"v.{x}"))
-    ahead = F.sum("v._ties").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    return values.join(per_slice, on).select(
-        *[F.col(f"v.{k}") for k in keys], F.col(f"v.{x}"), F.col("v._ties"),
-        (F.col("s._before") + F.coalesce(ahead, F.lit(0))).alias("_below"), F.col("s._n"))
+from crosstide.session import stage
+
+GROUP_ROWS = 250_000        # a group that one task ranks in memory
+PART_BITS = 33              # monotonically_increasing_id: number of the part above, number of the row below
+# Layout only: values with so many rows in this share of the rows are dealt to sub-runs.
+SAMPLE, HOT, HOT_MOST, SUB_RUNS = 1 / 64, 1024, 1000, 64
+
+
+def order_code(c: Column) -> Column:
+    """A long that orders and equals as the double does (negative and positive zero are equal)."""
+    x = F.abs(c.cast("double"))
+    # the logarithm may be off by one next to a power of two; halving and doubling are exact
+    e = F.least(F.greatest(F.floor(F.log2(x)), F.lit(-1022)), F.lit(1023))
+    m = x / F.pow(F.lit(2.0), e)
+    code = (F.when(x >= F.lit(float("inf")), F.when(F.isnan(x), F.lit(2047 * 2 ** 52 + 1)).otherwise(F.lit(2047 * 2 ** 52)))
+            .when(m >= 2, (e + 1024) * F.lit(2 ** 52) + ((m / 2 - 1) * F.lit(2.0 ** 52)).cast("long"))
+            .when(m < 1, F.when(e > -1022, (e + 1022) * F.lit(2 ** 52) + ((m * 2 - 1) * F.lit(2.0 ** 52)).cast("long"))
+                  .otherwise((x * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")))
+            .otherwise((e + 1023) * F.lit(2 ** 52) + ((m - 1) * F.lit(2.0 ** 52)).cast("long")))
+    return F.when(c == 0, F.lit(0).cast("long")).when(c < 0, -code).when(c.isNotNull(), code)
+
+
+def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
+
+
+def _sorted(df: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
+    """Rows over the cluster in the order of ``columns`` and ``order``, numbered within their part."""
+    by = [*[F.col(k) for k in columns], *order]
+    return df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+
+
+def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Staged sorted ``rows`` with ``_shift``, which added to ``_at`` gives the place in the group from 0, and the group's ``_members``."""
+    rows = rows.withColumn("_part", F.shiftright("_at", PART_BITS))
+    group = Window.partitionBy(*keys)
+    sizes = rows.groupBy("_part", *keys).agg(F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = stage(sizes.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                               (F.coalesce(before, F.lit(0)) - F.col("_start")).alias("_shift"), F.sum("_rows").over(group).alias("_members")))
+    on = _match(rows, sizes, [("_part", "_p"), *[(k, f"_k{i}") for i, k in enumerate(keys)]])
+    return rows.join(sizes, on).drop("_part", "_p", *[f"_k{i}" for i in range(len(keys))])
+
+
+def _hot_values(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Values with a great many rows in a sample: they are laid out differently, their result is the same."""
+    seen = df.where(F.col("_code").isNotNull() & (F.rand(17) < SAMPLE)).groupBy(*keys, "_code").agg(F.count(F.lit(1)).alias("_seen"))
+    rows = seen.where(F.col("_seen") >= HOT).orderBy(F.desc("_seen")).limit(HOT_MOST).drop("_seen").collect()
+    if not rows:
+        return None
+    schema = T.StructType([T.StructField(f"_h{i}", f.dataType) for i, f in enumerate(seen.drop("_seen").schema)])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def rank_parts(df: DataFrame, keys: list[str], x: str, prefix: str) -> DataFrame:
     """Add ``{prefix}_below``, ``{prefix}_ties`` and ``{prefix}_n`` (NULL where ``x`` is NULL)."""
-    values = value_table(df, keys, x)
-    renamed = values.select(
-        *[F.col(k).alias(f"_vk{i}") for i, k in enumerate(keys)], F.col(x).alias("_vx"),
-        F.col("_below").alias(f"{prefix}_below"), F.col("_ties").alias(f"{prefix}_ties"),
-        F.col("_n").alias(f"{prefix}_n"))
-    on = [df[k].eqNullSafe(renamed[f"_vk{i}"]) for i, k in enumerate(keys)]
-    on.append(df[x] == renamed["_vx"])
-    drop = [f"_vk{i}" for i in range(len(keys))] + ["_vx"]
-    return df.join(renamed, reduce(lambda a, b: a & b, on), "left").drop(*drop)
+    floating = isinstance(df.schema[x].dataType, (T.DoubleType, T.FloatType))
+    rows = df.withColumn("_code", order_code(F.col(x)) if floating else F.col(x))
+    hot = _hot_values(rows, keys)
+    names = [*keys, "_code"]
+    run = ["_code"] if hot is None else ["_code", "_sub"]
+    if hot is not None:                             # at most HOT_MOST rows are broadcast
+        on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(hot[f"_h{i}"]) for i, k in enumerate(names)])
+        marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left").drop(*hot.columns)
+        rows = marked.withColumn("_sub", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SUB_RUNS)) + 1).otherwise(0).cast("int")).drop("_hot")
+    rows = rows.withColumn("_known", F.col("_code").isNotNull())
+    rows = _sorted(rows, [*keys, "_known", *run], [])
+    same = Window.partitionBy(*keys, "_known", *run)
+    rows = rows.withColumns({"_first": F.min("_at").over(same), "_ties": F.count(F.lit(1)).over(same)})
+    rows = _grouped(stage(rows if hot is not None else rows.drop("_code")), [*keys, "_known"])
+    rows = rows.withColumn("_below", F.col("_first") + F.col("_shift"))
+    if hot is not None:
+        runs = rows.where(F.col("_known") & (F.col("_sub") > 0)).groupBy(*names).agg(F.min("_below").alias("_b"), F.count(F.lit(1)).alias("_t"))
+        runs = runs.withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(names)})
+        on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(runs[f"_h{i}"]) for i, k in enumerate(names)])
+        rows = rows.join(F.broadcast(runs), on, "left").withColumns({"_below": F.coalesce("_b", "_below"), "_ties": F.coalesce("_t", "_ties")})
+    return rows.select(*df.columns, *[F.when(F.col("_known"), F.col(c)).alias(f"{prefix}_{name}") for c, name in
+                                       (("_below", "below"), ("_ties", "ties"), ("_members", "n"))])
+
+
+def average_rank(prefix: str, pct: bool = True) -> Column:
+    place = F.col(f"{prefix}_below") + (F.col(f"{prefix}_ties") + 1) / F.lit(2.0)
+    return place / F.col(f"{prefix}_n") if pct else place
+
+
+def split_by_size(df: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of groups that one task can hold, rows of larger ones); None for a side without groups. Counts once."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = sizes.where(F.col("_rows") > GROUP_ROWS)
+    found = sizes.agg(F.count_if(F.col("_rows") > GROUP_ROWS).alias("large"), F.count(F.lit(1)).alias("all")).first()
+    if not found["large"]:
+        return df, None
+    if found["large"] == found["all"]:
+        return None, df
+    names = stage(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    on = _match(df, names, [(k, f"_k{i}") for i, k in enumerate(keys)])
+    return df.join(names, on, "left_anti"), df.join(names, on, "left_semi")
+
+
+def _window_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], pct: bool) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    out = []
+    for name, x in columns.items():
+        order = group.orderBy(F.col(x).asc_nulls_last())
+        place = F.rank().over(order) + (F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / F.lit(2.0)
+        out.append(F.when(keyed & F.col(x).isNotNull(), place / F.count(x).over(group) if pct else place).alias(name))
+    return df.select(*[c for c in df.columns if c not in columns], *out)
+
+
+def _sorted_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], pct: bool) -> DataFrame:
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    kept = df.columns
+    for i, (out, x) in enumerate(columns.items()):
+        df = rank_parts(df, keys, x, f"_r{i}")
+        kept = [*kept, out]
+        df = df.withColumn(out, F.when(keyed, average_rank(f"_r{i}", pct))).select(*kept)
+    return df
 
 
 def with_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], *, pct: bool = True) -> DataFrame:
     """Average-tie ranks, ``{output: input}``; as a share of the non-null count when ``pct``.
 
-    NULL inputs stay unranked and rows with a NULL key get NULL.
+    NULL inputs stay unranked and rows with a NULL key get NULL. ``df`` is read once more to count its groups.
     """
-    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    for i, (out, x) in enumerate(columns.items()):
-        p = f"_r{i}"
-        df = rank_parts(df, keys, x, p)
-        place = F.col(f"{p}_below") + (F.col(f"{p}_ties") + 1) / F.lit(2.0)
-        value = place / F.col(f"{p}_n") if pct else place
-        df = df.withColumn(out, F.when(keyed, value))
-    return df.drop(*[f"_r{i}_{s}" for i in range(len(columns)) for s in ("below", "ties", "n")])
+    small, large = split_by_size(df, keys)
+    parts = [] if small is None else [_window_ranks(small, keys, columns, pct)]
+    parts += [] if large is None else [_sorted_ranks(large, keys, columns, pct)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def with_group_size(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
@@ -125,34 +162,32 @@ def with_position(df: DataFrame, keys: list[str], x: str, tie: str, out: str, *,
 
     Rows with a NULL ``x`` get NULL and do not count.
     """
-    df = rank_parts(df, keys, x, "_p")
-    if tie == x:                                    # x is unique itself
-        among = F.lit(0)
-    else:
-        df = rank_parts(df, keys + [x], tie, "_t")
-        among = F.col("_t_n") - F.col("_t_below") - 1 if tie_descending else F.col("_t_below")
-    ahead = F.col("_p_n") - F.col("_p_below") - F.col("_p_ties") if descending else F.col("_p_below")
-    return (df.withColumn(out, F.when(F.col(x).isNotNull(), (ahead + among + 1).cast("long")))
-            .drop(*[f"{p}_{s}" for p in ("_p", "_t") for s in ("below", "ties", "n")]))
+    order = [F.desc(x) if descending else F.asc(x)]
+    if tie != x:
+        order.append(F.desc(tie) if tie_descending else F.asc(tie))
+    rows = _sorted(df.withColumn("_known", F.col(x).isNotNull()), [*keys, "_known"], order)
+    rows = _grouped(stage(rows), [*keys, "_known"])
+    return rows.select(*df.columns, F.when(F.col("_known"), F.col("_at") + F.col("_shift") + 1).alias(out))
 
 
 def quantile_table(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per group: ``{column}_q{i}`` per prob."""
     long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns])).alias("_s"))
-    long = long.select(*keys, F.col("_s._name").alias("_name"), F.col("_s._x").alias("_x"))
-    values = value_table(long, keys + ["_name"], "_x")
-    picks = []
-    for i, p in enumerate(probs):
-        at = F.lit(p) * (F.col("_n") - 1)
-        for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("_below") <= index) & (index < F.col("_below") + F.col("_ties"))
-            picks.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{side}{i}"))
-        picks.append((F.max(at) - F.floor(F.max(at))).alias(f"_w{i}"))
-    picked = values.groupBy(*keys, "_name").agg(*picks)
+        F.struct(F.lit(i).alias("_name"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)])).alias("_s"))
+    long = long.select(*keys, "_s.*").where(F.col("_x").isNotNull())
+    # equal values may stand in any order, so a hot one is cut by the number of its row
+    names = [*keys, "_name"]
+    rows = _sorted(long.withColumn("_tie", F.monotonically_increasing_id()), names, [F.col("_x"), F.col("_tie")])
+    rows = _grouped(stage(rows.drop("_tie")), names).withColumn("_place", F.col("_at") + F.col("_shift"))
+    at = [F.lit(p) * (F.col("_members") - 1) for p in probs]
+    sides = [(f"_{side}{i}", F.col("_place") == index) for i, a in enumerate(at) for side, index in (("lo", F.floor(a)), ("hi", F.ceil(a)))]
+    hits = rows.where(reduce(lambda a, b: a | b, [hit for _, hit in sides]))
+    picked = hits.groupBy(*names).agg(
+        *[F.max(F.when(hit, F.col("_x"))).alias(name) for name, hit in sides],
+        *[F.max(a - F.floor(a)).alias(f"_w{i}") for i, a in enumerate(at)])
     out = []
-    for c in columns:
+    for j, c in enumerate(columns):
         for i in range(len(probs)):
             value = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")
-            out.append(F.max(F.when(F.col("_name") == c, value)).alias(f"{c}_q{i}"))
+            out.append(F.max(F.when(F.col("_name") == j, value)).alias(f"{c}_q{i}"))
     return picked.groupBy(*keys).agg(*out)

@@ -88,11 +88,26 @@ def market_industry(df: DataFrame, p: Profile) -> DataFrame:
     """Market, sector and sub-industry context with excess returns and momentum ranks."""
     out = join_back(df, market_state(df, p), ["date"])
     for group, prefix in (("sector", "sector"), ("sub_industry", "subind")):
-        out = join_back(out, group_state(df, group, prefix, p), ["date", group])
-    out = out.withColumns(excess_returns(p.excess))
-    ranks = {f"{prefix}_mom_rank_{w}d": f"{prefix}_ret_{w}d"
-             for w in p.momentum_ranks for prefix in ("sector", "subind")}
-    return with_ranks(out, ["date"], ranks)
+        state = group_state(df, group, prefix, p)
+        ranks = {f"{prefix}_mom_rank_{w}d": f"{prefix}_ret_{w}d" for w in p.momentum_ranks}
+        out = join_back(out, member_ranks(state, df.where(F.col(group).isNotNull()).groupBy("date", group).agg(F.count(F.lit(1)).alias("_size")), group, ranks), ["date", group])
+    return out.withColumns(excess_returns(p.excess))
+
+
+def member_ranks(state: DataFrame, sizes: DataFrame, group: str, columns: dict[str, str]) -> DataFrame:
+    """Percentage ranks over the members of all groups of a date, for values that all members of a group share.
+
+    They follow from the groups' sizes: the tables hold a row per calendar date and group, not one per member.
+    """
+    sized = state.join(sizes, ["date", group])
+    day = Window.partitionBy("date")
+    for out, x in columns.items():
+        members = F.when(F.col(x).isNotNull(), F.col("_size"))
+        order = day.orderBy(F.col(x).asc_nulls_last())
+        same = F.sum(members).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        upto = F.sum(members).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        sized = sized.withColumn(out, F.when(F.col(x).isNotNull(), (upto - same + (same + 1) / F.lit(2.0)) / F.sum(members).over(day)))
+    return sized.drop("_size")
 
 
 def excess_returns(windows: Iterable[int]) -> dict[str, Column]:

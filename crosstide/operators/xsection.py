@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from crosstide.functions.numeric import clip, ratio
 from crosstide.functions.scalars import with_one_row
-from crosstide.operators.ranking import quantile_table, with_group_size, with_position, with_ranks
+from crosstide.operators.ranking import average_rank, order_code, quantile_table, rank_parts, split_by_size, with_group_size, with_position, with_ranks
 
 # Scope name -> keys, in the order the features are named.
 SCOPES = {"cs": ["date"], "sector": ["date", "sector"], "subind": ["date", "sub_industry"]}
@@ -24,26 +28,89 @@ def zscores(df: DataFrame, keys: list[str], columns: Iterable[str], prefix: str)
     return out.drop(*[f"_{k}_{c}" for c in columns for k in ("m", "s")])
 
 
-def pct_ranks(df: DataFrame, keys: list[str], columns: Iterable[str], prefix: str) -> DataFrame:
-    """``{prefix}_rank_{c}``: columns are unpivoted, so that they share one shuffle per step, then pivoted back."""
+def _average_ranks(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Average-tie rank of each value in its group as a share of the group's values; NaN where either is missing."""
+    out = np.full(len(x), np.nan)
+    rows = np.flatnonzero((group >= 0) & ~np.isnan(x))
+    if not len(rows):
+        return out
+    order = rows[np.lexsort((x[rows], group[rows]))]
+    g, v = group[order], x[order]
+    place = np.arange(len(order))
+    starts_group = np.append(True, g[1:] != g[:-1])
+    starts_run = starts_group | np.append(True, v[1:] != v[:-1])
+    group_at, run_at = np.flatnonzero(starts_group), np.flatnonzero(starts_run)
+    first = run_at[np.cumsum(starts_run) - 1]
+    last = np.append(run_at[1:], len(order))[np.cumsum(starts_run) - 1] - 1
+    of_group = np.cumsum(starts_group) - 1
+    members = np.diff(np.append(group_at, len(place)))
+    out[order] = ((first + last) / 2 - group_at[of_group] + 1) / members[of_group]
+    return out
+
+
+def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number per combination of the keys; -1 where one is null."""
+    code = np.zeros(table.num_rows, np.int64)
+    for k in keys:
+        own = pc.dictionary_encode(table[k].combine_chunks()).indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.where((own < 0) | (code < 0), -1, code * (own.max(initial=0) + 1) + own)
+        code = np.unique(code, return_inverse=True)[1] - (code.min(initial=0) < 0)
+    return code
+
+
+def scope_ranks(df: DataFrame, scopes: dict[str, list[str]], columns: Iterable[str]) -> DataFrame:
+    """``{prefix}_rank_{c}`` for every scope (prefix -> keys, ``date`` among them) and column.
+
+    All scopes share one shuffle by date, and a task ranks the columns of a date together. The rows of dates with
+    more than ``GROUP_ROWS`` rows are unpivoted, range-sorted once for all scopes and columns, and pivoted back.
+    """
     columns = list(columns)
-    ids = list(dict.fromkeys(keys + ["date", "symbol"]))
-    long = df.select(*ids, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns])).alias("_e"))
-    long = long.select(*ids, F.col("_e._name").alias("_name"), F.col("_e._x").alias("_x"))
-    long = long.where(F.col("_x").isNotNull())
-    ranked = with_ranks(long, keys + ["_name"], {"_q": "_x"})
-    wide = ranked.groupBy("date", "symbol").agg(*[
-        F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(f"{prefix}_rank_{c}") for c in columns])
+    names = [f"{prefix}_rank_{c}" for prefix in scopes for c in columns]
+    small, large = split_by_size(df, ["date"])
+    parts = []
+    if small is not None:
+        def ranked(table: pa.Table) -> pa.Table:
+            for prefix, keys in scopes.items():
+                group = _groups(table, keys)
+                for c in columns:
+                    x = pc.fill_null(table[c].cast(pa.float64()), float("nan")).to_numpy()
+                    table = table.append_column(f"{prefix}_rank_{c}", pa.array(_average_ranks(x, group), from_pandas=True))
+            return table
+        schema = T.StructType([*small.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+        parts.append(small.groupBy("date").applyInArrow(ranked, schema))
+    if large is not None:
+        parts.append(_sorted_scope_ranks(large, scopes, columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sorted_scope_ranks(df: DataFrame, scopes: dict[str, list[str]], columns: list[str]) -> DataFrame:
+    slots = []
+    for prefix, keys in scopes.items():
+        group = F.concat_ws("\0", *[F.col(k).cast("string") for k in keys if k != "date"])
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        slots += [(f"{prefix}_rank_{c}", F.when(known, group), c) for c in columns]
+    long = df.select("date", "symbol", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_slot"), group.alias("_group"), F.col(c).cast("double").alias("_x")) for i, (_, group, c) in enumerate(slots)])).alias("_e"))
+    long = long.select("date", "symbol", "_e._slot", "_e._group", order_code(F.col("_e._x")).alias("_x")).where(
+        F.col("_x").isNotNull() & F.col("_group").isNotNull())
+    ranked = rank_parts(long, ["date", "_slot", "_group"], "_x", "_r").withColumn("_q", average_rank("_r"))
+    # the order begins with the date: most of a row's ranks stand in one part, where the pivot combines them before its shuffle
+    wide = ranked.groupBy("date", "symbol").agg(*[F.max(F.when(F.col("_slot") == i, F.col("_q"))).alias(out) for i, (out, _, _) in enumerate(slots)])
     return df.join(wide, ["date", "symbol"], "left")
 
 
+def pct_ranks(df: DataFrame, keys: list[str], columns: Iterable[str], prefix: str) -> DataFrame:
+    """``{prefix}_rank_{c}`` within ``keys``."""
+    return scope_ranks(df, {prefix: keys}, columns)
+
+
 def cross_sectional(df: DataFrame, columns: Iterable[str], scopes: dict[str, list[str]] | None = None) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
-    for prefix, keys in (SCOPES if scopes is None else scopes).items():
-        df = zscores(df, keys, columns, prefix)
-        df = pct_ranks(df, keys, columns, prefix)
-    return df
+    scopes = SCOPES if scopes is None else scopes
+    ranked = scope_ranks(df, scopes, columns)
+    for prefix, keys in scopes.items():
+        ranked = zscores(ranked, keys, columns, prefix)
+    return ranked
 
 
 def relative_targets(df: DataFrame, horizons: Iterable[int]) -> DataFrame:
@@ -53,13 +120,13 @@ def relative_targets(df: DataFrame, horizons: Iterable[int]) -> DataFrame:
     market = df.groupBy("date").agg(*[F.avg(c).alias(f"_m_{c}") for c in raw])
     sector = df.where(F.col("sector").isNotNull()).groupBy("date", "sector").agg(
         *[F.avg(c).alias(f"_g_{c}") for c in raw])
-    out = df.join(market, ["date"], "left").join(sector, ["date", "sector"], "left")
+    ranked = with_ranks(df, ["date"], {f"target_rank_fwd_{h}d": c for h, c in zip(horizons, raw)})
+    out = ranked.join(market, ["date"], "left").join(sector, ["date", "sector"], "left")
     columns = {}
     for h, c in zip(horizons, raw):
         columns[f"target_excess_market_fwd_{h}d"] = F.col(c) - F.col(f"_m_{c}")
         columns[f"target_excess_sector_fwd_{h}d"] = F.col(c) - F.col(f"_g_{c}")
-    out = out.withColumns(columns).drop(*[f"_{k}_{c}" for c in raw for k in ("m", "g")])
-    return with_ranks(out, ["date"], {f"target_rank_fwd_{h}d": c for h, c in zip(horizons, raw)})
+    return out.withColumns(columns).drop(*[f"_{k}_{c}" for c in raw for k in ("m", "g")])
 
 
 def liquidity_universe(df: DataFrame, liquidity: str, drop_share: float, *, tie: str = "symbol") -> DataFrame:

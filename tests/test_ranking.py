@@ -3,9 +3,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from crosstide.operators import ranking, xsection
+from crosstide.operators import ranking, rollup, xsection
 
 
 @pytest.fixture(scope="module")
@@ -30,13 +30,25 @@ def test_ranks_match_pandas_under_skew(skewed):
     np.testing.assert_allclose(got["q"], want, equal_nan=True)
 
 
-def test_no_job_runs_while_a_plan_is_built(spark, skewed):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("ranking plan", "")
-    ranking.with_position(ranking.with_ranks(skewed, ["g"], {"q": "x"}), ["g"], "x", "id", "p")
-    ranking.quantile_table(skewed, ["g"], ["x"], [0.5])
-    assert list(tracker.getJobIdsForGroup("ranking plan")) == []
-    spark.sparkContext.setJobGroup("", "")
+def test_ties_need_no_shuffle_besides_the_sort(skewed):
+    code = skewed.withColumns({"_known": F.col("x").isNotNull(), "_code": ranking.order_code(F.col("x"))})
+    rows = ranking._sorted(code, ["g", "_known", "_code"], [])
+    run = Window.partitionBy("g", "_known", "_code")
+    plan = rows.withColumn("_first", F.min("_at").over(run))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange rangepartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_hot_values_are_dealt_to_sub_runs(skewed, monkeypatch):
+    monkeypatch.setattr(ranking, "SAMPLE", 1.1)
+    monkeypatch.setattr(ranking, "HOT", 20)
+    nulls = skewed.withColumn("h", F.when(F.col("id") % 7 > 0, F.col("g")))
+    hot = ranking._hot_values(nulls.withColumn("_code", ranking.order_code(F.col("x"))), ["h"])
+    assert 2 <= hot.count() < 10
+    got = by_id(ranking.rank_parts(nulls, ["h"], "x", "r"))
+    x = got.groupby("h", dropna=False)["x"]
+    np.testing.assert_allclose(got["r_below"], x.rank(method="min") - 1, equal_nan=True)
+    np.testing.assert_allclose(got["r_ties"], x.rank(method="max") - x.rank(method="min") + 1, equal_nan=True)
+    np.testing.assert_allclose(got["r_n"].dropna(), x.transform("count")[got["x"].notna()])
 
 
 @pytest.mark.parametrize("desc", [False, True])
@@ -70,22 +82,50 @@ def test_other_types_rank_like_a_sort(spark, kind):
         part = sorted((r[2].encode() if isinstance(r[2], str) else r[2], r[1]) for r in rows if r[0] == g)
         place = dict(zip(got["id"], got["p"]))
         assert [place[i] for _, i in part] == list(range(1, len(part) + 1))
-    slices = ranking.value_table(df.withColumn("one", F.lit(1)), ["one"], "x")
-    assert slices.count() == len({r[2] for r in rows})
-
-
-def test_slices_are_bounded_and_spread(spark):
-    df = spark.range(5000).select(F.lit(1).alias("g"), F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("x"))
-    cut = ranking._with_range_slices(df.groupBy("g", "x").count(), ["g"], "x", df.schema["x"].dataType)
-    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
-    assert 20 < len(sizes) <= ranking.SLICES + 1 and max(sizes) < 5000 / 20
-
-
-def test_order_slice_never_decreases(spark):
-    values = sorted([-1e9, -3.5, -1e-12, 0.0, 1e-12, 0.1, 0.10001, 7.0, 7.1, 1e15])
-    df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = [r[1] for r in df.select("x", ranking.magnitude_slice(F.col("x"))).orderBy("x").collect()]
-    assert got == sorted(got)
+    ranked = by_id(ranking.rank_parts(df, [], "x", "r"))
+    order = sorted(r[2].encode() if isinstance(r[2], str) else r[2] for r in rows)
+    for r, below, ties in zip(rows, ranked["r_below"], ranked["r_ties"]):
+        v = r[2].encode() if isinstance(r[2], str) else r[2]
+        assert (below, ties) == (order.index(v), order.count(v))
+
+
+@pytest.mark.parametrize("kind", ["narrow", "epoch seconds", "numbered text", "heavy tail"])
+def test_one_group_is_cut_evenly_whatever_its_values(spark, kind):
+    rng = np.random.default_rng(6)
+    n = 8000
+    x = {"narrow": 100 + 4 * rng.random(n), "epoch seconds": 1.6e9 + np.round(rng.random(n) * 6e6), "heavy tail": np.exp(9 * rng.normal(size=n)),
+         "numbered text": [f"Supplier#{i:09d}" for i in rng.integers(0, 5000, n)]}[kind]
+    pdf = pd.DataFrame({"g": 1, "id": np.arange(n), "x": x})
+    df = spark.createDataFrame(pdf)
+    parts = ranking._sorted(df, ["g"], [F.col("x")]).groupBy(F.shiftright("_at", ranking.PART_BITS)).count().collect()
+    assert len(parts) == 1 or max(r["count"] for r in parts) < 2 * n / len(parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = ranking._sorted(df, ["g"], [F.col("x")]).groupBy(F.shiftright("_at", ranking.PART_BITS)).count().collect()
+        assert len(parts) == 8 and max(r["count"] for r in parts) < 2 * n / 8
+        got = by_id(ranking.with_ranks(df, ["g"], {"q": "x"}))
+        at = by_id(ranking.with_position(df, ["g"], "x", "id", "p", descending=True))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    np.testing.assert_allclose(got["q"], pdf["x"].rank(pct=True))
+    order = pdf.sort_values(["x", "id"], ascending=[False, True])["id"]
+    assert at.set_index("p")["id"].sort_index().tolist() == order.tolist()
+
+
+def test_order_code_is_the_order_of_doubles(spark):
+    rng = np.random.default_rng(8)
+    values = [0.0, -0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 1.0, 2.0, 0.1]
+    values += [v for e in range(-1074, 1024, 7) for v in (2.0 ** e, np.nextafter(2.0 ** e, 0), np.nextafter(2.0 ** e, np.inf))]
+    values += rng.normal(size=500).tolist()
+    values += [-v for v in values]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (None,)], "x double")
+    codes = {}
+    for r in df.select("x", ranking.order_code(F.col("x")).alias("c")).collect():
+        if r.x is not None and r.x == r.x:
+            bits = int(np.float64(abs(r.x)).view(np.int64))
+            assert r.c == (bits if r.x >= 0 else -bits), r.x
+        codes[str(r.x)] = r.c
+    assert codes["None"] is None and codes["nan"] > codes["inf"] > codes["1.7976931348623157e+308"]
 
 
 def test_pct_rank_literals(spark):
@@ -113,6 +153,30 @@ def test_wide_and_long_ranks_agree(spark):
                                   long.select(*cols).toPandas().sort_values(order).reset_index(drop=True))
 
 
+@pytest.mark.parametrize("limit", [0, 70, 10 ** 6])
+def test_groups_of_any_size_rank_alike(skewed, monkeypatch, limit):
+    monkeypatch.setattr(ranking, "GROUP_ROWS", limit)          # all sorted, both ways, all in memory
+    got = by_id(ranking.with_ranks(skewed, ["g"], {"q": "x", "r": "id"}))
+    for out, x in (("q", "x"), ("r", "id")):
+        np.testing.assert_allclose(got[out], got.groupby("g")[x].rank(pct=True), equal_nan=True)
+    dated = skewed.select(F.col("g").alias("date"), F.col("id").alias("symbol"), "x", (F.col("id") % 3).alias("y"),
+                          F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 4)).alias("sector"))
+    wide = xsection.scope_ranks(dated, {"cs": ["date"], "sec": ["date", "sector"]}, ["x", "y"])
+    wide = wide.toPandas().sort_values("symbol").reset_index(drop=True)
+    for c in ("x", "y"):
+        np.testing.assert_allclose(wide[f"cs_rank_{c}"], wide.groupby("date")[c].rank(pct=True), equal_nan=True)
+        np.testing.assert_allclose(wide[f"sec_rank_{c}"], wide.groupby(["date", "sector"])[c].rank(pct=True), equal_nan=True)
+
+
+def test_ranks_of_groups_equal_ranks_of_their_members(spark):
+    rows = [(d, s, f"g{s % 4}", None if s % 4 == 3 else float(s % 4 // 2)) for d in ("a", "b") for s in range(30)]
+    df = spark.createDataFrame(rows, "date string, symbol int, grp string, x double")
+    state = df.groupBy("date", "grp").agg(F.first("x").alias("v"))
+    sizes = df.groupBy("date", "grp").agg(F.count(F.lit(1)).alias("_size"))
+    out = df.join(rollup.member_ranks(state, sizes, "grp", {"q": "v"}), ["date", "grp"]).toPandas()
+    np.testing.assert_allclose(out["q"], out.groupby("date")["x"].rank(pct=True), equal_nan=True)
+
+
 def test_whole_table_as_one_group(skewed):
     got = by_id(ranking.rank_parts(skewed, [], "x", "r"))
     x = got["x"]
