@@ -13,7 +13,8 @@ run again on the same partition makes the same sequences.
 Token ids are those of the public byte-level vocabulary, read from its rank file (the tests hold them
 against the ``tokenizers`` library and its file). The splitting pattern never joins two words across a
 single space or line end, so the distinct words of a slice of texts are encoded once and laid out by
-array look-ups; texts with runs of white space are encoded whole.
+array look-ups; texts with runs of white space are encoded whole. So are texts with an added token of the vocabulary's
+file: as in the library's defaults, it is cut out first and keeps its own id.
 
 Defined cases: a null text is empty and yields only the closing id. Repeated rows are packed each.
 An empty table gives an empty result. Of the input only doc_id and text are used.
@@ -23,8 +24,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +43,14 @@ END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 WINDOW_TOKENS = 4_000_000
 RANKS = "byte_bpe_50k.tiktoken"
+# Added tokens of the vocabulary's file and their ids: fixed values.
+ADDED = {"<|endoftext|>": 50256}
 SLICE_CHARS = 12_000_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, sequence_cost double")
 # Two characters in a row that Unicode, or Python, counts as white space.
 TWO_BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+WHOLE = "|".join([TWO_BLANKS, *map(re.escape, ADDED)])
 
 
 class Encoder:
@@ -59,7 +65,8 @@ class Encoder:
         import tiktoken
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens=ADDED)
+        self.encode, self.whole = encoding.encode_ordinary, partial(encoding.encode, allowed_special="all")
         self.lengths = np.zeros(max(table.values()) + 1, np.int64)
         self.lengths[list(table.values())] = [len(t) for t in table]
 
@@ -73,9 +80,9 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, the closing id last."""
-        blank = pc.match_substring_regex(pa.array(["\n" + (t or "") for t in texts], pa.large_string()), TWO_BLANKS).to_pylist()
-        plain = [d for d, odd in enumerate(blank) if not odd]
-        out: list = [np.array([*self.encode(t), END_ID], "<u4") if odd else None for t, odd in zip(texts, blank, strict=True)]
+        odd = pc.match_substring_regex(pa.array(["\n" + (t or "") for t in texts], pa.large_string()), WHOLE).to_pylist()
+        plain = [d for d, o in enumerate(odd) if not o]
+        out: list = [np.array([*self.whole(t or ""), END_ID], "<u4") if o else None for t, o in zip(texts, odd, strict=True)]
         split = pc.split_pattern(pa.array(["\n" + (texts[d] or "").replace("\n", " \n") for d in plain], pa.large_string()), " ")
         code = split.flatten().dictionary_encode()
         if not len(code):
@@ -109,7 +116,7 @@ def place(lengths: list[int], length: int = LENGTH) -> list[list[tuple[int, int,
     """Sequences as lists of (document, start, tokens) for documents of the given lengths.
 
     The number of sequences is the least that can hold everything. Sequences are kept in a heap
-    by cost; those without room for the piece at hand are set aside and come back for shorter ones.
+    by cost; those without room for the piece at hand are set aside by their room and come back for pieces that fit.
     """
     full: list[list[tuple[int, int, int]]] = []
     rests = []
@@ -121,24 +128,33 @@ def place(lengths: list[int], length: int = LENGTH) -> list[list[tuple[int, int,
     rests.sort(key=lambda r: (-r[0], r[1]))
     count = -(-sum(r[0] for r in rests) // length)
     bins: list[list[tuple[int, int, int]]] = [[] for _ in range(count)]
-    room = np.full(count, length, np.int64)
-    load = np.zeros(count)
+    room, load = [length] * count, [0.0] * count
+    heap = [(0.0, b) for b in range(count)]
+    aside: list[list[int]] = [[] for _ in range(length + 1)]
+    back = length
     left = []
     for n, d, s in rests:
-        fits = np.where(room >= n, load, np.inf)
-        b = int(fits.argmin()) if count else 0
-        if fits[b] == np.inf:
+        while back >= n:
+            for b in aside[back]:
+                heapq.heappush(heap, (load[b], b))
+            aside[back], back = [], back - 1
+        while heap and room[heap[0][1]] < n:
+            b = heapq.heappop(heap)[1]
+            aside[room[b]].append(b)
+        if not heap:
             left.append((n, d, s))
             continue
+        b = heap[0][1]
         bins[b].append((d, s, n))
         room[b] -= n
         load[b] += cost(n)
+        heapq.heapreplace(heap, (load[b], b))
     heap = [(load[b], b) for b in range(count) if room[b]]
     heapq.heapify(heap)
     for n, d, s in left:
         while n:
             c, b = heapq.heappop(heap)
-            k = min(n, int(room[b]))
+            k = min(n, room[b])
             bins[b].append((d, s, k))
             room[b] -= k
             n, s = n - k, s + k
