@@ -4,7 +4,8 @@ A document is its set of distinct shingles (64-bit hashes). Two documents link w
 Jaccard similarity reaches a limit; the result is the smallest document that links reach. ``SHINGLE`` words and
 ``PERCENT`` are those of the query; the pipeline passes its own.
 
-1. Equal sets are one node, named by its smallest document.
+1. Equal sets are one node, named by its smallest document. Nodes are told apart by the digest of their set, so no join is needed
+   before they enter the forest; of equal sets in one slice of texts only the first enters.
 2. Forest. Nodes that may link must meet in a tree. With sizes n <= m the sets differ in at most
    ``D = (n + m) * (100 - percent) / (100 + percent)`` shingles. The hash range is cut into ``D + 1 + slack`` segments; sets that link
    agree on at least ``1 + slack`` whole segments. A node is entered under the hash of each of its
@@ -12,13 +13,15 @@ Jaccard similarity reaches a limit; the result is the smallest document that lin
    cut). Segments with
    fewer than two shingles, or else the empty ones, are left out if the node has no more of them than the slack: another
    shared one is left then. So no link is lost, and a common passage does not bring its documents together.
+   Entries are shuffled once, as (key, node), and a window finds the keys with several nodes. Keys that a slice of texts holds often
+   are heavy: theirs are made distinct and counted with partial sums instead, so that no key is one task's group.
 3. Trees. The members of a forest key are bound into trees: leaves of similar sizes, inner nodes with
    the OR of their token bitmaps, their size range and least number of set bits. A dual traversal visits pairs of tree
    nodes and drops a pair when the largest possible overlap is too small, or when all of its
    documents are connected already. What is left at the leaves is compared exactly.
    A key's smallest member is its hub; a hub's tree holds all members of its keys, in blocks of bounded
-   size. Hubs with several blocks whose members are then still in several components have every pair
-   of blocks traversed as well. After that no pair that shares a key is left unseen: it is
+   size. In hubs with several blocks whose members are then still in several components, those outside of the largest one
+   are traversed with each other and with its blocks as well. After that no pair that shares a key is left unseen: it is
    connected, ruled out by a bound, or compared.
 4. Components of the links by alternating stars, each round a written table.
 
@@ -33,6 +36,7 @@ that id). A null doc_id gets a null component and is linked with nothing. An emp
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import exp, sqrt
@@ -42,7 +46,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosstide.session import stage
 
@@ -51,6 +55,7 @@ SHINGLE = 3
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
 LEAF = 16
 SLICE_BYTES = 2_000_000
+HEAVY = 4                   # entries of a key in one slice of texts
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -142,16 +147,30 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
         first = last
 
 
+def heavy_keys(keys: list[np.ndarray], copies: list[int]) -> np.ndarray:
+    """Keys that hold many of the documents whose sets have these keys and stand there so often."""
+    name, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return name[np.bincount(at, np.repeat(copies, [len(k) for k in keys]), len(name)) >= HEAVY]
+
+
 def _enter(shingle: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in (part for batch in batches for part in _slices(batch)):
             sets = shingle_sets(texts, shingle)
             digest = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
-            keys = [forest_keys(u, percent) for u in sets]
+            known = ids.is_valid().to_pylist()
+            copies = Counter(d for d, k in zip(digest, known, strict=True) if k)
+            first = {d: i for i, (d, k) in reversed([*enumerate(zip(digest, known, strict=True))]) if k and d}
+            none = np.zeros(0, np.int64)
+            keys = [forest_keys(u, percent) if known[i] and first.get(digest[i]) == i else none for i, u in enumerate(sets)]
+            heavy = heavy_keys(keys, [copies[d] for d in digest])
             offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64()))], ["doc_id", "n", "digest", "keys"])
+                pa.array([d and int.from_bytes(d[:8], "little", signed=True) for d in digest], pa.int64()),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64())),
+                pa.array([heavy if i == 0 else None for i in range(len(sets))], pa.list_(pa.int64()))],
+                ["doc_id", "n", "digest", "set_id", "keys", "heavy"])
     return run
 
 
@@ -300,27 +319,33 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("label")).distinct())
 
 
+def _meeting(entered: DataFrame) -> DataFrame:
+    """(hub, set_id) of the nodes that share a key with others; the hub is the key's smallest node."""
+    entries = entered.select(F.explode("keys").alias("key"), "set_id")
+    heavy = stage(entered.select(F.explode("heavy").alias("key")).distinct())
+    key = Window.partitionBy("key")
+    light = entries.join(heavy, "key", "left_anti").select("key", "set_id", F.min("set_id").over(key).alias("hub"), F.max("set_id").over(key).alias("top"))
+    often = stage(entries.join(heavy, "key", "left_semi").distinct())
+    hubs = often.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).filter("hub < top").select("key", "hub")
+    return light.filter("hub < top").select("hub", "set_id").unionByName(often.join(hubs, "key").select("hub", "set_id")).filter("hub <> set_id").distinct()
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``shingle`` words, ``percent`` the least similarity."""
     docs = docs.select("doc_id", "text")
-    entered = stage(docs.mapInArrow(_enter(shingle, percent), "doc_id long, n long, digest binary, keys array<long>"))
+    entered = stage(docs.mapInArrow(_enter(shingle, percent), "doc_id long, n long, digest binary, set_id long, keys array<long>, heavy array<long>"))
     known = entered.filter("doc_id is not null and n > 0")
-    nodes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    # a document that stands for its set enters the forest
-    first = known.select("doc_id", "keys").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    entries = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-    hubs = entries.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).filter("hub < top").select("key", "hub")
-    shared = stage(entries.join(hubs, "key").select("key", "hub", "doc").distinct())
+    nodes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("set_id").alias("set_id"), F.first("n").alias("n")))
+    met = stage(_meeting(entered))
+    pairs = stage(met.join(nodes.select("set_id", F.col("node").alias("doc")), "set_id").select("hub", "doc"))
+    centre = met.select("hub").distinct().join(nodes.select(F.col("set_id").alias("hub"), F.col("node").alias("centre"), "n"), "hub")
+    sizes = stage(pairs.groupBy("hub").count().join(centre, "hub").select("hub", "centre", "count", _blocks(F.col("count"), F.col("n")).alias("blocks")))
 
     # written, so that Spark knows their size when it chooses how to fetch their texts
-    wanted = stage(shared.select(F.col("doc").alias("doc_id")).distinct())
+    wanted = stage(pairs.select(F.col("doc").alias("doc_id")).unionByName(sizes.select(F.col("centre").alias("doc_id"))).distinct())
     sets = stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_read_sets(shingle), "doc long, n long, shingles binary"))
-    pairs = stage(shared.filter("doc <> hub").select("hub", "doc").distinct())
-    sizes = pairs.groupBy("hub").count().join(sets.groupBy(F.col("doc").alias("hub")).agg(F.max("n").alias("n")), "hub").select(
-        "hub", _blocks(F.col("count"), F.col("n")).alias("blocks"))
-    sizes = stage(sizes)
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc")
-    centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("doc"))
+    centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("doc"))
     trees = members.unionByName(centres).join(sets, "doc").withColumn("label", F.col("doc"))
     near = stage(trees.groupBy("hub", "block").applyInPandas(_links_of(percent), "u long, v long"))
     labels = stage(components(near))
@@ -344,14 +369,24 @@ def _blocks(rows: Column, shingles: Column) -> Column:
 
 
 def _still_split(pairs: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (hub, left, right, block, doc, label) of the traversals still to be made: every pair of blocks of the
-    hubs that have several and whose members are in several components."""
+    """Rows (hub, left, right, block, doc, label) of the traversals still to be made in hubs with several blocks whose members are in
+    several components. Members outside of the hub's largest component are blocked anew; each of their blocks meets itself, every other one
+    and every block of the largest component, whose members need not meet each other. So a few strays cost one more visit."""
     rows = pairs.join(sizes.filter("blocks > 1"), "hub").join(labels, "doc", "left")
-    rows = stage(rows.select("hub", "blocks", "doc", F.coalesce("label", "doc").alias("label")))
-    hubs = rows.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("hub")
-    rows = rows.join(hubs, "hub").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return rows.select("hub", "doc", "label", "block", other).filter("block <> other").select(
+    rows = stage(rows.select("hub", "count", "blocks", "doc", F.coalesce("label", "doc").alias("label")))
+    parts = rows.groupBy("hub", "label").agg(F.count("*").alias("part"))
+    main = parts.groupBy("hub").agg(F.max_by("label", F.struct("part", "label")).alias("main"), F.max("part").alias("part"), F.count("*").alias("labels"))
+    rows = rows.join(main.filter("labels > 1"), "hub")
+
+    def blocks(count: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col("blocks") * count / F.col("count"))).cast("int")
+
+    rows = rows.withColumns({"strays": blocks(F.col("count") - F.col("part")), "mains": blocks(F.col("part"))})
+    stray = F.col("label") != F.col("main")
+    rows = rows.withColumn("block", F.when(stray, F.pmod(F.xxhash64("doc"), F.col("strays")))
+                           .otherwise(F.col("strays") + F.pmod(F.xxhash64("doc"), F.col("mains"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(stray, F.col("strays") + F.col("mains")).otherwise(F.col("strays")) - 1)).alias("other")
+    return rows.select("hub", "doc", "label", "block", other).select(
         "hub", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc", "label")
 
 

@@ -44,21 +44,6 @@ def test_rules_and_classifier_stages(spark, steps):
     assert ids(after) == Counter(r.doc_id for r in before.collect() if quality_classifier.score(w, r.text) >= 0.5)
 
 
-def test_join_stage_keeps_one_of_each_class(steps):
-    before, after = steps["ngram_join"]
-    sets = {}
-    for r in before.collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", r.text.translate({i: i + 32 for i in range(65, 91)}))
-        sets[r.doc_id] = frozenset(zip(w, w[1:], w[2:]))
-    label = {i: i for i in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
-                p, q = sorted((label[a], label[b]))
-                label = {k: p if v == q else v for k, v in label.items()}
-    assert set(ids(after)) == set(label.values())
-
-
 def test_mix_and_pack_stages(steps):
     before, after = steps["mix_sources"]
     assert max(ids(after).values()) <= 3 and not set(ids(after)) - set(ids(before))

@@ -180,6 +180,31 @@ def test_partners_share_a_cut_for_their_difference(n, more):
     assert differ == 0 or len(inner) + 1 >= differ + 1 + slack
 
 
+def test_heavy_keys_find_their_hubs_too(spark, monkeypatch):
+    # near copies whose keys every slice repeats, besides texts of their own; exact copies enter once per slice
+    near = variants(3, [f"w{i}" for i in range(90)], 30, 1)
+    other = [" ".join(f"o{k}x{i}" for i in range(60)) for k in range(20)]
+    rows = list(enumerate(near + other + near[:1] * 25 + other[:3]))
+    entered = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").coalesce(1).mapInArrow(
+        J._enter(3, 90), "doc_id long, n long, digest binary, set_id long, keys array<long>, heavy array<long>").toPandas()
+    assert sum(len(h) for h in entered.heavy if h is not None) > 0 and (entered["keys"].map(len) > 0).sum() == 51
+    compare(spark, rows)
+    monkeypatch.setattr(J, "HEAVY", 10 ** 9)            # and with every key in the window
+    compare(spark, rows)
+
+
+def test_strays_meet_every_block(spark):
+    pairs = spark.createDataFrame([(7, d) for d in range(60)], "hub long, doc long")
+    sizes = spark.createDataFrame([(7, 99, 60, 6), (8, 98, 5, 1)], "hub long, centre long, count long, blocks int")
+    labels = spark.createDataFrame([(d, 0) for d in range(50)] + [(51, 50), (50, 50)], "doc long, label long")
+    rows = J._still_split(pairs, sizes, labels).toPandas()
+    groups = {k: set(g.doc) for k, g in rows.groupby(["left", "right"])}
+    for a in range(50, 60):
+        for b in range(60):
+            assert a == b or any({a, b} <= g for g in groups.values())
+    assert (rows[rows.doc < 50].groupby("doc").size() == 1).all()        # one block of strays: the others are sent once
+
+
 def test_two_sides_are_compared_across_only():
     rng = np.random.default_rng(9)
     a, b = (np.unique(rng.integers(0, 1 << 62, 100, dtype=np.uint64)) for _ in range(2))
