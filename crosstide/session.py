@@ -53,11 +53,26 @@ def stage(df: DataFrame) -> DataFrame:
     start from a staged table, so an expensive upstream runs once. The files outlive lost
     executors, prune columns, and carry the sizes Spark needs to choose a join.
     """
-    path = f"{stage_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{stage_dir(spark)}/stage-{uuid.uuid4().hex}"
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     for paths in _NOTED:
         paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of a query that ends meanwhile: once its result is written nothing reads them again, and waiting
+    for the driver to collect garbage would pile up the shuffles of all steps."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 @contextlib.contextmanager
