@@ -10,9 +10,9 @@ Jaccard similarity reaches a limit; the result is the smallest document that lin
    ``D = (n + m) * (100 - percent) / (100 + percent)`` shingles. The hash range is cut into ``D + 1 + slack`` segments; sets that link
    agree on at least ``1 + slack`` whole segments. A node is entered under the hash of each of its
    segments (cut for its size class; near the end of a class also for the next, so partners always share a
-   cut). Segments with
-   fewer than two shingles, or else the empty ones, are left out if the node has no more of them than the slack: another
-   shared one is left then. So no link is lost, and a common passage does not bring its documents together.
+   cut). Empty segments are left out if the node has no more of them than the slack: another
+   shared one is left then. So no link is lost. A node that shares fewer keys of a class with others than linked sets
+   do leaves them again, so a common passage does not bring its documents together.
    Entries are shuffled once, as (key, node), and a window finds the keys with several nodes. Keys that a slice of texts holds often
    are heavy: theirs are made distinct and counted with partial sums instead, so that no key is one task's group.
 3. Trees. The members of a forest key are bound into trees: leaves of similar sizes, inner nodes with
@@ -48,7 +48,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crosstide.session import stage
+from crosstide.session import noted, remove, stage
 
 PERCENT = 90
 SHINGLE = 3
@@ -56,6 +56,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
 LEAF = 16
 SLICE_BYTES = 2_000_000
 HEAVY = 4                   # entries of a key in one slice of texts
+PARTS = 8                   # size classes of a set; an entry's number in them stands in the low bits of its id
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -94,10 +95,14 @@ def cut(size_class: int, percent: int = PERCENT) -> tuple[int, np.ndarray]:
     return slack, np.array([(i << 64) // pieces for i in range(1, pieces)], np.uint64)
 
 
-def forest_keys(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys under which a sorted set is entered."""
+def forest(u: np.ndarray, percent: int = PERCENT) -> list[tuple[np.ndarray, int]]:
+    """Per size class the keys under which a sorted set is entered, and how many of them it shares with any set that it links with.
+
+    Linked sets agree on 1 + slack segments. Empty segments are left out if the set has no more of them than the slack; of those
+    agreed on, each side leaves out its own empty ones at most, which are the same, so the rest is shared.
+    """
     if not len(u):
-        return np.zeros(0, np.int64)
+        return []
     total = np.append(np.uint64(0), np.cumsum(mix(u), dtype=np.uint64))
     out = []
     for c in classes_of(len(u), percent):
@@ -107,9 +112,14 @@ def forest_keys(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         at = np.concatenate([[0], np.searchsorted(u, inner), [len(u)]])
         count = np.diff(at)
         key = mix(mix(total[at[1:]] - total[at[:-1]] + count.astype(np.uint64) * B) + np.arange(len(count), dtype=np.uint64) * C + np.uint64(c))
-        least = next((k for k in (2, 1) if (count < k).sum() <= slack), 0)
-        out.append(key[count >= least])
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        empty = int((count == 0).sum())
+        out.append((key[count > 0].view(np.int64), 1 + slack - empty) if empty <= slack else (key.view(np.int64), 1))
+    return out
+
+
+def forest_keys(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """All keys under which a sorted set is entered."""
+    return np.concatenate([np.zeros(0, np.int64), *[k for k, _ in forest(u, percent)]])
 
 
 def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -162,15 +172,20 @@ def _enter(shingle: int, percent: int) -> Callable:
             copies = Counter(d for d, k in zip(digest, known, strict=True) if k)
             first = {d: i for i, (d, k) in reversed([*enumerate(zip(digest, known, strict=True))]) if k and d}
             none = np.zeros(0, np.int64)
-            keys = [forest_keys(u, percent) if known[i] and first.get(digest[i]) == i else none for i, u in enumerate(sets)]
-            heavy = heavy_keys(keys, [copies[d] for d in digest])
-            offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
+            trees = [forest(u, percent) if known[i] and first.get(digest[i]) == i else [] for i, u in enumerate(sets)]
+            if max(map(len, trees)) > PARTS:
+                raise ValueError("sets of too many size classes can link at this percentage")
+            keys = [k for t in trees for k, _ in t]
+            heavy = heavy_keys([none, *keys], [0, *[copies[d] for d, t in zip(digest, trees, strict=True) for _ in t]])
+            outer = np.append(0, np.cumsum([len(t) for t in trees])).astype(np.int32)
+            inner = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(inner, pa.array(np.concatenate([none, *keys]), pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()),
-                pa.array([d and int.from_bytes(d[:8], "little", signed=True) for d in digest], pa.int64()),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64())),
+                pa.array([d and int.from_bytes(d[:8], "little", signed=True) & -PARTS for d in digest], pa.int64()),
+                pa.ListArray.from_arrays(outer, lists), pa.array([[need for _, need in t] for t in trees], pa.list_(pa.int32())),
                 pa.array([heavy if i == 0 else None for i in range(len(sets))], pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "set_id", "keys", "heavy"])
+                ["doc_id", "n", "digest", "set_id", "keys", "needs", "heavy"])
     return run
 
 
@@ -320,23 +335,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _meeting(entered: DataFrame) -> DataFrame:
-    """(hub, set_id) of the nodes that share a key with others; the hub is the key's smallest node."""
-    entries = entered.select(F.explode("keys").alias("key"), "set_id")
+    """(hub, set_id) of the nodes that share enough keys with others; the hub is the smallest node of a key."""
+    entries = entered.select("set_id", F.posexplode("keys").alias("part", "list")).select(F.explode("list").alias("key"), (F.col("set_id") + F.col("part")).alias("id"))
+    needs = entered.select("set_id", F.posexplode("needs").alias("part", "need")).select((F.col("set_id") + F.col("part")).alias("id"), "need").distinct()
     heavy = stage(entered.select(F.explode("heavy").alias("key")).distinct())
+    node = lambda c: F.col(c).bitwiseAND(F.lit(-PARTS))
     key = Window.partitionBy("key")
-    light = entries.join(heavy, "key", "left_anti").select("key", "set_id", F.min("set_id").over(key).alias("hub"), F.max("set_id").over(key).alias("top"))
+    light = entries.join(heavy, "key", "left_anti").select("key", "id", F.min("id").over(key).alias("hub"), F.max("id").over(key).alias("top"))
+
+    def hubs(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter(node("hub") < node("top")).select("key", "hub")
+
     often = stage(entries.join(heavy, "key", "left_semi").distinct())
-    hubs = often.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).filter("hub < top").select("key", "hub")
-    return light.filter("hub < top").select("hub", "set_id").unionByName(often.join(hubs, "key").select("hub", "set_id")).filter("hub <> set_id").distinct()
+    shared = stage(light.filter(node("hub") < node("top")).select("key", "id").distinct().unionByName(often.join(hubs(often).select("key"), "key", "left_semi").select("key", "id")))
+    enough = stage(shared.groupBy("id").count().join(needs, "id").filter("count >= need").select("id"))
+    kept = stage(shared.join(enough, "id", "left_semi"))
+    return kept.join(hubs(kept), "key").select(node("hub").alias("hub"), node("id").alias("set_id")).filter("hub <> set_id").distinct()
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``shingle`` words, ``percent`` the least similarity."""
     docs = docs.select("doc_id", "text")
-    entered = stage(docs.mapInArrow(_enter(shingle, percent), "doc_id long, n long, digest binary, set_id long, keys array<long>, heavy array<long>"))
-    known = entered.filter("doc_id is not null and n > 0")
+    with noted() as paths:
+        entered = stage(docs.mapInArrow(_enter(shingle, percent),
+                                        "doc_id long, n long, digest binary, set_id long, keys array<array<long>>, needs array<int>, heavy array<long>"))
+    every = stage(entered.select("doc_id", "n", "digest", "set_id"))
+    known = every.filter("doc_id is not null and n > 0")
     nodes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("set_id").alias("set_id"), F.first("n").alias("n")))
     met = stage(_meeting(entered))
+    remove(docs.sparkSession, paths)            # the keys have met
     pairs = stage(met.join(nodes.select("set_id", F.col("node").alias("doc")), "set_id").select("hub", "doc"))
     centre = met.select("hub").distinct().join(nodes.select(F.col("set_id").alias("hub"), F.col("node").alias("centre"), "n"), "hub")
     sizes = stage(pairs.groupBy("hub").count().join(centre, "hub").select("hub", "centre", "count", _blocks(F.col("count"), F.col("n")).alias("blocks")))
@@ -358,7 +385,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     tied = of_set.join(tied.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v"))
     final = components(near.unionByName(more).unionByName(tied))
     named = nodes.join(final, F.col("node") == F.col("doc"), "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    return entered.select("doc_id", "n", "digest").join(named, "digest", "left").select(
+    return every.select("doc_id", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -186,7 +186,7 @@ def test_heavy_keys_find_their_hubs_too(spark, monkeypatch):
     other = [" ".join(f"o{k}x{i}" for i in range(60)) for k in range(20)]
     rows = list(enumerate(near + other + near[:1] * 25 + other[:3]))
     entered = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").coalesce(1).mapInArrow(
-        J._enter(3, 90), "doc_id long, n long, digest binary, set_id long, keys array<long>, heavy array<long>").toPandas()
+        J._enter(3, 90), "doc_id long, n long, digest binary, set_id long, keys array<array<long>>, needs array<int>, heavy array<long>").toPandas()
     assert sum(len(h) for h in entered.heavy if h is not None) > 0 and (entered["keys"].map(len) > 0).sum() == 51
     compare(spark, rows)
     monkeypatch.setattr(J, "HEAVY", 10 ** 9)            # and with every key in the window
@@ -226,6 +226,19 @@ def test_linked_sets_meet_in_the_forest_at_80_percent(n, drop, add, seed):
     assert all(len(J.cut(c, 80)[1]) < n for c in J.classes_of(n, 80))
 
 
+@given(st.sampled_from([80, 90]), st.integers(3, 600), st.integers(0, 120), st.integers(0, 120), st.integers(0, 10 ** 6))
+@settings(max_examples=400, deadline=None)
+def test_linked_sets_share_as_many_keys_as_both_need(percent, n, drop, add, seed):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    y = np.union1d(rng.permutation(x)[min(drop, len(x) - 1):], rng.integers(0, 1 << 63, add, dtype=np.uint64))
+    same = len(np.intersect1d(x, y))
+    if 100 * same >= percent * (len(x) + len(y) - same) and len(np.setxor1d(x, y)):
+        a, b = J.forest(x, percent), J.forest(y, percent)
+        shared = [(len(set(k.tolist()) & set(m.tolist())), need, want) for k, need in a for m, want in b]
+        assert any(s >= need and s >= want and s > 0 for s, need, want in shared)
+
+
 def test_shingles_of_five_words():
     a, b, c = J.shingle_sets(["a b c d e f", "A b c d e g", "a b c d"], 5)
     assert (len(a), len(b), len(c), len(np.intersect1d(a, b))) == (2, 2, 1, 1)
