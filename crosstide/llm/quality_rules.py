@@ -3,10 +3,14 @@
 Every text is measured once (words, symbols, repeated lines, repeated three-word windows). Each
 measure is summarised per language and source by a mergeable quantile sketch: counts per bucket,
 where a bucket keeps a number's seven leading bits, so a quantile is off by at most 1/64 of its value.
-Sketches merge by adding counts: a group with few documents falls back on the sketch of its
-language, then on that of all documents. A document is rejected when a measure lies beyond the upper
-quartile (or below the lower one) of its group by more than a multiple of the interquartile
-range, with a least margin where a group hardly varies.
+Sketches merge by adding counts into those of a language and of all documents.
+
+Every sketch gives a limit: its upper quartile plus a multiple of its interquartile range, or of its standard deviation where that is
+more, for word length, which has a lower limit too. Where most documents have none of what is counted both quartiles are 0: for
+symbols the sketch's mean then gives the reach; repeated lines and repeated words, which many good documents have a few of, take their quartiles from the documents that have any.
+The limits of group, language and all documents are blended by their counts: n documents weigh n / (n + ``PRIOR_ROWS``)
+against the wider level, so no limit jumps when a group grows. A document is rejected when its count exceeds what its
+length allows at the limit by more than ``NOISE`` standard deviations of a count. ``rejected_by`` names the rules that it breaks.
 
 Defined cases: a null text has no words and fails the base rule, as does an empty one. A null
 language or source is a group of its own. Repeated rows are measured and judged alike and all
@@ -30,23 +34,26 @@ LEADING_BITS = 7
 
 @dataclass(frozen=True)
 class Measure:
-    """``scale * part / whole`` as a whole number, and how far from the quartiles it may lie."""
+    """``scale * part / whole`` as a whole number, and how its limit follows from a sketch."""
     name: str
     part: str
     whole: str
     scale: int
-    spread: int          # multiples of the interquartile range
-    margin: int          # least distance from a quartile
-    low_side: bool = False
+    spread: int             # multiples of the interquartile range
+    means: int = 0          # multiples of the mean, where those are more
+    deviations: int = 0     # of the standard deviation, likewise
+    any_only: bool = False  # quartiles of the documents that have any
+    two_sides: bool = False # a rate with a lower limit as well; else a count with an upper one
 
 
 MEASURES = (
-    Measure("symbol_rate", "n_symbols", "n_words", 1000, 4, 100),
-    Measure("word_length", "word_chars", "n_words", 1000, 6, 1000, low_side=True),
-    Measure("dup_line_rate", "n_dup_lines", "n_lines", 1000, 4, 400),
-    Measure("repeat_rate", "n_repeat_words", "n_words", 1000, 4, 300),
+    Measure("symbol_rate", "n_symbols", "n_words", 1000, 4, means=1),
+    Measure("word_length", "word_chars", "n_words", 1000, 6, deviations=3, two_sides=True),
+    Measure("dup_line_rate", "n_dup_lines", "n_lines", 1000, 4, any_only=True),
+    Measure("repeat_rate", "n_repeat_words", "n_words", 1000, 4, any_only=True),
 )
-MIN_GROUP_ROWS = 200
+PRIOR_ROWS = 20
+NOISE = 4
 
 
 def repeated_words(w: Column) -> Column:
@@ -94,10 +101,13 @@ def rate(m: Column, x: Measure) -> Column:
     return F.when(m[x.whole] > 0, F.floor(F.lit(x.scale) * m[x.part] / m[x.whole]).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def dropped_bits(v: Column) -> Column:
+    return F.greatest(F.length(F.bin(v)) - LEADING_BITS, F.lit(0))
+
+
 def bucket(v: Column) -> Column:
     """The number with all but its leading bits cleared."""
-    drop = F.greatest(F.length(F.bin(v)) - LEADING_BITS, F.lit(0))
-    return v - F.pmod(v, F.pow(F.lit(2), drop).cast("long"))
+    return v - F.pmod(v, F.pow(F.lit(2), dropped_bits(v)).cast("long"))
 
 
 def sketches(rows: DataFrame, m: str) -> DataFrame:
@@ -107,38 +117,68 @@ def sketches(rows: DataFrame, m: str) -> DataFrame:
     return long.groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of each measure, from the summed counts of each group."""
-    merged = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")
-    run = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("rows"))
-    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("rows"), F.col("bucket")))
-    return run.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
-
-
-def thresholds(counts: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
-    """One row per language and source with an upper and a lower limit for each measure."""
-    fine = quartiles(counts, ["lang", "source"])
-    by_lang = quartiles(counts, ["lang"]).select(
-        F.col("lang").alias("l"), F.col("measure").alias("lm"), F.col("rows").alias("lr"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
-    overall = quartiles(counts, []).select(
-        F.col("measure").alias("am"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
-    joined = (fine.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("lm")))
-              .join(overall, F.col("measure") == F.col("am")))
-    pick = lambda a, b, c: F.when(F.col("rows") >= min_rows, F.col(a)).when(F.col("lr") >= min_rows, F.col(b)).otherwise(F.col(c))
-    chosen = joined.select("lang", "source", "measure", pick("q1", "l1", "a1").alias("q1"), pick("q3", "l3", "a3").alias("q3"))
-    limits = []
+def _per_measure(value) -> Column:
+    out = F.lit(None)
     for i, x in enumerate(MEASURES):
-        reach = F.greatest(x.spread * (F.col("q3") - F.col("q1")), F.lit(x.margin))
-        limits.append(F.max(F.when(F.col("measure") == i, F.col("q3") + reach)).alias(f"{x.name}_hi"))
-        if x.low_side:
-            limits.append(F.max(F.when(F.col("measure") == i, F.col("q1") - reach)).alias(f"{x.name}_lo"))
-    return chosen.groupBy("lang", "source").agg(*limits)
+        out = F.when(F.col("measure") == i, value(x)).otherwise(out)
+    return out
 
 
-def judge(docs: DataFrame, min_rows: int = MIN_GROUP_ROWS, drop: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
-    """``docs`` with a struct of measures and a verdict; returns the names of these two columns. Columns in
-    ``drop`` are left out once they are measured.
+def fences(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The limits (hi, lo) that the summed counts of each group give, and how many documents stand behind them."""
+    merged = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    only = [i for i, x in enumerate(MEASURES) if x.any_only]
+    merged = merged.filter((F.col("bucket") > 0) | ~F.col("measure").isin(only))
+    group = Window.partitionBy(*keys, "measure")
+    run = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("all"))
+    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("bucket")))
+    square = F.col("bucket").cast("decimal(19,0)") * F.col("bucket") * F.col("n")
+    found = run.groupBy(*keys, "measure").agg(F.max("all").alias("rows"), at(1).alias("q1"), at(3).alias("q3"),
+                                              (F.sum(F.col("bucket") * F.col("n")) / F.sum("n")).alias("mean"),
+                                              (F.sum(square).cast("double") / F.sum("n")).alias("square"))
+    deviation = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    reach = F.greatest(_per_measure(lambda x: F.lit(x.spread)) * (F.col("q3") - F.col("q1")), _per_measure(lambda x: F.lit(x.means)) * F.col("mean"),
+                       _per_measure(lambda x: F.lit(x.deviations)) * deviation)
+    top = F.col("q3") + F.pow(F.lit(2), dropped_bits(F.col("q3"))).cast("long") - 1           # the bucket's largest number
+    return found.select(*keys, "measure", "rows", (top + reach).alias("hi"), (F.col("q1") - reach).alias("lo"))
+
+
+def thresholds(counts: DataFrame) -> DataFrame:
+    """One row per language and source with an upper and a lower limit for each measure; null if no document has any of it."""
+    groups = counts.select("lang", "source", "measure").distinct()
+    for level, keys in (("g", ["lang", "source"]), ("l", ["lang"]), ("a", [])):
+        own = fences(counts, keys)
+        own = own.select(*[F.col(c).alias(f"{level}_{c}") for c in own.columns])
+        on = F.col("measure") == F.col(f"{level}_measure")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{level}_{k}"))
+        groups = groups.join(own, on, "left")
+
+    def blended(side: str) -> Column:
+        out = F.col(f"a_{side}")
+        for level in ("l", "g"):
+            rows = F.coalesce(F.col(f"{level}_rows"), F.lit(0))
+            w = rows / (rows + PRIOR_ROWS)
+            out = w * F.coalesce(F.col(f"{level}_{side}"), F.lit(0.0)) + (1 - w) * out
+        return out
+
+    limits = [F.max(F.when(F.col("measure") == i, blended(side))).alias(f"{x.name}_{side}")
+              for i, x in enumerate(MEASURES) for side in ("hi", "lo") if side == "hi" or x.two_sides]
+    return groups.groupBy("lang", "source").agg(*limits)
+
+
+def breaks(m: Column, limits: Column, x: Measure) -> Column:
+    """Whether the measured text lies beyond the limits; false where there is none."""
+    hi = limits[f"{x.name}_hi"]
+    if x.two_sides:
+        return F.coalesce((rate(m, x) > hi) | (rate(m, x) < limits[f"{x.name}_lo"]), F.lit(False))
+    allowed = m[x.whole] * hi / x.scale
+    return F.coalesce(m[x.part] > allowed + NOISE * F.sqrt(F.greatest(allowed, F.lit(1.0))), F.lit(False))
+
+
+def judge(docs: DataFrame, drop: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
+    """``docs`` with a struct of measures and the names of the rules that the document breaks (a kept one: empty); returns the names of
+    these two columns. Columns in ``drop`` are left out once they are measured.
 
     The measured rows are written once: the sketch and the filter read them back, so texts are
     taken apart once. The limits are a table with a row per language and source, written too, so
@@ -146,53 +186,60 @@ def judge(docs: DataFrame, min_rows: int = MIN_GROUP_ROWS, drop: tuple[str, ...]
     """
     m = fresh(docs, "measures")
     rows = stage(docs.withColumn(m, measured(F.col("text"))).drop(*drop))
-    limits = stage(thresholds(sketches(rows, m), min_rows))
+    limits = stage(thresholds(sketches(rows, m)))
     lang, source = fresh(docs, "limit_lang"), fresh(docs, "limit_source")
     limit = fresh(docs, "limits")
     packed = limits.select(F.col("lang").alias(lang), F.col("source").alias(source),
                            F.struct(*[c for c in limits.columns if c not in ("lang", "source")]).alias(limit))
     out = rows.join(packed, rows["lang"].eqNullSafe(packed[lang]) & rows["source"].eqNullSafe(packed[source]), "left")
-    bad = F.lit(False)
-    for x in MEASURES:
-        bad = bad | F.coalesce(rate(F.col(m), x) > F.col(limit)[f"{x.name}_hi"], F.lit(False))
-        if x.low_side:
-            bad = bad | F.coalesce(rate(F.col(m), x) < F.col(limit)[f"{x.name}_lo"], F.lit(False))
-    kept = fresh(docs, "kept")
-    return out.withColumn(kept, ~base_failed(F.col(m)) & ~bad).drop(lang, source, limit), m, kept
+    broken = fresh(docs, "broken")
+    names = F.concat_ws(",", F.when(base_failed(F.col(m)), F.lit("base")), *[F.when(breaks(F.col(m), F.col(limit), x), F.lit(x.name)) for x in MEASURES])
+    return out.withColumn(broken, names).drop(lang, source, limit), m, broken
 
 
-def keep_good(docs: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    out, _, kept = judge(docs, min_rows)
-    return out.filter(F.col(kept)).select(*docs.columns)
+    out, _, broken = judge(docs)
+    return out.filter(F.col(broken) == "").select(*docs.columns)
 
 
-def report(docs: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """Measures and verdict of every document."""
-    out, m, kept = judge(docs.select("doc_id", "text", "lang", "source"), min_rows, drop=("text",))
+    out, m, broken = judge(docs.select("doc_id", "text", "lang", "source"), drop=("text",))
     return out.select("doc_id", *[F.col(m)[c].alias(c) for c in
                                   ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-                      base_failed(F.col(m)).alias("base_failed"), F.col(kept).alias("kept"))
+                      base_failed(F.col(m)).alias("base_failed"), (F.col(broken) == "").alias("kept"), F.col(broken).alias("rejected_by"))
 
 
 def _sql() -> str:
     rates = ", ".join(f"case when {x.whole} > 0 then cast(floor({x.scale}.0::double * {x.part} / {x.whole}) as bigint) else 0 end as v{i}"
                       for i, x in enumerate(MEASURES))
     union = " union all ".join(f"select lang, source, {i} as measure, v{i} as v from good" for i in range(len(MEASURES)))
-    quart = ("max(n_all) as n_all, min(case when 4 * upto >= n_all then bucket end) as q1, "
-             "min(case when 4 * upto >= 3 * n_all then bucket end) as q3")
+    only = ", ".join(str(i) for i, x in enumerate(MEASURES) if x.any_only)
 
     def level(keys: str) -> str:
         lead = f"{keys}, " if keys else ""
-        return (f"select {lead}measure, {quart} from (select {lead}measure, bucket, sum(n) over (partition by {lead}measure order by bucket) as upto, "
+        reach = "case measure " + " ".join(f"when {i} then greatest({x.spread} * (q3 - q1), {x.means} * mean, {x.deviations} * sqrt(greatest(square - mean * mean, 0)))" for i, x in enumerate(MEASURES)) + " end"
+        return (f"select *, q3 + (1::bigint << greatest(length(bin(q3)) - {LEADING_BITS}, 0)) - 1 + {reach} as hi, q1 - {reach} as lo from (select {lead}measure, max(n_all) as n_all, "
+                "min(case when 4 * upto >= n_all then bucket end) as q1, min(case when 4 * upto >= 3 * n_all then bucket end) as q3, "
+                f"sum(bucket * n)::double / sum(n) as mean, sum(bucket::hugeint * bucket * n)::double / sum(n) as square from (select {lead}measure, bucket, n, sum(n) over (partition by {lead}measure order by bucket) as upto, "
                 f"sum(n) over (partition by {lead}measure) as n_all from (select {lead}measure, bucket, sum(n) as n from counts "
-                f"group by {lead}measure, bucket)) group by {lead}measure")
+                f"where bucket > 0 or measure not in ({only}) group by {lead}measure, bucket)) group by {lead}measure)")
 
-    reach = "case measure " + " ".join(f"when {i} then greatest({x.spread} * (q3 - q1), {x.margin})" for i, x in enumerate(MEASURES)) + " end"
-    hi = ", ".join(f"max(case when measure = {i} then q3 + reach end) as hi{i}" for i in range(len(MEASURES)))
-    lo = ", ".join(f"max(case when measure = {i} then q1 - reach end) as lo{i}" for i, x in enumerate(MEASURES) if x.low_side)
-    bad = " or ".join([f"coalesce(v{i} > hi{i}, false)" for i in range(len(MEASURES))]
-                      + [f"coalesce(v{i} < lo{i}, false)" for i, x in enumerate(MEASURES) if x.low_side])
+    def blended(side: str) -> str:
+        out = f"o.{side}"
+        for level in ("b", "f"):
+            w = f"(coalesce({level}.n_all, 0)::double / (coalesce({level}.n_all, 0) + {PRIOR_ROWS}))"
+            out = f"{w} * coalesce({level}.{side}, 0) + (1 - {w}) * ({out})"
+        return out
+
+    limits = ", ".join(f"max(case when measure = {i} then {side} end) as {side}{i}" for i in range(len(MEASURES)) for side in ("hi", "lo"))
+    rules = []
+    for i, x in enumerate(MEASURES):
+        allowed = f"({x.whole} * hi{i} / {x.scale})"
+        test = f"v{i} > hi{i} or v{i} < lo{i}" if x.two_sides else f"{x.part} > {allowed} + {NOISE} * sqrt(greatest({allowed}, 1))"
+        rules.append(f"case when {test} then '{x.name}' end")
+    broken = "concat_ws(',', case when base_failed then 'base' end, " + ", ".join(rules) + ")"
     return f"""
 with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from d),
@@ -211,13 +258,13 @@ good as (select * from r where not base_failed),
 counts as (select lang, source, measure, v - v % (1::bigint << greatest(length(bin(v)) - {LEADING_BITS}, 0)) as bucket, count(*) as n
            from ({union}) group by all),
 fine as ({level('lang, source')}), bylang as ({level('lang')}), overall as ({level('')}),
-chosen as (select f.lang, f.source, f.measure,
-        case when f.n_all >= {MIN_GROUP_ROWS} then f.q1 when b.n_all >= {MIN_GROUP_ROWS} then b.q1 else o.q1 end as q1,
-        case when f.n_all >= {MIN_GROUP_ROWS} then f.q3 when b.n_all >= {MIN_GROUP_ROWS} then b.q3 else o.q3 end as q3
-      from fine f join bylang b on f.lang is not distinct from b.lang and f.measure = b.measure join overall o on f.measure = o.measure),
-limits as (select lang, source, {hi}, {lo} from (select *, {reach} as reach from chosen) group by lang, source)
-select r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({bad}) as kept
-from r left join limits on r.lang is not distinct from limits.lang and r.source is not distinct from limits.source"""
+chosen as (select k.lang, k.source, k.measure, {blended('hi')} as hi, {blended('lo')} as lo
+      from (select distinct lang, source, measure from counts) k
+      left join fine f on f.lang is not distinct from k.lang and f.source is not distinct from k.source and f.measure = k.measure
+      left join bylang b on b.lang is not distinct from k.lang and b.measure = k.measure left join overall o on o.measure = k.measure),
+limits as (select lang, source, {limits} from chosen group by lang, source),
+judged as (select r.*, {broken} as rejected_by from r left join limits on r.lang is not distinct from limits.lang and r.source is not distinct from limits.source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by = '' as kept, rejected_by from judged"""
 
 
 SQL = _sql()
