@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -57,6 +58,44 @@ def test_whole_table_equals_sql(spark):
     assert compare(catalogue.QUERIES["op6_mix_sources"](spark, SF_DIR).toPandas(), connection().execute(M.SQL).df()) == ""
 
 
+def check_takes(got, source):
+    """Every source whose gap some document fits comes within that document, or half a percent, of its target."""
+    taken, target, least = Counter(), {}, {}
+    for r in got:
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        target[s] = r.target
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        assert len((r.positions or "").split(",")) == max(1, r.taken // max(1, r.size)) or r.size == 0
+        if r.size:
+            least[s] = min(least.get(s, r.size), r.size)
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(0.005 * t, least.get(s, 0) / 2 + 1e-6), (s, taken[s], t)
+
+
+def test_takes_are_near_targets_past_a_very_long_document(spark):
+    # the long ones stand early in hash order and fit into no gap
+    rows = [(i, "w " * 1000, "a") for i in range(120)] + [(1000 + i, "w " * 90_000, "a") for i in range(2)] + [(2000 + i, "w " * (1 + i % 37), "b") for i in range(900)]
+    rows += [(4000 + i, "w " * (50 + i % 7), None) for i in range(200)]
+    check_takes(M.report(frame(spark, rows)).collect(), {i: s for i, _, s in rows})
+
+
+def test_given_tables_come_near_their_targets(spark):
+    for sf in ("/root/testdata/sf0.001", SF_DIR):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        check_takes(M.report(docs).collect(), {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()})
+
+
+def test_fixture_equals_sql(spark):
+    import duckdb
+    import pandas as pd
+    rng = random.Random(4)
+    rows = [(i // 2 if i % 5 == 0 else i, None if i % 31 == 0 else "w " * rng.choice([0, 1, 2, 3, 5, 8, 400, 401, 5000]), rng.choice(["a", "b", "c", "d", None])) for i in range(500)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    assert compare(M.report(frame(spark, rows)).toPandas(), con.execute(M.SQL).df()) == ""
+
+
 def test_positions_invert_the_integrated_schedule(spark):
     shares = [i / 50 for i in range(51)]
     for weight, knots in M.CURRICULUM.items():
