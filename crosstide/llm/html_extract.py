@@ -4,8 +4,8 @@ A page becomes a chain of leaf blocks: runs of text between block-level tags, in
 features are its ancestors' tags and the words of their class, id and role, its own tag, and text features
 (length, link share, sentence marks, control words). The field has the labels boilerplate and
 main, a weight per feature and label, and a weight per pair of neighbouring labels. It is fitted by
-stochastic gradient ascent on the likelihood (forward-backward sums) of labelled pages; pages are
-decoded by Viterbi.
+stochastic gradient ascent on the likelihood (forward-backward sums) of labelled pages, of which a tenth of the steps leaves
+the markup out; pages are decoded by Viterbi. An element's path features are weighed once, whatever stands in it.
 
 Labelled pages are the hand-made layouts of ``examples`` and at most ``FIT_PAGES`` given pages of at most
 ``FIT_CHARS`` characters, chosen by hash, whose own markup names its article: their blocks are
@@ -22,6 +22,7 @@ url and html of the input are used.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,6 +35,7 @@ from crosstide.session import stage
 
 FIT_PAGES, FIT_CHARS = 120, 100_000
 EPOCHS = 12
+DROP = 0.1
 RATE = 0.5
 DECAY = 1e-4
 
@@ -46,6 +48,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "th thead tr ul".split())
 # What may stand in a head; any other tag ends it, as its end tag may be left out.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FENCES = frozenset("ul ol dl table menu nav div body".split())
 CLOSES_P = BLOCK - {"html", "body"}
 # Fixed lists: words that name parts of a page in its markup.
 MAIN_TAGS = frozenset(["article", "main"])
@@ -60,39 +63,110 @@ _UNFINISHED = re.compile(r"<(?:!--(?:(?!-->).)*|[a-zA-Z/!?][^<>]*)$", re.DOTALL)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class Node:
+    """An open element: its parent, tag, names, the path features that it is the first to bring, and the nearest block tag."""
+    __slots__ = ("parent", "tag", "words", "first", "inner", "score")
+
+    def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...], first: tuple[str, ...]):
+        self.parent, self.tag, self.words, self.first, self.score = parent, tag, words, first, None
+        self.inner = tag if tag in BLOCK else parent.inner if parent else "none"
+
+    def path(self) -> Iterator[Node]:
+        """The elements from the root to this one."""
+        up, node = [], self
+        while node:
+            up.append(node)
+            node = node.parent
+        return reversed(up)
+
+
+def _path_features(tag: str, words: tuple[str, ...]) -> set[str]:
+    names = {f"in={tag}", *(f"in:{w}" for w in words)}
+    if tag in MAIN_TAGS:
+        names.add("inside main")
+    if tag in OTHER_TAGS:
+        names.add("inside other")
+    for w in words:
+        word = w.partition("=")[2]
+        if word in OTHER_WORDS:
+            names.add("inside named other")
+        if word in ("article", "content", "main", "post", "entry", "story", "body", "text"):
+            names.add("inside named main")
+    return names
+
+
 class _Blocks(HTMLParser):
-    """Collects leaf blocks: (text, link characters, path of open elements)."""
+    """Collects leaf blocks: (text, link characters, innermost open element or None).
+
+    The places of open elements are kept per tag, so no tag scans the stack; a page's time grows with its
+    length, however deep it nests.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.open: list[Node] = []
+        self.at: dict[str, list[int]] = {}          # tag -> places in the stack
+        self.blocks_at: list[int] = []              # of block tags
+        self.fences_at: list[int] = []              # of tags beyond which no sibling is closed
+        self.active: Counter[str] = Counter()       # path features
         self.silent = 0
         self.links = 0
         self.parts: list[str] = []
         self.linked = 0
-        self.blocks: list[tuple[str, int, tuple]] = []
+        self.blocks: list[tuple[str, int, Node | None]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.linked, tuple(self.open)))
+            self.blocks.append((text, self.linked, self.open[-1] if self.open else None))
         self.parts, self.linked = [], 0
 
+    def _push(self, tag: str, words: tuple[str, ...]) -> None:
+        names = _path_features(tag, words)
+        first = tuple(sorted(n for n in names if not self.active[n]))
+        self.active.update(names)
+        place = len(self.open)
+        self.open.append(Node(self.open[-1] if self.open else None, tag, words, first))
+        self.at.setdefault(tag, []).append(place)
+        if tag in BLOCK:
+            self.blocks_at.append(place)
+        if tag in FENCES:
+            self.fences_at.append(place)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
+    def _pop(self) -> str:
+        node = self.open.pop()
+        tag, place = node.tag, len(self.open)
+        self.active.subtract(_path_features(tag, node.words))
+        self.at[tag].pop()
+        for places in (self.blocks_at, self.fences_at):
+            if places and places[-1] == place:
+                places.pop()
+        self.silent -= tag in SILENT
+        self.links -= tag == "a"
+        return tag
+
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element with this tag; -1 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
     def _leaves_head(self, tag: str) -> bool:
         """Whether the tag ends an open head: not inside of what stands in the head, unless it is the body itself."""
-        if tag in HEAD or not any(t == "head" for t, _ in self.open):
+        if tag in HEAD or self._last("head") < 0:
             return False
-        return tag == "body" or self.open[-1][0] in ("head", "noscript")
+        return tag == "body" or self.open[-1].tag in ("head", "noscript")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self._leaves_head(tag):
             self._close("head")
         if tag in BLOCK:
             self.flush()
-            if tag in CLOSES_P and any(t == "p" for t, _ in self.open):
+            if tag in CLOSES_P:
                 self._close("p")
-            if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                self._close_sibling(tag)
+            if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and self._last(tag) > (self.fences_at[-1] if self.fences_at else -1):
+                self._close(tag)
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.parts.append("\n")
@@ -101,48 +175,28 @@ class _Blocks(HTMLParser):
         for k, v in attrs:
             if k in ("class", "id", "role", "aria-label", "itemprop") and v:
                 names += [f"{'class' if k in ('class', 'id') else k}={w}" for w in _NAMES.findall(_CAMEL.sub(" ", v).lower())]
-        self.open.append((tag, tuple(names)))
-        self.silent += tag in SILENT
-        self.links += tag == "a"
+        self._push(tag, tuple(names))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCK:
             self.handle_endtag(tag)
 
-    def _close_sibling(self, tag: str) -> None:
-        for t, _ in reversed(self.open):
-            if t == tag:
-                self._close(tag)
-                return
-            if t in ("ul", "ol", "dl", "table", "menu", "nav", "div", "body"):
-                return
-
     def _close(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.open):
-            while self.open:
-                t, _ = self.open.pop()
-                self.silent -= t in SILENT
-                self.links -= t == "a"
-                if t == tag:
-                    return
+        if self._last(tag) >= 0:
+            while self._pop() != tag:
+                pass
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        if tag == "p" and not any(t == "p" for t, _ in self.open):
-            return
         # an inline end tag does not close the block around it
-        if tag not in BLOCK and tag not in SILENT:
-            for t, _ in reversed(self.open):
-                if t == tag:
-                    break
-                if t in BLOCK:
-                    return
+        elif tag not in SILENT and self._last(tag) < (self.blocks_at[-1] if self.blocks_at else -1):
+            return
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] == "head" and data.strip():
+        if self.open and self.open[-1].tag == "head" and data.strip():
             self._close("head")
         if self.silent <= 0:
             self.parts.append(data)
@@ -150,7 +204,7 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks(page: str | None) -> list[tuple[str, int, tuple]]:
+def blocks(page: str | None) -> list[tuple[str, int, Node | None]]:
     parser = _Blocks()
     parser.feed(_UNFINISHED.sub("", page or ""))
     parser.close()
@@ -158,48 +212,36 @@ def blocks(page: str | None) -> list[tuple[str, int, tuple]]:
     return parser.blocks
 
 
-def features(found: list[tuple[str, int, tuple]]) -> list[list[str]]:
+def text_features(text: str, linked: int) -> list[str]:
+    """Features of a block that its markup has no part in, but for its links."""
+    names = ["bias", f"length={min(6, len(text).bit_length() // 2)}", f"links={int(4 * min(1.0, linked / max(1, len(text))))}",
+             f"ends={text[-1] if text[-1] in '.!?:;,' else 'other'}", f"sentences={min(3, text.count('. '))}"]
+    return [*names, "copyright"] if "©" in text or "copyright" in text.lower() else names
+
+
+def features(found: list[tuple[str, int, Node | None]]) -> list[list[str]]:
     """Feature names of each block."""
     out = []
-    for text, linked, path in found:
-        names = {"bias"}
-        for tag, words in path:
-            names.add(f"in={tag}")
-            names.update(f"in:{w}" for w in words)
-            if tag in MAIN_TAGS:
-                names.add("inside main")
-            if tag in OTHER_TAGS:
-                names.add("inside other")
-            for w in words:
-                word = w.partition("=")[2]
-                if word in OTHER_WORDS:
-                    names.add("inside named other")
-                if word in ("article", "content", "main", "post", "entry", "story", "body", "text"):
-                    names.add("inside named main")
-        inner = next((t for t, _ in reversed(path) if t in BLOCK), "none")
-        names.add(f"tag={inner}")
-        n, link_share = len(text), linked / max(1, len(text))
-        names.add(f"length={min(6, n.bit_length() // 2)}")
-        names.add(f"links={int(4 * min(1.0, link_share))}")
-        names.add(f"ends={text[-1] if text[-1] in '.!?:;,' else 'other'}")
-        names.add(f"sentences={min(3, text.count('. '))}")
-        if "©" in text or "copyright" in text.lower():
-            names.add("copyright")
+    for text, linked, node in found:
+        names = {*text_features(text, linked), f"tag={node.inner if node else 'none'}"}
+        for element in node.path() if node else ():
+            names.update(element.first)
         out.append(sorted(names))
     return out
 
 
-def labelled_by_markup(found: list[tuple[str, int, tuple]]) -> list[int] | None:
+def labelled_by_markup(found: list[tuple[str, int, Node | None]]) -> list[int] | None:
     """1 for blocks in the page's article and in no part named as something else; None if no article is marked."""
-    if not any(t in MAIN_TAGS or "role=main" in w for _, _, path in found for t, w in path):
+    paths = [list(node.path()) if node else [] for _, _, node in found]
+    if not any(n.tag in MAIN_TAGS or "role=main" in n.words for path in paths for n in path):
         return None
     out = []
-    for _, _, path in found:
+    for path in paths:
         main = 0
-        for tag, words in path:
-            if tag in MAIN_TAGS or "role=main" in words:
+        for n in path:
+            if n.tag in MAIN_TAGS or "role=main" in n.words:
                 main = 1
-            elif tag in OTHER_TAGS or any(w.partition("=")[2] in OTHER_WORDS for w in words):
+            elif n.tag in OTHER_TAGS or any(w.partition("=")[2] in OTHER_WORDS for w in n.words):
                 main = 0
                 break
         out.append(main)
@@ -220,11 +262,30 @@ class Field:
         zero = np.zeros(2)
         return np.array([np.sum([self.weights.get(f, zero) for f in fs], axis=0) for fs in names]).reshape(-1, 2)
 
+    def path_score(self, node: Node | None) -> np.ndarray:
+        """Weights of the path features, summed once per element."""
+        todo = []
+        while node and node.score is None:
+            todo.append(node)
+            node = node.parent
+        score = node.score if node else np.zeros(2)
+        for n in reversed(todo):
+            own = [self.weights[f] for f in n.first if f in self.weights]
+            score = n.score = score + np.sum(own, axis=0) if own else score
+        return score
+
+    def labels(self, found: list[tuple[str, int, Node | None]]) -> list[int]:
+        """The most likely labels of a page's blocks."""
+        own = self.emissions([[*text_features(text, linked), f"tag={node.inner if node else 'none'}"] for text, linked, node in found])
+        return self.viterbi(own + np.array([self.path_score(node) for _, _, node in found]).reshape(-1, 2))
+
     def decode(self, names: list[list[str]]) -> list[int]:
-        """The most likely labels (Viterbi)."""
-        if not names:
+        return self.viterbi(self.emissions(names))
+
+    def viterbi(self, e: np.ndarray) -> list[int]:
+        """The most likely labels."""
+        if not len(e):
             return []
-        e = self.emissions(names)
         best, back = self.start + e[0], []
         for row in e[1:]:
             step = best[:, None] + self.pair
@@ -291,6 +352,7 @@ def examples() -> list[tuple[str, list[int]]]:
             page(menu, ("<div class=content><h1>A title</h1>" + body + "</div>", [1] * 4), other, foot)
     for tag in sorted(OTHER_TAGS):
         inside(f"<{tag}><p>See this</p></{tag}>")
+        inside(f"<{tag}><p>More.</p></{tag}>")
         inside(f"<{tag}>{words}</{tag}>")
         other = (f"<{tag}><p>{words}</p><ul><li><a href=/x>See more</a></li></ul></{tag}>", [0, 0])
         page(menu, other, ("<article><h1>A title</h1>" + body, [1] * 4), other, ("</article>", []), other, foot)
@@ -310,23 +372,26 @@ def train(pages: list[str]) -> Field:
         found = blocks(page)
         if len(found) != len(gold):
             raise ValueError(f"{len(found)} blocks but {len(gold)} labels in {page}")
-        data.append((features(found), gold))
+        data.append((found, gold))
     for page in pages:
         found = blocks(page)
         gold = labelled_by_markup(found) if found else None
         if gold:
-            data.append((features(found), gold))
+            data.append((found, gold))
+    whole = [features(found) for found, _ in data]
+    bare = [[[*text_features(text, linked), "in=div", "tag=div"] for text, linked, _ in found] for found, _ in data]
     field = Field()
     order = np.random.default_rng(7)
     for epoch in range(EPOCHS):
         for i in order.permutation(len(data)):
-            field.learn(*data[i], RATE / (1 + 0.5 * epoch))
+            # now and then as if every tag were a div without names, so that text, links and neighbours carry weight too
+            field.learn((bare if order.random() < DROP else whole)[i], data[i][1], RATE / (1 + 0.5 * epoch))
     return field
 
 
 def extract(field: Field, page: str | None) -> str:
     found = blocks(page)
-    keep = field.decode(features(found))
+    keep = field.labels(found)
     return "\n".join(b[0] for b, y in zip(found, keep, strict=True) if y)
 
 

@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +98,41 @@ def test_head_without_its_end_tag(start):
     assert [t for t, _, _ in H.blocks(page)] == ["One.", "Two."]
     assert [t for t, _, _ in H.blocks("<head><title>T</title>One.<p>Two.")] == ["One.", "Two."]
     assert [t for t, _, _ in H.blocks("<head><title>T</title><template><p>x</p></template></head><body>One.")] == ["One."]
+
+
+def test_features_of_the_path_are_a_set():
+    found = H.blocks("<div class='a b'><div class=a><p>x<em class=a>y</em></div>z</div>w")
+    named = [[f for f in fs if f.startswith(("in", "tag"))] for fs in H.features(found)]
+    assert named == [["in:class=a", "in:class=b", "in=div", "in=p", "tag=p"], ["in:class=a", "in:class=b", "in=div", "tag=div"], ["tag=none"]]
+    f = H.Field()
+    rng = np.random.default_rng(1)
+    for n in {x for fs in H.features(found) for x in fs}:
+        f.weights[n] = rng.normal(size=2)
+    f.pair, f.start = rng.normal(size=(2, 2)), rng.normal(size=2)
+    assert f.labels(found) == f.decode(H.features(found))
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<div class=c{i}>x", "<span>", "<span><li>x</li>", "<ul><li>x", "<p><b>x", "<a href=y>x", "<head><b>", "</em>x<em><div>"])
+def test_deep_pages_take_time_in_proportion(field, piece):
+    def seconds(n):
+        page = "".join(piece.replace("{i}", str(i)) for i in range(n // len(piece)))
+        start = time.process_time()
+        H.extract(field, page)
+        return time.process_time() - start
+    assert seconds(1_000_000) < 5 * max(1.0, 5 * seconds(200_000))
+
+
+def stripped(page):
+    """The page without attributes, its block tags all alike."""
+    page = re.sub(r"<(script|style)\b.*?</\1>", "", page, flags=re.S | re.I)
+    return re.sub(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>", lambda m: f"<{m[1]}div>" if m[2].lower() in H.BLOCK else "<a>" if m[2].lower() == "a" and not m[1] else "</a>" if m[2].lower() == "a" else "", page)
+
+
+def test_text_and_links_carry_weight_without_markup(spark, field):
+    right = kept = wanted = 0
+    for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").limit(150).collect():
+        want = set(article(r.html).split("\n"))
+        got = H.extract(field, stripped(r.html)).split("\n")
+        kept, wanted, right = kept + len(got), wanted + len(want), right + sum(x in want for x in got)
+    print(f"precision {right / kept:.3f}, recall {right / wanted:.3f}")
+    assert right / kept > 0.8 and right / wanted > 0.9
