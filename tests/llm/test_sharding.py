@@ -11,21 +11,41 @@ from crosstide.llm import catalogue, sharding as S
 SCHEMA = "doc_id long, text string, shard int, slot int, _placed string"
 
 
-def draw(key, shard):
+def draw(key, level, node, weight):
     seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
-    h = xxhash.xxh64_intdigest(struct.pack("<i", shard.number), seed)
-    return -math.log(((h >> 11) + 0.5) / 2 ** 53) / shard.weight
+    for part in (level, node):
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", part), seed)
+    return -math.log(((seed >> 11) + 0.5) / 2 ** 53) / weight
 
 
 def brute(key, tree):
-    """Descends level by level: the node whose shards hold the earliest draw."""
+    """Descends level by level: the node with the earliest draw, at the rate of the weight below it."""
     nodes = tree
-    for level in ("region", "rack", "number"):
-        best = min(nodes, key=lambda s: draw(key, s))
-        nodes = [s for s in nodes if getattr(s, level) == getattr(best, level)]
+    for level, name in enumerate(("region", "rack", "number")):
+        weight = Counter()
+        for s in nodes:
+            weight[getattr(s, name)] += s.weight
+        best = min(weight, key=lambda n: (draw(key, level, n, weight[n]), n))
+        nodes = [s for s in nodes if getattr(s, name) == best]
     return nodes[0].number
 
 
+def test_moves_stay_in_subtrees_whose_weights_change():
+    for grown in (S.topology(17) + [S.Shard(17, 0, 0)], [S.Shard(s.number, s.region, s.rack, 3.0 if s.number == 5 else 1.0) for s in S.topology(16)]):
+        before = S.topology(17) if len(grown) == 18 else S.topology(16)
+        path = {s.number: (s.region, s.rack, s.number) for s in grown}
+        changed = next(s for s in grown if s.number == (17 if len(grown) == 18 else 5))
+        moved = 0
+        for key in range(3000):
+            a, b = path[brute(key, before)], path[brute(key, grown)]
+            if a != b:
+                moved += 1
+                # where the two paths part, the new one enters the node that became heavier
+                level = next(i for i in range(3) if a[i] != b[i])
+                assert b[:level + 1] == (changed.region, changed.rack, changed.number)[:level + 1]
+        assert 0 < moved < 1500
+
+
 def test_descent_equals_brute_force(spark):
     ids = [*range(-50, 400), 2 ** 40, None]
     got = S.report(spark.createDataFrame([(i, "x", 1, 2, "c") for i in ids], SCHEMA)).collect()
@@ -56,7 +76,9 @@ def test_weights_give_shares_and_moves_stay_in_the_changed_subtree(spark):
     out = ids.select("id", S.descend(ids["id"], tree)["shard"].alias("a"), S.descend(ids["id"], heavier)["shard"].alias("b")).collect()
     n = Counter(r.a for r in out)
     assert abs(n[3] / 20_000 - 2 / 9) < 0.02 and abs(n[0] / 20_000 - 1 / 9) < 0.02
-    assert all(r.b == 5 for r in out if r.a != r.b) and any(r.a != r.b for r in out)
+    moved = [r for r in out if r.a != r.b]
+    assert moved and all(r.b // 4 == 1 for r in moved)                                     # into the region of the heavier shard,
+    assert all(r.b // 2 == 2 for r in moved if r.a // 4 == 1) and all(r.b == 5 for r in moved if r.a // 2 == 2)     # rack and shard
 
 
 def test_whole_table(spark):
