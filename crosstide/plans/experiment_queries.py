@@ -60,22 +60,85 @@ with tr as (select * from design_kept where split = 'train'),
      b as (select sum((coalesce(mom, md) - m) / s * (eval_target - yb)) / (sum(pow((coalesce(mom, md) - m) / s, 2)) + {ALPHA}) as beta from tr, md, st)
 select symbol, date, split, (coalesce(mom, md) - m) / s * beta + yb as model_score from design_kept, md, st, b where split <> 'train'""")
 def ridge_one_feature(spark, sf):
-    _, scored = models.train_and_score(design(spark, sf, ["mom"]), ["mom"], "eval_target", TRAIN_END, VAL_END, HORIZON,
-                                       lambda t, f, y: models.fit_ridge(t, f, y, ALPHA))
-    return scored
+    return models.train_and_score(design(spark, sf, ["mom"]), ["mom"], "eval_target", TRAIN_END, VAL_END, HORIZON, alpha=ALPHA)[1]
+
+
+# All core features: the design in SQL, and normal equations solved by Gauss-Jordan steps on a matrix of lists.
+
+cte("wide_inputs", "select symbol, date, " + ", ".join(c for c in FEATURES if not c.startswith("cs_rank_")) + ", log_dollar_volume as liquidity, "
+    + ", ".join(f"{pct_rank_sql(c, 'date')} as cs_rank_{c}" for c in RANKED) + " from signals")
+cte("wide_universe", """
+select * exclude (q) from (select l.symbol, l.date, l.sector, l.eval_target, l.eval_return, l.label_end_date, w.* exclude (symbol, date),
+    row_number() over (partition by l.date order by w.liquidity nulls last, l.symbol)::double / count(w.liquidity) over (partition by l.date) as q
+  from labelled l join wide_inputs w on l.symbol = w.symbol and l.date = w.date)
+where liquidity is not null and q > 0.1::double""")
+cte("wide_design", "with b as (select date, " + ", ".join(
+    f"quantile_cont({c}, 0.01::double) as lo_{c}, quantile_cont({c}, 0.99::double) as hi_{c}" for c in FEATURES)
+    + " from wide_universe group by date) select row_number() over (order by u.date, u.symbol) as rid, u.symbol, u.date, u.sector, u.eval_target, "
+    "u.eval_return, u.label_end_date, " + ", ".join(f"case when {c} is not null then least(greatest({c}, lo_{c}), hi_{c}) end as {c}" for c in FEATURES)
+    + " from wide_universe u join b on u.date = b.date")
+cte("wide_long", "select rid, feature, x from (select rid, " + ", ".join(FEATURES) + " from wide_design) unpivot include nulls (x for feature in (" + ", ".join(FEATURES) + "))")
+
+
+def _fit_sql(train: str, label: str = "eval_target", alpha: float = ALPHA) -> str:
+    """(feature, md, m, s, beta, intercept) of the ridge fit on the rows of ``wide_design`` that meet ``train``."""
+    p = len(FEATURES)
+    place = "case l.feature " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(FEATURES, 1)) + " end"
+    return f"""
+with recursive tr as (select rid, {label} as y from wide_design where {train}),
+ml as (select l.rid, {place} as i, l.x, tr.y from wide_long l join tr on l.rid = tr.rid),
+md as (select i, coalesce(quantile_cont(x, 0.5::double), 0) as md from ml group by i),
+st as (select ml.i, any_value(md) as md, avg(coalesce(x, md)) as m, stddev_pop(coalesce(x, md)) as s from ml join md on ml.i = md.i group by ml.i),
+z as (select ml.rid, ml.i, (coalesce(x, md) - m) / case when s > 0 then s else 1 end as z, y - (select avg(y) from tr) as y from ml join st on ml.i = st.i),
+g as (select a.i, b.i as j, sum(a.z * b.z) + case when a.i = b.i then {alpha}::double else 0 end as v from z a join z b on a.rid = b.rid group by a.i, b.i
+      union all select i, {p + 1}, sum(z * y) from z group by i),
+gj(k, mat) as (
+  select 1, (select list(r order by i) from (select i, list(v order by j) as r from g group by i))
+  union all
+  select k + 1, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 2}), lambda j:
+    case when i = k then mat[k][j] / mat[k][k] else mat[i][j] - mat[i][k] * mat[k][j] / mat[k][k] end))
+  from gj where k <= {p})
+select [{', '.join(f"'{c}'" for c in FEATURES)}][st.i] as feature, md, m, case when s > 0 then s else 1 end as s,
+       (select mat[st.i][{p + 1}] from gj where k = {p + 1}) as beta, (select avg(y) from tr) as intercept from st"""
+
+
+_SCORE = "any_value(f.intercept) + sum((coalesce(l.x, f.md) - f.m) / f.s * f.beta)"
+_TRAINED = f"date <= date '{TRAIN_END}' and label_end_date <= date '{TRAIN_END}'"
+cte("wide_fit", _fit_sql(_TRAINED))
+cte("wide_scores", f"select l.rid, {_SCORE} as model_score from wide_long l join wide_fit f on l.feature = f.feature group by l.rid")
+cte("wide_kept", f"""
+with s as (select *, case when date <= date '{TRAIN_END}' then 'train' when date <= date '{VAL_END}' then 'val' else 'test' end as split from wide_design),
+     p as (select *, dense_rank() over (partition by split order by date) as place from s where label_end_date <= case split
+             when 'train' then date '{TRAIN_END}' when 'val' then date '{VAL_END}' else (select max(date) from wide_design) end)
+select * from p where split <> 'train' and place > {HORIZON}""")
 
 
-@query("ridge_scores", KEY + "split:s model_score:8 eval_target:6")
+@query("ridge_scores", KEY + "split:s model_score:8 eval_target:6",
+       "select k.symbol, k.date, k.split, k.eval_target, s.model_score from wide_kept k join wide_scores s on k.rid = s.rid")
 def ridge_scores(spark, sf):
     return models.train_and_score(design(spark, sf), FEATURES, "eval_target", TRAIN_END, VAL_END, HORIZON)[1]
 
 
-@query("feature_importance", "feature:s importance:8 coefficient:8")
+@query("feature_importance", "feature:s importance:8 coefficient:8", "select feature, abs(beta) as importance, beta as coefficient from wide_fit")
 def feature_importance(spark, sf):
     model, _ = models.train_and_score(design(spark, sf), FEATURES, "eval_target", TRAIN_END, VAL_END, HORIZON)
     return models.importance(model, FEATURES, spark)
 
 
+_RUNS = {f"{label}__alpha{alpha:g}": (label, alpha) for label in ("eval_target", "eval_return") for alpha in (1.0, 100.0)}
+
+
+@query("ridge_runs", "fold:s run_name:s feature:s coefficient:8", "\nunion all ".join(
+    f"select '{fold}' as fold, '{run}' as run_name, feature, beta as coefficient from ("
+    + _fit_sql(f"date <= date '{end}' and label_end_date <= date '{end}'", label, alpha) + ")"
+    for fold, end, _ in all_folds() for run, (label, alpha) in _RUNS.items()))
+def ridge_runs(spark, sf):
+    """Every run on every fold of one design, from one pass over its rows."""
+    fits = models.ridge_folds(design(spark, sf), FEATURES, all_folds(), _RUNS)
+    rows = [(fold, run, f, float(c)) for fold, runs in fits.items() for run, m in runs.items() for f, c in zip(m.features, m.coefficients)]
+    return spark.createDataFrame(rows, "fold string, run_name string, feature string, coefficient double")
+
+
 @query("gbt_scores", KEY + "split:s model_score:6")
 def gbt_scores(spark, sf):
     def fit(train, features, label):
@@ -83,7 +146,19 @@ def gbt_scores(spark, sf):
     return models.train_and_score(design(spark, sf), FEATURES, "eval_target", TRAIN_END, VAL_END, HORIZON, fit)[1]
 
 
-@query("walk_forward_scores", "fold:s mean_rank_ic:6 rank_ic_ir:5 ic_dates:i sharpe_net:5 rows:i")
+cte("wf_scored", "\nunion all ".join(f"""
+select '{fold}' as fold, d.symbol, d.date, d.sector, d.eval_target, d.eval_return, s.model_score as x from (
+  select *, dense_rank() over (order by date) as place from wide_design where date > date '{end}' and label_end_date <= {'(select max(date) from wide_design)' if end == val else f"date '{val}'"}
+    and date <= {'(select max(date) from wide_design)' if end == val else f"date '{val}'"}) d
+join (select l.rid, {_SCORE} as model_score from wide_long l join ({_fit_sql(f"date <= date '{end}' and label_end_date <= date '{end}'")}) f on l.feature = f.feature group by l.rid) s
+  on s.rid = d.rid where d.place > {HORIZON}""" for fold, end, val in all_folds()))
+cte("wf_ic", f"select fold, date, case when isnan(rank_ic) then null else rank_ic end as rank_ic, case when isnan(ic) then null else ic end as ic, n from ({ic_sql('fold', 'wf_scored')})")
+backtest_ctes("wf_scored", "fold", "wf")
+
+
+@query("walk_forward_scores", "fold:s mean_rank_ic:6 rank_ic_ir:5 ic_dates:i sharpe_net:5 rows:i", f"""
+select i.*, b.* exclude (fold), r.rows from ({ic_summary_sql('fold', 'wf_ic')}) i left join ({bt_summary_sql('fold', 'wf_bt')}) b on i.fold = b.fold
+join (select fold, count(*) as rows from wf_scored group by fold) r on r.fold = i.fold""")
 def walk_forward_scores(spark, sf):
     scored = stage(models.walk_forward(design(spark, sf), FEATURES, "eval_target", all_folds(), HORIZON))
     return evaluate.score_metrics(scored, ["fold"], "model_score", "eval_target", "eval_return", horizon=HORIZON, **BT)

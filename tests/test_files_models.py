@@ -98,6 +98,34 @@ def test_ridge_is_the_closed_form(spark):
     assert ranked[0] == "b"
 
 
+def test_every_fold_and_run_from_one_pass(spark):
+    rng = np.random.default_rng(1)
+    n = 400
+    day = rng.integers(0, 300, n)
+    x = rng.normal(size=(n, 3)) * [1, 5, 0.01] + [0, 1e6, 3]
+    x[rng.random((n, 3)) < 0.1] = np.nan
+    y, z = rng.normal(size=n), rng.normal(size=n)
+    start = dt.date(2020, 1, 1)
+    rows = [(start + dt.timedelta(days=int(d)), start + dt.timedelta(days=int(d) + 5), *[None if np.isnan(v) else float(v) for v in r], float(a), float(b))
+            for d, r, a, b in zip(day, x, y, z)]
+    df = spark.createDataFrame(rows, "date date, label_end_date date, a double, b double, c double, y double, z double").withColumn("k", F.lit(7.0))
+    folds = [("late", dt.date(2020, 9, 1), None), ("early", dt.date(2020, 4, 1), None), ("none", dt.date(2019, 1, 1), None)]
+    fits = models.ridge_folds(df, ["a", "b", "c", "k"], folds, {"r1": ("y", 10.0), "r2": ("z", 0.5)})
+    assert fits["none"] == {}
+    for name, end, _ in folds[:2]:
+        train = np.array([start + dt.timedelta(days=int(d) + 5) <= end for d in day])
+        t = np.where(np.isnan(x[train]), np.nanmedian(x[train], axis=0), x[train])
+        s = np.column_stack([(t - t.mean(0)) / t.std(0), np.zeros(train.sum())])
+        for run, label, alpha in (("r1", y, 10.0), ("r2", z, 0.5)):
+            want = np.linalg.solve(s.T @ s + alpha * np.eye(4), s.T @ (label[train] - label[train].mean()))
+            m = fits[name][run]
+            np.testing.assert_allclose(m.coefficients, want, atol=1e-8)
+            assert m.intercept == pytest.approx(label[train].mean())
+            got = [r.s for r in df.select(m.score().alias("s")).collect()]
+            whole = np.where(np.isnan(x), np.nanmedian(x[train], axis=0), x)
+            np.testing.assert_allclose(got, (whole - t.mean(0)) / t.std(0) @ want[:3] + m.intercept, atol=1e-7)
+
+
 def test_scaler_uses_the_median_then_the_filled_moments(spark):
     df = spark.createDataFrame([("f", v) for v in (1.0, 2.0, 10.0, None)], "fit string, x double")
     row = xsection.scaler_table(df, ["x"], ["fit"]).first()
