@@ -54,14 +54,7 @@ def average_of(cols: list[Column]) -> Column:
     return total / F.lit(float(len(cols)))
 
 
-def sample_skewness(count: Column, raw: Column) -> Column:
-    """Bias-corrected skewness from the population value (needs three observations)."""
-    n = count.cast("double")
-    return F.when(count >= 3, ratio(F.sqrt(n * (n - 1)), n - 2) * raw)
-
-
-def sample_kurtosis(count: Column, raw: Column) -> Column:
-    """Bias-corrected excess kurtosis from the population value (needs four observations)."""
-    n = count.cast("double")
-    scale = ratio(n - 1, (n - 2) * (n - 3))
-    return F.when(count >= 4, scale * ((n + 1) * raw + 6))
+def seeded(seed: int, *cols: Column) -> Column:
+    """A 60-bit number from the MD5 of a seed and columns: an order that other engines can repeat."""
+    joined = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
+    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")

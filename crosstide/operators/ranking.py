@@ -83,7 +83,8 @@ def rank_parts(df: DataFrame, keys: list[str], x: str, prefix: str) -> DataFrame
     run = ["_code"] if hot is None else ["_code", "_sub"]
     if hot is not None:                             # at most HOT_MOST rows are broadcast
         on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(hot[f"_h{i}"]) for i, k in enumerate(names)])
-        marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left").drop(*hot.columns)
+        flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        marked = rows.join(flagged, on, "left").drop(*hot.columns)
         rows = marked.withColumn("_sub", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SUB_RUNS)) + 1).otherwise(0).cast("int")).drop("_hot")
     rows = rows.withColumn("_known", F.col("_code").isNotNull())
     rows = _sorted(rows, [*keys, "_known", *run], [])

@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crosstide.functions.numeric import seeded
 from crosstide.operators.rolling import lead
 
 
@@ -136,7 +137,7 @@ def budget_dates(dates: DataFrame, max_rows: int | None, seed: int | None = None
     """
     if max_rows is None:
         return dates
-    order = [F.col("date")] if seed is None else [F.xxhash64(F.col("date"), F.lit(seed)), F.col("date")]
+    order = [F.col("date")] if seed is None else [seeded(seed, F.col("date")), F.col("date")]
     w = Window.orderBy(*order)
     placed = dates.withColumns({"_cum": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
                                 "_place": F.row_number().over(w)})
@@ -164,7 +165,7 @@ def on_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
 
 def sample_symbols(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """First ``n`` symbols in sorted order, or in a seeded hash order."""
-    order = [F.col("symbol")] if seed is None else [F.xxhash64(F.col("symbol"), F.lit(seed)), F.col("symbol")]
+    order = [F.col("symbol")] if seed is None else [seeded(seed, F.col("symbol")), F.col("symbol")]
     chosen = df.select("symbol").distinct().orderBy(*order).limit(n)
     return df.join(chosen, "symbol", "left_semi")
 

@@ -10,7 +10,7 @@ from crosstide.plans.base import (
     COST_BPS, EXECUTION_LAG, FIRST_TRAIN_END, HOLDOUT, HORIZON, MIN_NAMES, P, REGIMES_SQL, SHARE,
     STAND_IN_REGIMES, TRAIN_END, VAL_END, bars, groups_of)
 from crosstide.plans.feature_queries import KEY, cols
-from crosstide.plans.registry import cte, lagged, led, pct_rank_sql, query
+from crosstide.plans.registry import cte, lagged, led, pct_rank_sql, query, seeded_sql
 from crosstide.plans.section_queries import targets_panel
 from crosstide.session import shared, stage
 
@@ -127,7 +127,12 @@ def eval_cap_dates(spark, sf):
     return splits.on_dates(rows, splits.shard_dates(dates, 3))
 
 
-@query("sampled_dates", KEY + "split:s")
+@query("sampled_dates", KEY + "split:s", f"""
+with d as (select date, count(*) as n from kept where split = 'train' group by date),
+c as (select date from (select date, sum(n) over (order by {seeded_sql(7, 'date')}, date rows unbounded preceding) as upto,
+        row_number() over (order by {seeded_sql(7, 'date')}, date) as place from d) where upto <= 5000 or place = 1),
+r as (select symbol, date, split from kept where split = 'train' and date in (select date from c))
+select * from r where symbol in (select symbol from (select distinct symbol from r) order by {seeded_sql(7, 'symbol')}, symbol limit 50)""")
 def sampled_dates(spark, sf):
     train = kept_rows(spark, sf).where(F.col("split") == "train").select("symbol", "date", "split")
     chosen = splits.budget_dates(splits.date_counts(train), 5000, seed=7)

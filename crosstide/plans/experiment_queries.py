@@ -562,7 +562,13 @@ def dedupe_resume(spark, sf):
     return with_one_row(merged.unionByName(todo), missing)
 
 
-@query("feature_catalogue", "file:s column:s largest_lookback:i in_window:b core:b rows:i")
+# What the catalogue lists of the groups that the query writes, labels being left out: file -> (column, largest number of days in its name).
+_CATALOGUE = {"price_momentum": [(f"ret_{w}d", w) for w in P.returns] + [(f"mom_{b}d_skip_{a}d", max(a, b)) for a, b in P.skip_pairs] + [("log_dollar_volume", None)]}
+
+
+@query("feature_catalogue", "file:s column:s largest_lookback:i in_window:b core:b rows:i", "select *, (select count(*) from bars) as rows from (values " + ", ".join(
+    f"('{f}', '{c}', {'null' if d is None else d}, {d is None or d <= 12}, {c in P.core_features})" for f, found in _CATALOGUE.items() for c, d in found)
+    + ') t(file, "column", largest_lookback, in_window, core)')
 def feature_catalogue(spark, sf):
     """Writes two feature groups of the panel and reads their catalogue back."""
     from crosstide.session import shared, stage_dir

@@ -82,7 +82,7 @@ def present(df: DataFrame, layout: str) -> DataFrame:
 
 def present_sql(sql: str, layout: str) -> str:
     out = []
-    for name, kind in columns_of(layout):
+    for name, kind in ((f'"{n}"', kind) for n, kind in columns_of(layout)):          # a name may be a word of SQL
         if kind == "d":
             e = f"strftime({name}, '%Y-%m-%d')"
         elif kind == "i":
@@ -143,3 +143,9 @@ def pct_rank_sql(x: str, keys: str, extra: str = "") -> str:
 
 def z_sql(x: str, keys: str) -> str:
     return f"({x} - avg({x}) over (partition by {keys})) / nullif(stddev_samp({x}) over (partition by {keys}), 0)"
+
+
+def seeded_sql(seed: int, *parts: str) -> str:
+    """``functions.numeric.seeded`` in SQL."""
+    joined = " || ':' || ".join([f"'{seed}'", *[f"coalesce(cast({p} as varchar), '~')" for p in parts]])
+    return f"cast(concat('0x', substr(md5({joined}), 1, 15)) as bigint)"

@@ -20,7 +20,8 @@ SETTINGS = {
 
 _LOCAL: dict[str, str] = {}
 _NOTED: list[list[str]] = []
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple[str, str, str, tuple], DataFrame] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -57,6 +58,7 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{stage_dir(spark)}/stage-{uuid.uuid4().hex}"
     with _shuffles_removed(spark):
         df.write.parquet(path)
+    _WRITTEN.setdefault(spark.conf.get("spark.app.id", "local"), []).append(path)
     for paths in _NOTED:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -86,20 +88,44 @@ def noted() -> Iterator[list[str]]:
         _NOTED[:] = [p for p in _NOTED if p is not paths]
 
 
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables that nothing reads any more."""
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        at, files = _filesystem(spark, path)
+        files.delete(at, True)
+    written = _WRITTEN.get(spark.conf.get("spark.app.id", "local"), [])
+    written[:] = [p for p in written if p not in set(paths)]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged; results that read them have to be written before."""
+    app = spark.conf.get("spark.app.id", "local")
+    remove(spark, list(_WRITTEN.get(app, [])))
+    for key in [k for k in _SHARED if k[0] == app]:
+        del _SHARED[key]
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Size and number of a folder's files and the times of its entries: changes when a table is written anew."""
+    at, files = _filesystem(spark, folder)
+    if not files.exists(at):
+        return ()
+    summary = files.getContentSummary(at)
+    return summary.getLength(), summary.getFileCount(), tuple(sorted((e.getPath().getName(), e.getModificationTime()) for e in files.listStatus(at)))
 
 
 def shared(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` that is derived from the folder ``source``, staged once per session.
+    """The table ``name`` that is derived from the folder ``source``, staged once per session and state of the folder.
 
-    Queries of a family start from one written table instead of writing it each. The folder's
-    files are taken not to change while the session lasts.
+    Queries of a family start from one written table instead of writing it each. Once the folder's files change it is
+    built anew.
     """
-    key = (spark.conf.get("spark.app.id", "local"), name, source)
+    key = (spark.conf.get("spark.app.id", "local"), name, source, _state(spark, source))
     if key not in _SHARED:
         _SHARED[key] = stage(build())
     return _SHARED[key]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crosstide import session
 from crosstide.functions import text
 from crosstide.operators import models, xsection
 from crosstide.sources import files, tables
@@ -153,3 +154,20 @@ def test_scope_rules(spark):
     kept = tables.scope(df, min_history=2, max_symbols=1)
     assert {r["symbol"] for r in kept.collect()} == {"A"}
     assert tables.scope(df, start="2020-01-02").agg(F.count("*")).first()[0] == 4
+
+
+def test_shared_tables_follow_their_folder_and_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_WRITTEN", {})
+    monkeypatch.setattr(session, "_SHARED", {})
+    folder = f"{tmp_path}/in"
+    build = lambda: spark.read.parquet(f"{folder}/t.parquet").groupBy("k").count()
+    spark.range(10).withColumn("k", F.col("id") % 2).write.parquet(f"{folder}/t.parquet")
+    first = session.shared(spark, "t", folder, build)
+    assert session.shared(spark, "t", folder, build) is first
+    spark.range(5).withColumn("k", F.lit(7).cast("long")).write.mode("append").parquet(f"{folder}/t.parquet")
+    again = session.shared(spark, "t", folder, build)
+    assert (first.count(), again.count()) == (2, 3)
+    paths = [Path(p.removeprefix("file:")) for p in next(iter(session._WRITTEN.values()))]
+    assert len(paths) == 2 and all(p.exists() for p in paths)
+    session.clear(spark)
+    assert not any(p.exists() for p in paths) and session._SHARED == {}
