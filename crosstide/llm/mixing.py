@@ -6,8 +6,8 @@ weight. The share is found in closed form: with sources sorted by limit over wei
 which all sources from there on stay below their limits.
 
 A source's documents stand in hash order. It is read through as often as its target holds its
-size, then once more as far as whole documents fit. The gap that is left, smaller than one document, is filled from the
-documents behind the cut: largest size first, as many of each size as fit, in hash order, until none fits; the smallest one left
+size, then once more as far as whole documents fit into what is left less a reserve: two documents of its largest size, half
+of it at most. The gap is filled from the documents behind the cut: largest size first, as many of each size as fit, in hash order, until none fits; the smallest one left
 goes over the target if that comes nearer to it. The fill is a fold over a source's distinct sizes below twice its gap. The
 order is a running sum over hash buckets, so a source with most of the rows is summed by many tasks; only the bucket
 with the cut is looked into before the last pass. Sizes are words.
@@ -66,14 +66,16 @@ def takes(docs: DataFrame, size: str) -> tuple[DataFrame, str]:
     # a key that is never null: a plain equality on it keeps the partitioning that the running sum has made
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
     rows = docs.withColumns({h: hash60(F.col("doc_id")), key: named}).withColumn(b, F.shiftright(F.col(h), 60 - BUCKET_BITS).cast("int"))
-    sums = rows.groupBy("source", key, b).agg(F.sum(size).alias("n"))
+    sums = rows.groupBy("source", key, b).agg(F.sum(size).alias("n"), F.max(size).alias("largest"))
     before = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    sums = stage(sums.select("source", key, b, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    sums = stage(sums.select("source", key, b, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+                             F.max("largest").over(Window.partitionBy(key)).alias("largest")))
     shares = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - F.col("passes") * F.col("source_size")
     offsets = sums.join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("passes", passes)
-    offsets = stage(offsets.select(key, b, F.struct("start", "n", "source_size", "weight", "target", "passes", rest.alias("rest")).alias(name)))
+    offsets = offsets.withColumn("rest", rest).withColumn("first", F.col("rest") - F.least(F.lit(2.0) * F.col("largest"), F.col("rest") / 2))
+    offsets = stage(offsets.select(key, b, F.struct("start", "n", "source_size", "weight", "target", "passes", "rest", "first").alias(name)))
     running = Window.partitionBy(key, b).orderBy(h, "doc_id", size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = F.col(name)
     fill = _fill(rows.select(F.col(key).alias("key"), F.col(b).alias("bucket"), F.col(h).alias("h"), "doc_id", F.col(size).alias("n")),
@@ -92,7 +94,7 @@ def takes(docs: DataFrame, size: str) -> tuple[DataFrame, str]:
         m["passes"] * m["source_size"] + f["start"] + (f["before"] + rank - 1) * F.col(size))
     out = out.withColumn(name, F.struct(
         m["source_size"].alias("source_size"), m["weight"].alias("weight"), m["target"].alias("target"), upto.alias("upto"), m["passes"].alias("passes"),
-        ((F.col(size) > 0) & (upto <= m["rest"])).alias("extra"), fills.alias("fill"), F.when(fills, begins).alias("at")))
+        ((F.col(size) > 0) & (upto <= m["first"])).alias("extra"), fills.alias("fill"), F.when(fills, begins).alias("at")))
     return out.drop(h, b, key, local, place), name
 
 
@@ -100,18 +102,18 @@ def _fill(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     """Which documents fill the gaps: (key, bucket, n) with ``allow``, the number of documents of size ``n`` taken from the bucket behind the
     first ``skip``; ``before``, those taken from earlier buckets; ``start``, the word at which the first of this size begins;
     ``k``, all of this size; ``over``, whether the last of them goes over the target."""
-    edges = offsets.filter((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("n")) & (F.col("passes") < MAX_PASSES))
-    edges = edges.select("key", F.col("bucket").alias("cut"), "start", "rest")
+    edges = offsets.filter((F.col("start") <= F.col("first")) & (F.col("first") < F.col("start") + F.col("n")) & (F.col("passes") < MAX_PASSES))
+    edges = edges.select("key", F.col("bucket").alias("cut"), "start", "rest", "first")
     running = Window.partitionBy("key").orderBy("h", "doc_id", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = rows.join(edges, (rows["key"] == edges["key"]) & (rows["bucket"] == edges["cut"])).drop(edges["key"])
-    inside = stage(inside.select("key", "n", "start", "rest", (F.col("start") + F.sum("n").over(running)).alias("upto")))
-    got = inside.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.max("start")).alias("got"))
+    inside = stage(inside.select("key", "n", "start", "first", (F.col("start") + F.sum("n").over(running)).alias("upto")))
+    got = inside.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("first"), F.col("upto"))), F.max("start")).alias("got"))
     gaps = stage(edges.join(got, "key").select("key", "cut", "got", (F.col("rest") - F.col("got")).alias("gap")))
 
     small = (F.col("n") > 0) & (F.col("n") < 2 * F.col("gap"))
     later = rows.select("key", "bucket", "n").join(gaps, "key").filter((F.col("bucket") > F.col("cut")) & small)
     here = inside.join(gaps, "key").filter(small)
-    free = here.filter("upto > rest")
+    free = here.filter("upto > first")
     counts = later.groupBy("key", "n").count().unionByName(free.groupBy("key", "n").count()).groupBy("key", "n").agg(F.sum("count").alias("count"))
     lists = counts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "count")), asc=False).alias("sizes")).join(gaps, "key")
 
@@ -135,7 +137,7 @@ def _fill(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     own = rows.select("key", "bucket", "n").join(rules, ["key", "n"]).filter("bucket > cut").groupBy("key", "n", "bucket").agg(
         F.count("*").alias("count"), F.lit(0).cast("long").alias("skip"))
     at_cut = inside.join(rules, ["key", "n"]).groupBy("key", "n", F.col("cut").alias("bucket")).agg(
-        F.count_if(F.col("upto") > F.col("rest")).alias("count"), F.count_if(F.col("upto") <= F.col("rest")).alias("skip"))
+        F.count_if(F.col("upto") > F.col("first")).alias("count"), F.count_if(F.col("upto") <= F.col("first")).alias("skip"))
     in_order = Window.partitionBy("key", "n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.unionByName(at_cut).withColumn("before", F.coalesce(F.sum("count").over(in_order), F.lit(0))).join(rules.drop("cut"), ["key", "n"])
     allow = F.least(F.col("count"), F.col("k") - F.col("before"))
@@ -222,10 +224,11 @@ v as (select a.*, (a.total - coalesce((select sum(b.lim) from q b where b.ratio
 g as (select *, least(weight * (select arg_min(lvl, ratio) from v where lvl <= ratio), lim::double) as target from v),
 p as (select source, source_size, weight, target, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as passes from g),
 c as (select r.*, p.source_size, p.weight, p.target, p.passes, p.target - p.passes * p.source_size as rest,
+        p.target - p.passes * p.source_size - least(2.0::double * max(r.size) over (partition by r.source), (p.target - p.passes * p.source_size) / 2) as edge,
         sum(r.size) over (partition by r.source order by h, doc_id, size rows unbounded preceding) as upto
       from r join p on r.source is not distinct from p.source),
-e as (select *, size > 0 and upto <= rest as extra, max(case when size > 0 and upto <= rest then upto else 0 end) over (partition by source) as got,
-        row_number() over (partition by source, size, size > 0 and upto <= rest order by upto) as rank from c),
+e as (select *, size > 0 and upto <= edge as extra, max(case when size > 0 and upto <= edge then upto else 0 end) over (partition by source) as got,
+        row_number() over (partition by source, size, size > 0 and upto <= edge order by upto) as rank from c),
 sizes as (select source, size, count(*) as n, any_value(rest - got) as gap, any_value(got) as got, row_number() over (partition by source order by size desc) as i
           from e where not extra and size > 0 and passes < {MAX_PASSES} and size < 2 * (rest - got) group by source, size),
 fold(source, i, size, k, start, gap, spare) as (
