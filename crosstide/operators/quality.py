@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from crosstide.functions.numeric import pearson
 from crosstide.functions.scalars import with_one_row
 from crosstide.operators.rolling import lag, rolled
+from crosstide.session import stage
 from crosstide.sources.tables import inverted, non_positive
 
 CORE = ["date", "symbol", "open", "high", "low", "close", "volume"]
@@ -75,6 +76,7 @@ def symbol_autocorrelation(df: DataFrame, ret: str, min_obs: int) -> DataFrame:
 def autocorrelation_overview(per_symbol: DataFrame) -> DataFrame:
     c1, a1, a5 = "ret_autocorr_lag1", "abs_ret_autocorr_lag1", "abs_ret_autocorr_lag5"
     from crosstide.operators.ranking import quantile_table
+    per_symbol = stage(per_symbol)
     medians = quantile_table(per_symbol, [], [c1, a1], [0.5])
     means = per_symbol.agg(F.count("symbol").alias("symbols"), F.avg(c1).alias(f"mean_{c1}"),
                            F.avg(a1).alias(f"mean_{a1}"), F.avg(a5).alias(f"mean_{a5}"))
