@@ -2,13 +2,14 @@
 
 The reader handles the whole lossless format: prefix codes (simple and normal, with groups per tile), literals,
 back-references with two-dimensional distance codes, the colour cache, and the inverse
-predictor, cross-colour, subtract-green and palette transforms (with packed indexes). Where all codes of a stream give
-every symbol the same number of bits, as the writer's do, the pixels are unpacked by array operations; any
-other stream is read symbol by symbol.
+predictor, cross-colour, subtract-green and palette transforms (with packed indexes). With one group of codes
+literals are found and unpacked by array operations, copies and cached colours one by one; streams with groups per tile, which the
+writer never makes, are read symbol by symbol.
 
-The writer turns each 4 bytes into a pixel (red, green, blue, alpha), 16 pixels a row. Each
-channel gets a prefix code whose length fits the number of values that it uses; images of at most 16 colours get a
-palette. One image holds at most 1 MiB; longer contents become several images in a row.
+The writer turns each 4 bytes into a pixel (red, green, blue, alpha), 16 pixels a row. Images of at most 16 colours get a
+palette. Others get the transforms that leave the fewest bits by estimated entropy: none, or the best of the 14 prediction rules for each block with or without
+cross-colour factors, either with or without subtracting green. Runs of pixels that stood there before become back-references, the colour cache is used where
+it pays, and every alphabet gets a prefix code of unequal lengths (at most 11 bits). One image holds at most 1 MiB; longer contents become several images in a row.
 
 Defined cases: null content is empty content; it is padded like any other. Contents of any length
 work, in bounded pieces. Equal contents give equal images. An empty table gives an empty result. Other
@@ -18,6 +19,7 @@ input columns are not used.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,6 +38,10 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, INDEXING = range(4)
 LENGTHS, DISTANCES = 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 BLACK = 0xFF000000
+# The writer's choices: longest code, rows and columns of a predictor's block as a power of two, steps of its colour factors.
+LONGEST, TILE, FACTORS = 11, 4, (0, 8, -8, 16, -16, 32, -32)
+# Layout only: bits chained and tokens written at once.
+CHAIN_BITS, TOKENS = 2 ** 17, 2 ** 14
 # Short distances by how near the pixel is: above or to the left, within 7 rows and 8 columns.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 
@@ -79,37 +85,40 @@ class Code:
         if not len(used):
             raise Corrupt("a code without symbols")
         self.bits = int(lengths[used].max()) if len(used) > 1 else 0
-        order = used[np.lexsort((used, lengths[used]))]
-        n = lengths[order].astype(np.int64)
+        order = used[np.argsort(lengths[used], kind="stable")]
+        n = lengths[order]
         if len(used) > 1 and int((1 << (self.bits - n)).sum()) != 1 << self.bits:
             raise Corrupt("an incomplete code")
         self.symbols, self.lengths = order, n
         #: every symbol has the same length, so that the code of a symbol is its rank
         self.flat = len(used) == 1 or int(n[0]) == self.bits
-        self.table: list[tuple[int, int]] | None = None
-
-    def _fill(self) -> list[tuple[int, int]]:
-        """Symbol and length by the next ``bits`` bits; a code's first bit is its highest."""
-        table: list[tuple[int, int]] = [(0, 0)] * (1 << self.bits)
-        code = 0
-        for s, n in zip(self.symbols.tolist(), self.lengths.tolist(), strict=True):
-            turned = int(f"{code >> (self.bits - n):0{n}b}"[::-1], 2)
-            table[turned::1 << n] = [(s, n)] * (1 << (self.bits - n))
-            code += 1 << (self.bits - n)
-        return table
+        self.table: list[int] | None = None
+
+    def packed(self) -> np.ndarray:
+        """16 * symbol + length by the next ``bits`` bits; a code's first bit is its highest."""
+        return np.repeat(self.symbols * 16 + (self.lengths if self.bits else 0), 1 << (self.bits - self.lengths) if self.bits else 1)[turned(self.bits)]
 
     def read(self, bits: Bits) -> int:
         if not self.bits:
             return int(self.symbols[0])
         if self.table is None:
-            self.table = self._fill()
+            self.table = self.packed().tolist()
         first = bits.at >> 3
         window = int.from_bytes(bits.data[first:first + 3], "little") >> (bits.at & 7)
-        symbol, n = self.table[window & ((1 << self.bits) - 1)]
-        bits.at += n
+        found = self.table[window & ((1 << self.bits) - 1)]
+        bits.at += found & 15
         if bits.at > 8 * len(bits.data):
             raise Corrupt("the stream ends early")
-        return symbol
+        return found >> 4
+
+
+@lru_cache(maxsize=16)
+def turned(n: int) -> np.ndarray:
+    """All numbers of ``n`` bits with their bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for i in range(n):
+        out = np.concatenate([out, out + (1 << (n - 1 - i))])
+    return out
 
 
 def ranks_from(rows: np.ndarray) -> np.ndarray:
@@ -140,20 +149,32 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     if code.flat and code.symbols.max() < 16 and left >= alphabet:
         lengths[:] = code.symbols[ranks_from(bits.array(alphabet * code.bits).reshape(alphabet, code.bits))] if code.bits else code.symbols[0]
         return Code(lengths)
-    at, last = 0, 8
-    while at < alphabet and left:
+    sizes, last, data, place = [], 8, bits.data, bits.at
+    table, mask = code.packed().tolist(), (1 << code.bits) - 1
+    while len(sizes) < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        window = int.from_bytes(data[place >> 3:(place >> 3) + 4], "little") >> (place & 7)
+        found = table[window & mask]
+        s, n = found >> 4, found & 15
         if s < 16:
-            lengths[at] = s
+            sizes.append(s)
             last = s or last
-            at += 1
-            continue
-        n, value = (3 + bits.read(2), last) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-        if at + n > alphabet:
-            raise Corrupt("code lengths run over")
-        lengths[at:at + n] = value
-        at += n
+        elif s == 16:
+            sizes += [last] * (3 + (window >> n & 3))
+            n += 2
+        elif s == 17:
+            sizes += [0] * (3 + (window >> n & 7))
+            n += 3
+        else:
+            sizes += [0] * (11 + (window >> n & 127))
+            n += 7
+        place += n
+    bits.at = place
+    if place > 8 * len(data):
+        raise Corrupt("the stream ends early")
+    if len(sizes) > alphabet:
+        raise Corrupt("code lengths run over")
+    lengths[:len(sizes)] = sizes
     return Code(lengths)
 
 
@@ -183,6 +204,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     total = width * height
     if groups == 1 and all(c.flat for c in codes[0][:4]) and codes[0][0].symbols.max() < 256:
         return _read_flat(bits, codes[0], total)
+    if groups == 1:
+        return _read_chained(bits, codes[0], width, total, cache_bits)
     return _read_symbols(bits, codes, width, total, cache_bits, tile_bits, tiles)
 
 
@@ -197,6 +220,89 @@ def _read_flat(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
     return out
 
 
+def _read_chained(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray:
+    """One group of codes: where a literal that starts at a bit would end is computed for all bits at once, so that
+    only the chain of starts, the copies and the cached colours are followed one by one."""
+    tables = [c.packed() for c in codes[:4]]
+    sizes = [t & 15 for t in tables[1:]]
+    masks = [len(t) - 1 for t in tables]
+    end, count = 8 * len(bits.data), 0
+    out: list[int] = []
+    slots: list[int] = []
+    cache: dict[int, int] = {}
+    while count < total:
+        base = bits.at
+        if base > end:
+            raise Corrupt("the stream ends early")
+        size = min(end - base, CHAIN_BITS) + 1
+        many = (size + 64 + 7) // 8 + 1
+        raw = np.frombuffer(bits.data[base >> 3:(base >> 3) + many + 3].ljust(many + 3, b"\0"), np.uint8).astype(np.uint32)
+        word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+        window = (word[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32(0x7FFF)).astype(np.int64).ravel()[base & 7:]
+        green = tables[0][window[:size] & masks[0]]
+        stop = np.arange(size) + (green & 15)
+        for lengths, mask in zip(sizes, masks[1:], strict=True):
+            if mask:
+                stop += lengths[window[stop] & mask]
+        after = np.where(green < 4096, stop, -1 - green).tolist()
+        starts: list[int] = []
+        events: list[tuple[int, int, int]] = []                     # literals before it, pixels, distance (0: a cached colour)
+        at = 0
+        while count < total and at < size:
+            to = after[at]
+            if to >= 0:
+                starts.append(at)
+                at = to
+                count += 1
+                continue
+            s, bits.at = (-1 - to) >> 4, base + at + ((-1 - to) & 15)
+            if s < 256 + LENGTHS:
+                n = read_count(bits, s - 256)
+                d = read_count(bits, codes[4].read(bits))
+                if d <= len(NEAR):
+                    x, y = NEAR[d - 1]
+                    d = max(1, y * width + x)
+                else:
+                    d -= len(NEAR)
+                if d > count or count + n > total:
+                    raise Corrupt("a back-reference outside the image")
+                events.append((len(starts), n, d))
+                count += n
+            else:
+                events.append((len(starts), s - 256 - LENGTHS, 0))
+                count += 1
+            at = bits.at - base
+        bits.at = base + at
+        place = np.array(starts, np.int64)
+        colours = np.zeros(len(place), np.int64)
+        for table, mask, shift in zip(tables, masks, (8, 16, 0, 24), strict=True):
+            found = table[window[place] & mask]
+            colours |= (found >> 4) << shift
+            place = place + (found & 15)
+        literal = colours.tolist()
+        spot = ((CACHE_FACTOR * colours & 0xFFFFFFFF) >> (32 - cache_bits)).tolist() if cache_bits else []
+        done = 0
+        for before, n, d in [*events, (len(literal), 0, -1)]:
+            out += literal[done:before]
+            if cache_bits:
+                slots += spot[done:before]
+                cache.update(zip(spot[done:before], literal[done:before], strict=True))
+            done = before
+            if d > 0:
+                for whole in (out, slots) if cache_bits else (out,):
+                    piece = whole[-d:][:n]
+                    whole += (piece * (-(-n // d)))[:n]
+                if cache_bits:
+                    cache.update(zip(slots[-n:], out[-n:], strict=True))
+            elif not d:
+                out.append(cache.get(n, 0))
+                slots.append((CACHE_FACTOR * out[-1] & 0xFFFFFFFF) >> (32 - cache_bits))
+                cache[slots[-1]] = out[-1]
+    if bits.at > end:
+        raise Corrupt("the stream ends early")
+    return np.array(out, np.uint32)
+
+
 def _read_symbols(bits: Bits, codes: list[list[Code]], width: int, total: int, cache_bits: int, tile_bits: int,
                   tiles: np.ndarray | None) -> np.ndarray:
     out = [0] * total
@@ -251,11 +357,20 @@ def undo_predictor(argb: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray
     height, width = argb.shape
     rest = channels(argb).astype(np.int64)
     out = np.zeros((height, width, 4), np.int64)
-    for y in range(height):
+    out[0] = np.cumsum(rest[0], axis=0) & 255
+    out[0, :, 0] = (out[0, :, 0] + 255) & 255
+    for y in range(1, height):
+        rules = set(modes[y >> bits].tolist())
+        if len(rules) == 1 and rules <= {0, 1, 2, 4, 8, 14, 15}:           # nothing of the row itself, or sums along it
+            rule = rules.pop()
+            out[y, 0] = (rest[y, 0] + out[y - 1, 0]) & 255
+            if rule == 1:
+                out[y] = np.cumsum(np.concatenate([out[y, :1], rest[y, 1:]]), axis=0) & 255
+            else:
+                out[y, 1:] = (rest[y, 1:] + predict(rule, out[y, :-1], out[y - 1, 1:], out[y - 1, 1:], out[y - 1, :-1])) & 255
+            continue
         for x in range(width):
-            if y == 0:
-                p = out[0, x - 1] if x else np.array([255, 0, 0, 0])
-            elif x == 0:
+            if x == 0:
                 p = out[y - 1, 0]
             else:
                 beyond = out[y - 1, x + 1] if x + 1 < width else out[y, 0]
@@ -287,7 +402,7 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, cor
     if mode == 10:
         return ((left + corner >> 1) + (top + right >> 1)) >> 1
     if mode == 11:
-        return left if np.abs(top - corner).sum() < np.abs(left - corner).sum() else top
+        return np.where(np.abs(top - corner).sum(-1, keepdims=True) < np.abs(left - corner).sum(-1, keepdims=True), left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     if mode == 13:
@@ -377,51 +492,257 @@ def decode(image: bytes) -> np.ndarray:
 
 # -- writing ------------------------------------------------------------------------------------
 
-@lru_cache(maxsize=4096)
-def number_bits(value: int, n: int) -> np.ndarray:
-    return (value >> np.arange(n) & 1).astype(np.uint8)
-
-
-def code_bits(used: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Header bits of a code with equal lengths over at least the used symbols (each below 256), the rank of
-    every symbol, and the length."""
-    n = int(len(used) - 1).bit_length()
-    rank = np.zeros(alphabet, np.uint8)
-    if not n:
-        return np.concatenate([number_bits(0b101, 3), number_bits(int(used[0]), 8)]), rank, 0
-    chosen = np.zeros(256, bool)
-    chosen[used] = True
-    chosen[np.flatnonzero(~chosen)[:(1 << n) - len(used)]] = True        # a full code needs a power of two
-    rank[:256] = np.cumsum(chosen) - 1
-    last = CODE_LENGTH_ORDER.index(n)
-    own = np.zeros((max(4, last + 1), 3), np.uint8)
-    own[[2, last], 0] = 1                                                    # lengths 0 and n take one bit each
-    lengths = np.zeros(alphabet, np.uint8)
-    lengths[:256] = chosen
-    if alphabet == 256 and chosen.all():
-        own[2, 0] = 0                                                       # only length n occurs: no bits at all
-        lengths = lengths[:0]
-    return np.concatenate([number_bits(0, 1), number_bits(len(own) - 4, 4), own.ravel(), number_bits(0, 1), lengths]), rank, n
-
-
-def image_bits(argb: np.ndarray, main: bool) -> np.ndarray:
-    """An entropy-coded image of literals."""
-    c = channels(argb.ravel())
-    head, body = [number_bits(0, 2 if main else 1)], []
-    for k, alphabet in ((2, 256 + LENGTHS), (1, 256), (3, 256), (0, 256)):
-        used = np.flatnonzero(np.bincount(c[:, k], minlength=256))
-        bits, rank, n = code_bits(used, alphabet)
-        head.append(bits)
-        body.append(np.unpackbits(rank[c[:, k]][:, None], axis=1)[:, 8 - n:])
-    head.append(code_bits(np.array([0]), DISTANCES)[0])
-    return np.concatenate([*head, np.concatenate(body, axis=1).ravel()])
+class Out:
+    """Collects numbers and their widths in bits, lowest bit first."""
+
+    def __init__(self):
+        self.values, self.widths, self.parts = [], [], []
+
+    def put(self, value: int, n: int) -> None:
+        self.values.append(value)
+        self.widths.append(n)
+
+    def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
+        self.parts += [(np.array(self.values, np.int64), np.array(self.widths, np.int64)), (values, widths)]
+        self.values, self.widths = [], []
+
+    def data(self) -> bytes:
+        self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        values, widths = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        bits = []
+        for i in range(0, len(values), TOKENS):
+            v, n = values[i:i + TOKENS], widths[i:i + TOKENS]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            bits.append((np.repeat(v, n) >> place & 1).astype(np.uint8))
+        return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+
+
+def lengths_of(counts: list[int], most: int) -> list[int]:
+    """Code lengths of two or more symbols by joining the rarest; counts are flattened until the longest fits."""
+    n = len(counts)
+    while True:
+        heap = [(c, i) for i, c in enumerate(counts)]
+        heapq.heapify(heap)
+        parent = [0] * (2 * n - 1)
+        for new in range(n, 2 * n - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heap[0]
+            heapq.heapreplace(heap, (a + b, new))
+            parent[i] = parent[j] = new
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth) <= most:
+            return depth[:n]
+        counts = [c // 2 + 1 for c in counts]
+
+
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """The canonical code of each symbol, first bit lowest."""
+    out = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    n, longest = lengths[order], int(lengths.max())
+    steps = np.int64(1) << (longest - n)
+    out[order] = turned(longest)[np.cumsum(steps) - steps]
+    return out
+
+
+def put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the header of a prefix code for symbols that occur so often; returns each symbol's code and length."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) == 0:
+        used = np.zeros(1, np.int64)
+    if len(used) <= 2 and used[-1] < 256:
+        wide = int(used[0] > 1)
+        out.put(1 | (len(used) - 1) << 1 | wide << 2, 3)
+        out.put(int(used[0]), 8 if wide else 1)
+        if len(used) == 2:
+            out.put(int(used[1]), 8)
+            lengths[used] = 1
+        return codes_of(lengths) if len(used) == 2 else lengths, lengths
+    lengths[used] = lengths_of(counts[used].tolist(), LONGEST)
+    ends = np.append(np.flatnonzero(np.diff(lengths[:used[-1] + 1])), used[-1]) + 1
+    runs, before, start = [], 8, 0
+    for value, end in zip(lengths[ends - 1].tolist(), ends.tolist(), strict=True):
+        n, start = end - start, end
+        if value and value != before:
+            runs.append((value, 0, 0))
+            before, n = value, n - 1
+        while n > 2:
+            step = min(n, 6 if value else 138)
+            runs.append((16, step - 3, 2) if value else (17, step - 3, 3) if step < 11 else (18, step - 11, 7))
+            n -= step
+        runs += [(value, 0, 0)] * n
+    own = np.bincount([r[0] for r in runs], minlength=19)
+    if np.count_nonzero(own) == 1:
+        own[0 if not own[0] else 1] = 1
+    own_lengths, kinds = np.zeros(19, np.int64), np.flatnonzero(own)
+    own_lengths[kinds] = lengths_of(own[kinds].tolist(), 7)
+    last = max(4, 1 + max(CODE_LENGTH_ORDER.index(k) for k in kinds.tolist()))
+    out.put((last - 4) << 1, 5)
+    sizes, own_codes = own_lengths.tolist(), codes_of(own_lengths).tolist()
+    out.values += [sizes[k] for k in CODE_LENGTH_ORDER[:last]]
+    out.widths += [3] * last
+    size = max(2, (max(0, len(runs) - 2)).bit_length())
+    size += size % 2
+    out.put(1 | (size - 2) // 2 << 1, 4)                                    # as many code lengths as there are runs
+    out.put(len(runs) - 2, size)
+    out.values += [own_codes[s] | extra << sizes[s] for s, extra, _ in runs]
+    out.widths += [sizes[s] + n for s, _, n in runs]
+    return codes_of(lengths), lengths
+
+
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, extra bits and their number of lengths or distances."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1
+    n = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), v & ((np.int64(1) << n) - 1), n
+
+
+@lru_cache(maxsize=64)
+def near_codes(width: int) -> np.ndarray:
+    """Distance codes of the pixels nearby by distance, 0 where there is none."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for i in range(len(NEAR) - 1, -1, -1):
+        out[max(1, NEAR[i][1] * width + NEAR[i][0])] = i + 1
+    return out
+
+
+def previous(keys: np.ndarray) -> np.ndarray:
+    """The last place before each place with the same key, -1 where there is none."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def references(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """Copies (start, pixels, distance): from the left, runs of two or more pixels that stand at the last place of their first two."""
+    if len(argb) < 3:
+        return []
+    wide = argb.astype(np.uint64)
+    source = previous(wide[:-1] << np.uint64(32) | wide[1:])
+    starts = np.flatnonzero(source >= 0)
+    if not len(starts):
+        return []
+    far = np.where(source >= 0, np.arange(len(source)) - source, 0)
+    ends = np.append(np.flatnonzero(np.diff(far)), len(far) - 1)
+    lengths = np.minimum(ends[np.searchsorted(ends, starts)] - starts + 2, 4096)
+    out, at = [], 0
+    for start, n, d in zip(starts.tolist(), lengths.tolist(), far[starts].tolist(), strict=True):
+        if start >= at:
+            out.append((start, n, d))
+            at = start + n
+    return out
+
+
+def put_pixels(out: Out, argb: np.ndarray, width: int, main: bool) -> None:
+    """An entropy-coded image: back-references, a colour cache if it pays, and a prefix code each for green with lengths and
+    cached colours, red, blue, alpha and distances."""
+    copies = np.array(references(argb), np.int64).reshape(-1, 3)
+    covered = np.zeros(len(argb) + 1, np.int64)
+    np.add.at(covered, copies[:, 0], 1)
+    np.add.at(covered, copies[:, 0] + copies[:, 1], -1)
+    token = np.cumsum(covered[:-1]) == 0
+    literal = token.copy()
+    token[copies[:, 0]] = True
+    cache_bits = min(10, max(1, len(argb).bit_length() - 2))
+    slot = ((argb.astype(np.int64) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits))
+    before = previous(slot)
+    hit = literal & (before >= 0) & (argb[before] == argb)
+    # a cached colour saves about half of its literal; a symbol more costs some bits of the header
+    if 9 * np.count_nonzero(hit) <= 4 * len(np.unique(slot[hit])) + 24:
+        cache_bits, hit = 0, np.zeros(len(argb), bool)
+    literal &= ~hit
+    out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+    if main:
+        out.put(0, 1)
+    c = channels(argb).astype(np.int64)
+    green = np.where(hit, 256 + LENGTHS + slot, c[:, 2])
+    kind, length_extra, length_bits = prefixes(copies[:, 1])
+    green[copies[:, 0]] = 256 + kind
+    nearby = near_codes(width)
+    code = np.where(copies[:, 2] < len(nearby), nearby[np.minimum(copies[:, 2], len(nearby) - 1)], 0)
+    far, far_extra, far_bits = prefixes(np.where(code > 0, code, copies[:, 2] + len(NEAR)))
+    codes, lengths = put_code(out, np.bincount(green[token], minlength=256 + LENGTHS + ((1 << cache_bits) if cache_bits else 0)))
+    values, widths = codes[green], lengths[green]
+    for k in (1, 3, 0):
+        codes, lengths = put_code(out, np.bincount(c[literal, k], minlength=256))
+        values[literal] |= codes[c[literal, k]] << widths[literal]
+        widths[literal] += lengths[c[literal, k]]
+    codes, lengths = put_code(out, np.bincount(far, minlength=DISTANCES))
+    for value, n in ((length_extra, length_bits), (codes[far], lengths[far]), (far_extra, far_bits)):
+        values[copies[:, 0]] |= value << widths[copies[:, 0]]
+        widths[copies[:, 0]] += n
+    out.put_all(values[token], widths[token])
+
+
+def costs(c: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
+    """About how many bits the bytes of each group and channel take: their entropy, and a header of 3 bits a symbol."""
+    wide = c.shape[-1]
+    key = c + (np.arange(wide) << 8)
+    many = 1
+    if groups is not None:
+        many = int(groups.max()) + 1
+        key += (groups * wide << 8)[..., None]
+    n = np.bincount(key.ravel(), minlength=many * wide << 8).reshape(many, wide, 256)
+    total = n.sum(2)
+    return total * np.log2(np.maximum(total, 1)) - (n * np.log2(np.maximum(n, 1))).sum(2) + 3 * np.count_nonzero(n, axis=2)
+
+
+def without_prediction(c: np.ndarray, mode: int) -> np.ndarray:
+    """What a prediction rule leaves of the channels."""
+    out = c.copy()
+    out[0, 0, 0] -= 255
+    out[0, 1:] -= c[0, :-1]
+    out[1:, 0] -= c[:-1, 0]
+    right = np.concatenate([c[:-1, 2:], c[1:, :1]], axis=1)
+    out[1:, 1:] -= predict(mode, c[1:, :-1], c[:-1, 1:], right, c[:-1, :-1])
+    return (out & 255).astype(np.uint8)
+
+
+def without_green(c: np.ndarray) -> np.ndarray:
+    out = c.copy()
+    out[..., [1, 3]] -= c[..., 2:3]
+    return out & 255
+
+
+def blocks_of(height: int, width: int) -> tuple[np.ndarray, tuple[int, int]]:
+    shape = (-(-height // (1 << TILE)), -(-width // (1 << TILE)))
+    return (np.arange(height)[:, None] >> TILE) * shape[1] + (np.arange(width) >> TILE), shape
+
+
+def take_prediction(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rests by the best rule of each block, and the rules."""
+    block, shape = blocks_of(*c.shape[:2])
+    rests = np.stack([without_prediction(c, mode) for mode in range(14)])
+    modes = np.argmin([costs(r, block).sum(1) for r in rests], axis=0)
+    return np.take_along_axis(rests, modes[block][None, ..., None], axis=0)[0].astype(np.int64), modes.reshape(shape)
+
+
+def take_cross_colour(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Red and blue less the best parts of green, blue less that of red, by block, and the factors as (alpha, red to blue, green to blue, green to red)."""
+    block, shape = blocks_of(*c.shape[:2])
+    signed = lambda v: (v + 128 & 255) - 128
+    out, factors = c.copy(), np.zeros((shape[0] * shape[1], 4), np.int64)
+    for to, by, at in ((1, 2, 3), (3, 2, 2), (3, 1, 1)):
+        ways = np.stack([out[..., to] - (f * signed(c[..., by]) >> 5) & 255 for f in FACTORS])
+        best = np.argmin([costs(w[..., None], block)[:, 0] + 8 * (f != 0) for w, f in zip(ways, FACTORS, strict=True)], axis=0)
+        out[..., to] = np.take_along_axis(ways, best[block][None], axis=0)[0]
+        factors[:, at] = np.array(FACTORS)[best]
+    return out, (factors & 255).astype(np.uint8).reshape(*shape, 4)
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A file for an array (height, width, red-green-blue-alpha)."""
+    """A file for an array (height, width, red-green-blue-alpha). Few colours become a palette; otherwise the transforms are those
+    that leave the fewest bits by estimate: none, prediction with or without cross-colour, each with or without subtracting green."""
     height, width = pixels.shape[:2]
     argb = joined(pixels[..., [3, 0, 1, 2]])
-    parts = [number_bits(width - 1, 14), number_bits(height - 1, 14), number_bits(1, 4)]
+    out = Out()
+    out.put(width - 1 | (height - 1) << 14 | 1 << 28, 32)
     colours, index = np.unique(argb, return_inverse=True)
     if len(colours) <= PALETTE:
         steps = channels(colours).copy()
@@ -431,10 +752,34 @@ def encode(pixels: np.ndarray) -> bytes:
         rows = np.zeros((height, wide), np.uint32)
         rows[:, :width] = index.reshape(height, width)
         packed = (rows.reshape(height, -1, 1 << pack) << (each * np.arange(1 << pack, dtype=np.uint32))).sum(2).astype(np.uint32)
-        parts += [number_bits(1 | INDEXING << 1, 3), number_bits(len(colours) - 1, 8), image_bits(joined(steps), False)]
-        argb = packed << np.uint32(8)
-    parts += [number_bits(0, 1), image_bits(argb, True)]
-    return wrap(np.packbits(np.concatenate(parts), bitorder="little").tobytes())
+        out.put(1 | INDEXING << 1 | len(colours) - 1 << 3, 11)
+        put_pixels(out, joined(steps), len(colours), False)
+        argb, width = packed << np.uint32(8), packed.shape[1]
+    else:
+        c = channels(argb).astype(np.int64)
+        ways = np.concatenate([c, c, c, c], axis=2)                         # as it is, less the left, less the top, less green
+        ways[:, 1:, 4:8] -= c[:, :-1]
+        ways[1:, :, 8:12] -= c[:-1]
+        ways[..., [13, 15]] -= c[..., 2:3]
+        plain, left, top, less = costs(ways & 255).reshape(4, 4).sum(1)
+        if min(left, top) + 64 < plain:
+            rest, modes = take_prediction(c)
+            out.put(1 | PREDICTOR << 1 | TILE - 2 << 3, 6)
+            put_pixels(out, (modes.astype(np.uint32) << np.uint32(8)).ravel(), modes.shape[1], False)
+            c, factors = take_cross_colour(rest)
+            if factors.any() and costs(c).sum() + 64 < costs(rest).sum():
+                out.put(1 | CROSS_COLOUR << 1 | TILE - 2 << 3, 6)
+                put_pixels(out, joined(factors).ravel(), factors.shape[1], False)
+            else:
+                c = rest
+            plain, less = costs(c).sum(), costs(without_green(c)).sum()
+        if less < plain:
+            out.put(1 | SUBTRACT_GREEN << 1, 3)
+            c = without_green(c)
+        argb = joined(c.astype(np.uint8))
+    out.put(0, 1)
+    put_pixels(out, argb.ravel(), width, True)
+    return wrap(out.data())
 
 
 def wrap(stream: bytes) -> bytes:

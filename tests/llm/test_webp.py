@@ -93,6 +93,76 @@ def test_the_two_readers_agree(monkeypatch):
             assert all(np.array_equal(a, b) for a, b in zip(quick, W.load(media), strict=True))
 
 
+def walk(seed, rows, **steps):
+    rng = np.random.default_rng(seed)
+    green = rng.integers(-6, 7, (rows, 16))
+    parts = {"green": green, "half": green * 16 >> 5, "same": green, "noise": rng.integers(0, 2, green.shape)}
+    return np.stack([np.cumsum(parts[steps[c]].ravel()).reshape(rows, 16) % 256 for c in ("red", "green", "blue", "alpha")], axis=2).astype(np.uint8)
+
+
+def test_the_writer_uses_every_part_of_the_method(monkeypatch):
+    used = set()
+
+    def spy(name, of=lambda *a: True):
+        whole = getattr(W, name)
+        monkeypatch.setattr(W, name, lambda *a, **k: (used.add(name) if of(*a) else None, whole(*a, **k))[1])
+    for name in ("read_count", "undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_indexing"):
+        spy(name)
+    spy("_read_chained", lambda bits, codes, width, total, cache_bits: cache_bits)
+
+    def parts(content):
+        used.clear()
+        assert b"".join(i.tobytes() for i in W.load(W.store(content)))[:len(content)] == content
+        return set(used)
+
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, 4 * n, dtype=np.uint8)) for n in (1, 1, 2, 3, 4) for _ in range(12)]
+    text = b"".join(words[i] for i in rng.integers(0, len(words), 600))
+    assert parts(text) >= {"read_count", "_read_chained"} and len(W.store(text)) < 0.5 * len(text)
+    assert parts(walk(1, 60, red="half", green="green", blue="half", alpha="noise").tobytes()) >= {"undo_predictor", "undo_cross_colour"}
+    assert parts(walk(2, 60, red="same", green="green", blue="same", alpha="noise").tobytes()) >= {"undo_predictor"}
+    same = rng.integers(0, 256, (60, 16, 1), dtype=np.uint8).repeat(4, axis=2)
+    assert "undo_subtract_green" in parts(same.tobytes())
+    assert "undo_indexing" in parts(b"abcdefgh" * 40)
+
+
+def test_code_lengths_follow_the_counts():
+    out = W.Out()
+    _, lengths = W.put_code(out, np.array([100, 1, 1, 20, 0, 5]))
+    assert lengths[0] == 1 < lengths[3] < lengths[5] <= lengths[1] and not lengths[4]
+    fibonacci = [1, 1]
+    while len(fibonacci) < 40:
+        fibonacci.append(sum(fibonacci[-2:]))
+    limited = np.array(W.lengths_of(fibonacci, W.LONGEST))
+    assert limited.max() <= W.LONGEST and (2.0 ** -limited).sum() == 1
+
+
+@given(st.lists(st.sampled_from([b"abcd", b"efgh", b"ijkl", b"x", b"\0\0\0\0", bytes(range(40)), bytes(range(64)) * 3]), max_size=400))
+@settings(max_examples=80, deadline=None)
+def test_repeating_contents_come_back(parts):
+    content = b"".join(parts)
+    back = b"".join(i.tobytes() for i in W.load(W.store(content)))
+    assert back[:len(content)] == content and not back[len(content):].strip(b"\0")
+
+
+@given(st.integers(0, 10 ** 6), st.integers(1, 40))
+@settings(max_examples=40, deadline=None)
+def test_smooth_contents_come_back(seed, rows):
+    pixels = walk(seed, rows, red="half", green="green", blue="same", alpha="noise")
+    assert np.array_equal(W.decode(W.encode(pixels)), pixels)
+
+
+def test_the_chained_reader_agrees_with_the_plain_one(monkeypatch):
+    contents = [b"some words and some words again " * 9 + bytes(range(256)) * 5, walk(3, 40, red="half", green="green", blue="same", alpha="noise").tobytes()]
+    for bits in (64, W.CHAIN_BITS):
+        monkeypatch.setattr(W, "CHAIN_BITS", bits)
+        for media in map(W.store, contents):
+            quick = W.load(media)
+            with monkeypatch.context() as m:
+                m.setattr(W, "_read_chained", lambda b, codes, width, total, cache: W._read_symbols(b, [codes], width, total, cache, 0, None))
+                assert all(np.array_equal(x, y) for x, y in zip(quick, W.load(media), strict=True))
+
+
 def test_broken_streams_are_refused():
     media = writer.encode(picture(1, 8, 8))
     for bad in (b"", b"RIFF", media[:40], media[:12] + b"VP8 " + media[16:], media[:20] + b"\x2e" + media[21:]):
