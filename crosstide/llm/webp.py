@@ -2,14 +2,13 @@
 
 The reader handles the whole lossless format: prefix codes (simple and normal, with groups per tile), literals,
 back-references with two-dimensional distance codes, the colour cache, and the inverse
-predictor, cross-colour, subtract-green and palette transforms (with packed indexes). With one group of codes
-literals are found and unpacked by array operations, copies and cached colours one by one; streams with groups per tile, which the
-writer never makes, are read symbol by symbol.
+predictor, cross-colour, subtract-green and palette transforms (with packed indexes). Streams with
+one group of codes read a literal's four symbols in one step; those whose codes all have one length are unpacked by array operations.
 
 The writer turns each 4 bytes into a pixel (red, green, blue, alpha), 16 pixels a row. Images of at most 16 colours get a
 palette. Others get the transforms that leave the fewest bits by estimated entropy: none, or the best of the 14 prediction rules for each block with or without
 cross-colour factors, either with or without subtracting green. Runs of pixels that stood there before become back-references, the colour cache is used where
-it pays, and every alphabet gets a prefix code of unequal lengths (at most 11 bits). One image holds at most 1 MiB; longer contents become several images in a row.
+it pays, and every alphabet gets a prefix code of unequal lengths (at most 10 bits; red, blue and alpha share theirs where separate ones would save little). One image holds at most 1 MiB; longer contents become several images in a row.
 
 Defined cases: null content is empty content; it is padded like any other. Contents of any length
 work, in bounded pieces. Equal contents give equal images. An empty table gives an empty result. Other
@@ -19,7 +18,7 @@ input columns are not used.
 from __future__ import annotations
 
 import hashlib
-import heapq
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,9 +38,9 @@ LENGTHS, DISTANCES = 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 BLACK = 0xFF000000
 # The writer's choices: longest code, rows and columns of a predictor's block as a power of two, steps of its colour factors.
-LONGEST, TILE, FACTORS = 11, 4, (0, 8, -8, 16, -16, 32, -32)
-# Layout only: bits chained and tokens written at once.
-CHAIN_BITS, TOKENS = 2 ** 17, 2 ** 14
+LONGEST, TILE, FACTORS = 10, 4, (0, 8, -8, 16, -16, 32, -32)
+# The writer shares a code if separate ones save less than one bit in so many.
+SHARE = 32
 # Short distances by how near the pixel is: above or to the left, within 7 rows and 8 columns.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 
@@ -66,6 +65,10 @@ class Bits:
             raise Corrupt("the stream ends early")
         return value & ((1 << n) - 1)
 
+    def peek(self, n: int) -> int:
+        first = self.at >> 3
+        return int.from_bytes(self.data[first:first + (n >> 3) + 2], "little") >> (self.at & 7) & ((1 << n) - 1)
+
     def array(self, n: int) -> np.ndarray:
         """The next ``n`` bits."""
         first, last = self.at >> 3, (self.at + n + 7) >> 3
@@ -93,11 +96,20 @@ class Code:
         #: every symbol has the same length, so that the code of a symbol is its rank
         self.flat = len(used) == 1 or int(n[0]) == self.bits
         self.table: list[int] | None = None
+        self.plain: np.ndarray | None = None
 
     def packed(self) -> np.ndarray:
         """16 * symbol + length by the next ``bits`` bits; a code's first bit is its highest."""
         return np.repeat(self.symbols * 16 + (self.lengths if self.bits else 0), 1 << (self.bits - self.lengths) if self.bits else 1)[turned(self.bits)]
 
+    def parts(self, shift: int) -> tuple[list[int], int]:
+        """64 * (symbol << shift) + length by the next bits, and the mask of these; -1 - (16 * symbol + length) for symbols from 256."""
+        if self.plain is None:
+            self.plain = self.packed()
+        found = self.plain
+        entry = ((found >> 4) << (shift + 6)) + (found & 15)
+        return (np.where(found < 4096, entry, -1 - found) if self.symbols.max() > 255 else entry).tolist(), len(found) - 1
+
     def read(self, bits: Bits) -> int:
         if not self.bits:
             return int(self.symbols[0])
@@ -178,6 +190,23 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     return Code(lengths)
 
 
+def read_codes(bits: Bits, alphabets: tuple[int, ...]) -> list[Code]:
+    """A code for each alphabet; one whose header is that of the code before it is the same."""
+    out: list[Code] = []
+    header = size = 0
+    for i, alphabet in enumerate(alphabets):
+        if i and alphabet == alphabets[i - 1] and bits.at + size <= 8 * len(bits.data) and bits.peek(size) == header:
+            out.append(out[-1])
+            bits.at += size
+            continue
+        start = bits.at
+        out.append(read_code(bits, alphabet))
+        size, bits.at = bits.at - start, start
+        header = bits.peek(size)
+        bits.at += size
+    return out
+
+
 # -- reading ------------------------------------------------------------------------------------
 
 def read_count(bits: Bits, prefix: int) -> int:
@@ -200,12 +229,12 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         tiles = (read_pixels(bits, tiles_x, -(-height // (1 << tile_bits)), False) >> 8) & 0xFFFF
         groups = int(tiles.max()) + 1
     alphabets = (256 + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCES)
-    codes = [[read_code(bits, a) for a in alphabets] for _ in range(groups)]
+    codes = [read_codes(bits, alphabets) for _ in range(groups)]
     total = width * height
     if groups == 1 and all(c.flat for c in codes[0][:4]) and codes[0][0].symbols.max() < 256:
         return _read_flat(bits, codes[0], total)
     if groups == 1:
-        return _read_chained(bits, codes[0], width, total, cache_bits)
+        return _read_group(bits, codes[0], width, total, cache_bits)
     return _read_symbols(bits, codes, width, total, cache_bits, tile_bits, tiles)
 
 
@@ -220,85 +249,72 @@ def _read_flat(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
     return out
 
 
-def _read_chained(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray:
-    """One group of codes: where a literal that starts at a bit would end is computed for all bits at once, so that
-    only the chain of starts, the copies and the cached colours are followed one by one."""
-    tables = [c.packed() for c in codes[:4]]
-    sizes = [t & 15 for t in tables[1:]]
-    masks = [len(t) - 1 for t in tables]
-    end, count = 8 * len(bits.data), 0
+def _read_group(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray:
+    """One group of codes: the entries of a literal's four symbols hold their part of the colour and their length, so that they add up."""
+    (green, mask_g), (red, mask_r), (blue, mask_b), (alpha, mask_a) = [c.parts(shift) for c, shift in zip(codes, (8, 16, 0, 24), strict=False)]
+    data, at, end = bits.data, bits.at, 8 * len(bits.data)
     out: list[int] = []
-    slots: list[int] = []
-    cache: dict[int, int] = {}
+    put, number = out.append, int.from_bytes
+    far, mask_f = codes[4].packed().tolist(), (1 << codes[4].bits) - 1
+    cache, cached, shift, count, factor = [0] * (1 << cache_bits), 0, 32 - cache_bits, 0, CACHE_FACTOR
     while count < total:
-        base = bits.at
-        if base > end:
-            raise Corrupt("the stream ends early")
-        size = min(end - base, CHAIN_BITS) + 1
-        many = (size + 64 + 7) // 8 + 1
-        raw = np.frombuffer(bits.data[base >> 3:(base >> 3) + many + 3].ljust(many + 3, b"\0"), np.uint8).astype(np.uint32)
-        word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-        window = (word[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32(0x7FFF)).astype(np.int64).ravel()[base & 7:]
-        green = tables[0][window[:size] & masks[0]]
-        stop = np.arange(size) + (green & 15)
-        for lengths, mask in zip(sizes, masks[1:], strict=True):
-            if mask:
-                stop += lengths[window[stop] & mask]
-        after = np.where(green < 4096, stop, -1 - green).tolist()
-        starts: list[int] = []
-        events: list[tuple[int, int, int]] = []                     # literals before it, pixels, distance (0: a cached colour)
-        at = 0
-        while count < total and at < size:
-            to = after[at]
-            if to >= 0:
-                starts.append(at)
-                at = to
-                count += 1
-                continue
-            s, bits.at = (-1 - to) >> 4, base + at + ((-1 - to) & 15)
-            if s < 256 + LENGTHS:
-                n = read_count(bits, s - 256)
-                d = read_count(bits, codes[4].read(bits))
-                if d <= len(NEAR):
-                    x, y = NEAR[d - 1]
-                    d = max(1, y * width + x)
-                else:
-                    d -= len(NEAR)
-                if d > count or count + n > total:
-                    raise Corrupt("a back-reference outside the image")
-                events.append((len(starts), n, d))
-                count += n
-            else:
-                events.append((len(starts), s - 256 - LENGTHS, 0))
-                count += 1
-            at = bits.at - base
-        bits.at = base + at
-        place = np.array(starts, np.int64)
-        colours = np.zeros(len(place), np.int64)
-        for table, mask, shift in zip(tables, masks, (8, 16, 0, 24), strict=True):
-            found = table[window[place] & mask]
-            colours |= (found >> 4) << shift
-            place = place + (found & 15)
-        literal = colours.tolist()
-        spot = ((CACHE_FACTOR * colours & 0xFFFFFFFF) >> (32 - cache_bits)).tolist() if cache_bits else []
-        done = 0
-        for before, n, d in [*events, (len(literal), 0, -1)]:
-            out += literal[done:before]
-            if cache_bits:
-                slots += spot[done:before]
-                cache.update(zip(spot[done:before], literal[done:before], strict=True))
-            done = before
-            if d > 0:
-                for whole in (out, slots) if cache_bits else (out,):
-                    piece = whole[-d:][:n]
-                    whole += (piece * (-(-n // d)))[:n]
-                if cache_bits:
-                    cache.update(zip(slots[-n:], out[-n:], strict=True))
-            elif not d:
-                out.append(cache.get(n, 0))
-                slots.append((CACHE_FACTOR * out[-1] & 0xFFFFFFFF) >> (32 - cache_bits))
-                cache[slots[-1]] = out[-1]
-    if bits.at > end:
+        window = number(data[at >> 3:(at >> 3) + 9], "little") >> (at & 7)
+        found = green[window & mask_g]
+        if found >= 0:
+            window >>= found & 63
+            more = red[window & mask_r]
+            window >>= more & 63
+            found += more
+            more = blue[window & mask_b]
+            window >>= more & 63
+            found += more + alpha[window & mask_a]
+            at += found & 63
+            put(found >> 6)
+            count += 1
+            continue
+        if at > end:
+            break
+        found = -1 - found
+        s, n = found >> 4, found & 15
+        window >>= n
+        at += n
+        if s >= 256 + LENGTHS:
+            for p in out[cached:]:
+                cache[(factor * p & 0xFFFFFFFF) >> shift] = p
+            cached = count
+            put(cache[s - 256 - LENGTHS])
+            count += 1
+            continue
+        s -= 256
+        n = s + 1
+        if s > 3:
+            s, n = (s - 2) >> 1, 2 + (s & 1)
+            n = (n << s) + (window & ((1 << s) - 1)) + 1
+            window >>= s
+            at += s
+        found = far[window & mask_f]
+        s, d = found >> 4, found & 15
+        window >>= d
+        at += d
+        d = s + 1
+        if s > 3:
+            s, d = (s - 2) >> 1, 2 + (s & 1)
+            d = (d << s) + (window & ((1 << s) - 1)) + 1
+            at += s
+        if d <= 120:
+            x, y = NEAR[d - 1]
+            d = max(1, y * width + x)
+        else:
+            d -= 120
+        if d > count or count + n > total:
+            raise Corrupt("a back-reference outside the image")
+        if d >= n:
+            out += out[count - d:count - d + n]
+        else:
+            out += (out[-d:] * (-(-n // d)))[:n]
+        count += n
+    bits.at = at
+    if at > end:
         raise Corrupt("the stream ends early")
     return np.array(out, np.uint32)
 
@@ -509,30 +525,44 @@ class Out:
     def data(self) -> bytes:
         self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
         values, widths = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        bits = []
-        for i in range(0, len(values), TOKENS):
-            v, n = values[i:i + TOKENS], widths[i:i + TOKENS]
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            bits.append((np.repeat(v, n) >> place & 1).astype(np.uint8))
-        return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+        values, widths = values[widths > 0].astype(np.uint64), widths[widths > 0]
+        ends = np.cumsum(widths)
+        word, at = (ends - widths) >> 6, ((ends - widths) & 63).astype(np.uint64)
+        out = np.zeros((int(ends[-1]) >> 6) + 2, "<u8")
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_or.reduceat(values << at, first)
+        over = np.flatnonzero((ends - 1) >> 6 > word)                       # at most one number crosses into each word
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - at[over])
+        return out.tobytes()[:(int(ends[-1]) + 7) >> 3]
 
 
 def lengths_of(counts: list[int], most: int) -> list[int]:
     """Code lengths of two or more symbols by joining the rarest; counts are flattened until the longest fits."""
     n = len(counts)
     while True:
-        heap = [(c, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * n - 1)
-        for new in range(n, 2 * n - 1):
-            (a, i), (b, j) = heapq.heappop(heap), heap[0]
-            heapq.heapreplace(heap, (a + b, new))
-            parent[i] = parent[j] = new
+        order = sorted(range(n), key=counts.__getitem__)
+        single = [counts[i] for i in order] + [math.inf]
+        joint, i, j, parent = [math.inf] * n, 0, 0, [0] * (2 * n - 1)       # both stand in rising order
+        for new in range(n - 1):
+            total = 0
+            for _ in (0, 1):
+                if single[i] <= joint[j]:
+                    total += single[i]
+                    parent[i] = new + n
+                    i += 1
+                else:
+                    total += joint[j]
+                    parent[j + n] = new + n
+                    j += 1
+            joint[new] = total
         depth = [0] * (2 * n - 1)
         for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
         if max(depth) <= most:
-            return depth[:n]
+            out = [0] * n
+            for i, d in zip(order, depth, strict=False):
+                out[i] = d
+            return out
         counts = [c // 2 + 1 for c in counts]
 
 
@@ -669,10 +699,23 @@ def put_pixels(out: Out, argb: np.ndarray, width: int, main: bool) -> None:
     far, far_extra, far_bits = prefixes(np.where(code > 0, code, copies[:, 2] + len(NEAR)))
     codes, lengths = put_code(out, np.bincount(green[token], minlength=256 + LENGTHS + ((1 << cache_bits) if cache_bits else 0)))
     values, widths = codes[green], lengths[green]
-    for k in (1, 3, 0):
-        codes, lengths = put_code(out, np.bincount(c[literal, k], minlength=256))
-        values[literal] |= codes[c[literal, k]] << widths[literal]
-        widths[literal] += lengths[c[literal, k]]
+    rest = [c[literal, k] for k in (1, 3, 0)]
+    counts = np.stack([np.bincount(r, minlength=256) for r in rest])
+    pooled = counts.sum(0)
+    alone, together = (-(n * np.log2(np.maximum(n, 1))).sum() for n in (counts, pooled))
+    together += pooled.sum() * np.log2(3)                                    # each takes a third of the total
+    share = np.count_nonzero(pooled) > 2 and (together - alone) * SHARE <= -alone + pooled.sum() * np.log2(max(1, pooled.sum() / 3))
+    for k, (symbols, own) in enumerate(zip(rest, counts, strict=True)):
+        if not share or not k:
+            begin = len(out.values)
+            codes, lengths = put_code(out, pooled if share else own)
+        else:
+            out.values += head[0]
+            out.widths += head[1]
+        head = out.values[begin:], out.widths[begin:]
+        begin = len(out.values)
+        values[literal] |= codes[symbols] << widths[literal]
+        widths[literal] += lengths[symbols]
     codes, lengths = put_code(out, np.bincount(far, minlength=DISTANCES))
     for value, n in ((length_extra, length_bits), (codes[far], lengths[far]), (far_extra, far_bits)):
         values[copies[:, 0]] |= value << widths[copies[:, 0]]

@@ -106,9 +106,10 @@ def test_the_writer_uses_every_part_of_the_method(monkeypatch):
     def spy(name, of=lambda *a: True):
         whole = getattr(W, name)
         monkeypatch.setattr(W, name, lambda *a, **k: (used.add(name) if of(*a) else None, whole(*a, **k))[1])
-    for name in ("read_count", "undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_indexing"):
+    spy("put_pixels", lambda out, argb, *a: len(W.references(argb)))
+    for name in ("undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_indexing"):
         spy(name)
-    spy("_read_chained", lambda bits, codes, width, total, cache_bits: cache_bits)
+    spy("_read_group", lambda bits, codes, width, total, cache_bits: cache_bits)
 
     def parts(content):
         used.clear()
@@ -118,7 +119,7 @@ def test_the_writer_uses_every_part_of_the_method(monkeypatch):
     rng = np.random.default_rng(7)
     words = [bytes(rng.integers(97, 123, 4 * n, dtype=np.uint8)) for n in (1, 1, 2, 3, 4) for _ in range(12)]
     text = b"".join(words[i] for i in rng.integers(0, len(words), 600))
-    assert parts(text) >= {"read_count", "_read_chained"} and len(W.store(text)) < 0.5 * len(text)
+    assert parts(text) >= {"put_pixels", "_read_group"} and len(W.store(text)) < 0.5 * len(text)
     assert parts(walk(1, 60, red="half", green="green", blue="half", alpha="noise").tobytes()) >= {"undo_predictor", "undo_cross_colour"}
     assert parts(walk(2, 60, red="same", green="green", blue="same", alpha="noise").tobytes()) >= {"undo_predictor"}
     same = rng.integers(0, 256, (60, 16, 1), dtype=np.uint8).repeat(4, axis=2)
@@ -152,15 +153,13 @@ def test_smooth_contents_come_back(seed, rows):
     assert np.array_equal(W.decode(W.encode(pixels)), pixels)
 
 
-def test_the_chained_reader_agrees_with_the_plain_one(monkeypatch):
+def test_the_group_reader_agrees_with_the_plain_one(monkeypatch):
     contents = [b"some words and some words again " * 9 + bytes(range(256)) * 5, walk(3, 40, red="half", green="green", blue="same", alpha="noise").tobytes()]
-    for bits in (64, W.CHAIN_BITS):
-        monkeypatch.setattr(W, "CHAIN_BITS", bits)
-        for media in map(W.store, contents):
-            quick = W.load(media)
-            with monkeypatch.context() as m:
-                m.setattr(W, "_read_chained", lambda b, codes, width, total, cache: W._read_symbols(b, [codes], width, total, cache, 0, None))
-                assert all(np.array_equal(x, y) for x, y in zip(quick, W.load(media), strict=True))
+    for media in map(W.store, contents):
+        quick = W.load(media)
+        with monkeypatch.context() as m:
+            m.setattr(W, "_read_group", lambda b, codes, width, total, cache: W._read_symbols(b, [codes], width, total, cache, 0, None))
+            assert all(np.array_equal(x, y) for x, y in zip(quick, W.load(media), strict=True))
 
 
 def test_broken_streams_are_refused():
