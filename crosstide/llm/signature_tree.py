@@ -48,13 +48,15 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crosstide.session import noted, remove, stage
+from crosstide.session import noted, remove, small_broadcasts, stage
 
 PERCENT = 90
 SHINGLE = 3
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
 LEAF = 16
 SLICE_BYTES = 2_000_000
+BROADCAST = 2 ** 18         # bytes of a table's files that the driver may make a hash table of: the tables joined here grow with the documents
+SIEVE = 2 ** 24             # bits that tell which documents' texts are fetched, whatever their number
 HEAVY = 4                   # entries of a key in one slice of texts
 PARTS = 8                   # size classes of a set; an entry's number in them stands in the low bits of its id
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -355,6 +357,27 @@ def _meeting(entered: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``shingle`` words, ``percent`` the least similarity."""
+    with small_broadcasts(docs.sparkSession, BROADCAST):
+        return stage(_classes(docs, shingle, percent))
+
+
+def sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids`` and few others: a bit per hash of an id tells. What reaches the driver has one
+    size however many ids there are."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    found = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(SIEVE // 64, np.int64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def among(bit: pd.Series) -> pd.Series:
+        return pd.Series((shared.value[bit.to_numpy() >> 6] >> (bit.to_numpy() & 63)) & 1 == 1)
+
+    return docs.where(among(bit))
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     with noted() as paths:
         entered = stage(docs.mapInArrow(_enter(shingle, percent),
@@ -368,9 +391,9 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     centre = met.select("hub").distinct().join(nodes.select(F.col("set_id").alias("hub"), F.col("node").alias("centre"), "n"), "hub")
     sizes = stage(pairs.groupBy("hub").count().join(centre, "hub").select("hub", "centre", "count", _blocks(F.col("count"), F.col("n")).alias("blocks")))
 
-    # written, so that Spark knows their size when it chooses how to fetch their texts
+    # written, so that Spark knows their size when it chooses how to fetch their texts; if it shuffles, then hardly more than these texts
     wanted = stage(pairs.select(F.col("doc").alias("doc_id")).unionByName(sizes.select(F.col("centre").alias("doc_id"))).distinct())
-    sets = stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_read_sets(shingle), "doc long, n long, shingles binary"))
+    sets = stage(sifted(docs, wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_read_sets(shingle), "doc long, n long, shingles binary"))
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc")
     centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("doc"))
     trees = members.unionByName(centres).join(sets, "doc").withColumn("label", F.col("doc"))
@@ -420,5 +443,6 @@ def _still_split(pairs: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataF
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; rows without an id stay."""
     kept = classes(docs, shingle, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # the rows are dealt by their id in any case; the ids of the kept ones are too many to broadcast
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

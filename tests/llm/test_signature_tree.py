@@ -242,3 +242,25 @@ def test_linked_sets_share_as_many_keys_as_both_need(percent, n, drop, add, seed
 def test_shingles_of_five_words():
     a, b, c = J.shingle_sets(["a b c d e f", "A b c d e g", "a b c d"], 5)
     assert (len(a), len(b), len(c), len(np.intersect1d(a, b))) == (2, 2, 1, 1)
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Whatever the caller's limit, the driver makes hash tables of small files only; the ids of the kept documents are merged."""
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in corpus()], SCHEMA)
+    before, seen, stage = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [], J.stage
+    monkeypatch.setattr(J, "stage", lambda df: (seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")), stage(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = J.keep_one(docs)
+        assert set(seen) == {str(J.BROADCAST)} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10m"
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == sorted({c for c in brute(corpus()).values()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sieve_passes_every_wanted_row(spark):
+    docs = spark.createDataFrame([(i if i % 50 else None, str(i)) for i in range(5000)], "doc_id long, text string")
+    ids = docs.where("doc_id % 7 = 3").select("doc_id")
+    got = {r.doc_id for r in J.sifted(docs, ids).collect()}
+    assert {r.doc_id for r in ids.collect()} <= got and len(got) < 900
